@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm import line_dedup
-from lodewell.llm.common import documents
+from lodewell.llm import bpe, langid, license_scan, line_dedup, mixing, quality, token_counts, topk
+from lodewell.llm.common import bounded_batches, documents
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +32,88 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE dropped))::B
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
-ORACLES = {"op1_line_dedup": OP1_SQL}
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return mixing.training_order(plan.select("doc_id", "size", "source_size", "target", "taken", "position"))
+
+
+OP2_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, 'null')) AS draw,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+totals AS (
+  SELECT source, sum(size)::BIGINT AS s,
+    row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rnk FROM sized GROUP BY source),
+weighted AS (
+  SELECT *, CASE rnk % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, (SELECT sum(s) FROM totals)::BIGINT AS t FROM totals),
+filled AS (
+  SELECT *, coalesce(sum(s) OVER (ORDER BY s / w, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below,
+    sum(w) OVER (ORDER BY s / w DESC, rnk DESC)::BIGINT AS rest_w FROM weighted),
+level AS (
+  SELECT below AS b, rest_w AS rw FROM filled WHERE w * (3 * t - 4 * below) <= 4 * s * rest_w ORDER BY s / w, rnk LIMIT 1),
+plan AS (
+  SELECT source AS psource, s, rnk, CASE WHEN w * (3 * t - 4 * b) > 4 * s * rw THEN (2 * s)::DOUBLE
+    ELSE (w * (3 * t - 4 * b))::DOUBLE / (2 * rw)::DOUBLE END AS target FROM filled, level),
+placed AS (
+  SELECT d.*, p.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off, floor(target + 0.5)::BIGINT AS words
+  FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.psource),
+taking AS (
+  SELECT *, CASE WHEN s = 0 THEN 0 ELSE words // s END AS epochs, CASE WHEN rnk % 2 = 0 THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END AS w0,
+    off::DOUBLE / target AS x FROM placed),
+done AS (
+  SELECT *, (epochs * size + greatest(0, least(words - epochs * s - off, size)))::BIGINT AS taken FROM taking)
+SELECT doc_id, size, s AS source_size, target, taken,
+  CASE WHEN taken > 0 THEN 2 * x / (w0 + sqrt(w0 * w0 + 2 * ((2 - w0) - w0) * x)) END AS position FROM done
+"""
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("blocks")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), digest=True)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir).select("doc_id", "lang", "text"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(documents(spark, sf_dir).select("doc_id", "lang", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    rows = topk.valid_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return topk.top_k(rows.filter(F.col("vec_id") % 100 == 0), rows)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_mixing": op2_mixing,
+    "op3_license_scan": op3_license_scan,
+    "op5_bpe": op5_bpe,
+    "op7_language_id": op7_language_id,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_token_counts": op9_token_counts,
+    "op10_top_k": op10_top_k,
+}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op10_top_k": OP10_SQL}
