@@ -45,7 +45,7 @@ TEMPLATES = [
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 ]
 
-THRESHOLD, WINDOW, STRIDE = 0.8, 64, 32
+THRESHOLD, WINDOW, STRIDE = 0.9, 64, 32
 
 _WORDS = bytearray(b" " * 128 + bytes(range(128, 256)))
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
