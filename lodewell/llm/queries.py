@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm import bpe, langid, license_scan, line_dedup, mixing, quality, token_counts, topk
+from lodewell.llm import bpe, langid, license_scan, line_dedup, lm, mixing, quality, token_counts, topk
 from lodewell.llm.common import bounded_batches, documents
 
 
@@ -76,6 +76,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), digest=True)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir).select("doc_id", "lang", "text"))
 
@@ -111,6 +115,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_license_scan": op3_license_scan,
     "op5_bpe": op5_bpe,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
