@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm import bpe, langid, license_scan, line_dedup, lm, mixing, quality, token_counts, topk
+from lodewell.llm import bpe, langid, license_scan, line_dedup, lm, minhash, mixing, quality, token_counts, topk
 from lodewell.llm.common import bounded_batches, documents
 
 
@@ -72,6 +72,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("blocks")
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), shingle=2)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), digest=True)
 
@@ -114,6 +118,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op3_license_scan": op3_license_scan,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_bpe": op5_bpe,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_language_id": op7_language_id,
