@@ -158,27 +158,30 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -
     return Trees(counts, order)
 
 
+def _judged(model: Trees, column) -> tuple[list, list, list]:
+    """Languages, scores and bits a byte of a column of texts."""
+    rows = texts(column)
+    scored = [t if model.langs and has_letter(t) else b"" for t in rows]
+    langs, scores, rate = [], [], []
+    if model.langs:
+        bits = model.code_lengths(_lowered(b"".join(scored)), np.cumsum([len(t) for t in scored]))
+    for i, text in enumerate(scored):
+        if not text:
+            langs.append(UND)
+            scores.append(0.0)
+            rate.append(None)
+            continue
+        best = int(np.argmin(bits[i]))
+        langs.append(model.langs[best])
+        scores.append(float(1.0 / np.sum(np.exp2(np.maximum(bits[i][best] - bits[i], -1000)))))
+        rate.append(float(bits[i][best] / len(text)))
+    return langs, scores, rate
+
+
 def _predict(trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Trees = trees.value
         for batch in batches:
-            rows = texts(batch.column(2))
-            letters = [has_letter(t) for t in rows]
-            scored = [t if ok and model.langs else b"" for t, ok in zip(rows, letters)]
-            langs, scores, rate = [], [], []
-            if model.langs:
-                ends = np.cumsum([len(t) for t in scored])
-                bits = model.code_lengths(_lowered(b"".join(scored)), ends)
-            for i, text in enumerate(scored):
-                if not text:
-                    langs.append(UND)
-                    scores.append(0.0)
-                    rate.append(None)
-                    continue
-                best = int(np.argmin(bits[i]))
-                langs.append(model.langs[best])
-                scores.append(float(1.0 / np.sum(np.exp2(np.maximum(bits[i][best] - bits[i], -1000)))))
-                rate.append(float(bits[i][best] / len(text)))
+            langs, scores, rate = _judged(trees.value, batch.column(2))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rate, pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"],
@@ -197,3 +200,14 @@ def predict(docs: DataFrame, trees: Trees, fold: int = 5) -> DataFrame:
 def identify(docs: DataFrame, fold: int = 5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Predictions for all documents by trees learned from those outside the held-out fold."""
     return predict(docs, learn(docs.filter(crc_mod("doc_id", fold) != 0), sample_docs), fold)
+
+
+def drop_unidentified(docs: DataFrame, fold: int = 5, least_score: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The documents whose language the trees tell: not "und", and a posterior of least_score or more."""
+    shipped = docs.sparkSession.sparkContext.broadcast(learn(docs.filter(crc_mod("doc_id", fold) != 0), sample_docs))
+
+    def sure(column: pa.Array) -> pa.Array:
+        langs, scores, _ = _judged(shipped.value, column)
+        return pa.array([lang != UND and score >= least_score for lang, score in zip(langs, scores)], pa.bool_())
+
+    return docs.filter(F.arrow_udf(sure, "boolean")("text"))
