@@ -6,11 +6,14 @@ minhashes; the key of table (i, j) is the pair of half i of the first and half j
 of 2 * rows minhashes each need only 2 * side * rows minhashes.
 
 Tables are sorted by (key, class) and streamed. A bucket of SMALL classes at most gives all its pairs. A larger one
-gives its first class against each other one; after these are verified and joined into components, what is left in it,
-the pairs across components, is taken up by further pivots and at last in full, so no pair that meets in a bucket goes
-unchecked unless it is already connected. Pairs whose sizes rule out the threshold are never formed.
-
-Candidates are verified on full sets: chunks of at most CHUNK partners of one pivot stream past the pivot's set.
+gives its first class against each other one; after these are verified and joined into components, only pairs across
+components are left in it. Those are looked for block against block, BLOB classes each: a few for each class and
+component in every round, all in the last, so no pair that meets in a bucket goes unchecked unless it is already
+connected.
+
+Two exact bounds spare most failing pairs: set sizes, and parity sketches of BITS bits, in which every shingle flips
+one bit, so that the bits in which two sketches differ never outnumber the shingles in which the sets do. Candidates
+that pass are verified on full sets: chunks of at most CHUNK partners of one pivot stream past the pivot's set.
 A pair at similarity s is missed with probability 1 - (1 - (1 - s^rows)^side)^2: at s = 0.8, with 12 sides of 3 rows,
 0.0004 a pair, at 0.85 0.00002, and less for a group with more than one path.
 
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from lodewell.llm.common import materialize, mix64, texts, word_hashes
 
 SIDE, ROWS, SMALL, CHUNK = 12, 3, 8, 256
+BLOB, BITS, ROUNDS, FEW = 2048, 1024, 2, 2
 THRESHOLD, SHINGLE = 80, 5
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
@@ -92,6 +96,16 @@ def class_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """BITS parity bits."""
+    return np.packbits((np.bincount((shingles >> _U(20)) % _U(BITS), minlength=BITS) & 1).astype(bool)).tobytes()
+
+
+def room(n1, n2, percent: int):
+    """The most shingles in which two sets of these sizes may differ at the threshold."""
+    return (n1 + n2) * (100 - percent) // (100 + percent)
+
+
 def half_keys(sets: list[np.ndarray], side: int, rows: int) -> np.ndarray:
     """(documents, 2 * side) half keys: the first collection's, then the second's."""
     flat = np.concatenate(sets)
@@ -118,7 +132,8 @@ def _features(k: int, side: int, rows: int):
                     halves[i] = row.tobytes()
             ids = [class_id(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(halves, pa.binary())], ["doc_id", "n", "class", "halves"]
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(halves, pa.binary()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
+                ["doc_id", "n", "class", "halves", "bits"],
             )
 
     return run
@@ -286,49 +301,109 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def _more_pairs(members: DataFrame, roots: DataFrame, first: int, pivots: int | None, percent: int) -> DataFrame:
-    """Pairs across components in large buckets that pivots 0 to first - 1 have not met."""
+def _possible(percent: int):
+    """Whether sizes and sketches leave room for the threshold, for columns of both sides."""
+
+    def run(n1: pa.Array, bits1: pa.Array, n2: pa.Array, bits2: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in (bits1, bits2))
+        a, b = n1.to_numpy(), n2.to_numpy()
+        return pa.array((np.bitwise_count(x ^ y).sum(axis=1) <= room(a, b, percent)) & near(a, b, percent))
+
+    return F.arrow_udf(run, "boolean")
+
+
+def possible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the bounds let pass."""
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(_possible(percent)("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
+
+
+def _across(percent: int, turn: int, few: int | None):
+    """Pairs of two blobs of one bucket that lie in different components and that the bounds let pass.
+
+    With ``few``, at most that many for each class and component, drawn anew every turn.
+    """
+
+    def unpack(rows):
+        ids = np.array([r["class"] for r in rows], np.int64)
+        n, root = np.array([r["n"] for r in rows], np.int64), np.array([r["root"] for r in rows], np.int64)
+        return ids, n, root, np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(len(rows), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed = _U(mix64(np.array([turn + 1], np.uint64))[0])
+        for batch in batches:
+            for rows_x, rows_y, same in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                (ids, n, root, bits), (ids_y, n_y, root_y, bits_y) = unpack(rows_x), unpack(rows_y)
+                found_a, found_b = [], []
+                for i in range(len(ids)):
+                    open_ = (root_y != root[i]) & near(n_y, n[i], percent)
+                    if same:
+                        open_ &= ids_y > ids[i]
+                    at = np.flatnonzero(open_)
+                    if len(at):
+                        at = at[np.bitwise_count(bits_y[at] ^ bits[i]).sum(axis=1) <= room(n_y[at], n[i], percent)]
+                    if few and len(at) > few:
+                        at = at[np.argsort(mix64(ids_y[at].astype(np.uint64) ^ seed))]
+                        at = at[np.lexsort((np.arange(len(at)), root_y[at]))]
+                        group = np.append(0, np.cumsum(root_y[at][1:] != root_y[at][:-1]))
+                        at = at[np.arange(len(at)) - np.searchsorted(group, group) < few]
+                    found_a.append(np.full(len(at), ids[i]))
+                    found_b.append(ids_y[at])
+                a, b = np.concatenate(found_a), np.concatenate(found_b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def _more_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs across components in large buckets. Of buckets with the same members one is enough."""
     labelled = members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rows = labelled.join(open_keys, "key", "left_semi").filter(F.col("place") >= first)
-    heads = rows if pivots is None else rows.filter(F.col("place") < first + pivots)
-    x, y = heads.alias("x"), rows.alias("y")
-    fit = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.root") != F.col("y.root"))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.place") < F.col("y.place")) & fit)
-    return met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    print_of = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("class").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "class")))
+    keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), print_of.alias("print")).filter("lo <> hi")
+    keys = keys.groupBy("print").agg(F.min("key").alias("key")).select("key")
+    rows = labelled.join(keys, "key", "left_semi").join(classes.select("class", "bits"), "class")
+    blob = rows.groupBy("key", F.floor(F.col("place") / BLOB).alias("blob")).agg(F.collect_list(F.struct("class", "n", "root", "bits")).alias("rows"))
+    x, y = blob.alias("x"), blob.alias("y")
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.blob") <= F.col("y.blob")))
+    cut = both.select(F.col("x.rows").alias("one"), F.col("y.rows").alias("two"), (F.col("x.blob") == F.col("y.blob")).alias("same"))
+    return cut.mapInArrow(_across(percent, turn, FEW if turn < ROUNDS else None), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD, side: int = SIDE, rows: int = ROWS) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept."""
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    features = materialize(base.mapInArrow(_features(shingle, side, rows), "doc_id bigint, n bigint, class bigint, halves binary"), "features")
+    features = materialize(base.mapInArrow(_features(shingle, side, rows), "doc_id bigint, n bigint, class bigint, halves binary, bits binary"), "features")
     linked = features.filter(F.col("doc_id").isNotNull() & F.col("class").isNotNull())
-    classes = materialize(linked.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("halves").alias("halves")), "classes")
+    classes = materialize(linked.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("halves").alias("halves"), F.max("bits").alias("bits")), "classes")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tables = classes.select("class", "n", "halves").mapInArrow(_tables(side), "key bigint, class bigint, n int")
     buckets = materialize(tables.repartition(n_parts, "key").sortWithinPartitions("key", "class").mapInArrow(_buckets(percent), _BUCKETS), "buckets")
     pairs = buckets.filter(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(possible_pairs(pairs, classes, percent), "pairs")
     members = buckets.filter(F.col("kind") == MEMBER).select("key", F.col("a").alias("class"), "n")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select("class")).distinct()
     wanted = wanted.join(classes.select("class", "rep"), "class").hint("shuffle_hash")
     sets = materialize(base.join(wanted, F.col("doc_id") == F.col("rep")).select("class", "text").mapInArrow(_sets(shingle), "class bigint, shingles binary"), "sets")
     edges = materialize(verified(pairs, sets, percent), "links")
     roots = components(edges)
+    tested = pairs
     if not members.isEmpty():
         from pyspark.sql import Window
 
         members = materialize(members.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("class")) - 1), "members")
-        first = 1
-        for pivots in (4, None):
-            more = materialize(_more_pairs(members, roots, first, pivots, percent), "more-pairs")
+        turn = 0
+        while turn <= ROUNDS:
+            more = _more_pairs(members, classes, roots, turn, percent)
+            more = materialize(more.join(tested, ["a", "b"], "left_anti"), "more-pairs")
+            turn = ROUNDS if turn < ROUNDS and more.isEmpty() else turn + 1  # the last turn takes every pair
             if more.isEmpty():
-                break
+                continue
+            tested = tested.unionByName(more)
             found = materialize(verified(more, sets, percent), "more-links")
             if not found.isEmpty():
-                edges = edges.unionByName(found)
+                edges = materialize(edges.unionByName(found), "links")
                 roots = components(edges)
-            first += pivots or 0
     named = classes.select("class", "rep").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = named.join(smallest, "root").select("class", "component_id")
