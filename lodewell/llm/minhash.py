@@ -7,8 +7,8 @@ of 2 * rows minhashes each need only 2 * side * rows minhashes.
 
 Tables are sorted by (key, class) and streamed. A bucket of SMALL classes at most gives all its pairs. A larger one
 gives its first class against each other one; after these are verified and joined into components, only pairs across
-components are left in it. Those are looked for block against block, BLOB classes each: a few for each class and
-component in every round, all in the last, so no pair that meets in a bucket goes unchecked unless it is already
+components are left in it. Those are looked for block against block, BLOB classes each: FEW for each two components
+in every round, all in the last, so no pair that meets in a bucket goes unchecked unless it is already
 connected.
 
 Two exact bounds spare most failing pairs: set sizes, and parity sketches of BITS bits, in which every shingle flips
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lodewell.llm.common import materialize, mix64, texts, word_hashes
 
 SIDE, ROWS, SMALL, CHUNK = 12, 3, 8, 256
-BLOB, BITS, ROUNDS, FEW = 2048, 1024, 2, 2
+BLOB, BITS, ROUNDS, FEW = 2048, 1024, 2, 4
 THRESHOLD, SHINGLE = 80, 5
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
@@ -322,9 +322,18 @@ def possible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
 def _across(percent: int, turn: int, few: int | None):
     """Pairs of two blobs of one bucket that lie in different components and that the bounds let pass.
 
-    With ``few``, at most that many for each class and component, drawn anew every turn.
+    With ``few``, at most that many for each two components, drawn anew every turn.
     """
 
+    def draw(a, b, root_a, root_b, seed):
+        rank = mix64(mix64(a.astype(np.uint64) ^ seed) ^ b.astype(np.uint64))
+        order = np.lexsort((rank, root_b, root_a))
+        ra, rb = root_a[order], root_b[order]
+        new = np.append(True, (ra[1:] != ra[:-1]) | (rb[1:] != rb[:-1]))
+        start = np.flatnonzero(new)
+        place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+        return order[place < few]
+
     def unpack(rows):
         ids = np.array([r["class"] for r in rows], np.int64)
         n, root = np.array([r["n"] for r in rows], np.int64), np.array([r["root"] for r in rows], np.int64)
@@ -335,7 +344,7 @@ def _across(percent: int, turn: int, few: int | None):
         for batch in batches:
             for rows_x, rows_y, same in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 (ids, n, root, bits), (ids_y, n_y, root_y, bits_y) = unpack(rows_x), unpack(rows_y)
-                found_a, found_b = [], []
+                held, size = [], 0
                 for i in range(len(ids)):
                     open_ = (root_y != root[i]) & near(n_y, n[i], percent)
                     if same:
@@ -343,14 +352,19 @@ def _across(percent: int, turn: int, few: int | None):
                     at = np.flatnonzero(open_)
                     if len(at):
                         at = at[np.bitwise_count(bits_y[at] ^ bits[i]).sum(axis=1) <= room(n_y[at], n[i], percent)]
-                    if few and len(at) > few:
-                        at = at[np.argsort(mix64(ids_y[at].astype(np.uint64) ^ seed))]
-                        at = at[np.lexsort((np.arange(len(at)), root_y[at]))]
-                        group = np.append(0, np.cumsum(root_y[at][1:] != root_y[at][:-1]))
-                        at = at[np.arange(len(at)) - np.searchsorted(group, group) < few]
-                    found_a.append(np.full(len(at), ids[i]))
-                    found_b.append(ids_y[at])
-                a, b = np.concatenate(found_a), np.concatenate(found_b)
+                    if not len(at):
+                        continue
+                    held.append((np.full(len(at), ids[i]), ids_y[at], np.full(len(at), root[i]), root_y[at]))
+                    size += len(at)
+                    if few and size > 100_000:
+                        whole = [np.concatenate(c) for c in zip(*held)]
+                        drawn = draw(*whole, seed)
+                        held, size = [tuple(x[drawn] for x in whole)], len(drawn)
+                if not held:
+                    continue
+                whole = [np.concatenate(c) for c in zip(*held)]
+                drawn = draw(*whole, seed) if few else slice(None)
+                a, b = whole[0][drawn], whole[1][drawn]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
