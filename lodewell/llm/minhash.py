@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewell.llm.common import materialize, mix64, texts, word_hashes
@@ -395,7 +395,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRE
     buckets = materialize(tables.repartition(n_parts, "key").sortWithinPartitions("key", "class").mapInArrow(_buckets(percent), _BUCKETS), "buckets")
     pairs = buckets.filter(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(possible_pairs(pairs, classes, percent), "pairs")
-    members = buckets.filter(F.col("kind") == MEMBER).select("key", F.col("a").alias("class"), "n")
+    # what meets in a large bucket of table (i, j) shares half i of the first collection: side keys a class are enough
+    large = buckets.filter(F.col("kind") == MEMBER).select(F.col("a").alias("class")).distinct().join(classes.select("class", "n", "halves"), "class")
+    half = F.posexplode(F.array(*[F.substring("halves", 8 * i + 1, 8) for i in range(side)]))
+    members = large.select("class", "n", half.alias("i", "half")).select(F.xxhash64("i", "half").alias("key"), "class", "n")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select("class")).distinct()
     wanted = wanted.join(classes.select("class", "rep"), "class").hint("shuffle_hash")
     sets = materialize(base.join(wanted, F.col("doc_id") == F.col("rep")).select("class", "text").mapInArrow(_sets(shingle), "class bigint, shingles binary"), "sets")
@@ -403,8 +406,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRE
     roots = components(edges)
     tested = pairs
     if not members.isEmpty():
-        from pyspark.sql import Window
-
         members = materialize(members.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("class")) - 1), "members")
         turn = 0
         while turn <= ROUNDS:
