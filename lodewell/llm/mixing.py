@@ -107,11 +107,9 @@ def mix_plan(docs: DataFrame, schedules=default_schedules, share: Fraction = Fra
         "mix-sizes",
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    if not totals:
-        return sized.selectExpr("doc_id", "size", "source", "size AS source_size", "0D AS target", "size AS taken", "0D AS position").limit(0)
     ordered = sorted((r["source"] for r in totals), key=lambda s: (s is None, (s or "").encode("utf-32-be")))
     plan = spark.createDataFrame(_plan_rows({r["source"]: r["size"] for r in totals}, schedules(ordered), share, max_epochs), _PLAN)
-    digits = max(1, math.ceil(math.log(max(r["n"] for r in totals), 16) / 2))
+    digits = max(1, math.ceil(math.log(max((r["n"] for r in totals), default=1), 16) / 2))
     bucketed = sized.withColumn("bucket", F.substring("draw", 1, digits))
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("words")).select(
