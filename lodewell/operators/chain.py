@@ -60,20 +60,26 @@ def fees(enriched: DataFrame, by: str, total_output: str, vsize: str) -> DataFra
 
 
 def common_ancestor(headers: DataFrame, tips: DataFrame, max_depth: int = 100) -> DataFrame:
-    """For each (reorg, old_tip, new_tip) the highest common ancestor and the count of disconnected blocks.
+    """For each (reorg, old_tip, new_tip) the highest common ancestor and how many blocks either side is above it.
 
-    Both branches are walked back together by joins, a level each, so depth bounds the work and not the chain.
+    The higher end steps to its parent, both if they are level, until they meet; pairs that do not meet within
+    max_depth steps are left out. A step is two equi-joins of the reorgs with the headers, so the chain's length does
+    not matter. Each step is cached and the one before it freed.
     """
-    parent = headers.select(F.col("hash").alias("h"), F.col("prev").alias("p"))
-    height = headers.select(F.col("hash").alias("h"), "height")
-    walks = {}
-    for side in ("old", "new"):
-        level = tips.select("reorg", F.col(f"{side}_tip").alias("h"), F.lit(0).alias("steps"))
-        out = level
-        for n in range(1, max_depth + 1):
-            level = level.join(parent, "h").filter(F.col("p").isNotNull()).select("reorg", F.col("p").alias("h"), F.lit(n).alias("steps"))
-            out = out.unionByName(level)
-        walks[side] = out
-    both = walks["old"].join(walks["new"].select("reorg", "h", F.col("steps").alias("connected")), ["reorg", "h"]).join(height, "h")
-    best = both.groupBy("reorg").agg(F.max(F.struct("height", "h", "steps", "connected")).alias("m"))
-    return best.select("reorg", F.col("m.h").alias("ancestor"), F.col("m.height").alias("ancestor_height"), F.col("m.steps").alias("disconnected"), F.col("m.connected").alias("connected"))
+    ends = {x: headers.select(F.col("hash").alias(x), F.col("prev").alias(f"{x}_up")) for x in ("a", "b")}
+    at = lambda tip, x: headers.select(F.col("hash").alias(tip), F.col("height").alias(f"{x}_height"))
+    walk = tips.join(at("old_tip", "a"), "old_tip").join(at("new_tip", "b"), "new_tip")
+    walk = walk.select("reorg", F.col("old_tip").alias("a"), F.col("new_tip").alias("b"), "a_height", "b_height", F.lit(0).alias("disconnected"), F.lit(0).alias("connected")).persist()
+    apart = walk.filter("a <> b").count()
+    for _ in range(max_depth):
+        if not apart:
+            break
+        down = {"a": (F.col("a") != F.col("b")) & (F.col("a_height") >= F.col("b_height")), "b": (F.col("a") != F.col("b")) & (F.col("b_height") >= F.col("a_height"))}
+        moved = walk.join(ends["a"], "a", "left").join(ends["b"], "b", "left").select(
+            "reorg", *[F.when(down[x], F.col(f"{x}_up")).otherwise(F.col(x)).alias(x) for x in "ab"], *[(F.col(f"{x}_height") - down[x].cast("int")).alias(f"{x}_height") for x in "ab"],
+            (F.col("disconnected") + down["a"].cast("int")).alias("disconnected"), (F.col("connected") + down["b"].cast("int")).alias("connected"),
+        ).filter("a IS NOT NULL AND b IS NOT NULL").persist()
+        apart = moved.filter("a <> b").count()  # reads, and so caches, every partition
+        walk.unpersist()
+        walk = moved
+    return walk.filter("a = b").select("reorg", F.col("a").alias("ancestor"), F.col("a_height").cast("bigint").alias("ancestor_height"), "disconnected", "connected")

@@ -33,3 +33,20 @@ def violations(dossiers: DataFrame, edges: DataFrame, nodes: DataFrame, timeline
     before = F.lag("at").over(Window.partitionBy("incident").orderBy("pos"))
     late = timeline.withColumn("before", before).filter("at < before").select("incident", F.lit("timeline_order").alias("rule"), F.col("pos").cast("string").alias("detail"))
     return over.unionByName(dangling).unionByName(doubled).unionByName(late)
+
+
+def claim_errors(claims: DataFrame) -> DataFrame:
+    """Claims with the rule that each breaks, or null: ownership, on-chain backing, sender identity, in that order."""
+    c = F.col("classification")
+    broken = (
+        F.when((F.col("kind") == "ownership") & ~c.isin("ON_CHAIN_VERIFIED", "OFFICIALLY_ATTRIBUTED"), "ownership_not_definitive")
+        .when((F.col("kind") == "fact") & (c != "ON_CHAIN_VERIFIED"), "fact_without_chain_backing")
+        .when((F.col("kind") == "sender") & F.col("self_attributed") & (c == "ON_CHAIN_VERIFIED"), "self_attributed_identity")
+    )
+    return claims.withColumn("violation", broken)
+
+
+def first_nodes(nodes: DataFrame, key: str, order: str) -> DataFrame:
+    """Graph nodes once each: the first of each id."""
+    rest = [x for x in nodes.columns if x not in (key, order)]
+    return nodes.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("m")).select(key, *[F.col(f"m.{x}").alias(x) for x in rest])

@@ -73,3 +73,27 @@ def in_mode(events: DataFrame, observations: DataFrame, mode: str) -> DataFrame:
 def newest(df: DataFrame, by: str, order: list, n: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
     return df.withColumn("place", place).filter(F.col("place") <= n)
+
+
+def backfill(events: DataFrame, observations: DataFrame) -> DataFrame:
+    """One observation for each event that has none, from the event's own columns."""
+    bare = events.join(observations.select(F.col("event_id").alias("id")), "id", "left_anti")
+    return bare.select(F.col("id").alias("event_id"), F.coalesce("observation_mode", F.lit("live")).alias("mode"), F.col("event_time").alias("observed_at"), "block_height")
+
+
+def with_observations(events: DataFrame, observations: DataFrame, fields: list[str]) -> DataFrame:
+    """Events with the array of their observations in the order of the fields."""
+    lists = observations.groupBy(F.col("event_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("observations"))
+    return events.join(lists, "id", "left")
+
+
+def witnesses_of(events: DataFrame) -> DataFrame:
+    """Live observations: one for each witness, or one of the event itself where it has none."""
+    has = F.size(F.coalesce("witnesses", F.array().cast("array<string>"))) > 0
+    own = F.array(F.struct(F.when(F.col("block_hash").isNotNull(), "Confirmed").otherwise("MempoolSeen").alias("kind"), F.lit(None).cast("string").alias("witness")))
+    each = F.transform("witnesses", lambda w: F.struct(F.lit("Witnessed").alias("kind"), w.alias("witness")))
+    return events.select("id", F.inline(F.when(has, each).otherwise(own)))
+
+
+def page(df: DataFrame, order: list, limit: int = 50, offset: int = 0, most: int = 100) -> DataFrame:
+    return df.orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 1), most))

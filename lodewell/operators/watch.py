@@ -90,3 +90,20 @@ def lineage(seeds: DataFrame, spends: DataFrame, max_depth: int = 3) -> DataFram
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("place = 1").drop("place")
+
+
+def _short(text: Column, most: int, ends: int) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, ends), F.lit("..."), F.right(text, F.lit(ends)))).otherwise(text)
+
+
+def public_targets(targets: DataFrame) -> DataFrame:
+    """Targets as outsiders may see them: identifiers shortened, sources and evidence left out."""
+    kind = F.col("target_type")
+    tx = _short(F.col("txid"), 12, 6)
+    summary = (
+        F.when(kind == "OUTPOINT", F.concat(F.lit("OutPoint: "), tx, F.lit(":"), F.col("vout").cast("string")))
+        .when(kind == "ADDRESS", F.concat(F.lit("Address: "), _short(F.col("address"), 14, 6)))
+        .when(kind == "TRANSACTION", F.concat(F.lit("Tx: "), tx))
+        .otherwise(F.concat(F.lit("Script: "), _short(F.col("script_hex"), 16, 8)) if "script_hex" in targets.columns else F.lit(None))
+    )
+    return targets.select("id", "target_type", summary.alias("target_summary"), "classification", "active")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodewell.functions import money
 from lodewell.functions.identity import discriminator, observation_key, uuid5
-from lodewell.operators import baseline, chain, detectors, incidents, provenance, watch
+from lodewell.operators import baseline, chain, detectors, incidents, metrics, provenance, replay, watch
 from lodewell.plans import surrogate as views
 from lodewell.plans.surrogate import table, with_views
 
@@ -232,17 +232,17 @@ def filter_events(spark: SparkSession, d: str) -> DataFrame:
     return provenance.filter_events(views.canon(spark, d), heights=(5, 20), event_type="purchase", limit=200, offset=10).select("id", "event_type", "block_height", "value")
 
 
-@query(with_views("canon", then="SELECT id, observation_mode FROM canon WHERE observation_mode = 'historical_replay' OR event_id % 5 = 0"))
+@query(with_views("canon", then="SELECT id, observation_mode FROM canon WHERE observation_mode = 'historical_replay' OR event_type = 'error'"))
 def filter_events_by_mode(spark: SparkSession, d: str) -> DataFrame:
     c = views.canon(spark, d)
-    obs = c.filter("event_id % 5 = 0").select(F.col("id").alias("event_id"), F.lit("historical_replay").alias("mode"))
+    obs = c.filter("event_type = 'error'").select(F.col("id").alias("event_id"), F.lit("historical_replay").alias("mode"))
     return provenance.in_mode(c, obs, "historical_replay").select("id", "observation_mode")
 
 
-@query(with_views("canon", then="SELECT id, event_type, value FROM canon WHERE event_id % 4 <> 0"))
+@query(with_views("canon", then="SELECT id, event_type, value FROM canon WHERE event_type <> 'error'"))
 def new_events_only(spark: SparkSession, d: str) -> DataFrame:
     c = views.canon(spark, d)
-    return provenance.new_rows(c, c.filter("event_id % 4 = 0"), "id").select("id", "event_type", "value")
+    return provenance.new_rows(c, c.filter("event_type = 'error'"), "id").select("id", "event_type", "value")
 
 
 @query(with_views("canon", then="SELECT id, value FROM canon ORDER BY event_id DESC LIMIT 1000"))
@@ -259,12 +259,12 @@ def topn_pagination(spark: SparkSession, d: str) -> DataFrame:
 
 LONG_SQL = """, long AS (
   SELECT id, event_type, network, 'value_sats' AS metric, value, block_height FROM canon
-  UNION ALL SELECT id, event_type, network, 'height_gap', block_height % 97, block_height FROM canon WHERE event_id % 10 <> 0)"""
+  UNION ALL SELECT id, event_type, network, 'height_gap', block_height % 97, block_height FROM canon WHERE event_type <> 'error' OR network = 'main')"""
 
 
 def _long(spark, d):
     c = views.canon(spark, d)
-    gap = F.when(F.col("event_id") % 10 != 0, F.col("block_height") % 97)
+    gap = F.when((F.col("event_type") != "error") | (F.col("network") == "main"), F.col("block_height") % 97)
     pairs = F.array(F.struct(F.lit("value_sats").alias("metric"), F.col("value")), F.struct(F.lit("height_gap").alias("metric"), gap.cast("bigint").alias("value")))
     # one scan gives both metrics
     return c.select("id", "event_type", "network", "block_height", F.inline(F.filter(pairs, lambda x: x["value"].isNotNull())))
@@ -401,10 +401,10 @@ def watch_address_received(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_views("spends", then="""SELECT txid, 'script-' || (address::BIGINT % 100) AS target_id, 'WATCHED_SCRIPT_RECEIVED' AS activity_type, 'DIRECT' AS correlation, out_sats AS value_sats
-FROM spends WHERE address::BIGINT % 100 < 3"""))
+FROM spends"""))
 def watch_script(spark: SparkSession, d: str) -> DataFrame:
     outputs = _outputs(spark, d).withColumn("script_hex", F.upper(F.lpad(F.hex(F.col("address").cast("bigint") % 100), 4, "0")))
-    scripts = spark.range(3).select(F.concat(F.lit("script-"), F.col("id").cast("string")).alias("id"), F.lit("SCRIPT").alias("target_type"), F.lower(F.lpad(F.hex("id"), 4, "0")).alias("script_hex"), F.lit(True).alias("active"))
+    scripts = spark.range(100).select(F.concat(F.lit("script-"), F.col("id").cast("string")).alias("id"), F.lit("SCRIPT").alias("target_type"), F.lower(F.lpad(F.hex("id"), 4, "0")).alias("script_hex"), F.lit(True).alias("active"))
     return watch.by_script(outputs, scripts)
 
 
@@ -426,14 +426,14 @@ def watch_all_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_views("spends", then="""
-, seeds AS (SELECT txid, txid AS root FROM spends WHERE txid::BIGINT % 500 = 0),
+, seeds AS (SELECT txid, txid AS root FROM spends WHERE watched),
 one AS (SELECT s.txid, root, 1 AS depth FROM seeds e JOIN spends s ON s.prev_txid = e.txid),
 two AS (SELECT s.txid, root, 2 AS depth FROM one e JOIN spends s ON s.prev_txid = e.txid),
 three AS (SELECT s.txid, root, 3 AS depth FROM two e JOIN spends s ON s.prev_txid = e.txid)
 SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three""").replace("\n\n, seeds", ",\nseeds"))
 def lineage_depth3(spark: SparkSession, d: str) -> DataFrame:
     s = views.spends(spark, d)
-    return watch.lineage(s.filter("cast(txid AS bigint) % 500 = 0").select("txid", F.col("txid").alias("root")), s.filter("prev_txid IS NOT NULL").select("prev_txid", "txid"))
+    return watch.lineage(s.filter("watched").select("txid", F.col("txid").alias("root")), s.filter("prev_txid IS NOT NULL").select("prev_txid", "txid"))
 
 
 # -- incidents and chain --------------------------------------------------------------------------------------------
@@ -502,9 +502,11 @@ def block_intervals_replay(spark: SparkSession, d: str) -> DataFrame:
     return out.filter("height > 0").select("chain", "height", "interval_seconds")
 
 
-@query("SELECT h AS height FROM generate_series(0, 5000) AS g(h) WHERE h NOT IN (SELECT event_id FROM events WHERE event_id % 7 <> 0)")
+@query("SELECT h AS height FROM (SELECT unnest(range(0, (SELECT max(event_id) + 1 FROM events))) AS h) WHERE h NOT IN (SELECT event_id FROM events WHERE event_type <> 'error')")
 def missing_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return chain.missing_heights(table(spark, d, "events").filter("event_id % 7 <> 0").select(F.col("event_id").alias("height")), 0, 5000)
+    e = table(spark, d, "events")
+    last = e.agg(F.max("event_id")).first()[0]
+    return chain.missing_heights(e.filter("event_type <> 'error'").select(F.col("event_id").alias("height")), 0, last)
 
 
 def _seqs(spark, d):
@@ -523,13 +525,19 @@ def sequence_gaps(spark: SparkSession, d: str) -> DataFrame:
     return chain.sequence_states(_seqs(spark, d), "user_id", "event_id", "seq").withColumn("missed", F.coalesce("missed", F.lit(0)))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, event_type, (CASE WHEN event_id >= 1 THEN floor(log2(event_id)) END)::BIGINT AS height FROM events WHERE event_id >= 1),
+w AS (
+  SELECT o.event_id AS reorg, o.event_id AS a, n.event_id AS b, o.height AS ah, n.height AS bh, 0 AS disconnected, 0 AS connected FROM e o JOIN e n ON n.event_id = o.event_id - 37 WHERE o.event_type = 'error'
+  UNION ALL SELECT reorg, CASE WHEN ah >= bh THEN a // 2 ELSE a END, CASE WHEN bh >= ah THEN b // 2 ELSE b END, CASE WHEN ah >= bh THEN ah - 1 ELSE ah END, CASE WHEN bh >= ah THEN bh - 1 ELSE bh END,
+    disconnected + (ah >= bh)::INT, connected + (bh >= ah)::INT FROM w WHERE a <> b)
+SELECT reorg, a::VARCHAR AS ancestor, ah AS ancestor_height, disconnected, connected FROM w WHERE a = b""")
 def reorg_common_ancestor(spark: SparkSession, d: str) -> DataFrame:
     """A header tree in which every block's parent is its number halved."""
-    e = table(spark, d, "events").filter("event_id BETWEEN 1 AND 4095").select("event_id")
+    e = table(spark, d, "events").filter("event_id >= 1").select("event_id", "event_type")
     headers = e.select(F.col("event_id").cast("string").alias("hash"), F.when(F.col("event_id") > 1, F.floor(F.col("event_id") / 2).cast("string")).alias("prev"), F.floor(F.log2("event_id")).cast("bigint").alias("height"))
-    tips = e.filter("event_id % 50 = 0 AND event_id > 100").select(F.col("event_id").alias("reorg"), F.col("event_id").cast("string").alias("old_tip"), (F.col("event_id") - 37).cast("string").alias("new_tip"))
-    return chain.common_ancestor(headers, tips, 12)
+    tips = e.filter("event_type = 'error' AND event_id > 37").select(F.col("event_id").alias("reorg"), F.col("event_id").cast("string").alias("old_tip"), (F.col("event_id") - 37).cast("string").alias("new_tip"))
+    return chain.common_ancestor(headers, tips, 40)
 
 
 @query("""SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) * 1000000 AS sats, CASE WHEN p_partkey % 10 = 0 THEN 'negative' END AS error FROM (SELECT *, p_retailprice FROM part) WHERE p_partkey % 10 <> 0
@@ -538,3 +546,103 @@ def sats_parse(spark: SparkSession, d: str) -> DataFrame:
     text = F.format_string("%s%d.%02d", F.when(F.col("p_partkey") % 10 == 0, "-").otherwise(""), F.floor(money.cents("p_retailprice") / 100).cast("bigint"), (money.cents("p_retailprice") % 100).cast("bigint"))
     p = table(spark, d, "part").select("p_partkey", text.alias("t"))
     return p.select("p_partkey", F.coalesce(money.btc_to_sats(F.col("t")), F.lit(-1)).alias("sats"), money.parse_error(F.col("t")).alias("error"))
+
+
+# -- provenance, registry and control -------------------------------------------------------------------------------
+
+
+@query(with_views("canon", then="SELECT id AS event_id, observation_mode AS mode, block_height FROM canon WHERE event_type <> 'error'"))
+def observations_backfill(spark: SparkSession, d: str) -> DataFrame:
+    c = views.canon(spark, d)
+    return provenance.backfill(c, c.filter("event_type = 'error'").select(F.col("id").alias("event_id"))).drop("observed_at")
+
+
+@query(with_views("canon", then="""SELECT a.id, coalesce(array_to_string(list(b.id ORDER BY b.event_id) FILTER (WHERE b.id IS NOT NULL), ','), '') AS observations
+FROM canon a LEFT JOIN canon b ON b.event_id // 10 = a.event_id GROUP BY a.id"""))
+def event_with_observations(spark: SparkSession, d: str) -> DataFrame:
+    c = views.canon(spark, d)
+    obs = c.select(F.floor(F.col("event_id") / 10).cast("string").alias("event_id"), F.col("event_id").alias("n"))
+    out = provenance.with_observations(c.select("id"), obs, ["n"])
+    return out.select("id", F.coalesce(F.array_join(F.transform("observations", lambda x: x["n"].cast("string")), ","), F.lit("")).alias("observations"))
+
+
+@query(with_views("canon", then="""SELECT id, 'Witnessed' AS kind, unnest(['core', 'node-' || (user_id % 3)]) AS witness FROM canon WHERE event_type = 'error'
+UNION ALL SELECT id, CASE WHEN event_id % 2 = 0 THEN 'Confirmed' ELSE 'MempoolSeen' END, '' FROM canon WHERE event_type <> 'error'"""))
+def live_witnesses(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(F.lit("core"), F.concat(F.lit("node-"), (F.col("user_id") % 3).cast("string")))
+    c = views.canon(spark, d).withColumns({"witnesses": F.when(F.col("event_type") == "error", names), "block_hash": F.when(F.col("event_id") % 2 == 0, F.col("id"))})
+    return provenance.witnesses_of(c).withColumn("witness", F.coalesce("witness", F.lit("")))
+
+
+@query(with_views("canon", then="SELECT event_type, observation_mode AS mode, count(*) AS n, count(DISTINCT user_id) AS users, max(block_height) AS last_height FROM canon GROUP BY 1, 2"))
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return views.canon(spark, d).groupBy("event_type", F.col("observation_mode").alias("mode")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.max("block_height").alias("last_height"))
+
+
+@query(with_views("targets", then="""SELECT id, target_type, CASE target_type WHEN 'OUTPOINT' THEN 'OutPoint: ' || txid || ':0' WHEN 'ADDRESS' THEN 'Address: ' || address ELSE 'Tx: ' || txid END AS target_summary, classification, TRUE AS active FROM targets"""))
+def watch_public_targets(spark: SparkSession, d: str) -> DataFrame:
+    return watch.public_targets(views.targets(spark, d))
+
+
+CLASSES = ("ON_CHAIN_VERIFIED", "OFFICIALLY_ATTRIBUTED", "HIGH_CONFIDENCE", "REPORTED", "HEURISTIC", "UNVERIFIED")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS claim, ['ownership', 'fact', 'sender'][o_orderkey % 3 + 1] AS kind, o_orderkey % 2 = 0 AS self,
+  ['ON_CHAIN_VERIFIED', 'OFFICIALLY_ATTRIBUTED', 'HIGH_CONFIDENCE', 'REPORTED', 'HEURISTIC', 'UNVERIFIED'][o_custkey % 6 + 1] AS class FROM orders)
+SELECT claim, CASE WHEN kind = 'ownership' AND class NOT IN ('ON_CHAIN_VERIFIED', 'OFFICIALLY_ATTRIBUTED') THEN 'ownership_not_definitive' WHEN kind = 'fact' AND class <> 'ON_CHAIN_VERIFIED' THEN 'fact_without_chain_backing'
+  WHEN kind = 'sender' AND self AND class = 'ON_CHAIN_VERIFIED' THEN 'self_attributed_identity' ELSE '' END AS violation FROM c""")
+def incident_claims(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    claims = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("claim"), pick(("ownership", "fact", "sender"), F.col("o_orderkey") % 3).alias("kind"), (F.col("o_orderkey") % 2 == 0).alias("self_attributed"), pick(CLASSES, F.col("o_custkey") % 6).alias("classification")
+    )
+    return incidents.claim_errors(claims).select("claim", F.coalesce("violation", F.lit("")).alias("violation"))
+
+
+@query("SELECT o_custkey AS node, arg_min(o_orderpriority, o_orderkey) AS label FROM orders GROUP BY o_custkey")
+def graph_first_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "orders").select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("label"))
+    return incidents.first_nodes(nodes, "node", "pos")
+
+
+@query(with_views("tx", then="""SELECT txid AS id, 'LARGE_TRANSFER' AS event_type, 'mainnet' AS network, height AS block_height, m AS metric, m || '-v1' AS metric_definition_version, v::VARCHAR AS value_text FROM (
+  SELECT txid, height, unnest(['value_sats', 'input_count', 'output_count', 'vsize']) AS m, unnest([total_output_sats, input_count, output_count, vsize]) AS v FROM tx WHERE total_output_sats >= 40000000)
+UNION ALL SELECT txid, 'EXTREME_FEE', 'mainnet', height, 'fee_sats', 'fee_sats-v1', fee_sats::VARCHAR FROM tx WHERE fee_sats >= 2000000"""))
+def metric_extraction(spark: SparkSession, d: str) -> DataFrame:
+    t = views.tx(spark, d)
+    large = t.filter("total_output_sats >= 40000000").select(F.col("txid").alias("id"), F.lit("LARGE_TRANSFER").alias("event_type"), "height", F.to_json(F.struct("total_output_sats", F.col("input_count").alias("inputs_count"), "output_count", "vsize")).alias("metadata"))
+    fee = t.filter("fee_sats >= 2000000").select(F.col("txid").alias("id"), F.lit("EXTREME_FEE").alias("event_type"), "height", F.to_json(F.struct("fee_sats")).alias("metadata"))
+    events = large.unionByName(fee).withColumn("network", F.lit(None).cast("string")).withColumnRenamed("height", "block_height")
+    return metrics.extract(events).withColumn("value_text", metrics.numeric_text(F.col("value"), F.col("scale"))).drop("value", "scale")
+
+
+@query("""SELECT o_orderkey AS run, o_custkey AS end_height FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 2 = 0 AND o_custkey - 10 <= 500 ORDER BY o_custkey DESC, o_orderdate DESC, o_orderkey LIMIT 1""")
+def latest_compatible_run(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    runs = o.select(
+        F.col("o_orderkey").alias("run"), F.when(F.col("o_custkey") % 2 == 0, "main").otherwise("test").alias("network"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("RUNNING").alias("status"),
+        (F.col("o_custkey") - 10).alias("start_height"), F.col("o_custkey").alias("end_height"), F.col("o_orderdate").alias("completed_at"), F.lit("v2").alias("algorithm_version"),
+    )
+    return metrics.latest_run(runs, "main", 500, "v2").select("run", "end_height")
+
+
+@query(with_views("canon", then="SELECT id, CASE WHEN block_height <= 15 THEN 'RETROSPECTIVE' ELSE 'POINT_IN_TIME' END AS evaluation_mode FROM canon"))
+def evaluation_modes(spark: SparkSession, d: str) -> DataFrame:
+    return views.canon(spark, d).select("id", metrics.evaluation_mode(F.col("block_height"), F.lit(15)).alias("evaluation_mode"))
+
+
+@query(with_views("canon", then="SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM canon GROUP BY user_id"))
+def upsert_last(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.last_by(views.canon(spark, d).select("user_id", "event_id", "value"), ["user_id"], "event_id").select("user_id", "event_id", "value")
+
+
+@query(with_views("tx", then="SELECT txid, height FROM tx WHERE height > 124 AND height <= 400"))
+def replay_resume(spark: SparkSession, d: str) -> DataFrame:
+    span = replay.ReplayRange(100, 400)
+    done = spark.range(1, 2).select((F.col("id") * 24 + 100).alias("completed_height"))
+    return replay.remaining(views.tx(spark, d).select("txid", "height"), span, done)
+
+
+@query(with_views("tx", then="SELECT txid, CASE WHEN height < 100 THEN 0.0 ELSE least(100.0, 100.0::DOUBLE * (height - 100 + 1) / 301) END AS percent FROM tx"))
+def replay_progress(spark: SparkSession, d: str) -> DataFrame:
+    return views.tx(spark, d).select("txid", money.progress_percent(F.lit(100), F.lit(400), F.col("height")).alias("percent"))

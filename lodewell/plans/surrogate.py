@@ -115,11 +115,11 @@ SQL["canon"] = """canon AS (
 def targets(spark: SparkSession, d: str) -> DataFrame:
     classes = F.array(*map(F.lit, ("ON_CHAIN_VERIFIED", "OFFICIALLY_ATTRIBUTED", "HIGH_CONFIDENCE", "REPORTED", "HEURISTIC", "UNVERIFIED")))
     null = F.lit(None).cast("string")
-    c = table(spark, d, "customer").filter("c_custkey % 50 = 0").select(
+    c = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(
         F.concat(F.lit("addr-"), F.col("c_custkey").cast("string")).alias("id"), F.lit("ADDRESS").alias("target_type"), null.alias("txid"), F.col("c_custkey").cast("string").alias("address"),
         F.element_at(classes, F.col("c_nationkey") % 6 + 1).alias("classification"),
     )
-    o = table(spark, d, "orders").filter("o_orderkey % 500 = 0").select(
+    o = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(
         F.concat(F.lit("tx-"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("TRANSACTION").alias("target_type"), F.col("o_orderkey").cast("string").alias("txid"), null.alias("address"), F.lit("ON_CHAIN_VERIFIED").alias("classification"),
     )
     both = c.unionByName(o)
@@ -129,9 +129,9 @@ def targets(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["targets"] = """targets AS (
   SELECT 'addr-' || c_custkey AS id, 'ADDRESS' AS target_type, NULL AS txid, c_custkey::VARCHAR AS address,
-    ['ON_CHAIN_VERIFIED', 'OFFICIALLY_ATTRIBUTED', 'HIGH_CONFIDENCE', 'REPORTED', 'HEURISTIC', 'UNVERIFIED'][c_nationkey % 6 + 1] AS classification FROM customer WHERE c_custkey % 50 = 0
-  UNION ALL SELECT 'tx-' || o_orderkey, 'TRANSACTION', o_orderkey::VARCHAR, NULL, 'ON_CHAIN_VERIFIED' FROM orders WHERE o_orderkey % 500 = 0
-  UNION ALL SELECT 'out-' || o_orderkey, 'OUTPOINT', o_orderkey::VARCHAR, NULL, 'ON_CHAIN_VERIFIED' FROM orders WHERE o_orderkey % 500 = 0)"""
+    ['ON_CHAIN_VERIFIED', 'OFFICIALLY_ATTRIBUTED', 'HIGH_CONFIDENCE', 'REPORTED', 'HEURISTIC', 'UNVERIFIED'][c_nationkey % 6 + 1] AS classification FROM customer WHERE c_mktsegment = 'BUILDING'
+  UNION ALL SELECT 'tx-' || o_orderkey, 'TRANSACTION', o_orderkey::VARCHAR, NULL, 'ON_CHAIN_VERIFIED' FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'
+  UNION ALL SELECT 'out-' || o_orderkey, 'OUTPOINT', o_orderkey::VARCHAR, NULL, 'ON_CHAIN_VERIFIED' FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')"""
 
 
 def spends(spark: SparkSession, d: str) -> DataFrame:
@@ -141,13 +141,14 @@ def spends(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(
         F.col("o_orderkey").cast("string").alias("txid"), F.lag(F.col("o_orderkey").cast("string")).over(w).alias("prev_txid"), F.lit(0).cast("bigint").alias("prev_vout"),
         F.lag(value).over(w).alias("value_sats"), value.alias("out_sats"), F.col("o_custkey").cast("string").alias("address"),
+        ((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P")).alias("watched"),
     )
     return rows
 
 
 SQL["spends"] = """spends AS (
   SELECT o_orderkey::VARCHAR AS txid, lag(o_orderkey::VARCHAR) OVER w AS prev_txid, lag(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS value_sats,
-    CAST(round(o_totalprice * 100) AS BIGINT) AS out_sats, o_custkey::VARCHAR AS address FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
+    CAST(round(o_totalprice * 100) AS BIGINT) AS out_sats, o_custkey::VARCHAR AS address, o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' AS watched FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
 
 
 def with_views(*names: str, then: str) -> str:
