@@ -36,7 +36,7 @@ def extract(events: DataFrame) -> DataFrame:
     found = []
     for kind, metric, _, scale, *_, keys, _ in REGISTRY:
         raw = F.coalesce(*[F.get_json_object("metadata", f"$.{k}") for k in keys])
-        number = F.round(raw.cast("double") * 100).cast("decimal(38,0)") if scale else raw.cast("decimal(38,0)")
+        number = F.round(raw.try_cast("double") * 100).cast("decimal(38,0)") if scale else raw.try_cast("decimal(38,0)")
         found.append(F.struct(F.lit(kind).alias("kind"), F.lit(metric).alias("metric"), number.alias("value"), F.lit(scale).alias("scale")))
     own = F.filter(F.array(*found), lambda m: (m["kind"] == F.col("event_type")) & m["value"].isNotNull())
     rows = events.select("id", "event_type", F.coalesce("network", F.lit("mainnet")).alias("network"), F.coalesce("block_height", F.lit(0)).alias("block_height"), F.explode(own).alias("m"))
