@@ -32,18 +32,21 @@ def distributions(metrics: DataFrame, candidates: DataFrame, by: list[str]) -> D
     return out.select(*by, n, cand.alias("candidate_count"), F.greatest(cand - n, F.lit(0)).alias("missing_count"), coverage.alias("coverage_ratio"), "minimum", *QUANTILES, "maximum", (F.col("total") / n).alias("mean"), quality(n, coverage).alias("quality"))
 
 
+def value_ranks(metrics: DataFrame, by: list[str]) -> DataFrame:
+    """le, ge and population of each distinct value of a group: how many values are at most it, at least it, and all."""
+    counted = metrics.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = counted.withColumn("le", upto).withColumn("population", F.sum("c").over(Window.partitionBy(*by)))
+    return ranks.select(*by, "value", "le", (F.col("population") - F.col("le") + F.col("c")).alias("ge"), "population")
+
+
 def exact_ranks(metrics: DataFrame, by: list[str], lower_is_rarer: bool = False) -> DataFrame:
     """Every row's percentile and tail in its group, ties inclusive on both sides.
 
     Counts run over distinct values; rows get them back by a join on the value.
     """
-    counted = metrics.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*by).orderBy("value")
-    upto = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counted.withColumn("le", upto).withColumn("population", F.sum("c").over(Window.partitionBy(*by)))
-    ranks = ranks.withColumn("ge", F.col("population") - F.col("le") + F.col("c"))
     at, tail = (F.col("ge"), F.col("le")) if lower_is_rarer else (F.col("le"), F.col("ge"))
-    scored = ranks.select(*by, "value", (100.0 * at / F.col("population")).alias("percentile"), tail.alias("tail"), "population")
+    scored = value_ranks(metrics, by).select(*by, "value", (100.0 * at / F.col("population")).alias("percentile"), tail.alias("tail"), "population")
     return metrics.join(scored, [*by, "value"])
 
 
@@ -77,3 +80,24 @@ def impact(ranked: DataFrame, weights: DataFrame, event: str, by: list[str], lea
     coverage = F.col("matched") / F.col("components")
     fine = (coverage >= least_coverage) & (F.col("least") >= least_population)
     return out.select(event, by[0], coverage.alias("component_coverage"), F.when(fine, F.round("raw", 2)).alias("score"))
+
+
+def event_rarity(metrics: DataFrame, dists: DataFrame, by: list[str], lower: Column, run_end: int, least: int = 100) -> DataFrame:
+    """Percentile, tail, band and evaluation mode of every event's metrics.
+
+    The rank is exact where the population has ``least`` values, else read off the stored distribution where that has,
+    else there is none. ``lower`` says for which rows small values are the rare ones.
+    """
+    ranked = metrics.join(value_ranks(metrics, by), [*by, "value"])
+    at, own_tail = F.when(lower, F.col("ge")).otherwise(F.col("le")), F.when(lower, F.col("le")).otherwise(F.col("ge"))
+    points = [(0.0, "minimum"), (50.0, "p50"), (75.0, "p75"), (90.0, "p90"), (95.0, "p95"), (99.0, "p99"), (99.9, "p999"), (100.0, "maximum")]
+    joined = ranked.join(dists.select(*by, "sample_count", *[c for _, c in points]), by, "left")
+    i_pct, i_tail = interpolated(F.col("value"), [(p, F.col(c)) for p, c in points], F.col("sample_count"))
+    exact, stored = F.col("population") >= least, F.coalesce(F.col("sample_count"), F.lit(0)) >= least
+    n = F.when(exact, F.col("population")).otherwise(F.coalesce("sample_count", F.lit(0)))
+    percentile = F.when(exact, 100.0 * at / F.col("population")).when(stored, i_pct)
+    tail = F.when(exact, own_tail).when(stored, i_tail)
+    method = F.when(exact, "EXACT").when(stored, "DISTRIBUTION").otherwise("INSUFFICIENT")
+    height = F.col("block_height")
+    mode = F.when(height.isNull() | (height <= run_end), "RETROSPECTIVE").otherwise("POINT_IN_TIME")
+    return joined.select("id", *by, "value", method.alias("method"), percentile.alias("percentile"), tail.alias("tail"), n.alias("sample_count"), band(percentile, n, least).alias("band"), mode.alias("evaluation_mode"))

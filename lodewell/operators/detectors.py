@@ -23,7 +23,8 @@ def ladder(value: Column, steps: list[tuple[int, str]], otherwise: str) -> Colum
 def _event(df: DataFrame, name: str, severity: Column, *fields: Column, txid=None, block=None, height=None, title=None) -> DataFrame:
     null = F.lit(None).cast("string")
     key = event_key(F.lit(name), txid if txid is not None else null, block if block is not None else null, height if height is not None else null, title if title is not None else null)
-    return df.select(F.lit(name).alias("event_type"), key.alias("event_key"), severity.alias("severity"), *fields).withColumn("event_id", uuid5(F.col("event_key")))
+    carried = ["context"] if "context" in df.columns else []
+    return df.select(F.lit(name).alias("event_type"), key.alias("event_key"), severity.alias("severity"), *fields, *carried).withColumn("event_id", uuid5(F.col("event_key")))
 
 
 def large_transfer(tx: DataFrame, least: int, high: int, critical: int) -> DataFrame:
@@ -68,6 +69,7 @@ def dormant_coins(inputs: DataFrame, least_days: int, least_sats: int, unit: int
         F.min("age_days").alias("youngest_input_age_days"),
         F.min("confirmed_at").alias("oldest_at"),
         F.min("confirmed_height").alias("oldest_height"),
+        *([F.max("context").alias("context")] if "context" in inputs.columns else []),
     )
     days = F.col("oldest_input_age_days")
     early = (F.col("oldest_at") < F.lit(early_before).cast("timestamp_ntz")) | F.coalesce(F.col("oldest_height") <= early_height, F.lit(False))
@@ -130,6 +132,28 @@ def reorg(reorgs: DataFrame) -> DataFrame:
     return _event(reorgs, "ReorgDetected", ladder(F.col("depth"), [(6, "CRITICAL"), (3, "HIGH"), (2, "MEDIUM")], "LOW"), F.col("depth"), block=F.col("new_tip_hash"))
 
 
+#: Fields of the observation that a detector's input may carry along in a struct column named context.
+CONTEXT = "struct<txid: string, block_hash: string, block_height: bigint, event_time: timestamp>"
+#: detectors' names and the event types they are stored under.
+STORED_TYPES = {
+    "LargeTransfer": "LARGE_TRANSFER", "LongBlockInterval": "LONG_BLOCK_INTERVAL", "DormantCoinsMoved": "DORMANT_COINS_MOVED", "Consolidation": "CONSOLIDATION",
+    "FanOut": "FAN_OUT", "ExtremeFee": "EXTREME_FEE", "TransactionReplacement": "TRANSACTION_REPLACEMENT", "ReorgDetected": "REORG_DETECTED",
+}
+
+
+def canonical(found: DataFrame, network: str = "mainnet") -> DataFrame:
+    """Events as they are stored: the detector's own fields as JSON metadata, the context as columns."""
+    own = [c for c in found.columns if c not in ("event_type", "event_key", "event_id", "severity", "context")]
+    kind = F.create_map(*[F.lit(x) for pair in STORED_TYPES.items() for x in pair])[F.col("event_type")]
+    context = F.col("context").cast(CONTEXT) if "context" in found.columns else F.lit(None).cast(CONTEXT)
+    rows = found.withColumn("context", context)
+    return rows.select(
+        F.col("event_id").alias("id"), kind.alias("event_type"), "severity", F.lit("VERIFIED_ON_CHAIN").alias("confidence"), F.initcap(F.replace(F.lower(kind), F.lit("_"), F.lit(" "))).alias("title"),
+        F.col("context.event_time").alias("event_time"), F.col("context.block_height").alias("block_height"), F.col("context.block_hash").alias("block_hash"), F.col("context.txid").alias("txid"),
+        F.lit(network).alias("network"), F.to_json(F.struct(*own)).alias("metadata"),
+    )
+
+
 #: Detectors that history cannot replay: their observations exist only live.
 LIVE_ONLY = ("replacement", "reorg")
 

@@ -107,3 +107,38 @@ def public_targets(targets: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("Script: "), _short(F.col("script_hex"), 16, 8)) if "script_hex" in targets.columns else F.lit(None))
     )
     return targets.select("id", "target_type", summary.alias("target_summary"), "classification", "active")
+
+
+def descendants(seeds: DataFrame, outputs: DataFrame, inputs: DataFrame, max_depth: int = 3) -> DataFrame:
+    """Spends of outputs that descend from a watched one: txid, prev_txid, prev_vout, target_id, depth, value_sats.
+
+    seeds: txid, target_id of the transactions that spend a watched output. outputs: txid, vout (the place in the
+    transaction), op_return. inputs: txid, prev_txid, prev_vout, value_sats. Every output of a seed but data carriers is
+    followed at depth 1, those of a spending transaction one deeper, up to max_depth, held to 1..5. A transaction that
+    is reached at more than one depth is followed from the smallest.
+    """
+    carried = outputs.filter(~F.col("op_return")).select(F.col("txid").alias("prev_txid"), F.col("vout").alias("prev_vout"))
+    spent = inputs.select("txid", "prev_txid", "prev_vout", "value_sats")
+    level, reached, out = seeds.select("txid", "target_id").distinct(), None, None
+    for depth in range(1, min(max(max_depth, 1), 5) + 1):
+        reached = level if reached is None else reached.unionByName(level)
+        followed = level.withColumnRenamed("txid", "prev_txid").join(carried, "prev_txid")
+        hits = followed.join(spent, ["prev_txid", "prev_vout"]).select("txid", "prev_txid", "prev_vout", "target_id", F.lit(depth).alias("depth"), "value_sats")
+        out = hits if out is None else out.unionByName(hits)
+        level = hits.select("txid", "target_id").distinct().join(reached, ["txid", "target_id"], "left_anti")
+    return out
+
+
+def timeline(activities: DataFrame) -> DataFrame:
+    """Timeline entries of activities. Movement is not recovery: figures of the incident are left as they are."""
+    words = F.initcap(F.replace(F.lower("activity_type"), F.lit("_"), F.lit(" ")))
+    return activities.select("incident_id", F.col("observed_at").alias("at"), words.alias("title"), "txid", F.col("correlation").alias("evidence_strength"), F.coalesce("value_sats", F.lit(0)).alias("value_sats"), "dedup_key")
+
+
+def simulate(tx: DataFrame, inputs: DataFrame, outputs: DataFrame, replacements: DataFrame, targets: DataFrame, incident: str) -> DataFrame:
+    """All activities of a scenario with alert severities and dedup keys: direct matches, then replacements."""
+    found = by_txid(tx, targets, F.col("i.height").isNotNull()).unionByName(by_outpoint(inputs, targets))
+    found = found.unionByName(by_address(inputs, targets, True)).unionByName(by_script(outputs, targets)).unionByName(by_address(outputs, targets, False))
+    found = found.unionByName(by_replacement(replacements, targets).select(*found.columns))
+    key = dedup_key(F.lit(incident), F.col("activity_type"), F.col("txid"), F.col("target_id"))
+    return found.withColumns({"incident_id": F.lit(incident), "dedup_key": key, "severity": alert_severity(F.col("activity_type"), F.col("correlation"), F.col("value_sats"))})

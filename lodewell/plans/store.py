@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewell.functions.identity import uuid5
-from lodewell.operators import baseline, metrics, provenance, replay, watch
+from lodewell.operators import baseline, incidents, metrics, provenance, replay, watch
 
 #: Aliases that event types are also known by.
 EVENT_ALIASES = {"large_transaction": "LARGE_TRANSFER", "dormant_coins": "DORMANT_COINS_MOVED", "fanout": "FAN_OUT", "DORMANT_UTXO_SPENT": "DORMANT_COINS_MOVED", "FEE_SPIKE": "EXTREME_FEE", "RBF_REPLACEMENT": "TRANSACTION_REPLACEMENT"}
@@ -22,7 +24,7 @@ def network(name: str) -> str:
 
 
 class Store:
-    """Tables: events, observations, incidents, activities, alerts, targets, event_metrics, runs, jobs."""
+    """Tables: events, observations, outputs, incidents, dossiers and their children, activities, alerts, targets, event_metrics, run_states, distributions, jobs, checkpoints."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -33,9 +35,105 @@ class Store:
     def append(self, name: str, rows: DataFrame, partition_by: list[str] | None = None) -> None:
         rows.write.mode("append").partitionBy(*(partition_by or [])).parquet(f"{self.root}/{name}")
 
-    def append_new(self, name: str, rows: DataFrame, key: str) -> None:
+    def has(self, name: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def append_new(self, name: str, rows: DataFrame, key: str | list[str]) -> None:
         """Rows whose key is not stored yet."""
-        self.append(name, provenance.new_rows(rows.dropDuplicates([key]), self.table(name), key))
+        keys = [key] if isinstance(key, str) else key
+        rows = rows.dropDuplicates(keys)
+        self.append(name, rows.join(self.table(name).select(*keys), keys, "left_anti") if self.has(name) else rows)
+
+    def replace_of(self, name: str, rows: DataFrame, by: str) -> None:
+        """Overwrite the stored rows of every value of ``by`` that the rows hold; the rest stay."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.root}/{name}")
+
+    def save_incident(self, incident: DataFrame, snapshots: DataFrame, children: dict[str, DataFrame]) -> None:
+        """A dossier and its child tables, each with incident_id. Children are replaced whole for the incidents given.
+
+        Recovery snapshots only grow: one for each (incident_id, as_of). The dossier is written last, so a reader finds
+        it only with its children; a write that fails half way is repeated whole.
+        """
+        for name, rows in children.items():
+            self.replace_of(f"incident_{name}", rows, "incident_id")
+        self.append_new("incident_snapshots", snapshots, ["incident_id", "as_of"])
+        self.replace_of("dossiers", incident.withColumn("incident_id", F.col("id")), "incident_id")
+
+    def dossier(self, incident: str, children: dict[str, list[str]]) -> DataFrame:
+        """A dossier with arrays of its children, each in the order of the fields named, and its latest snapshot."""
+        out = self.table("dossiers").filter(F.col("incident_id") == incident)
+        for name, fields in children.items():
+            out = incidents.nest(out, self.table(f"incident_{name}").filter(F.col("incident_id") == incident), "incident_id", fields, name)
+        last = incidents.latest_snapshot(self.table("incident_snapshots").filter(F.col("incident_id") == incident), "incident_id", ["as_of"])
+        return out.join(last, "incident_id", "left")
+
+    def save_activities(self, rows: DataFrame) -> None:
+        """Activities with ids from their dedup keys; the alerts of those that are new."""
+        rows = rows.withColumn("id", uuid5(F.col("dedup_key")))
+        self.append_new("activities", rows, "dedup_key")
+        self.append_new("alerts", rows.select(uuid5(F.concat(F.lit("alert:"), "dedup_key")).alias("id"), "incident_id", F.col("id").alias("activity_id"), "severity", "observed_at"), "id")
+
+    def _log(self, name: str, **row) -> None:
+        """One row of an append-only control table; rows are told apart by a growing number."""
+        n = self.table(name).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1 if self.has(name) else 1
+        self.append(name, self.spark.createDataFrame([(n, *row.values())], "seq bigint, " + ", ".join(f"{k} {'bigint' if isinstance(v, int) else 'string'}" for k, v in row.items())))
+
+    def save_job(self, job: str, span: replay.ReplayRange, status: str) -> None:
+        self._log("jobs", id=job, start_height=span.start, end_height=span.end, status=status)
+
+    def job(self, job: str):
+        """The last state of a job, or None."""
+        return self.table("jobs").filter(F.col("id") == job).orderBy(F.desc("seq")).first() if self.has("jobs") else None
+
+    def set_job(self, job: str, status: str) -> None:
+        """Pause, go on or cancel: only jobs that have not ended change."""
+        state = self.job(job)
+        if state is None or state["status"] not in replay.ACTIVE:
+            raise ValueError("no such job, or it has ended")
+        self.save_job(job, replay.ReplayRange(state["start_height"], state["end_height"]), status)
+
+    def save_checkpoint(self, job: str, height: int) -> None:
+        self._log("checkpoints", job=job, completed_height=height)
+
+    def checkpoint(self, job: str) -> int | None:
+        return self.table("checkpoints").filter(F.col("job") == job).agg(F.max("completed_height")).first()[0] if self.has("checkpoints") else None
+
+    def outputs(self) -> DataFrame:
+        return self.table("outputs")
+
+    def save_baseline(self, start: int, end: int, net: str = "mainnet", version: str = "v2") -> str:
+        """Compute and store a range's distributions; the run's id. A run that fails stays stored as failed."""
+        run = self.spark.range(1).select(uuid5(F.lit(f"baseline:{network(net)}:{start}:{end}:{version}"))).first()[0]
+        state = {"run": run, "network": network(net), "start_height": start, "end_height": end, "algorithm_version": version}
+        self._log("run_states", **state, status="RUNNING")
+        try:
+            self.replace_of("distributions", self.create_baseline(start, end, net).withColumn("baseline_run_id", F.lit(run)), "baseline_run_id")
+        except Exception:
+            self._log("run_states", **state, status="FAILED")
+            raise
+        self._log("run_states", **state, status="COMPLETED")
+        return run
+
+    def runs(self) -> DataFrame:
+        """Baseline runs in their last states; completed_at is the number of the entry that ended the run."""
+        last = provenance.last_by(self.table("run_states"), ["run"], "seq")
+        return last.withColumn("completed_at", F.when(F.col("status") == "COMPLETED", F.col("seq")))
+
+    def rarity(self, run: str, least: int = 100) -> DataFrame:
+        """Rarity of all events of a run's network against the run's range."""
+        state = self.runs().filter(F.col("run") == run).first()
+        rows = self.population(state["start_height"], state["end_height"], state["network"]).withColumnRenamed("event_id", "id")
+        lower = F.concat_ws("/", "event_type", "metric").isin([f"{kind}/{metric}" for kind, metric, _, _, _, rare, _, _ in metrics.REGISTRY if rare])
+        dists = self.table("distributions").filter(F.col("baseline_run_id") == run)
+        return baseline.event_rarity(rows, dists, ["event_type", "metric"], lower, state["end_height"], least)
+
+    def impact(self, run: str, least: int = 100) -> DataFrame:
+        """Impact scores of all events of a run, by the registry's weights."""
+        sizes = Counter(kind for kind, *_ in metrics.REGISTRY)
+        weights = self.spark.createDataFrame([(kind, metric, w, sizes[kind]) for kind, metric, *_, w in metrics.REGISTRY], "event_type string, metric string, weight double, components int")
+        ranked = self.rarity(run, least).withColumnRenamed("sample_count", "population")
+        return baseline.impact(ranked, weights, "id", ["event_type", "metric"], least)
 
     def query_events(self, mode: str | None = None, **wanted) -> DataFrame:
         if wanted.get("event_type"):
@@ -87,7 +185,7 @@ class Store:
         return baseline.distributions(self.population(start, end, net), candidates, ["event_type", "metric"])
 
     def baseline_run(self, height: int, net: str = "mainnet", version: str = "v2") -> DataFrame:
-        return metrics.latest_run(self.table("runs"), network(net), height, version)
+        return metrics.latest_run(self.runs(), network(net), height, version)
 
     def event_rarity(self, event_id: str, start: int, end: int, net: str = "mainnet", least: int = 100) -> DataFrame:
         """Percentile, tail, band and evaluation mode of each of an event's metrics against a range's population.

@@ -56,3 +56,46 @@ def recent_transactions(rows: DataFrame) -> DataFrame:
     t = rows.select(F.from_json("value", "txid string, fee bigint, vsize double, value bigint").alias("t")).select("t.*")
     vsize = F.ceil("vsize").cast("bigint")
     return t.select("txid", F.col("fee").alias("fee_sats"), vsize.alias("vsize"), (vsize * 4).alias("weight"), (F.col("value") + F.col("fee")).alias("total_input_sats"), F.col("value").alias("total_output_sats"), F.lit(1).cast("bigint").alias("input_count"), F.lit(1).cast("bigint").alias("output_count"))
+
+
+_REST_BLOCK = "struct<id: string, height: bigint, timestamp: bigint, tx_count: bigint, size: bigint, weight: bigint, previousblockhash: string, difficulty: double, extras: struct<pool: struct<name: string>>>"
+_REST_TX = (
+    "struct<txid: string, fee: bigint, size: bigint, weight: bigint, vin: array<struct<txid: string, vout: bigint, sequence: bigint, is_coinbase: boolean, prevout: struct<value: bigint, scriptpubkey_address: string>>>, "
+    "vout: array<struct<value: bigint, scriptpubkey_type: string, scriptpubkey_address: string, scriptpubkey: string>>, status: struct<confirmed: boolean, block_height: bigint, block_hash: string, block_time: bigint>>"
+)
+
+
+def rest_blocks(rows: DataFrame) -> DataFrame:
+    b = rows.select(F.from_json("value", _REST_BLOCK).alias("b")).filter("b.id IS NOT NULL").select("b.*")
+    return b.select(
+        F.col("id").alias("block_hash"), "height", F.timestamp_seconds("timestamp").alias("timestamp"), F.coalesce("previousblockhash", F.lit("")).alias("previous_block_hash"), "tx_count",
+        F.col("size").alias("size_bytes"), "weight", "difficulty", F.col("extras.pool.name").alias("miner_tag"),
+    )
+
+
+def rest_transactions(rows: DataFrame) -> DataFrame:
+    """Whole transaction records, with the value of the outputs that inputs spend."""
+    t = rows.select(F.from_json("value", _REST_TX).alias("t")).filter("t.txid IS NOT NULL").select("t.*")
+    none = F.lit(None).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    vsize = F.floor((F.col("weight") + 3) / 4).cast("bigint")
+    inputs = F.transform(
+        "vin",
+        lambda i: F.struct(i["txid"].alias("txid"), i["vout"].alias("vout"), i["sequence"].alias("sequence"), i["prevout"]["value"].alias("prev_out_value_sats"), i["prevout"]["scriptpubkey_address"].alias("prev_out_address"), i["is_coinbase"].alias("is_coinbase")),
+    )
+    outputs = F.transform(
+        "vout",
+        lambda o, n: F.struct(o["value"].alias("value_sats"), n.cast("bigint").alias("n"), o["scriptpubkey_type"].alias("script_pubkey_type"), o["scriptpubkey_address"].alias("address"), o["scriptpubkey"].alias("scriptpubkey_hex")),
+    )
+    total = lambda column, pick: F.aggregate(column, zero, lambda s, x: s + F.coalesce(pick(x), zero))
+    return t.select(
+        "txid", F.timestamp_seconds("status.block_time").alias("timestamp"), F.col("status.block_hash").alias("block_hash"), F.coalesce("status.block_height", none).alias("block_height"), F.col("fee").alias("fee_sats"), "size", "weight",
+        vsize.alias("vsize"), F.when(vsize > 0, F.col("fee").cast("double") / vsize).alias("fee_rate_sat_vb"), total("vin", lambda i: i["prevout"]["value"]).alias("total_input_sats"), total("vout", lambda o: o["value"]).alias("total_output_sats"),
+        F.size("vin").cast("bigint").alias("input_count"), F.size("vout").cast("bigint").alias("output_count"), inputs.alias("inputs"), outputs.alias("outputs"), F.exists("vin", lambda i: i["sequence"] < 4294967294).alias("is_rbf"),
+        F.coalesce("status.confirmed", F.lit(False)).alias("confirmed"),
+    )
+
+
+def rest_mempool(rows: DataFrame) -> DataFrame:
+    m = rows.select(F.from_json("value", "count bigint, vsize bigint, total_fee bigint").alias("m")).filter("m.count IS NOT NULL").select("m.*")
+    return m.select("count", F.col("vsize").alias("vsize_bytes"), F.coalesce("total_fee", F.lit(0)).alias("total_fee_sats"))
