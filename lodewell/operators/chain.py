@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodewell.functions.lineage import cut
+
+#: Steps of an ancestor walk between two checkpoints.
+STEPS = 4
+
 
 def block_intervals(blocks: DataFrame, live: bool = True, per: str | None = None) -> DataFrame:
     """interval_seconds since the block before. Live intervals must be positive; replayed ones are 0 at least.
@@ -64,22 +69,24 @@ def common_ancestor(headers: DataFrame, tips: DataFrame, max_depth: int = 100) -
 
     The higher end steps to its parent, both if they are level, until they meet; pairs that do not meet within
     max_depth steps are left out. A step is two equi-joins of the reorgs with the headers, so the chain's length does
-    not matter. Each step is cached and the one before it freed.
+    not matter. Every STEPS steps the pairs are checkpointed, which cuts the lineage, and the met ones counted out.
     """
     ends = {x: headers.select(F.col("hash").alias(x), F.col("prev").alias(f"{x}_up")) for x in ("a", "b")}
     at = lambda tip, x: headers.select(F.col("hash").alias(tip), F.col("height").alias(f"{x}_height"))
     walk = tips.join(at("old_tip", "a"), "old_tip").join(at("new_tip", "b"), "new_tip")
-    walk = walk.select("reorg", F.col("old_tip").alias("a"), F.col("new_tip").alias("b"), "a_height", "b_height", F.lit(0).alias("disconnected"), F.lit(0).alias("connected")).persist()
-    apart = walk.filter("a <> b").count()
-    for _ in range(max_depth):
-        if not apart:
-            break
-        down = {"a": (F.col("a") != F.col("b")) & (F.col("a_height") >= F.col("b_height")), "b": (F.col("a") != F.col("b")) & (F.col("b_height") >= F.col("a_height"))}
-        moved = walk.join(ends["a"], "a", "left").join(ends["b"], "b", "left").select(
+    walk = walk.select("reorg", F.col("old_tip").alias("a"), F.col("new_tip").alias("b"), "a_height", "b_height", F.lit(0).alias("disconnected"), F.lit(0).alias("connected"))
+    met = walk.filter("a = b")
+    walk = walk.filter("a <> b")
+    apart = F.col("a") != F.col("b")
+    down = {"a": apart & (F.col("a_height") >= F.col("b_height")), "b": apart & (F.col("b_height") >= F.col("a_height"))}
+    for step in range(1, max_depth + 1):
+        walk = walk.join(ends["a"], "a", "left").join(ends["b"], "b", "left").select(
             "reorg", *[F.when(down[x], F.col(f"{x}_up")).otherwise(F.col(x)).alias(x) for x in "ab"], *[(F.col(f"{x}_height") - down[x].cast("int")).alias(f"{x}_height") for x in "ab"],
             (F.col("disconnected") + down["a"].cast("int")).alias("disconnected"), (F.col("connected") + down["b"].cast("int")).alias("connected"),
-        ).filter("a IS NOT NULL AND b IS NOT NULL").persist()
-        apart = moved.filter("a <> b").count()  # reads, and so caches, every partition
-        walk.unpersist()
-        walk = moved
-    return walk.filter("a = b").select("reorg", F.col("a").alias("ancestor"), F.col("a_height").cast("bigint").alias("ancestor_height"), "disconnected", "connected")
+        ).filter("a IS NOT NULL AND b IS NOT NULL")
+        if step % STEPS == 0 or step == max_depth:
+            whole = cut(walk)
+            met, walk = met.unionByName(whole.filter("a = b")), whole.filter("a <> b")
+            if walk.isEmpty():
+                break
+    return met.select("reorg", F.col("a").alias("ancestor"), F.col("a_height").cast("bigint").alias("ancestor_height"), "disconnected", "connected")

@@ -338,6 +338,27 @@ def rank_interpolated(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("id", "event_type", "metric", F.round(pct, 6).alias("percentile"), tail.alias("tail"))
 
 
+@query(_metric_views(DIST_SQL + f""", seen AS (SELECT * FROM long WHERE network = 'test'),
+ranked AS (
+  SELECT *, count(*) OVER (PARTITION BY event_type, metric ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS le,
+    count(*) OVER (PARTITION BY event_type, metric ORDER BY value RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ge, count(*) OVER (PARTITION BY event_type, metric) AS n FROM seen),
+least AS (SELECT (count(*) // 5)::BIGINT AS m FROM (SELECT * FROM seen WHERE metric = 'value_sats')),
+pct AS (
+  SELECT *, CASE WHEN value <= minimum THEN 0.0::DOUBLE WHEN value >= maximum THEN 100.0::DOUBLE {_CASES} END AS ip FROM ranked JOIN dist USING (event_type, metric)),
+both_ AS (
+  SELECT *, CASE WHEN n >= m THEN 'EXACT' WHEN sample_count >= m THEN 'DISTRIBUTION' ELSE 'INSUFFICIENT' END AS method FROM pct, least)
+SELECT id, event_type, metric, method, round(CASE method WHEN 'EXACT' THEN 100.0::DOUBLE * CASE WHEN metric = 'height_gap' THEN ge ELSE le END / n WHEN 'DISTRIBUTION' THEN ip END, 6) AS percentile,
+  (CASE method WHEN 'EXACT' THEN CASE WHEN metric = 'height_gap' THEN le ELSE ge END WHEN 'DISTRIBUTION' THEN
+    CASE WHEN value <= minimum THEN sample_count WHEN value >= maximum THEN 1 ELSE greatest(1, ceil((100.0::DOUBLE - ip) / 100.0::DOUBLE * sample_count)) END END)::BIGINT AS tail,
+  CASE WHEN block_height <= 15 THEN 'RETROSPECTIVE' ELSE 'POINT_IN_TIME' END AS evaluation_mode FROM both_"""))
+def event_rarity(spark: SparkSession, d: str) -> DataFrame:
+    """One network's events against that network where the type has a fifth of its rows, else against all."""
+    seen = _long(spark, d).filter("network = 'test'")
+    least = seen.filter("metric = 'value_sats'").count() // 5
+    found = baseline.event_rarity(seen, _distributions(spark, d), ["event_type", "metric"], F.col("metric") == "height_gap", 15, least)
+    return found.select("id", "event_type", "metric", "method", F.round("percentile", 6).alias("percentile"), "tail", "evaluation_mode")
+
+
 @query(f"""SELECT id, event_type, metric, CASE WHEN population < 100 THEN 'INSUFFICIENT_DATA' WHEN percentile >= 99.9 THEN 'EXTREME' WHEN percentile >= 99 THEN 'RARE' WHEN percentile >= 95 THEN 'UNUSUAL'
   WHEN percentile >= 90 THEN 'NOTABLE' ELSE 'COMMON' END AS band, population // greatest(tail, 1) AS one_in FROM ({_rank_sql("le", "ge")})""")
 def rarity_bands(spark: SparkSession, d: str) -> DataFrame:
@@ -436,6 +457,20 @@ def lineage_depth3(spark: SparkSession, d: str) -> DataFrame:
     return watch.lineage(s.filter("watched").select("txid", F.col("txid").alias("root")), s.filter("prev_txid IS NOT NULL").select("prev_txid", "txid"))
 
 
+@query(with_views("spends", then="""
+, seeds AS (SELECT txid, 'out-' || prev_txid AS target_id FROM spends s WHERE prev_txid IN (SELECT txid FROM spends WHERE watched)),
+one AS (SELECT s.txid, e.txid AS prev_txid, target_id, 1 AS depth, s.value_sats FROM seeds e JOIN spends s ON s.prev_txid = e.txid WHERE e.txid::BIGINT % 10 <> 0),
+two AS (SELECT s.txid, e.txid AS prev_txid, target_id, 2 AS depth, s.value_sats FROM one e JOIN spends s ON s.prev_txid = e.txid WHERE e.txid::BIGINT % 10 <> 0),
+three AS (SELECT s.txid, e.txid AS prev_txid, target_id, 3 AS depth, s.value_sats FROM two e JOIN spends s ON s.prev_txid = e.txid WHERE e.txid::BIGINT % 10 <> 0)
+SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three""").replace("\n\n, seeds", ",\nseeds"))
+def watch_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs of orders with a number divisible by ten carry data and are not followed."""
+    s = views.spends(spark, d)
+    seeds = watch.by_outpoint(s, views.targets(spark, d)).select("txid", "target_id")
+    outputs = s.select("txid", F.lit(0).cast("bigint").alias("vout"), (F.col("txid").cast("bigint") % 10 == 0).alias("op_return"))
+    return watch.descendants(seeds, outputs, s).drop("prev_vout")
+
+
 # -- incidents and chain --------------------------------------------------------------------------------------------
 
 
