@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodewell.llm.common import materialize, mix64, texts, word_hashes
@@ -377,7 +377,7 @@ def _more_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, turn:
     keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), print_of.alias("print")).filter("lo <> hi")
     keys = keys.groupBy("print").agg(F.min("key").alias("key")).select("key")
     rows = labelled.join(keys, "key", "left_semi").join(classes.select("class", "bits"), "class")
-    blob = rows.groupBy("key", F.floor(F.col("place") / BLOB).alias("blob")).agg(F.collect_list(F.struct("class", "n", "root", "bits")).alias("rows"))
+    blob = rows.groupBy("key", "blob").agg(F.collect_list(F.struct("class", "n", "root", "bits")).alias("rows"))
     x, y = blob.alias("x"), blob.alias("y")
     both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.blob") <= F.col("y.blob")))
     cut = both.select(F.col("x.rows").alias("one"), F.col("y.rows").alias("two"), (F.col("x.blob") == F.col("y.blob")).alias("same"))
@@ -406,7 +406,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRE
     roots = components(edges)
     tested = pairs
     if not members.isEmpty():
-        members = materialize(members.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("class")) - 1), "members")
+        members = materialize(members, "members")
+        # blobs are drawn by hash, so that no task orders a whole bucket; a bucket of one blob needs no row here
+        several = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOB).alias("blobs")).filter("blobs > 1")
+        several = materialize(several, "several-blobs")
+        drawn = F.pmod(F.xxhash64(F.lit("blob"), "class"), F.coalesce("blobs", F.lit(1).cast("bigint"))).alias("blob")
+        members = members.join(several, "key", "left").select("key", "class", "n", drawn)
         turn = 0
         while turn <= ROUNDS:
             more = _more_pairs(members, classes, roots, turn, percent)
