@@ -1,15 +1,17 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Unigrams are counted exactly over all training documents and smoothed by adding ALPHA. Longer n-grams up to order 3
-become arcs if their relative frequency is CUT or more, which bounds the automaton by 1 / CUT arcs an order whatever
-the corpus size. An n-gram arc weighs log10((c - DISCOUNT) / c(context)); a state's failure arc carries the mass that
-its arcs leave over, so that every state's outgoing probabilities sum to 1. States are the empty context, frequent
-words and frequent word pairs. One left-to-right traversal carries the state: the failure arcs taken and the arc found
-add their weights.
-
-The automaton is bounded and travels to the tasks. The unigram table is not: it stays a table. The scoring pass writes,
-for blocks of documents, what the automaton could price, the block's other words by hash, and each document's list of
-them; the block vocabularies are joined with the unigram table, and each block adds up its own documents.
+Unigrams are counted exactly over all training documents and smoothed by adding ALPHA. Every longer n-gram up to order 3
+that is seen LEAST times or more is an arc, so the automaton grows with the corpus. An n-gram arc weighs
+log10((c - DISCOUNT) / c(context)); a state's failure arc carries the mass that its arcs leave over, so that every
+state's outgoing probabilities sum to 1. One left-to-right traversal carries the state: the failure arcs taken and the
+arc found add their weights.
+
+No task holds the automaton. Documents are written in blocks of BLOCK_TOKENS tokens, numbered by a vocabulary of the
+block. A block hands out the hashes of its distinct n-grams with their training counts, one row for each range of
+hashes; a range adds up what all blocks sent and answers each block with totals. Three such exchanges give a block all
+arcs its texts can reach: counts of words and pairs; counts of triples whose two pairs are arcs (no other triple can be
+seen LEAST times); and the mass below each state, to which every arc is added once, by the block that owns it. Each
+block then traverses its own part of the automaton. N-grams meet by 64-bit hash (63 bits for words and pairs).
 
 Defined results: null and empty texts are the end token alone; a null doc_id counts as remainder 0; rows that repeat
 a doc_id are separate documents; other columns are ignored. Without training documents N and V are 0 and every score
@@ -19,8 +21,9 @@ is that of an even spread, log10 of 0.1 / 0.1 a token.
 from __future__ import annotations
 
 import os
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodewell.llm.common import crc_mod, materialize, texts
+from lodewell.llm.common import crc_mod, materialize, mix64, texts
 
-ALPHA, DISCOUNT, CUT = 0.1, 0.75, 5e-5
+ALPHA, DISCOUNT, LEAST = 0.1, 0.75, 2
 #: The end token; no word holds a space.
 END = b" end"
-#: Distinct n-grams held by a task before partial counts are given out; tokens and other words of a scoring block.
-FLUSH, BLOCK_TOKENS, BLOCK_WORDS = 200_000, 1_000_000, 250_000
+#: Distinct n-grams held by a task before partial counts are given out; tokens and words of a block.
+FLUSH, BLOCK_TOKENS, BLOCK_WORDS = 200_000, 1_000_000, 500_000
+#: Ranges of hashes at least, and tokens of the corpus for each further one.
+RANGES, RANGE_TOKENS = 512, 1_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -178,86 +183,234 @@ class Automaton:
         return np.log10(p)
 
 
-def _score_blocks(shipped):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Automaton = shipped.value
-        known, uni = model.known, np.log10(model.uni) if len(model.uni) else np.zeros(1)
-        rare: dict[bytes, int] = {}
-        docs, n_tokens = [], 0
-
-        def give() -> Iterator[pa.RecordBatch]:
-            hashes = [word_hash(w) for w in rare]
-            # the blocks are written once, so a drawn number tells them apart
-            block = int.from_bytes(os.urandom(8), "little", signed=True)
-            rows = [(block, d[0], d[1], d[2], d[3], d[4], d[5], d[6], None, None) for d in docs]
-            rows += [(block, None, None, None, None, None, None, None, h, i) for i, h in enumerate(hashes)]
-            for a in range(0, len(rows), 50_000):
-                columns = list(zip(*rows[a : a + 50_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], _NAMES)
+def _pack(values: np.ndarray) -> bytes:
+    return pa.Codec("zstd", 1).compress(values.tobytes(), asbytes=True) if len(values) else b""
 
-        for batch in batches:
-            for doc, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
-                words = tokens(text)
-                ids = _ids(words, known)
-                first = np.zeros(len(ids), bool)
-                first[0] = True
-                others = np.array([rare.setdefault(words[i], len(rare)) for i in np.flatnonzero(ids < 0)], np.uint32)
-                own = ids[ids >= 0]
-                docs.append((doc, held_out, len(words), len(own), float(uni[own].sum()), float(model.traverse(ids, first).sum()), others.tobytes()))
-                n_tokens += len(words)
-                if n_tokens >= BLOCK_TOKENS or len(rare) >= BLOCK_WORDS:
-                    yield from give()
-                    rare.clear()
-                    docs, n_tokens = [], 0
-        if docs:
-            yield from give()
 
-    return run
+def _unpack(raw: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd", 1).decompress(raw, n * np.dtype(kind).itemsize, asbytes=True), kind) if n else np.zeros(0, kind)
 
 
-_NAMES = ["block", "doc_id", "held_out", "n_tokens", "n_priced", "base", "model", "others", "h", "local"]
-_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64(), pa.int32()]
-_BLOCKS = "block bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_priced bigint, base double, model double, others binary, h bigint, local int"
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def give() -> pa.RecordBatch:
+        # the blocks are written once, so a drawn number tells them apart
+        block = int.from_bytes(os.urandom(8), "little", signed=True)
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary], np.uint64)
+        row = ([block], [n_tokens], [[d[0] for d in docs]], [[d[1] for d in docs]], [[len(d[2]) for d in docs]], [_pack(np.concatenate([d[2] for d in docs]))], [hashes.tobytes()])
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names)
+
+    names = ["block", "n_tokens", "doc_ids", "held_out", "lengths", "ids", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    vocabulary, docs, n_tokens = defaultdict(count().__next__), [], 0
+    for batch in batches:
+        for doc, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
+            docs.append((doc, held_out, np.array(list(map(vocabulary.__getitem__, tokens(text))), np.uint32)))
+            n_tokens += len(docs[-1][2])
+            if n_tokens >= BLOCK_TOKENS or len(vocabulary) >= BLOCK_WORDS:
+                yield give()
+                vocabulary, docs, n_tokens = defaultdict(count().__next__), [], 0
+    if docs:
+        yield give()
+
+
+_BLOCKS = "block bigint, n_tokens bigint, doc_ids array<bigint>, held_out array<boolean>, lengths array<bigint>, ids binary, words binary"
+_SENT = "part int, block bigint, n int, keys binary, a binary, b binary"
+_SENT_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+_TOLD = "step int, part int, block bigint, told binary, n_words bigint, train_tokens bigint"
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
+_U = np.uint64
 
-def _finish(n: int, v: int):
-    """Adds the unigram weights of a block's other words to its documents."""
-    total = n + ALPHA * (v + 1)
-
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        counts = np.zeros(words.num_rows, np.float64)
-        counts[words.column("local").to_numpy()] = words.column("c").to_numpy()
-        price, seen = np.log10((counts + ALPHA) / total), counts > 0
-        n_known, extra = [], []
-        for raw in docs.column("others").to_pylist():
-            at = np.frombuffer(raw, np.uint32)
-            n_known.append(int(seen[at].sum()))
-            extra.append(float(price[at].sum()))
-        extra = np.array(extra)
-        return pa.table(
-            {
-                "doc_id": docs.column("doc_id"),
-                "held_out": docs.column("held_out"),
-                "n_tokens": docs.column("n_tokens"),
-                "n_known": pa.array(docs.column("n_priced").to_numpy() + np.array(n_known, np.int64)),
-                "train_tokens": pa.array(np.full(docs.num_rows, n, np.int64)),
-                "base_score": pa.array(docs.column("base").to_numpy() + extra),
-                "score": pa.array(docs.column("model").to_numpy() + extra),
-            }
-        )
+
+def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram from those of what leads up to its last word, and of that word."""
+    return mix64(mix64(left ^ _U(0x9E3779B97F4A7C15)) + right)
+
+
+def _parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys by hash, the ranges that have any, and where each of those begins, with the end."""
+    order = np.argsort(keys, kind="stable")
+    part = ((keys[order] >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    return order, part[at], np.append(at, len(keys))
+
+
+def _send(block: int, parts: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.Table:
+    order, part, at = _parts(keys, parts)
+    keys, a, b = keys[order], a[order], None if b is None else b[order]
+    rows = [(p, block, y - x, keys[x:y].tobytes(), _pack(a[x:y]), None if b is None else _pack(b[x:y])) for p, x, y in zip(part.tolist(), at[:-1].tolist(), at[1:].tolist())]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _SENT_ARROW)], schema=_SENT_ARROW)
+
+
+def _answer(sent: pa.Table, step: int, told: list[bytes], n_words: int, n: int) -> pa.Table:
+    first = [1] + [0] * (len(told) - 1)
+    columns = [pa.array([step] * len(told), pa.int32()), sent.column("part"), sent.column("block"), pa.array(told, pa.binary())]
+    return pa.table([*columns, pa.array([n_words * x for x in first], pa.int64()), pa.array([n * x for x in first], pa.int64())], _TOLD.replace(",", "").split()[::2])
+
+
+def _add_counts(step: int):
+    """The count of each key over all blocks, negative except for the block that owns it."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        sizes = sent.column("n").to_pylist()
+        keys = np.frombuffer(b"".join(sent.column("keys").to_pylist()), np.uint64)
+        own = np.concatenate([_unpack(x, n, np.int64) for x, n in zip(sent.column("a").to_pylist(), sizes)])
+        found, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, at, own)
+        words = total[(found & _U(1)) == 0]
+        signed = -total[at]
+        signed[first] *= -1
+        ends = np.cumsum(sizes)
+        return _answer(sent, step, [_pack(signed[e - n : e]) for e, n in zip(ends, sizes)], int((words > 0).sum()), int(words.sum()))
 
     return run
 
 
-def fit(train: DataFrame, cut: float = CUT) -> tuple[DataFrame, Automaton]:
-    """The written unigram table (h, c) and the automaton, from the text column of the training documents."""
+def _add_masses(step: int):
+    """The weight of each state's failure arc, from the mass of its arcs and of the same words one order lower."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        sizes = sent.column("n").to_pylist()
+        found, at = np.unique(np.frombuffer(b"".join(sent.column("keys").to_pylist()), np.uint64), return_inverse=True)
+        used, under = (np.bincount(at, np.concatenate([_unpack(x, n, np.float64) for x, n in zip(sent.column(c).to_pylist(), sizes)]), len(found)) for c in "ab")
+        fail = (np.maximum(1 - used, 1e-12) / np.maximum(1 - under, 1e-12))[at]
+        ends = np.cumsum(sizes)
+        return _answer(sent, step, [_pack(fail[e - n : e]) for e, n in zip(ends, sizes)], 0, 0)
+
+    return run
+
+
+class Block:
+    """A block's texts end to end, its distinct n-grams as sorted keys, and what the exchanges told about them."""
+
+    def __init__(self, row: dict, parts: int) -> None:
+        self.row, self.parts = row, parts
+        self.ids = _unpack(row["ids"], row["n_tokens"], np.uint32).astype(np.int64)
+        self.words = np.frombuffer(row["words"], np.uint64) & ~_U(1)
+        self.size, lengths = len(self.words), np.array(row["lengths"])
+        self.starts = np.cumsum(lengths) - lengths
+        self.first = np.zeros(len(self.ids), bool)
+        self.first[self.starts] = True
+        self.train = np.repeat(~np.array(row["held_out"], bool), lengths)
+        self.later = np.flatnonzero(~self.first)
+        self.pairs, at = np.unique(self.ids[self.later - 1] * self.size + self.ids[self.later], return_inverse=True)
+        self.pair = np.full(len(self.ids), -1)
+        self.pair[self.later] = at
+        self.pair_hash = _join(self.words[self.pairs // self.size], self.words[self.pairs % self.size]) | _U(1)
+
+    def counted(self, at: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(at[self.train[where]], minlength=n).astype(np.int64)
+
+    def send_pairs(self) -> pa.Table:
+        n = np.concatenate([self.counted(self.ids, np.arange(len(self.ids)), self.size), self.counted(self.pair[self.later], self.later, len(self.pairs))])
+        return _send(self.row["block"], self.parts, np.concatenate([self.words, self.pair_hash]), n)
+
+    def told(self, answers: pa.Table, step: int, keys: np.ndarray, kind: type) -> np.ndarray:
+        answers = {p: x for s, p, x in zip(*(answers.column(c).to_pylist() for c in ("step", "part", "told"))) if s == step}
+        order, part, at = _parts(keys, self.parts)
+        out = np.zeros(len(keys), kind)
+        if len(keys):
+            out[order] = np.concatenate([_unpack(answers[p], n, kind) for p, n in zip(part.tolist(), np.diff(at).tolist())])
+        return out
+
+    def hear_pairs(self, answers: pa.Table) -> None:
+        n = self.told(answers, 1, np.concatenate([self.words, self.pair_hash]), np.int64)
+        self.count, pair_count = np.abs(n[: self.size]), n[self.size :]
+        arc = np.abs(pair_count) >= LEAST
+        place = np.append(np.where(arc, np.cumsum(arc) - 1, -1), -1)
+        # from here on only pairs that are arcs count
+        self.pairs, self.pair_hash, self.pair = self.pairs[arc], self.pair_hash[arc], place[self.pair]
+        self.pair_count, self.own_pair = np.abs(pair_count[arc]), pair_count[arc] > 0
+        self.context = np.append(-1, self.pair[:-1])
+        self.context[self.first] = -1
+        self.both = np.flatnonzero((self.context >= 0) & (self.pair >= 0))
+        self.triples, at = np.unique(self.context[self.both] * self.size + self.ids[self.both], return_inverse=True)
+        self.triple = np.full(len(self.ids), -1)
+        self.triple[self.both] = at
+        self.triple_hash = _join(self.pair_hash[self.triples // self.size], self.words[self.triples % self.size])
+
+    def send_triples(self) -> pa.Table:
+        return _send(self.row["block"], self.parts, self.triple_hash, self.counted(self.triple[self.both], self.both, len(self.triples)))
+
+    def hear_triples(self, answers: pa.Table, n: int, v: int) -> None:
+        n3 = self.told(answers, 2, self.triple_hash, np.int64)
+        arc = np.abs(n3) >= LEAST
+        self.triple = np.append(np.where(arc, 0, -1), -1)[self.triple]
+        self.triples, n3 = self.triples[arc], n3[arc]
+        self.own_triple, context = n3 > 0, self.triples // self.size
+        self.uni = (self.count + ALPHA) / (n + ALPHA * (v + 1))
+        self.pair_p = (self.pair_count - DISCOUNT) / self.count[self.pairs // self.size]
+        self.triple_p = (np.abs(n3) - DISCOUNT) / self.pair_count[context]
+        # states that some text leaves by the failure arc, and states for which this block owns an arc
+        left = np.zeros(self.size, bool)
+        left[self.pairs[self.own_pair] // self.size] = True
+        left[self.ids[self.later - 1][self.pair[self.later] < 0]] = True
+        left &= self.count >= LEAST
+        left_pair = np.zeros(len(self.pairs), bool)
+        left_pair[context[self.own_triple]] = True
+        left_pair[self.context[(self.context >= 0) & (self.triple < 0)]] = True
+        self.states = np.flatnonzero(left), np.flatnonzero(left_pair)
+        self.state_hash = np.concatenate([self.words[left], self.pair_hash[left_pair]])
+
+    def send_masses(self) -> pa.Table:
+        own, own3 = self.pairs[self.own_pair], self.triples[self.own_triple]
+        context, right = own3 // self.size, own3 % self.size
+        # the last two words of a triple arc are a pair arc
+        lower = self.pair_p[np.searchsorted(self.pairs, self.pairs[context] % self.size * self.size + right)]
+        masses = []
+        for p, p3 in ((self.pair_p[self.own_pair], self.triple_p[self.own_triple]), (self.uni[own % self.size], lower)):
+            masses.append(np.concatenate([np.bincount(own // self.size, p, self.size)[self.states[0]], np.bincount(context, p3, len(self.pairs))[self.states[1]]]))
+        return _send(self.row["block"], self.parts, self.state_hash, *masses)
+
+    def scores(self, answers: pa.Table, n: int) -> pa.Table:
+        fail = self.told(answers, 3, self.state_hash, np.float64)
+        model = Automaton.__new__(Automaton)
+        model.known, model.uni = range(self.size), self.uni
+        model.pairs, model.pair_p, model.triples, model.triple_p = self.pairs, self.pair_p, self.triples, self.triple_p
+        model.fail_word, model.fail_pair = np.ones(self.size), np.ones(len(self.pairs))
+        model.fail_word[self.states[0]] = fail[: len(self.states[0])]
+        model.fail_pair[self.states[1]] = fail[len(self.states[0]) :]
+        row = self.row
+        columns = [row["doc_ids"], row["held_out"], row["lengths"], np.add.reduceat((self.count > 0)[self.ids].astype(np.int64), self.starts), [n] * len(self.starts)]
+        columns += [np.add.reduceat(x, self.starts) for x in (np.log10(self.uni)[self.ids], model.traverse(self.ids, self.first))]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], SCHEMA.replace(",", "").split()[::2])
+
+
+def _start(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from Block(row, parts).send_pairs().to_batches()
+
+    return run
+
+
+def _step(step: int, parts: int, n: int, v: int):
+    """What a block sends in an exchange, or its scores, from what the exchanges before told it."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block(blocks.to_pylist()[0], parts)
+        block.hear_pairs(answers)
+        if step == 2:
+            return block.send_triples()
+        block.hear_triples(answers, n, v)
+        return block.send_masses() if step == 3 else block.scores(answers, n)
+
+    return run
+
+
+def fit(train: DataFrame, cut: float = 0.0) -> tuple[DataFrame, Automaton]:
+    """The written unigram table (h, c) and the automaton, gathered in the driver: for looking at small corpora.
+
+    Scoring does not use it. A cut above 0 also leaves out n-grams of a smaller relative frequency.
+    """
     # null when no word was seen twice by the task
     counted = train.select("text").mapInArrow(_unigrams, "h bigint, word binary, n bigint")
     unigrams = materialize(counted.groupBy("h").agg(F.sum("n").alias("c"), F.max("word").alias("word")), "lm-unigrams")
     n, v = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(2, int(np.ceil(cut * n)))
-    # at most 1 / cut words are this frequent
+    least = max(LEAST, int(np.ceil(cut * n)))
     frequent = {r["h"]: (r["word"], r["c"]) for r in unigrams.filter(F.col("c") >= least).collect()}
     if missing := frozenset(h for h, (word, _) in frequent.items() if word is None):
         for r in train.select("text").mapInArrow(_recover(missing), "h bigint, word binary").groupBy("h").agg(F.max("word").alias("word")).collect():
@@ -271,17 +424,27 @@ def fit(train: DataFrame, cut: float = CUT) -> tuple[DataFrame, Automaton]:
     return unigrams.select("h", "c"), model
 
 
-def score(docs: DataFrame, unigrams: DataFrame, model: Automaton, fold: int = 10) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (crc_mod("doc_id", fold) == 0).alias("held_out"), "text")
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most 1 / CUT arcs an order
-    blocks = materialize(rows.mapInArrow(_score_blocks(shipped), _BLOCKS), "lm-blocks")
-    words = blocks.filter(F.col("h").isNotNull()).select("block", "local", "h")
-    priced = words.join(unigrams, "h", "left").select("block", "local", F.coalesce("c", F.lit(0)).cast("double").alias("c"))
-    own = blocks.filter(F.col("h").isNull()).select(F.col("block").alias("home"), *_NAMES[1:8])
-    return own.groupBy("home").cogroup(priced.groupBy("block")).applyInArrow(_finish(model.n, model.v), SCHEMA)
-
-
 def score_documents(docs: DataFrame, fold: int = 10) -> DataFrame:
-    """Scores by a model of the documents outside the held-out fold."""
-    return score(docs, *fit(docs.filter(crc_mod("doc_id", fold) != 0)), fold)
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text, by a model of the documents outside the held-out fold."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (crc_mod("doc_id", fold) == 0).alias("held_out"), "text")
+    blocks = materialize(rows.mapInArrow(_blocks, _BLOCKS), "lm-blocks")
+    parts = max(RANGES, (blocks.agg(F.sum("n_tokens")).first()[0] or 0) // RANGE_TOKENS)
+
+    def exchange(step: int, sent: DataFrame) -> DataFrame:
+        add = _add_masses(step) if step == 3 else _add_counts(step)
+        # what was shuffled is of no use once the answers are written, and would fill the disks
+        conf, key = docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key)
+        conf.set(key, "true")
+        try:
+            return materialize(sent.groupBy("part").applyInArrow(add, _TOLD), f"lm-told-{step}")
+        finally:
+            conf.set(key, before)
+
+    told = exchange(1, blocks.mapInArrow(_start(parts), _SENT))
+    v, n = told.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
+    for step, schema in ((2, _SENT), (3, _SENT), (4, SCHEMA)):
+        home = blocks.groupBy(F.col("block").alias("home"))
+        out = home.cogroup(told.select("step", "part", "block", "told").groupBy("block")).applyInArrow(_step(step, parts, n, v), schema)
+        told = told if step == 4 else told.unionByName(exchange(step, out))
+    return out

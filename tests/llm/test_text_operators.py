@@ -1,6 +1,7 @@
 """Text operators against brute force, libraries and held-out labels, and on awkward rows."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -233,6 +234,35 @@ def test_automaton_sums_to_one(docs):
         assert abs(total - 1) < 1e-9
 
 
+def test_lm_scores_by_every_ngram_seen_twice(docs, plain):
+    words = {d: [*(t or "").encode().lower().split(), b" end"] for d, t in plain.items()}
+    counts = [collections.Counter(), collections.Counter(), collections.Counter()]
+    for d, w in words.items():
+        if zlib.crc32(str(d).encode()) % 10:
+            for k, c in enumerate(counts):
+                c.update(tuple(w[i : i + k + 1]) for i in range(len(w) - k))
+    n, v = sum(counts[0].values()), len(counts[0])
+    arcs = [{g: c for g, c in cs.items() if c >= 2} for cs in counts]
+    kids = collections.defaultdict(list)
+    for g in [*arcs[1], *arcs[2]]:
+        kids[g[:-1]].append(g)
+
+    def p(g):
+        if len(g) == 1:
+            return (counts[0][g] + 0.1) / (n + 0.1 * (v + 1))
+        return (arcs[len(g) - 1][g] - 0.75) / counts[len(g) - 2][g[:-1]] if g in arcs[len(g) - 1] else fail(g[:-1]) * p(g[1:])
+
+    @functools.cache
+    def fail(s):
+        return (1 - sum(p(g) for g in kids[s])) / (1 - sum(p(g[1:]) for g in kids[s])) if s in kids else 1.0
+
+    rows = lm.score_documents(docs.repartition(7)).collect()
+    assert len(arcs[1]) > 1000 and len(rows) == len(plain)
+    for r in rows:
+        w = words[r["doc_id"]]
+        assert math.isclose(r["score"], sum(math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w))), rel_tol=1e-9)
+
+
 def test_language_on_held_out_documents(docs):
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
