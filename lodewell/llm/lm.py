@@ -184,11 +184,21 @@ class Automaton:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return pa.Codec("zstd", 1).compress(values.tobytes(), asbytes=True) if len(values) else b""
+    """Values compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True) if len(values) else b""
 
 
 def _unpack(raw: bytes, n: int, kind: type) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd", 1).decompress(raw, n * np.dtype(kind).itemsize, asbytes=True), kind) if n else np.zeros(0, kind)
+    if not n:
+        return np.zeros(0, kind)
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(pa.Codec("zstd", 1).decompress(raw, n * width, asbytes=True), np.uint8).reshape(width, n).T.copy().view(kind).ravel()
+
+
+def _keys(sent: pa.Table) -> np.ndarray:
+    """The keys that were sent, as sums of differences of sorted hashes."""
+    return np.concatenate([np.cumsum(_unpack(x, n, np.uint64)) for x, n in zip(sent.column("keys").to_pylist(), sent.column("n").to_pylist())])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +245,10 @@ def _parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return order, part[at], np.append(at, len(keys))
 
 
-def _send(block: int, parts: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.Table:
+def _send(block: int, parts: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, half: int | None = None) -> pa.Table:
     order, part, at = _parts(keys, parts)
     keys, a, b = keys[order], a[order], None if b is None else b[order]
-    rows = [(p, block, y - x, keys[x:y].tobytes(), _pack(a[x:y]), None if b is None else _pack(b[x:y])) for p, x, y in zip(part.tolist(), at[:-1].tolist(), at[1:].tolist())]
+    rows = [(p, block, y - x, _pack(np.diff(keys[x:y], prepend=_U(0))), _pack(a[x:y]), None if b is None else _pack(b[x:y])) for p, x, y in zip(part.tolist(), at[:-1].tolist(), at[1:].tolist()) if half in (None, p % 2)]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _SENT_ARROW)], schema=_SENT_ARROW)
 
 
@@ -253,7 +263,7 @@ def _add_counts(step: int):
 
     def run(sent: pa.Table) -> pa.Table:
         sizes = sent.column("n").to_pylist()
-        keys = np.frombuffer(b"".join(sent.column("keys").to_pylist()), np.uint64)
+        keys = _keys(sent)
         own = np.concatenate([_unpack(x, n, np.int64) for x, n in zip(sent.column("a").to_pylist(), sizes)])
         found, first, at = np.unique(keys, return_index=True, return_inverse=True)
         total = np.zeros(len(found), np.int64)
@@ -272,7 +282,7 @@ def _add_masses(step: int):
 
     def run(sent: pa.Table) -> pa.Table:
         sizes = sent.column("n").to_pylist()
-        found, at = np.unique(np.frombuffer(b"".join(sent.column("keys").to_pylist()), np.uint64), return_inverse=True)
+        found, at = np.unique(_keys(sent), return_inverse=True)
         used, under = (np.bincount(at, np.concatenate([_unpack(x, n, np.float64) for x, n in zip(sent.column(c).to_pylist(), sizes)]), len(found)) for c in "ab")
         fail = (np.maximum(1 - used, 1e-12) / np.maximum(1 - under, 1e-12))[at]
         ends = np.cumsum(sizes)
@@ -353,7 +363,7 @@ class Block:
         self.states = np.flatnonzero(left), np.flatnonzero(left_pair)
         self.state_hash = np.concatenate([self.words[left], self.pair_hash[left_pair]])
 
-    def send_masses(self) -> pa.Table:
+    def send_masses(self, half: int) -> pa.Table:
         own, own3 = self.pairs[self.own_pair], self.triples[self.own_triple]
         context, right = own3 // self.size, own3 % self.size
         # the last two words of a triple arc are a pair arc
@@ -361,7 +371,7 @@ class Block:
         masses = []
         for p, p3 in ((self.pair_p[self.own_pair], self.triple_p[self.own_triple]), (self.uni[own % self.size], lower)):
             masses.append(np.concatenate([np.bincount(own // self.size, p, self.size)[self.states[0]], np.bincount(context, p3, len(self.pairs))[self.states[1]]]))
-        return _send(self.row["block"], self.parts, self.state_hash, *masses)
+        return _send(self.row["block"], self.parts, self.state_hash, *masses, half)
 
     def scores(self, answers: pa.Table, n: int) -> pa.Table:
         fail = self.told(answers, 3, self.state_hash, np.float64)
@@ -387,7 +397,7 @@ def _start(parts: int):
     return run
 
 
-def _step(step: int, parts: int, n: int, v: int):
+def _step(step: int, parts: int, n: int, v: int, half: int):
     """What a block sends in an exchange, or its scores, from what the exchanges before told it."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
@@ -396,7 +406,7 @@ def _step(step: int, parts: int, n: int, v: int):
         if step == 2:
             return block.send_triples()
         block.hear_triples(answers, n, v)
-        return block.send_masses() if step == 3 else block.scores(answers, n)
+        return block.send_masses(half) if step == 3 else block.scores(answers, n)
 
     return run
 
@@ -443,8 +453,9 @@ def score_documents(docs: DataFrame, fold: int = 10) -> DataFrame:
 
     told = exchange(1, blocks.mapInArrow(_start(parts), _SENT))
     v, n = told.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
-    for step, schema in ((2, _SENT), (3, _SENT), (4, SCHEMA)):
+    # the masses go in two halves of the ranges, for the disks' sake
+    for step, half, schema in ((2, 0, _SENT), (3, 0, _SENT), (3, 1, _SENT), (4, 0, SCHEMA)):
         home = blocks.groupBy(F.col("block").alias("home"))
-        out = home.cogroup(told.select("step", "part", "block", "told").groupBy("block")).applyInArrow(_step(step, parts, n, v), schema)
+        out = home.cogroup(told.select("step", "part", "block", "told").groupBy("block")).applyInArrow(_step(step, parts, n, v, half), schema)
         told = told if step == 4 else told.unionByName(exchange(step, out))
     return out
