@@ -4,9 +4,9 @@ For byte-level BPE the encoding of a prefix is fixed by its last token: each byt
 the encoding before it, so the count of tokens so far moves by a fixed amount. A state of the machine is what later
 bytes can still depend on: the longest suffix that begins some token, with the last token and the relative count at
 each place in that suffix. Transitions are compiled when first met and annotated with the change of the count; reading
-a pre-token is then one table look-up a byte. Texts are cut into chunks; a chunk's map takes the pending bytes of any
-entry state to (count, pending bytes), and the maps are composed pairwise, as in a parallel prefix scan, so that the
-result does not depend on where the cuts fall.
+a pre-token is then one table look-up a byte. Long texts are cut into chunks; a chunk gives (head, count, tail), cut at
+its first and last certain place, and neighbours are joined by tokenizing tail + head again, in one loop in one task: no
+maps over transducer states are built or composed. The result does not depend on where the cuts fall.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; other columns are ignored; an empty table gives none.
 """
