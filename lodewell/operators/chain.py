@@ -14,13 +14,17 @@ STEPS = 4
 def block_intervals(blocks: DataFrame, live: bool = True, per: str | None = None) -> DataFrame:
     """interval_seconds since the block before. Live intervals must be positive; replayed ones are 0 at least.
 
-    Without ``per`` the heights are cut into runs of 100 000 blocks, each of which also sees the last block before it,
-    so no window spans the chain.
+    Without ``per`` the heights are cut into runs of 100 000 blocks, each of which also sees the last block before it
+    (the highest of the last run that has any), so no window spans the chain.
     """
     run = F.floor(F.col("height") / 100_000).cast("bigint")
     base = blocks.withColumn("run", run).withColumn("own", F.lit(True))
-    edge = base.filter(F.col("height") % 100_000 == 99_999).withColumn("run", F.col("run") + 1).withColumn("own", F.lit(False))
-    w = Window.partitionBy(*([per] if per else []), "run").orderBy("height")
+    keys = [per] if per else []
+    last = base.filter("height IS NOT NULL").groupBy(*keys, "run").agg(F.max_by(F.struct(*base.columns), "height").alias("last"))
+    # a row for each run that has blocks, which goes to the next run that has any
+    edge = last.withColumn("next", F.lead("run").over(Window.partitionBy(*keys).orderBy("run"))).filter("next IS NOT NULL")
+    edge = edge.select("last.*", "next").withColumn("run", F.col("next")).withColumn("own", F.lit(False)).drop("next")
+    w = Window.partitionBy(*keys, "run").orderBy("height")
     diff = F.expr("timestampdiff(SECOND, before, timestamp)")
     out = base.unionByName(edge).withColumn("before", F.lag("timestamp").over(w)).filter("own")
     return out.withColumn("interval_seconds", F.when(diff > 0, diff) if live else F.greatest(F.lit(0), diff)).drop("run", "own", "before")

@@ -110,3 +110,15 @@ def test_alert_rules_in_order(spark):
     assert s("WATCHED_ADDRESS_SPENT", "HEURISTIC", 10**12) == "MEDIUM"
     assert s("NEW_DESCENDANT_OBSERVED", "STRUCTURAL", 600_000_000) == "HIGH"
     assert s("NEW_DESCENDANT_OBSERVED", "STRUCTURAL", 6) == "LOW"
+
+
+def test_interval_across_runs_with_missing_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from lodewell.operators import chain
+
+    rows = [(99_998, 1_000), (300_000, 61_000), (300_001, 61_600)]
+    blocks = spark.createDataFrame(rows, "height bigint, t bigint").select("height", F.timestamp_seconds("t").alias("timestamp"), F.lit(1).alias("c"))
+    for per in (None, "c"):
+        got = {r["height"]: r["interval_seconds"] for r in chain.block_intervals(blocks, per=per).collect()}
+        assert got == {99_998: None, 300_000: 60_000, 300_001: 600}
