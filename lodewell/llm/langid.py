@@ -202,12 +202,12 @@ def identify(docs: DataFrame, fold: int = 5, sample_docs: int = SAMPLE_DOCS) ->
     return predict(docs, learn(docs.filter(crc_mod("doc_id", fold) != 0), sample_docs), fold)
 
 
-def drop_unidentified(docs: DataFrame, fold: int = 5, least_score: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The documents whose language the trees tell: not "und", and a posterior of least_score or more."""
+def drop_unidentified(docs: DataFrame, fold: int = 5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The documents whose language the trees tell: all but "und", however short or close the call."""
     shipped = docs.sparkSession.sparkContext.broadcast(learn(docs.filter(crc_mod("doc_id", fold) != 0), sample_docs))
 
     def sure(column: pa.Array) -> pa.Array:
-        langs, scores, _ = _judged(shipped.value, column)
-        return pa.array([lang != UND and score >= least_score for lang, score in zip(langs, scores)], pa.bool_())
+        langs, _, _ = _judged(shipped.value, column)
+        return pa.array([lang != UND for lang in langs], pa.bool_())
 
     return docs.filter(F.arrow_udf(sure, "boolean")("text"))

@@ -268,6 +268,12 @@ def test_language_on_held_out_documents(docs):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
 
 
+def test_short_texts_stay_identified(spark, docs):
+    few = [(10**6 + i, c, None, "a") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    rows = docs.select("doc_id", "text", "lang", "source").unionByName(frame(spark, few).select("doc_id", "text", "lang", "source"))
+    assert langid.drop_unidentified(rows).filter("doc_id >= 1000000").count() == len(few)
+
+
 def test_code_length_of_a_byte_by_hand():
     trees = langid.Trees({"a": {int.from_bytes(b"\0\0\0x", "big"): 3, int.from_bytes(b"\0\0xy", "big"): 1}}, 3)
     data = np.frombuffer(b"xy", np.uint8)
