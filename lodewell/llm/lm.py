@@ -1,17 +1,20 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Unigrams are counted exactly over all training documents and smoothed by adding ALPHA. Every longer n-gram up to order 3
-that is seen LEAST times or more is an arc, so the automaton grows with the corpus. An n-gram arc weighs
-log10((c - DISCOUNT) / c(context)); a state's failure arc carries the mass that its arcs leave over, so that every
-state's outgoing probabilities sum to 1. One left-to-right traversal carries the state: the failure arcs taken and the
-arc found add their weights.
-
-No task holds the automaton. Documents are written in blocks of BLOCK_TOKENS tokens, numbered by a vocabulary of the
-block. A block hands out the hashes of its distinct n-grams with their training counts, one row for each range of
-hashes; a range adds up what all blocks sent and answers each block with totals. Three such exchanges give a block all
-arcs its texts can reach: counts of words and pairs; counts of triples whose two pairs are arcs (no other triple can be
-seen LEAST times); and the mass below each state, to which every arc is added once, by the block that owns it. Each
-block then traverses its own part of the automaton. N-grams meet by 64-bit hash (63 bits for words and pairs).
+that is seen LEAST times or more is an arc, so the automaton grows with the corpus. Orders are interpolated by absolute
+discounting: p(w | h) = (c(hw) - DISCOUNT) / c(h), where hw is an arc, plus f(h) p(w | h without its first word). f(h),
+what the arcs of h leave of 1, is the weight of the failure arc of state h, so every state's probabilities sum to 1.
+A text is read once from left to right: the state (the longest arc that the text so far ends with) is carried from
+token to token; a token without an arc adds the state's failure weight and is tried again from the state it leads to.
+Texts of a block are read side by side, in lanes of LANE tokens at most; a lane that begins inside a text first reads
+the two tokens before it, after which an automaton of order 3 is in the same state as if it had read them all.
+
+No task holds the automaton. Documents are written in blocks of BLOCK_TOKENS tokens (longer texts in several), numbered
+by a vocabulary of the block. A block hands out the hashes of its distinct n-grams with their training counts, one row
+for each range of hashes; a range adds up what all blocks sent and answers each block with totals. Three such exchanges
+give a block all arcs its texts can reach: counts of words and pairs; counts of triples whose two pairs are arcs (no
+other triple can be seen LEAST times); and the arcs' mass of each state, to which every arc is added once, by the block
+that owns it. N-grams meet by 64-bit hash: among 10^12 distinct ones, one in ten million shares another's count.
 
 Defined results: null and empty texts are the end token alone; a null doc_id counts as remainder 0; rows that repeat
 a doc_id are separate documents; other columns are ignored. Without training documents N and V are 0 and every score
@@ -21,7 +24,7 @@ is that of an even spread, log10 of 0.1 / 0.1 a token.
 from __future__ import annotations
 
 import os
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
@@ -36,10 +39,14 @@ from lodewell.llm.common import crc_mod, materialize, mix64, texts
 ALPHA, DISCOUNT, LEAST = 0.1, 0.75, 2
 #: The end token; no word holds a space.
 END = b" end"
-#: Distinct n-grams held by a task before partial counts are given out; tokens and words of a block.
-FLUSH, BLOCK_TOKENS, BLOCK_WORDS = 200_000, 1_000_000, 500_000
+#: Tokens and words of a block; tokens of a lane.
+BLOCK_TOKENS, BLOCK_WORDS, LANE = 1_000_000, 500_000, 512
 #: Ranges of hashes at least, and tokens of the corpus for each further one.
-RANGES, RANGE_TOKENS = 512, 1_000_000
+RANGES, RANGE_TOKENS = 64, 2_000_000
+#: Tokens that a piece of a text repeats from the one before.
+LEAD = 2
+WORD, PAIR, TRIPLE, WORD_MASS, PAIR_MASS = range(5)
+_U = np.uint64
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -48,141 +55,6 @@ def tokens(text: bytes) -> list[bytes]:
     return out
 
 
-def word_hash(word: bytes) -> int:
-    """A signed 64-bit hash."""
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
-
-
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def give() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(map(word_hash, counts)), pa.int64()), pa.array([w if n >= often else None for w, n in counts.items()], pa.binary()), pa.array(list(counts.values()), pa.int64())],
-            ["h", "word", "n"],
-        )
-
-    counts: Counter = Counter()
-    often = 2  # the word itself goes along only where it may turn out frequent; its hash always
-    for batch in batches:
-        for text in texts(batch.column(0)):
-            counts.update(tokens(text))
-            if len(counts) >= FLUSH:
-                yield give()
-                counts.clear()
-    yield give()
-
-
-def _recover(hashes: frozenset[int]):
-    """The words of hashes, for frequent words that no partial count held twice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, int] = {}
-        for batch in batches:
-            for text in texts(batch.column(0)):
-                found |= {w: h for w in set(tokens(text)) - found.keys() if (h := word_hash(w)) in hashes}
-        yield pa.RecordBatch.from_arrays([pa.array(list(found.values()), pa.int64()), pa.array(list(found), pa.binary())], ["h", "word"])
-
-    return run
-
-
-def _ids(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    get = known.get
-    return np.array([get(w, -1) for w in words], np.int64)
-
-
-def _ngrams(known: dict[bytes, int], pairs: np.ndarray | None):
-    """Counts of pairs of frequent words or, given the frequent pairs, of triples over them, keyed as integers."""
-    size = len(known)
-
-    def keys(ids: np.ndarray) -> np.ndarray:
-        two = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * size + ids[1:], -1)
-        if pairs is None:
-            return two[two >= 0]
-        if len(two) < 2 or not len(pairs):
-            return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(pairs, two[:-1]), len(pairs) - 1)
-        good = (pairs[at] == two[:-1]) & (two[1:] >= 0)
-        good &= np.isin(two[1:], pairs)
-        return (at * size + ids[2:])[good]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def give() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
-
-        held, n = [], 0
-        for batch in batches:
-            for text in texts(batch.column(0)):
-                held.append(keys(_ids(tokens(text), known)))
-                n += len(held[-1])
-                if n >= 8 * FLUSH:
-                    yield give()
-                    held, n = [], 0
-        yield give()
-
-    return run
-
-
-class Automaton:
-    """States, arcs and failure arcs of the pruned n-gram model, as sorted arrays."""
-
-    def __init__(self, words: list[tuple[bytes, int]], n: int, v: int) -> None:
-        words = sorted(words)
-        self.known = {w: i for i, (w, _) in enumerate(words)}
-        self.count = np.array([c for _, c in words], np.float64)
-        self.n, self.v = n, v
-        self.total = n + ALPHA * (v + 1)
-        self.uni = (self.count + ALPHA) / self.total
-        self.pairs = self.triples = np.zeros(0, np.int64)
-
-    def learn_pairs(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order, size = np.argsort(keys), max(1, len(self.known))
-        self.pairs, self.pair_count = keys[order], counts[order].astype(np.float64)
-        left, right = self.pairs // size, self.pairs % size
-        self.pair_p = (self.pair_count - DISCOUNT) / self.count[left]
-        used = np.bincount(left, self.pair_p, len(self.known))
-        under = np.bincount(left, self.uni[right], len(self.known))
-        self.fail_word = np.maximum(1 - used, 1e-12) / np.maximum(1 - under, 1e-12)
-
-    def learn_triples(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order, size = np.argsort(keys), max(1, len(self.known))
-        self.triples = keys[order]
-        context, right = self.triples // size, self.triples % size
-        self.triple_p = (counts[order].astype(np.float64) - DISCOUNT) / self.pair_count[context]
-        used = np.bincount(context, self.triple_p, len(self.pairs))
-        # a triple arc exists only where its last two words are a pair arc, so the lower order is that arc
-        lower = self.pair_p[np.searchsorted(self.pairs, self.pairs[context] % size * size + right)]
-        under = np.bincount(context, lower, len(self.pairs))
-        self.fail_pair = np.maximum(1 - used, 1e-12) / np.maximum(1 - under, 1e-12)
-
-    def find(self, table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The place of each key in a sorted table, or -1."""
-        if not len(table):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return np.where((table[at] == keys) & (keys >= 0), at, -1)
-
-    def traverse(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 weights added at each token of texts laid end to end; first marks their beginnings.
-
-        At a token without an id only the failure arcs down to the empty state are added; its unigram is added later.
-        """
-        size = max(1, len(self.known))
-        before = np.append(-1, ids[:-1])
-        before[first] = -1
-        pair_key = np.where((before >= 0) & (ids >= 0), before * size + ids, -1)
-        pair = self.find(self.pairs, pair_key)
-        context = np.append(-1, pair[:-1])
-        context[first] = -1
-        triple = self.find(self.triples, np.where((context >= 0) & (ids >= 0), context * size + ids, -1))
-        p = np.where(ids >= 0, self.uni[ids] if len(self.uni) else 1.0, 1.0)
-        has_word = before >= 0
-        if len(self.pairs):
-            p = np.where(pair >= 0, self.pair_p[pair], p * np.where(has_word, self.fail_word[before], 1.0))
-        if len(self.triples):
-            p = np.where(triple >= 0, self.triple_p[triple], p * np.where(context >= 0, self.fail_pair[context], 1.0))
-        return np.log10(p)
-
-
 def _pack(values: np.ndarray) -> bytes:
     """Values compressed byte plane by byte plane."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
@@ -196,99 +68,145 @@ def _unpack(raw: bytes, n: int, kind: type) -> np.ndarray:
     return np.frombuffer(pa.Codec("zstd", 1).decompress(raw, n * width, asbytes=True), np.uint8).reshape(width, n).T.copy().view(kind).ravel()
 
 
-def _keys(sent: pa.Table) -> np.ndarray:
-    """The keys that were sent, as sums of differences of sorted hashes."""
-    return np.concatenate([np.cumsum(_unpack(x, n, np.uint64)) for x, n in zip(sent.column("keys").to_pylist(), sent.column("n").to_pylist())])
+def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram from those of its two overlapping parts (of its two words, for a pair)."""
+    return mix64(mix64(left ^ _U(0x9E3779B97F4A7C15)) + right)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def give() -> pa.RecordBatch:
-        # the blocks are written once, so a drawn number tells them apart
-        block = int.from_bytes(os.urandom(8), "little", signed=True)
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary], np.uint64)
-        row = ([block], [n_tokens], [[d[0] for d in docs]], [[d[1] for d in docs]], [[len(d[2]) for d in docs]], [_pack(np.concatenate([d[2] for d in docs]))], [hashes.tobytes()])
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names)
-
-    names = ["block", "n_tokens", "doc_ids", "held_out", "lengths", "ids", "words"]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-    vocabulary, docs, n_tokens = defaultdict(count().__next__), [], 0
-    for batch in batches:
-        for doc, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
-            docs.append((doc, held_out, np.array(list(map(vocabulary.__getitem__, tokens(text))), np.uint32)))
-            n_tokens += len(docs[-1][2])
-            if n_tokens >= BLOCK_TOKENS or len(vocabulary) >= BLOCK_WORDS:
-                yield give()
-                vocabulary, docs, n_tokens = defaultdict(count().__next__), [], 0
-    if docs:
-        yield give()
+class _Writer:
+    """Pieces of texts gathered into the row of a block. Word ids follow the order of the words' hashes."""
 
+    names = ["block", "n_tokens", "homes", "places", "doc_ids", "held_out", "leads", "lengths", "ids", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
-_BLOCKS = "block bigint, n_tokens bigint, doc_ids array<bigint>, held_out array<boolean>, lengths array<bigint>, ids binary, words binary"
-_SENT = "part int, block bigint, n int, keys binary, a binary, b binary"
-_SENT_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
-_TOLD = "step int, part int, block bigint, told binary, n_words bigint, train_tokens bigint"
-SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    def __init__(self) -> None:
+        # blocks are written once, so a drawn number tells them apart
+        self.block = int.from_bytes(os.urandom(8), "little", signed=True)
+        self.vocabulary, self.pieces, self.n_tokens = defaultdict(count().__next__), [], 0
 
-_U = np.uint64
+    def add(self, words: list[bytes], *of) -> None:
+        self.pieces.append((*of, np.array(list(map(self.vocabulary.__getitem__, words)), np.uint32)))
+        self.n_tokens += len(words)
 
+    def full(self) -> bool:
+        return self.n_tokens >= BLOCK_TOKENS or len(self.vocabulary) >= BLOCK_WORDS
 
-def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The hash of an n-gram from those of what leads up to its last word, and of that word."""
-    return mix64(mix64(left ^ _U(0x9E3779B97F4A7C15)) + right)
+    def row(self) -> pa.RecordBatch:
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.vocabulary], np.uint64)
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        homes, places, docs, held, leads, ids = zip(*self.pieces)
+        row = (self.block, self.n_tokens, homes, places, docs, held, leads, list(map(len, ids)), _pack(rank[np.concatenate(ids)]), hashes[order].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, self.kinds)], self.names)
 
 
-def _parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of keys by hash, the ranges that have any, and where each of those begins, with the end."""
-    order = np.argsort(keys, kind="stable")
-    part = ((keys[order] >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = _Writer()
+    for batch in batches:
+        for doc, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
+            words = tokens(text)
+            of = (out.block, len(out.pieces), doc, held_out)
+            for a in range(0, len(words), BLOCK_TOKENS):
+                lead = min(a, LEAD)
+                out.add(words[a - lead : a + BLOCK_TOKENS], *of, lead)
+                if out.full():
+                    yield out.row()
+                    out = _Writer()
+    if out.pieces:
+        yield out.row()
+
+
+_BLOCKS = "block bigint, n_tokens bigint, homes array<bigint>, places array<int>, doc_ids array<bigint>, held_out array<boolean>, leads array<int>, lengths array<bigint>, ids binary, words binary"
+_SENT = "kind int, part int, block bigint, n int, keys binary, sums binary"
+_SENT_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("sums", pa.binary())])
+_TOLD = "kind int, part int, block bigint, told binary, n_words bigint, train_tokens bigint"
+_FOUND = "home bigint, place int, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _parts(keys: np.ndarray, parts: int) -> tuple[list[int], list[int]]:
+    """The ranges that sorted keys fall into, and where each of those begins, with the end."""
+    part = ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
     at = np.flatnonzero(np.diff(part, prepend=-1))
-    return order, part[at], np.append(at, len(keys))
+    return part[at].tolist(), [*at.tolist(), len(keys)]
 
 
-def _send(block: int, parts: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, half: int | None = None) -> pa.Table:
-    order, part, at = _parts(keys, parts)
-    keys, a, b = keys[order], a[order], None if b is None else b[order]
-    rows = [(p, block, y - x, _pack(np.diff(keys[x:y], prepend=_U(0))), _pack(a[x:y]), None if b is None else _pack(b[x:y])) for p, x, y in zip(part.tolist(), at[:-1].tolist(), at[1:].tolist()) if half in (None, p % 2)]
+def _send(block: int, parts: int, kind: int, keys: np.ndarray, sums: np.ndarray) -> pa.Table:
+    """A row for each range: differences of the sorted keys, and what the block adds to each."""
+    part, at = _parts(keys, parts)
+    steps = np.diff(keys, prepend=_U(0))
+    steps[at[:-1]] = keys[at[:-1]]
+    rows = [(kind, p, block, b - a, _pack(steps[a:b]), _pack(sums[a:b])) for p, a, b in zip(part, at, at[1:])]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _SENT_ARROW)], schema=_SENT_ARROW)
 
 
-def _answer(sent: pa.Table, step: int, told: list[bytes], n_words: int, n: int) -> pa.Table:
+def _add(sent: pa.Table) -> pa.Table:
+    """The sum of each key over all blocks, negative except for the block that owns it."""
+    kind, sizes = sent.column("kind")[0].as_py(), sent.column("n").to_pylist()
+    keys, sums = (np.concatenate([_unpack(x, n, t) for x, n in zip(sent.column(c).to_pylist(), sizes)]) for c, t in (("keys", np.uint64), ("sums", np.int64)))
+    ends = np.cumsum(sizes)
+    for a, b in zip(ends - sizes, ends):
+        np.cumsum(keys[a:b], out=keys[a:b])
+    found, at = np.unique(keys, return_inverse=True)
+    total = np.bincount(at, sums, len(found)) if sums.max(initial=0) < 1 << 20 and len(sums) < 1 << 32 else None
+    if total is None:  # beyond what doubles add exactly
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, at, sums)
+    total = total.astype(np.int64)
+    owner = np.empty(len(found), np.int64)
+    owner[at] = np.arange(len(keys))
+    signed = -total[at]
+    signed[owner] *= -1
+    told = [_pack(signed[b - n : b]) for b, n in zip(ends, sizes)]
+    words, tokens_ = (int((total > 0).sum()), int(total.sum())) if kind == WORD else (0, 0)
     first = [1] + [0] * (len(told) - 1)
-    columns = [pa.array([step] * len(told), pa.int32()), sent.column("part"), sent.column("block"), pa.array(told, pa.binary())]
-    return pa.table([*columns, pa.array([n_words * x for x in first], pa.int64()), pa.array([n * x for x in first], pa.int64())], _TOLD.replace(",", "").split()[::2])
+    columns = [sent.column("kind"), sent.column("part"), sent.column("block"), pa.array(told, pa.binary()), pa.array([words * x for x in first], pa.int64()), pa.array([tokens_ * x for x in first], pa.int64())]
+    return pa.table(columns, _TOLD.replace(",", "").split()[::2])
 
 
-def _add_counts(step: int):
-    """The count of each key over all blocks, negative except for the block that owns it."""
-
-    def run(sent: pa.Table) -> pa.Table:
-        sizes = sent.column("n").to_pylist()
-        keys = _keys(sent)
-        own = np.concatenate([_unpack(x, n, np.int64) for x, n in zip(sent.column("a").to_pylist(), sizes)])
-        found, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        total = np.zeros(len(found), np.int64)
-        np.add.at(total, at, own)
-        words = total[(found & _U(1)) == 0]
-        signed = -total[at]
-        signed[first] *= -1
-        ends = np.cumsum(sizes)
-        return _answer(sent, step, [_pack(signed[e - n : e]) for e, n in zip(ends, sizes)], int((words > 0).sum()), int(words.sum()))
-
-    return run
+class Automaton:
+    """The states, arcs and failure arcs that the texts of a block can reach.
 
+    State 0 is the empty one, then come words, then pairs that are arcs. Arcs are held by order, longest first: the
+    state they leave, their weight and the state they lead to.
+    """
 
-def _add_masses(step: int):
-    """The weight of each state's failure arc, from the mass of its arcs and of the same words one order lower."""
+    def __init__(self, n_words: int, n_pairs: int) -> None:
+        self.depth_from = (1 + n_words, 1, 0)  # the first state of depth two, of depth one, of any
+        self.fail_weight, self.fail_to = np.zeros(1 + n_words + n_pairs), np.zeros(1 + n_words + n_pairs, np.int64)
+        self.arcs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def run(sent: pa.Table) -> pa.Table:
-        sizes = sent.column("n").to_pylist()
-        found, at = np.unique(_keys(sent), return_inverse=True)
-        used, under = (np.bincount(at, np.concatenate([_unpack(x, n, np.float64) for x, n in zip(sent.column(c).to_pylist(), sizes)]), len(found)) for c in "ab")
-        fail = (np.maximum(1 - used, 1e-12) / np.maximum(1 - under, 1e-12))[at]
-        ends = np.cumsum(sizes)
-        return _answer(sent, step, [_pack(fail[e - n : e]) for e, n in zip(ends, sizes)], 0, 0)
+    def traverse(self, arcs_at: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The weight of each token. arcs_at: at each token the arc of each order that its n-gram has, or -1.
 
-    return run
+        starts, ends: of the texts. Lanes are read side by side, each with a state of its own.
+        """
+        cuts = [np.arange(a, b, LANE) for a, b in zip(starts.tolist(), ends.tolist())]
+        lane, stop = np.concatenate(cuts), np.concatenate([np.minimum(c + LANE, b) for c, b in zip(cuts, ends.tolist())])
+        begin = np.maximum(lane - LEAD, np.repeat(starts, list(map(len, cuts))))
+        order = np.argsort(begin - stop, kind="stable")  # the longest first, so that lanes still read are a prefix
+        lane, stop, begin = lane[order], stop[order], begin[order]
+        length = stop - begin
+        out, states = np.zeros(len(arcs_at[0])), np.zeros(len(begin), np.int64)
+        for t in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(-length, -t, side="left"))
+            at, state = begin[:n] + t, states[:n]
+            weight, reached, open_ = np.zeros(n), np.zeros(n, np.int64), np.ones(n, bool)
+            for (leaves, arc_weight, leads), arc_of, deep in zip(self.arcs, arcs_at, self.depth_from):
+                arc = arc_of[at]
+                hit = open_ & (arc >= 0)
+                hit[hit] = leaves[arc[hit]] == state[hit]
+                taken = arc[hit]
+                weight[hit] += arc_weight[taken]
+                reached[hit] = leads[taken]
+                open_ &= ~hit
+                down = open_ & (state >= max(deep, 1))
+                weight[down] += self.fail_weight[state[down]]
+                state[down] = self.fail_to[state[down]]
+            states[:n] = reached
+            own = at >= lane[:n]
+            out[at[own]] = weight[own]
+        return out
 
 
 class Block:
@@ -297,95 +215,93 @@ class Block:
     def __init__(self, row: dict, parts: int) -> None:
         self.row, self.parts = row, parts
         self.ids = _unpack(row["ids"], row["n_tokens"], np.uint32).astype(np.int64)
-        self.words = np.frombuffer(row["words"], np.uint64) & ~_U(1)
-        self.size, lengths = len(self.words), np.array(row["lengths"])
-        self.starts = np.cumsum(lengths) - lengths
-        self.first = np.zeros(len(self.ids), bool)
-        self.first[self.starts] = True
-        self.train = np.repeat(~np.array(row["held_out"], bool), lengths)
-        self.later = np.flatnonzero(~self.first)
-        self.pairs, at = np.unique(self.ids[self.later - 1] * self.size + self.ids[self.later], return_inverse=True)
-        self.pair = np.full(len(self.ids), -1)
-        self.pair[self.later] = at
-        self.pair_hash = _join(self.words[self.pairs // self.size], self.words[self.pairs % self.size]) | _U(1)
-
-    def counted(self, at: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(at[self.train[where]], minlength=n).astype(np.int64)
+        self.words, lengths = np.frombuffer(row["words"], np.uint64), np.array(row["lengths"])
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        first = np.zeros(len(self.ids), bool)
+        first[self.starts] = True
+        self.leads = np.array(row["leads"])
+        self.counts = np.repeat(~np.array(row["held_out"], bool), lengths)
+        self.lead = np.zeros(len(self.ids), bool)
+        for a, n in zip(self.starts[self.leads > 0], self.leads[self.leads > 0]):
+            self.lead[a : a + n] = True
+        self.counts &= ~self.lead
+        self.later = np.flatnonzero(~first)
+        self.pairs, self.pair = self.grams(_join(self.words[self.ids[self.later - 1]], self.words[self.ids[self.later]]), self.later)
+
+    def grams(self, hashes: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes in order, and the place among them of the n-gram that ends at each token, or -1."""
+        keys, at = np.unique(hashes, return_inverse=True)
+        out = np.full(len(self.ids), -1)
+        out[where] = at
+        return keys, out
+
+    def counted(self, at: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(at[self.counts & (at >= 0)], minlength=n).astype(np.int64)
+
+    def send(self, kind: int, keys: np.ndarray, sums: np.ndarray) -> pa.Table:
+        return _send(self.row["block"], self.parts, kind, keys, sums)
+
+    def told(self, answers: dict, kind: int, keys: np.ndarray) -> np.ndarray:
+        part, at = _parts(keys, self.parts)
+        return np.concatenate([np.zeros(0, np.int64), *(_unpack(answers[kind, p], b - a, np.int64) for p, a, b in zip(part, at, at[1:]))])
 
     def send_pairs(self) -> pa.Table:
-        n = np.concatenate([self.counted(self.ids, np.arange(len(self.ids)), self.size), self.counted(self.pair[self.later], self.later, len(self.pairs))])
-        return _send(self.row["block"], self.parts, np.concatenate([self.words, self.pair_hash]), n)
-
-    def told(self, answers: pa.Table, step: int, keys: np.ndarray, kind: type) -> np.ndarray:
-        answers = {p: x for s, p, x in zip(*(answers.column(c).to_pylist() for c in ("step", "part", "told"))) if s == step}
-        order, part, at = _parts(keys, self.parts)
-        out = np.zeros(len(keys), kind)
-        if len(keys):
-            out[order] = np.concatenate([_unpack(answers[p], n, kind) for p, n in zip(part.tolist(), np.diff(at).tolist())])
-        return out
+        return pa.concat_tables([self.send(WORD, self.words, self.counted(self.ids, len(self.words))), self.send(PAIR, self.pairs, self.counted(self.pair, len(self.pairs)))])
 
-    def hear_pairs(self, answers: pa.Table) -> None:
-        n = self.told(answers, 1, np.concatenate([self.words, self.pair_hash]), np.int64)
-        self.count, pair_count = np.abs(n[: self.size]), n[self.size :]
-        arc = np.abs(pair_count) >= LEAST
-        place = np.append(np.where(arc, np.cumsum(arc) - 1, -1), -1)
+    def hear_pairs(self, answers: dict) -> None:
+        self.count, n = np.abs(self.told(answers, WORD, self.words)), self.told(answers, PAIR, self.pairs)
+        arc = np.abs(n) >= LEAST
         # from here on only pairs that are arcs count
-        self.pairs, self.pair_hash, self.pair = self.pairs[arc], self.pair_hash[arc], place[self.pair]
-        self.pair_count, self.own_pair = np.abs(pair_count[arc]), pair_count[arc] > 0
-        self.context = np.append(-1, self.pair[:-1])
-        self.context[self.first] = -1
-        self.both = np.flatnonzero((self.context >= 0) & (self.pair >= 0))
-        self.triples, at = np.unique(self.context[self.both] * self.size + self.ids[self.both], return_inverse=True)
-        self.triple = np.full(len(self.ids), -1)
-        self.triple[self.both] = at
-        self.triple_hash = _join(self.pair_hash[self.triples // self.size], self.words[self.triples % self.size])
+        self.pair = np.append(np.where(arc, np.cumsum(arc) - 1, -1), -1)[self.pair]
+        self.pairs, self.pair_count, self.own_pair = self.pairs[arc], np.abs(n[arc]), n[arc] > 0
+        at = np.flatnonzero(self.pair >= 0)
+        self.left, self.right = np.zeros(len(self.pairs), np.int64), np.zeros(len(self.pairs), np.int64)
+        self.left[self.pair[at]], self.right[self.pair[at]] = self.ids[at - 1], self.ids[at]
+        both = at[1:][(np.diff(at) == 1) & (self.pair[at[1:] - 1] >= 0)] if len(at) else at
+        self.triples, self.triple = self.grams(_join(self.pairs[self.pair[both - 1]], self.pairs[self.pair[both]]), both)
 
     def send_triples(self) -> pa.Table:
-        return _send(self.row["block"], self.parts, self.triple_hash, self.counted(self.triple[self.both], self.both, len(self.triples)))
-
-    def hear_triples(self, answers: pa.Table, n: int, v: int) -> None:
-        n3 = self.told(answers, 2, self.triple_hash, np.int64)
-        arc = np.abs(n3) >= LEAST
-        self.triple = np.append(np.where(arc, 0, -1), -1)[self.triple]
-        self.triples, n3 = self.triples[arc], n3[arc]
-        self.own_triple, context = n3 > 0, self.triples // self.size
-        self.uni = (self.count + ALPHA) / (n + ALPHA * (v + 1))
-        self.pair_p = (self.pair_count - DISCOUNT) / self.count[self.pairs // self.size]
-        self.triple_p = (np.abs(n3) - DISCOUNT) / self.pair_count[context]
-        # states that some text leaves by the failure arc, and states for which this block owns an arc
-        left = np.zeros(self.size, bool)
-        left[self.pairs[self.own_pair] // self.size] = True
-        left[self.ids[self.later - 1][self.pair[self.later] < 0]] = True
-        left &= self.count >= LEAST
-        left_pair = np.zeros(len(self.pairs), bool)
-        left_pair[context[self.own_triple]] = True
-        left_pair[self.context[(self.context >= 0) & (self.triple < 0)]] = True
-        self.states = np.flatnonzero(left), np.flatnonzero(left_pair)
-        self.state_hash = np.concatenate([self.words[left], self.pair_hash[left_pair]])
-
-    def send_masses(self, half: int) -> pa.Table:
-        own, own3 = self.pairs[self.own_pair], self.triples[self.own_triple]
-        context, right = own3 // self.size, own3 % self.size
-        # the last two words of a triple arc are a pair arc
-        lower = self.pair_p[np.searchsorted(self.pairs, self.pairs[context] % self.size * self.size + right)]
-        masses = []
-        for p, p3 in ((self.pair_p[self.own_pair], self.triple_p[self.own_triple]), (self.uni[own % self.size], lower)):
-            masses.append(np.concatenate([np.bincount(own // self.size, p, self.size)[self.states[0]], np.bincount(context, p3, len(self.pairs))[self.states[1]]]))
-        return _send(self.row["block"], self.parts, self.state_hash, *masses, half)
-
-    def scores(self, answers: pa.Table, n: int) -> pa.Table:
-        fail = self.told(answers, 3, self.state_hash, np.float64)
-        model = Automaton.__new__(Automaton)
-        model.known, model.uni = range(self.size), self.uni
-        model.pairs, model.pair_p, model.triples, model.triple_p = self.pairs, self.pair_p, self.triples, self.triple_p
-        model.fail_word, model.fail_pair = np.ones(self.size), np.ones(len(self.pairs))
-        model.fail_word[self.states[0]] = fail[: len(self.states[0])]
-        model.fail_pair[self.states[1]] = fail[len(self.states[0]) :]
-        row = self.row
-        columns = [row["doc_ids"], row["held_out"], row["lengths"], np.add.reduceat((self.count > 0)[self.ids].astype(np.int64), self.starts), [n] * len(self.starts)]
-        columns += [np.add.reduceat(x, self.starts) for x in (np.log10(self.uni)[self.ids], model.traverse(self.ids, self.first))]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], SCHEMA.replace(",", "").split()[::2])
+        return self.send(TRIPLE, self.triples, self.counted(self.triple, len(self.triples)))
+
+    def hear_triples(self, answers: dict) -> None:
+        n = self.told(answers, TRIPLE, self.triples)
+        arc = np.abs(n) >= LEAST
+        self.triple = np.append(np.where(arc, np.cumsum(arc) - 1, -1), -1)[self.triple]
+        self.triple_count, self.own_triple = np.abs(n[arc]), n[arc] > 0
+        at = np.flatnonzero(self.triple >= 0)
+        self.context, self.last = np.zeros(len(self.triple_count), np.int64), np.zeros(len(self.triple_count), np.int64)
+        self.context[self.triple[at]], self.last[self.triple[at]] = self.pair[at - 1], self.pair[at]
+
+    def send_masses(self) -> pa.Table:
+        """Four times the mass that the arcs of each state take, of the arcs that this block owns."""
+        mass = lambda n, own, state, size: np.bincount(state[own], (4 * n - round(4 * DISCOUNT))[own], size).astype(np.int64)
+        words = self.send(WORD_MASS, self.words, mass(self.pair_count, self.own_pair, self.left, len(self.words)))
+        return pa.concat_tables([words, self.send(PAIR_MASS, self.pairs, mass(self.triple_count, self.own_triple, self.context, len(self.pairs)))])
+
+    def automaton(self, answers: dict, n: int, v: int) -> Automaton:
+        """Arcs are put together from the shorter ones, so each weighs the interpolated probability."""
+        words, pairs = len(self.words), len(self.pairs)
+        rest = lambda kind, keys, of: 1 - np.abs(self.told(answers, kind, keys)) / 4 / np.maximum(of, 1)
+        fail_word, fail_pair = rest(WORD_MASS, self.words, self.count), rest(PAIR_MASS, self.pairs, self.pair_count)
+        self.p = (self.count + ALPHA) / (n + ALPHA * (v + 1))
+        p2 = (self.pair_count - DISCOUNT) / self.count[self.left] + fail_word[self.left] * self.p[self.right]
+        p3 = (self.triple_count - DISCOUNT) / self.pair_count[self.context] + fail_pair[self.context] * p2[self.last]
+        out = Automaton(words, pairs)
+        out.fail_weight[1:] = np.log10(np.concatenate([fail_word, fail_pair]))
+        out.fail_to[1 + words :] = 1 + self.right
+        out.arcs = [(1 + words + self.context, np.log10(p3), 1 + words + self.last), (1 + self.left, np.log10(p2), 1 + words + np.arange(pairs)), (np.zeros(words, np.int64), np.log10(self.p), 1 + np.arange(words))]
+        return out
+
+    def scores(self, answers: dict, n: int, v: int) -> pa.Table:
+        model = self.automaton(answers, n, v)
+        own = ~self.lead
+        add = lambda x: np.add.reduceat(np.where(own, x, 0), self.starts)
+        row, size = self.row, self.ends - self.starts - self.leads
+        score = add(model.traverse([self.triple, self.pair, self.ids], self.starts, self.ends))
+        columns = [row["homes"], row["places"], row["doc_ids"], row["held_out"], size, add((self.count > 0)[self.ids].astype(np.int64)), add(np.log10(self.p)[self.ids]), score]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], _FOUND.replace(",", "").split()[::2])
 
 
 def _start(parts: int):
@@ -397,43 +313,21 @@ def _start(parts: int):
     return run
 
 
-def _step(step: int, parts: int, n: int, v: int, half: int):
+def _step(step: int, parts: int, n: int, v: int):
     """What a block sends in an exchange, or its scores, from what the exchanges before told it."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        heard = {(k, p): x for k, p, x in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "told")))}
         block = Block(blocks.to_pylist()[0], parts)
-        block.hear_pairs(answers)
+        block.hear_pairs(heard)
         if step == 2:
             return block.send_triples()
-        block.hear_triples(answers, n, v)
-        return block.send_masses(half) if step == 3 else block.scores(answers, n)
+        block.hear_triples(heard)
+        return block.send_masses() if step == 3 else block.scores(heard, n, v)
 
     return run
 
 
-def fit(train: DataFrame, cut: float = 0.0) -> tuple[DataFrame, Automaton]:
-    """The written unigram table (h, c) and the automaton, gathered in the driver: for looking at small corpora.
-
-    Scoring does not use it. A cut above 0 also leaves out n-grams of a smaller relative frequency.
-    """
-    # null when no word was seen twice by the task
-    counted = train.select("text").mapInArrow(_unigrams, "h bigint, word binary, n bigint")
-    unigrams = materialize(counted.groupBy("h").agg(F.sum("n").alias("c"), F.max("word").alias("word")), "lm-unigrams")
-    n, v = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(LEAST, int(np.ceil(cut * n)))
-    frequent = {r["h"]: (r["word"], r["c"]) for r in unigrams.filter(F.col("c") >= least).collect()}
-    if missing := frozenset(h for h, (word, _) in frequent.items() if word is None):
-        for r in train.select("text").mapInArrow(_recover(missing), "h bigint, word binary").groupBy("h").agg(F.max("word").alias("word")).collect():
-            frequent[r["h"]] = (r["word"], frequent[r["h"]][1])
-    model = Automaton([(bytes(word), c) for word, c in frequent.values()], n, v)
-    for learn in (model.learn_pairs, model.learn_triples):
-        pairs = None if learn == model.learn_pairs else model.pairs
-        grams = train.select("text").mapInArrow(_ngrams(model.known, pairs), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("c"))
-        kept = grams.filter(F.col("c") >= least).toArrow()
-        learn(kept.column("key").to_numpy().astype(np.int64), kept.column("c").to_numpy())
-    return unigrams.select("h", "c"), model
-
-
 def score_documents(docs: DataFrame, fold: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text, by a model of the documents outside the held-out fold."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (crc_mod("doc_id", fold) == 0).alias("held_out"), "text")
@@ -441,21 +335,21 @@ def score_documents(docs: DataFrame, fold: int = 10) -> DataFrame:
     parts = max(RANGES, (blocks.agg(F.sum("n_tokens")).first()[0] or 0) // RANGE_TOKENS)
 
     def exchange(step: int, sent: DataFrame) -> DataFrame:
-        add = _add_masses(step) if step == 3 else _add_counts(step)
         # what was shuffled is of no use once the answers are written, and would fill the disks
         conf, key = docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = conf.get(key)
         conf.set(key, "true")
         try:
-            return materialize(sent.groupBy("part").applyInArrow(add, _TOLD), f"lm-told-{step}")
+            return materialize(sent.groupBy("kind", "part").applyInArrow(_add, _TOLD), f"lm-told-{step}")
         finally:
             conf.set(key, before)
 
     told = exchange(1, blocks.mapInArrow(_start(parts), _SENT))
     v, n = told.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
-    # the masses go in two halves of the ranges, for the disks' sake
-    for step, half, schema in ((2, 0, _SENT), (3, 0, _SENT), (3, 1, _SENT), (4, 0, SCHEMA)):
+    for step, schema in ((2, _SENT), (3, _SENT), (4, _FOUND)):
         home = blocks.groupBy(F.col("block").alias("home"))
-        out = home.cogroup(told.select("step", "part", "block", "told").groupBy("block")).applyInArrow(_step(step, parts, n, v, half), schema)
+        out = home.cogroup(told.select("kind", "part", "block", "told").groupBy("block")).applyInArrow(_step(step, parts, n, v), schema)
         told = told if step == 4 else told.unionByName(exchange(step, out))
-    return out
+    # a text of several pieces is one row again
+    whole = out.groupBy("home", "place", "doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -1,7 +1,6 @@
 """Text operators against brute force, libraries and held-out labels, and on awkward rows."""
 
 import collections
-import functools
 import hashlib
 import math
 import re
@@ -11,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -216,51 +216,96 @@ def test_lm_base_against_brute_force(docs, plain):
         base = sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(counts[x] > 0 for x in w), n, r["doc_id"] not in train)
         assert math.isclose(base, r["base_score"], rel_tol=1e-9)
-    held = [r for r in rows if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-
-
-def test_automaton_sums_to_one(docs):
-    _, model = lm.fit(docs, cut=2e-4)
-    size, rest = len(model.known), 1 - model.uni.sum()
-    assert len(model.pairs) and len(model.triples)
-    pair = int(model.pairs[model.triples[0] // size])
-    for context in ([3], [pair // size, pair % size]):
-        total = 0.0
-        for w in range(-1, size):
-            first = np.zeros(len(context) + 1, bool)
-            first[0] = True
-            total += 10 ** model.traverse(np.array([*context, w]), first)[-1] * (rest if w < 0 else 1)
-        assert abs(total - 1) < 1e-9
 
 
-def test_lm_scores_by_every_ngram_seen_twice(docs, plain):
-    words = {d: [*(t or "").encode().lower().split(), b" end"] for d, t in plain.items()}
+def brute_scores(words, train):
+    """Interpolated scores by recursion over counts in plain dictionaries."""
     counts = [collections.Counter(), collections.Counter(), collections.Counter()]
-    for d, w in words.items():
-        if zlib.crc32(str(d).encode()) % 10:
-            for k, c in enumerate(counts):
-                c.update(tuple(w[i : i + k + 1]) for i in range(len(w) - k))
+    for d in train:
+        for k, c in enumerate(counts):
+            c.update(tuple(words[d][i : i + k + 1]) for i in range(len(words[d]) - k))
     n, v = sum(counts[0].values()), len(counts[0])
-    arcs = [{g: c for g, c in cs.items() if c >= 2} for cs in counts]
-    kids = collections.defaultdict(list)
-    for g in [*arcs[1], *arcs[2]]:
-        kids[g[:-1]].append(g)
+    mass = collections.Counter()
+    for cs in counts[1:]:
+        for g, c in cs.items():
+            if c >= 2:
+                mass[g[:-1]] += c - 0.75
 
     def p(g):
         if len(g) == 1:
             return (counts[0][g] + 0.1) / (n + 0.1 * (v + 1))
-        return (arcs[len(g) - 1][g] - 0.75) / counts[len(g) - 2][g[:-1]] if g in arcs[len(g) - 1] else fail(g[:-1]) * p(g[1:])
+        c, of = counts[len(g) - 1][g], counts[len(g) - 2][g[:-1]]
+        return (c - 0.75 if c >= 2 else 0) / max(of, 1) + (1 - mass[g[:-1]] / max(of, 1)) * p(g[1:])
+
+    return p, counts, {d: sum(math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w))) for d, w in words.items()}
 
-    @functools.cache
-    def fail(s):
-        return (1 - sum(p(g) for g in kids[s])) / (1 - sum(p(g[1:]) for g in kids[s])) if s in kids else 1.0
 
+def lm_words(plain):
+    words = {d: [*(t or "").encode().lower().split(), b" end"] for d, t in plain.items()}
+    return words, [d for d in words if zlib.crc32(str(d).encode()) % 10]
+
+
+def test_lm_scores_by_every_ngram_seen_twice(docs, plain):
+    words, train = lm_words(plain)
+    p, counts, want = brute_scores(words, train)
     rows = lm.score_documents(docs.repartition(7)).collect()
-    assert len(arcs[1]) > 1000 and len(rows) == len(plain)
+    assert sum(c >= 2 for c in counts[1].values()) > 1000 and len(rows) == len(plain)
     for r in rows:
-        w = words[r["doc_id"]]
-        assert math.isclose(r["score"], sum(math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w))), rel_tol=1e-9)
+        assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9)
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] - r["base_score"] for r in held) > 0.2 * sum(r["n_tokens"] for r in held)
+
+
+def test_lm_probabilities_sum_to_one(plain):
+    words, train = lm_words(plain)
+    p, counts, _ = brute_scores(words, train)
+    rest = 1 - sum(p(w) for w in counts[0])
+    triple = max(counts[2], key=counts[2].get)
+    for h in ((b"the",), triple[:2], triple[1:], (b"no such word",)):
+        seen = sum(p((*h, *w)) for w in counts[0])
+        assert abs(seen + rest * p((*h, b"no such word")) / p((b"no such word",)) - 1) < 1e-9
+
+
+def test_lm_in_pieces_and_lanes(spark, monkeypatch):
+    """Texts of many pieces and lanes score as if they were read in one; no n-gram is counted twice where pieces meet."""
+    rng = np.random.default_rng(5)
+    plain = {d: " ".join(f"w{x}" for x in rng.zipf(1.5, n) % 30) for d, n in enumerate((0, 1, 2, 3, 7, 40, 41, 900, 260))}
+    words, train = lm_words(plain)
+    _, _, want = brute_scores(words, train)
+    for name, small in (("BLOCK_TOKENS", 50), ("LANE", 7), ("RANGES", 3)):
+        monkeypatch.setattr(lm, name, small)
+    batch = pa.RecordBatch.from_arrays([pa.array(list(plain)), pa.array([d not in train for d in plain]), pa.array(list(plain.values()))], ["d", "h", "t"])
+    blocks = [b for made in lm._blocks(iter([batch])) for b in made.to_pylist()]
+    assert len(blocks) > 20
+    told: dict = collections.defaultdict(dict)
+
+    def exchange(sent):
+        groups = collections.defaultdict(list)
+        for t in sent:
+            for r in t.to_pylist():
+                groups[r["kind"], r["part"]].append(r)
+        n = v = 0
+        for rows in groups.values():
+            for r in lm._add(pa.Table.from_pylist(rows, lm._SENT_ARROW)).to_pylist():
+                told[r["block"]][r["kind"], r["part"]] = r["told"]
+                n, v = n + r["train_tokens"], v + r["n_words"]
+        return n, v
+
+    held = [lm.Block(b, 3) for b in blocks]
+    n, v = exchange([b.send_pairs() for b in held])
+    for b in held:
+        b.hear_pairs(told[b.row["block"]])
+    exchange([b.send_triples() for b in held])
+    for b in held:
+        b.hear_triples(told[b.row["block"]])
+    exchange([b.send_masses() for b in held])
+    got, size = collections.Counter(), collections.Counter()
+    for b in held:
+        for r in b.scores(told[b.row["block"]], n, v).to_pylist():
+            got[r["doc_id"]] += r["score"]
+            size[r["doc_id"]] += r["n_tokens"]
+    assert n == sum(len(words[d]) for d in train) and size == {d: len(w) for d, w in words.items()}
+    assert all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
 
 
 def test_language_on_held_out_documents(docs):
