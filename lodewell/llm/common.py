@@ -32,13 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and return a reader of it: lineage ends here."""
+def materialize(df: DataFrame, tag: str, bucket_by: str | None = None) -> DataFrame:
+    """Write df as Parquet under the shared folder and return a reader of it: lineage ends here.
+
+    With bucket_by it is a table of the session, in as many buckets as there are shuffle partitions.
+    """
     spark = df.sparkSession
     home = f"{shared_dir(spark)}/lodewell-{spark.sparkContext.applicationId}"
-    path = f"{home}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = uuid.uuid4().hex
+    path = f"{home}/{tag}-{name}"
     _forget(spark, home)
+    if bucket_by:
+        table = f"lodewell_{tag.replace('-', '_')}_{name}"
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").bucketBy(n, bucket_by).option("path", path).saveAsTable(table)
+        return spark.table(table)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

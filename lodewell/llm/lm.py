@@ -14,7 +14,9 @@ by a vocabulary of the block. A block hands out the hashes of its distinct n-gra
 for each range of hashes; a range adds up what all blocks sent and answers each block with totals. Three such exchanges
 give a block all arcs its texts can reach: counts of words and pairs; counts of triples whose two pairs are arcs (no
 other triple can be seen LEAST times); and the arcs' mass of each state, to which every arc is added once, by the block
-that owns it. N-grams meet by 64-bit hash: among 10^12 distinct ones, one in ten million shares another's count.
+that owns it. The blocks lie bucketed, so that only answers are shuffled to meet them. Words meet by 64-bit hash, longer
+n-grams by one of 26 bits more than the corpus's size takes, 64 at most: up to 2^38 tokens an n-gram shares another's
+count with a probability below 2^-26.
 
 Defined results: null and empty texts are the end token alone; a null doc_id counts as remainder 0; rows that repeat
 a doc_id are separate documents; other columns are ignored. Without training documents N and V are 0 and every score
@@ -45,6 +47,8 @@ BLOCK_TOKENS, BLOCK_WORDS, LANE = 1_000_000, 500_000, 512
 RANGES, RANGE_TOKENS = 64, 2_000_000
 #: Tokens that a piece of a text repeats from the one before.
 LEAD = 2
+#: Bits of an n-gram's hash beyond those of the number of tokens.
+SPARE_BITS = 26
 WORD, PAIR, TRIPLE, WORD_MASS, PAIR_MASS = range(5)
 _U = np.uint64
 
@@ -212,8 +216,8 @@ class Automaton:
 class Block:
     """A block's texts end to end, its distinct n-grams as sorted keys, and what the exchanges told about them."""
 
-    def __init__(self, row: dict, parts: int) -> None:
-        self.row, self.parts = row, parts
+    def __init__(self, row: dict, parts: int, bits: int = 64) -> None:
+        self.row, self.parts, self.mask = row, parts, ~_U((1 << 64 - bits) - 1)
         self.ids = _unpack(row["ids"], row["n_tokens"], np.uint32).astype(np.int64)
         self.words, lengths = np.frombuffer(row["words"], np.uint64), np.array(row["lengths"])
         self.ends = np.cumsum(lengths)
@@ -231,7 +235,7 @@ class Block:
 
     def grams(self, hashes: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct hashes in order, and the place among them of the n-gram that ends at each token, or -1."""
-        keys, at = np.unique(hashes, return_inverse=True)
+        keys, at = np.unique(hashes & self.mask, return_inverse=True)
         out = np.full(len(self.ids), -1)
         out[where] = at
         return keys, out
@@ -304,21 +308,21 @@ class Block:
         return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], _FOUND.replace(",", "").split()[::2])
 
 
-def _start(parts: int):
+def _start(parts: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from Block(row, parts).send_pairs().to_batches()
+                yield from Block(row, parts, bits).send_pairs().to_batches()
 
     return run
 
 
-def _step(step: int, parts: int, n: int, v: int):
+def _step(step: int, parts: int, bits: int, n: int, v: int):
     """What a block sends in an exchange, or its scores, from what the exchanges before told it."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         heard = {(k, p): x for k, p, x in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "told")))}
-        block = Block(blocks.to_pylist()[0], parts)
+        block = Block(blocks.to_pylist()[0], parts, bits)
         block.hear_pairs(heard)
         if step == 2:
             return block.send_triples()
@@ -331,8 +335,9 @@ def _step(step: int, parts: int, n: int, v: int):
 def score_documents(docs: DataFrame, fold: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text, by a model of the documents outside the held-out fold."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (crc_mod("doc_id", fold) == 0).alias("held_out"), "text")
-    blocks = materialize(rows.mapInArrow(_blocks, _BLOCKS), "lm-blocks")
-    parts = max(RANGES, (blocks.agg(F.sum("n_tokens")).first()[0] or 0) // RANGE_TOKENS)
+    blocks = materialize(rows.mapInArrow(_blocks, _BLOCKS), "lm-blocks", bucket_by="block")
+    size = blocks.agg(F.sum("n_tokens")).first()[0] or 0
+    parts, bits = max(RANGES, size // RANGE_TOKENS), min(64, SPARE_BITS + size.bit_length())
 
     def exchange(step: int, sent: DataFrame) -> DataFrame:
         # what was shuffled is of no use once the answers are written, and would fill the disks
@@ -344,11 +349,11 @@ def score_documents(docs: DataFrame, fold: int = 10) -> DataFrame:
         finally:
             conf.set(key, before)
 
-    told = exchange(1, blocks.mapInArrow(_start(parts), _SENT))
+    told = exchange(1, blocks.mapInArrow(_start(parts, bits), _SENT))
     v, n = told.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
     for step, schema in ((2, _SENT), (3, _SENT), (4, _FOUND)):
-        home = blocks.groupBy(F.col("block").alias("home"))
-        out = home.cogroup(told.select("kind", "part", "block", "told").groupBy("block")).applyInArrow(_step(step, parts, n, v), schema)
+        answers = told.select("kind", "part", "block", "told").groupBy("block")
+        out = blocks.groupBy("block").cogroup(answers).applyInArrow(_step(step, parts, bits, n, v), schema)
         told = told if step == 4 else told.unionByName(exchange(step, out))
     # a text of several pieces is one row again
     whole = out.groupBy("home", "place", "doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
