@@ -42,7 +42,7 @@ ALPHA, DISCOUNT, LEAST = 0.1, 0.75, 2
 #: The end token; no word holds a space.
 END = b" end"
 #: Tokens and words of a block; tokens of a lane.
-BLOCK_TOKENS, BLOCK_WORDS, LANE = 1_000_000, 500_000, 512
+BLOCK_TOKENS, BLOCK_WORDS, LANE = 500_000, 250_000, 512
 #: Ranges of hashes at least, and tokens of the corpus for each further one.
 RANGES, RANGE_TOKENS = 64, 2_000_000
 #: Tokens that a piece of a text repeats from the one before.
