@@ -145,7 +145,7 @@ def _send(block: int, parts: int, kind: int, keys: np.ndarray, sums: np.ndarray)
 
 
 def _add(sent: pa.Table) -> pa.Table:
-    """The sum of each key over all blocks, negative except for the block that owns it."""
+    """Twice the sum of each key over all blocks, and one more for the block that owns it."""
     kind, sizes = sent.column("kind")[0].as_py(), sent.column("n").to_pylist()
     keys, sums = (np.concatenate([_unpack(x, n, t) for x, n in zip(sent.column(c).to_pylist(), sizes)]) for c, t in (("keys", np.uint64), ("sums", np.int64)))
     ends = np.cumsum(sizes)
@@ -159,9 +159,9 @@ def _add(sent: pa.Table) -> pa.Table:
     total = total.astype(np.int64)
     owner = np.empty(len(found), np.int64)
     owner[at] = np.arange(len(keys))
-    signed = -total[at]
-    signed[owner] *= -1
-    told = [_pack(signed[b - n : b]) for b, n in zip(ends, sizes)]
+    answer = 2 * total[at]
+    answer[owner] += 1
+    told = [_pack(answer[b - n : b]) for b, n in zip(ends, sizes)]
     words, tokens_ = (int((total > 0).sum()), int(total.sum())) if kind == WORD else (0, 0)
     first = [1] + [0] * (len(told) - 1)
     columns = [sent.column("kind"), sent.column("part"), sent.column("block"), pa.array(told, pa.binary()), pa.array([words * x for x in first], pa.int64()), pa.array([tokens_ * x for x in first], pa.int64())]
@@ -246,19 +246,22 @@ class Block:
     def send(self, kind: int, keys: np.ndarray, sums: np.ndarray) -> pa.Table:
         return _send(self.row["block"], self.parts, kind, keys, sums)
 
-    def told(self, answers: dict, kind: int, keys: np.ndarray) -> np.ndarray:
+    def told(self, answers: dict, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The total of each key, and whether this block owns it."""
         part, at = _parts(keys, self.parts)
-        return np.concatenate([np.zeros(0, np.int64), *(_unpack(answers[kind, p], b - a, np.int64) for p, a, b in zip(part, at, at[1:]))])
+        found = np.concatenate([np.zeros(0, np.int64), *(_unpack(answers[kind, p], b - a, np.int64) for p, a, b in zip(part, at, at[1:]))])
+        return found >> 1, (found & 1).astype(bool)
 
     def send_pairs(self) -> pa.Table:
         return pa.concat_tables([self.send(WORD, self.words, self.counted(self.ids, len(self.words))), self.send(PAIR, self.pairs, self.counted(self.pair, len(self.pairs)))])
 
     def hear_pairs(self, answers: dict) -> None:
-        self.count, n = np.abs(self.told(answers, WORD, self.words)), self.told(answers, PAIR, self.pairs)
-        arc = np.abs(n) >= LEAST
+        self.count, _ = self.told(answers, WORD, self.words)
+        n, own = self.told(answers, PAIR, self.pairs)
+        arc = n >= LEAST
         # from here on only pairs that are arcs count
         self.pair = np.append(np.where(arc, np.cumsum(arc) - 1, -1), -1)[self.pair]
-        self.pairs, self.pair_count, self.own_pair = self.pairs[arc], np.abs(n[arc]), n[arc] > 0
+        self.pairs, self.pair_count, self.own_pair = self.pairs[arc], n[arc], own[arc]
         at = np.flatnonzero(self.pair >= 0)
         self.left, self.right = np.zeros(len(self.pairs), np.int64), np.zeros(len(self.pairs), np.int64)
         self.left[self.pair[at]], self.right[self.pair[at]] = self.ids[at - 1], self.ids[at]
@@ -269,10 +272,10 @@ class Block:
         return self.send(TRIPLE, self.triples, self.counted(self.triple, len(self.triples)))
 
     def hear_triples(self, answers: dict) -> None:
-        n = self.told(answers, TRIPLE, self.triples)
-        arc = np.abs(n) >= LEAST
+        n, own = self.told(answers, TRIPLE, self.triples)
+        arc = n >= LEAST
         self.triple = np.append(np.where(arc, np.cumsum(arc) - 1, -1), -1)[self.triple]
-        self.triple_count, self.own_triple = np.abs(n[arc]), n[arc] > 0
+        self.triple_count, self.own_triple = n[arc], own[arc]
         at = np.flatnonzero(self.triple >= 0)
         self.context, self.last = np.zeros(len(self.triple_count), np.int64), np.zeros(len(self.triple_count), np.int64)
         self.context[self.triple[at]], self.last[self.triple[at]] = self.pair[at - 1], self.pair[at]
@@ -286,7 +289,7 @@ class Block:
     def automaton(self, answers: dict, n: int, v: int) -> Automaton:
         """Arcs are put together from the shorter ones, so each weighs the interpolated probability."""
         words, pairs = len(self.words), len(self.pairs)
-        rest = lambda kind, keys, of: 1 - np.abs(self.told(answers, kind, keys)) / 4 / np.maximum(of, 1)
+        rest = lambda kind, keys, of: 1 - self.told(answers, kind, keys)[0] / 4 / np.maximum(of, 1)
         fail_word, fail_pair = rest(WORD_MASS, self.words, self.count), rest(PAIR_MASS, self.pairs, self.pair_count)
         self.p = (self.count + ALPHA) / (n + ALPHA * (v + 1))
         p2 = (self.pair_count - DISCOUNT) / self.count[self.left] + fail_word[self.left] * self.p[self.right]
