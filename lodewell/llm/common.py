@@ -70,6 +70,29 @@ def _forget(spark: SparkSession, home: str) -> None:
     atexit.register(drop)
 
 
+#: Rows that one task takes in any case; below, no key is looked at for heat.
+COOL = 10_000
+
+
+def many_to_one(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """many.join(one, key, how), where a key may hold a large share of the rows of many and has one row at most in one.
+
+    A key of more than 1 / (4 * partitions) of the rows is hot: there are fewer than 4 * partitions of those, whatever
+    the tables' sizes, so their rows of one are broadcast and their rows of many stay where they are. The rest is joined
+    by shuffles. many is read twice and should be a written table.
+    """
+    parts, rows = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")), many.count()
+    if rows <= COOL:
+        return many.join(one, key, how)
+    n = "__lodewell_n"
+    hot = materialize(many.groupBy(key).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > rows // (4 * parts)).select(key), "hot-keys")
+    if hot.isEmpty():
+        return many.join(one, key, how)
+    hot = F.broadcast(hot)
+    here = many.join(hot, key, "left_semi").join(F.broadcast(one.join(hot, key, "left_semi")), key, how)
+    return here.unionByName(many.join(hot, key, "left_anti").join(one, key, how))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small in rows and bytes, as a few rows may hold very long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:

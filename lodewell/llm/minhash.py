@@ -7,9 +7,12 @@ of 2 * rows minhashes each need only 2 * side * rows minhashes.
 
 Tables are sorted by (key, class) and streamed. A bucket of SMALL classes at most gives all its pairs. A larger one
 gives its first class against each other one; after these are verified and joined into components, only pairs across
-components are left in it. Those are looked for block against block, BLOB classes each: FEW for each two components
-in every round, all in the last, so no pair that meets in a bucket goes unchecked unless it is already
-connected.
+components are left in it. All of them have an end outside the bucket's largest component, so the classes outside are
+set against all others, block against block, BLOB classes each: FEW pairs for each two components in every round, all
+in the last, so no pair that meets in a bucket goes unchecked unless it is already connected.
+
+A pivot, a bucket or a component may hold a large share of all rows. Joins on those treat hot keys apart (many_to_one),
+pivots are verified in chunks, and each two blocks of a bucket are a key of their own.
 
 Two exact bounds spare most failing pairs: set sizes, and parity sketches of BITS bits, in which every shingle flips
 one bit, so that the bits in which two sketches differ never outnumber the shingles in which the sets do. Candidates
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodewell.llm.common import materialize, mix64, texts, word_hashes
+from lodewell.llm.common import WORD, many_to_one, materialize, mix64, texts, word_hashes
 
 SIDE, ROWS, SMALL, CHUNK = 12, 3, 8, 256
 BLOB, BITS, ROUNDS, FEW = 2048, 1024, 2, 4
@@ -132,8 +135,8 @@ def _features(k: int, side: int, rows: int):
                     halves[i] = row.tobytes()
             ids = [class_id(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(halves, pa.binary()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
-                ["doc_id", "n", "class", "halves", "bits"],
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(halves, pa.binary()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
+                ["doc_id", "text_hash", "n", "class", "halves", "bits"],
             )
 
     return run
@@ -268,7 +271,7 @@ def _verify(percent: int):
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets meet the threshold. No task holds more than a pivot's set and one partner's."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
-    cut = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    cut = many_to_one(pairs, parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
     rows = cut.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("class")).unionByName(
         parts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("class"))
     )
@@ -294,7 +297,7 @@ def components(edges: DataFrame) -> DataFrame:
             roots = to.select(F.col("u").alias("class"), F.col("r").alias("root"))
         else:
             roots = materialize(roots.join(to, roots["root"] == to["u"], "left").select("class", F.coalesce("r", "root").alias("root")), f"labels-{n}")
-        left = edges.join(to.select(F.col("u").alias("a"), F.col("r").alias("ra")), "a").join(to.select(F.col("u").alias("b"), F.col("r").alias("rb")), "b")
+        left = many_to_one(edges, to.select(F.col("u").alias("a"), F.col("r").alias("ra")), "a").join(to.select(F.col("u").alias("b"), F.col("r").alias("rb")), "b")
         edges = materialize(left.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"edges-{n}")
         n += 1
         if edges.isEmpty():
@@ -315,12 +318,12 @@ def _possible(percent: int):
 def possible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs that the bounds let pass."""
     side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = many_to_one(pairs, side("a"), "a").join(side("b"), "b")
     return both.filter(_possible(percent)("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
 
 
 def _across(percent: int, turn: int, few: int | None):
-    """Pairs of two blobs of one bucket that lie in different components and that the bounds let pass.
+    """Pairs of a block's classes outside the largest component with a block's of any, across components, that pass the bounds.
 
     With ``few``, at most that many for each two components, drawn anew every turn.
     """
@@ -342,14 +345,12 @@ def _across(percent: int, turn: int, few: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed = _U(mix64(np.array([turn + 1], np.uint64))[0])
         for batch in batches:
-            for rows_x, rows_y, same in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for rows_x, rows_y, main in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 (ids, n, root, bits), (ids_y, n_y, root_y, bits_y) = unpack(rows_x), unpack(rows_y)
                 held, size = [], 0
                 for i in range(len(ids)):
-                    open_ = (root_y != root[i]) & near(n_y, n[i], percent)
-                    if same:
-                        open_ &= ids_y > ids[i]
-                    at = np.flatnonzero(open_)
+                    # two classes outside the largest component meet twice, and count once
+                    at = np.flatnonzero((root_y != root[i]) & near(n_y, n[i], percent) & ((root_y == main) | (ids_y > ids[i])))
                     if len(at):
                         at = at[np.bitwise_count(bits_y[at] ^ bits[i]).sum(axis=1) <= room(n_y[at], n[i], percent)]
                     if not len(at):
@@ -372,33 +373,35 @@ def _across(percent: int, turn: int, few: int | None):
 
 def _more_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs across components in large buckets. Of buckets with the same members one is enough."""
-    labelled = members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    labelled = materialize(members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "labelled")
     print_of = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("class").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "class")))
     keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), print_of.alias("print")).filter("lo <> hi")
     keys = keys.groupBy("print").agg(F.min("key").alias("key")).select("key")
-    rows = labelled.join(keys, "key", "left_semi").join(classes.select("class", "bits"), "class")
-    blob = rows.groupBy("key", "blob").agg(F.collect_list(F.struct("class", "n", "root", "bits")).alias("rows"))
-    x, y = blob.alias("x"), blob.alias("y")
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.blob") <= F.col("y.blob")))
-    cut = both.select(F.col("x.rows").alias("one"), F.col("y.rows").alias("two"), (F.col("x.blob") == F.col("y.blob")).alias("same"))
-    return cut.mapInArrow(_across(percent, turn, FEW if turn < ROUNDS else None), "a bigint, b bigint").distinct()
+    largest = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
+    rows = many_to_one(labelled, keys.join(largest, "key"), "key").join(classes.select("class", "bits"), "class")
+    held = F.collect_list(F.struct("class", "n", "root", "bits"))
+    x = rows.filter("root <> main").groupBy("key", "blob").agg(held.alias("one"), F.max("main").alias("main"), F.max("blobs").alias("blobs"))
+    x = x.select("key", "one", "main", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blobs") - 1)).alias("blob"))
+    y = rows.groupBy("key", "blob").agg(held.alias("two"))
+    return x.join(y, ["key", "blob"]).select("one", "two", "main").mapInArrow(_across(percent, turn, FEW if turn < ROUNDS else None), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD, side: int = SIDE, rows: int = ROWS) -> DataFrame:
-    """One row for each input row: doc_id, n_shingles, component_id, kept."""
+def _classed(docs: DataFrame, shingle: int, percent: int, side: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n, class) of every row and (class, root, component_id) of every class of a document with an id."""
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    features = materialize(base.mapInArrow(_features(shingle, side, rows), "doc_id bigint, n bigint, class bigint, halves binary, bits binary"), "features")
+    hashed = base.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    features = materialize(hashed.mapInArrow(_features(shingle, side, rows), "doc_id bigint, text_hash bigint, n bigint, class bigint, halves binary, bits binary"), "features")
     linked = features.filter(F.col("doc_id").isNotNull() & F.col("class").isNotNull())
     classes = materialize(linked.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("halves").alias("halves"), F.max("bits").alias("bits")), "classes")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tables = classes.select("class", "n", "halves").mapInArrow(_tables(side), "key bigint, class bigint, n int")
     buckets = materialize(tables.repartition(n_parts, "key").sortWithinPartitions("key", "class").mapInArrow(_buckets(percent), _BUCKETS), "buckets")
-    pairs = buckets.filter(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(buckets.filter(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
     pairs = materialize(possible_pairs(pairs, classes, percent), "pairs")
     # what meets in a large bucket of table (i, j) shares half i of the first collection: side keys a class are enough
     large = buckets.filter(F.col("kind") == MEMBER).select(F.col("a").alias("class")).distinct().join(classes.select("class", "n", "halves"), "class")
     half = F.posexplode(F.array(*[F.substring("halves", 8 * i + 1, 8) for i in range(side)]))
-    members = large.select("class", "n", half.alias("i", "half")).select(F.xxhash64("i", "half").alias("key"), "class", "n")
+    members = materialize(large.select("class", "n", half.alias("i", "half")).select(F.xxhash64("i", "half").alias("key"), "class", "n"), "members")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select("class")).distinct()
     wanted = wanted.join(classes.select("class", "rep"), "class").hint("shuffle_hash")
     sets = materialize(base.join(wanted, F.col("doc_id") == F.col("rep")).select("class", "text").mapInArrow(_sets(shingle), "class bigint, shingles binary"), "sets")
@@ -406,12 +409,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRE
     roots = components(edges)
     tested = pairs
     if not members.isEmpty():
-        members = materialize(members, "members")
-        # blobs are drawn by hash, so that no task orders a whole bucket; a bucket of one blob needs no row here
-        several = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOB).alias("blobs")).filter("blobs > 1")
-        several = materialize(several, "several-blobs")
-        drawn = F.pmod(F.xxhash64(F.lit("blob"), "class"), F.coalesce("blobs", F.lit(1).cast("bigint"))).alias("blob")
-        members = members.join(several, "key", "left").select("key", "class", "n", drawn)
+        # blobs are drawn by hash, so that no task orders a whole bucket
+        sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOB).alias("blobs"))
+        members = many_to_one(members, sizes, "key").withColumn("blob", F.pmod(F.xxhash64(F.lit("blob"), "class"), "blobs"))
+        members = materialize(members, "members-in-blobs")
         turn = 0
         while turn <= ROUNDS:
             more = _more_pairs(members, classes, roots, turn, percent)
@@ -424,17 +425,38 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRE
             if not found.isEmpty():
                 edges = materialize(edges.unionByName(found), "links")
                 roots = components(edges)
-    named = classes.select("class", "rep").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(smallest, "root").select("class", "component_id")
-    out = features.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")).join(of_class, "class", "left")
+    named = materialize(roots.join(classes.select("class", "rep"), "class"), "named")
+    of_class = many_to_one(named, named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("class", "root", "component_id")
+    alone = classes.select("class", "rep").join(roots.select("class"), "class", "left_anti").select("class", F.col("class").alias("root"), F.col("rep").alias("component_id"))
+    whole = materialize(of_class.unionByName(alone), "components")
+    return features.select("doc_id", "text_hash", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")), whole
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD, side: int = SIDE, rows: int = ROWS) -> DataFrame:
+    """One row for each input row: doc_id, n_shingles, component_id, kept."""
+    found, of_class = _classed(docs, shingle, percent, side, rows)
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = many_to_one(found.select("doc_id", "n", "class"), of_class, "class", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+#: Column names that the filter adds while it works; no input column may be called so.
+_ID, _HASH = "__lodewell_id", "__lodewell_hash"
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
-    """The documents of smallest id of each group, once each; rows without an id stay."""
-    own = "__lodewell_row"
-    kept = near_duplicates(docs, shingle, percent).filter("kept").select(F.col("doc_id").alias(own)).distinct()
-    left = docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col(own)), "left_semi")
-    return left.withColumn(own, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", own]).drop(own)
+    """One document of each group: of those with its smallest id the one of the smallest text hash, once.
+
+    Documents are told apart by id and text, so of rows that share an id only those of one group are duplicates. Of rows
+    that share both, the smallest stays. Rows without an id and rows without words are linked with nothing: all stay.
+    """
+    found, of_class = _classed(docs, shingle, percent, SIDE, ROWS)
+    rows = many_to_one(found.filter("class IS NOT NULL").select("doc_id", "text_hash", "class"), of_class, "class").filter("doc_id = component_id")
+    texts_of = rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    first = materialize(texts_of.groupBy("root", "doc_id").agg(F.min(F.struct("text_hash", "copies")).alias("t")).select("doc_id", "t.*"), "kept")
+    key, own = F.col("doc_id").cast("bigint"), F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    told = docs.filter(own).withColumns({_ID: key, _HASH: F.xxhash64("text")})
+    if not first.filter("copies > 1").isEmpty():
+        told = told.groupBy(_ID, _HASH).agg(F.min(F.struct(*docs.columns)).alias("row")).select(_ID, _HASH, "row.*")
+    kept = first.select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_HASH))
+    return told.join(kept, [_ID, _HASH], "left_semi").select(*docs.columns).unionByName(docs.filter(~own))

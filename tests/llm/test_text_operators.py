@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodewell.llm import bpe, langid, license_scan, line_dedup, lm, minhash, mixing, quality, queries, token_counts, topk
+from lodewell.llm import bpe, common, langid, license_scan, line_dedup, lm, minhash, mixing, quality, queries, token_counts, topk
 from lodewell.llm.common import bounded_batches
 
 SF = "/root/testdata/sf0.001"
@@ -165,6 +165,37 @@ def test_large_buckets_lose_no_link(spark):
     assert {r["doc_id"]: r["component_id"] for r in rows} == want
 
 
+def test_large_buckets_in_many_blobs(spark, monkeypatch):
+    """Buckets of several blobs, hot keys treated apart: groups around a few centres, with chains between them."""
+    monkeypatch.setattr(minhash, "BLOB", 7)
+    monkeypatch.setattr(common, "COOL", 20)
+    rng = np.random.default_rng(9)
+    texts = {}
+    for d in range(120):
+        w = [f"w{i}" for i in range(50)]
+        for i in rng.choice(50, int(rng.integers(0, 7)), replace=False):
+            w[i] = f"v{d % 5}x{i}"
+        texts[d] = " ".join(w)
+    _, want = brute_components(texts)
+    assert len(set(want.values())) > 3
+    rows = minhash.near_duplicates(frame(spark, [(d, t, "en", "a") for d, t in texts.items()]), shingle=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == want
+
+
+def test_filter_loses_no_text(spark):
+    """Rows that repeat an id, with equal and with different texts; the same rows come out however they are dealt."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near_a = a.replace("a39", "other")
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, c), (3, c), (3, c), (4, near_a), (4, a), (None, a), (None, a), (5, None), (5, ""), (5, " "), (6, "one"), (7, "One"), (2, c)]
+    made = frame(spark, [(d, t, "en", "s") for d, t in rows])
+    want = sorted(map(str, [(1, a), (2, b), (2, c), (None, a), (None, a), (5, None), (5, ""), (5, " "), (6, "one")]))
+    for n in (1, 13):
+        df = made.repartition(n)
+        got = minhash.drop_near_duplicates(df)
+        assert got.columns == df.columns
+        assert sorted(str((r["doc_id"], r["text"])) for r in got.collect()) == want
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
