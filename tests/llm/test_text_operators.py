@@ -391,6 +391,33 @@ def test_top_k_ties_and_bad_vectors(spark):
     assert topk.top_k(df.limit(0), df).count() == 0
 
 
+def brute_top_k(vectors, queries, k):
+    ids = np.array(list(vectors))
+    table = np.floor(1024 * np.array(list(vectors.values()))).astype(np.int64)
+    out = []
+    for q in queries:
+        scores = table @ table[int(np.flatnonzero(ids == q)[0])]
+        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:k]
+        out += [(q, n + 1, int(ids[i]), int(scores[i])) for n, i in enumerate(order)]
+    return out
+
+
+@pytest.mark.parametrize("spread", [0.02, 3.0], ids=["clusters", "no structure"])
+def test_top_k_prunes_before_vectors_are_sent(spark, monkeypatch, spread):
+    """Clustered vectors: most scores are never computed; the result is exact with and without structure."""
+    for name, small in (("BLOB", 16), ("QUERY_BLOCK", 8), ("SEEDS", 2), ("PART", 3), ("CHUNK", 5)):
+        monkeypatch.setattr(topk, name, small)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16))
+    vectors = {i: (centres[i % 20] + spread * rng.normal(size=16)).tolist() for i in range(1000)}
+    df = topk.valid_rows(spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>").repartition(5))
+    asked = df.filter("vec_id % 50 = 7")
+    got = topk.top_k(asked, df, k=5).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == brute_top_k(vectors, range(7, 1000, 50), 5)
+    seen = topk.search(asked, df, k=5).agg(F.sum("seen")).first()[0]
+    assert seen < (0.25 if spread < 1 else 1.01) * 20 * 999
+
+
 def test_pipeline(spark):
     sys.path.insert(0, "/root/repo")
     import corpus_pipeline
