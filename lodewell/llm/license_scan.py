@@ -1,14 +1,17 @@
 """License scan: base phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a window of WINDOW words at every STRIDE-th word, so that any run of STRIDE words lies whole in one block.
-A template matches a block that holds at least ``threshold`` of the template's distinct words. Template words are
-ordered by how often the corpus uses them, rarest first. With overlap needed o, a block that lacks all of a template's
-first |T| - o + 1 words cannot match (prefix filter); a block of fewer than o distinct words cannot (length filter);
-and if the first shared word stands at place p of the order, the overlap is |T| - p at most (positional filter). What
-passes is counted exactly, so every match is found.
-
-Defined results: null and empty texts have no words and no labels; other columns are ignored; an empty table gives
-none. The templates are a fixed list of a few lines, so they travel with the code.
+The blocks of a template are all windows of SLACK times its number of words, one at every word of a text. A template
+matches a block that holds at least ``threshold`` of the template's distinct words; a template of ORDERED words at most
+must also be found in order, as a common subsequence of as large a share. Template words are ordered by how often the
+corpus uses them, rarest first. If a block may lack s words of a template, it must hold one of the first s + 1 (prefix
+filter), so only windows around such words are looked at; a text of fewer words than are needed has no block (length
+filter); and of the first 2 s + 1 places every one without its word costs one of the s, so s + 1 of them must be filled
+(positional filter). What passes is counted exactly by one sweep over the template's words, so every match is found, in
+time linear in the text.
+
+Defined results: null and empty texts have no words and no labels; a null doc_id and rows that repeat one are documents
+of their own; other columns are ignored; an empty table gives none. The templates are a fixed list of a few lines, so
+they travel with the code.
 """
 
 from __future__ import annotations
@@ -30,22 +33,31 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Opening words of common license notices, and their labels.
+#: Texts of common licenses, paragraph by paragraph, and of their notices, with their labels.
 TEMPLATES = [
     ("all-rights-reserved", "all rights reserved"),
     ("apache-2", "licensed under the apache license version 2 0"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("mit", "released under the mit license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-]
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+]
 
-THRESHOLD, WINDOW, STRIDE = 0.9, 64, 32
+THRESHOLD, SLACK, ORDERED = 0.9, 1.25, 12
 
 _WORDS = bytearray(b" " * 128 + bytes(range(128, 256)))
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
@@ -59,40 +71,88 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
+def share(threshold: float, n: int) -> int:
+    """The least whole number that is ``threshold`` of n."""
+    return math.ceil(threshold * n - 1e-9)
+
+
+def in_order(template: list[bytes], block: list[bytes]) -> int:
+    """The length of the longest common subsequence."""
+    row = [0] * (len(template) + 1)
+    for word in block:
+        left = 0
+        for i, own in enumerate(template, 1):
+            left, row[i] = row[i], left + 1 if own == word else max(row[i], row[i - 1])
+    return row[-1]
+
+
+class Template:
+    """A label's words, its blocks' width, and its distinct words by rising frequency."""
+
+    def __init__(self, label: str, text: str, frequency: dict[bytes, int], threshold: float) -> None:
+        self.label, self.words = label, text.encode().split()
+        self.width = math.ceil(SLACK * len(self.words))
+        self.order = sorted(set(self.words), key=lambda w: (frequency.get(w, 0), w))
+        self.need = share(threshold, len(self.order))
+        spare = len(self.order) - self.need
+        self.tokens, self.filled = frozenset(self.order), spare + 1
+        self.prefix, self.places = frozenset(self.order[: spare + 1]), frozenset(self.order[: 2 * spare + 1])
+        self.ordered = share(threshold, len(self.words)) if len(self.words) <= ORDERED else 0
+
+    def match(self, words: list[bytes], hits: list[int]) -> tuple[int, int] | None:
+        """(words shared, start) of the best block around the places of prefix words, the first of equals."""
+        best, at = None, 0
+        while at < len(hits):
+            end = at
+            while end + 1 < len(hits) and hits[end + 1] - hits[end] < 2 * self.width:
+                end += 1
+            a, b = max(0, hits[at] - self.width + 1), min(len(words), hits[end] + self.width)
+            at = end + 1
+            own = [i for i in range(a, b) if words[i] in self.tokens]
+            if len({words[i] for i in own} & self.places) < min(self.filled, len(self.places)):
+                continue
+            found = self.sweep(words, own, best[0] + 1 if best else self.need)
+            best = found or best
+        return best
+
+    def sweep(self, words: list[bytes], own: list[int], least: int) -> tuple[int, int] | None:
+        """The best block among those that begin at a word of the template, which no other block exceeds."""
+        best, end, held = None, 0, Counter()
+        for start in own:
+            while end < len(own) and own[end] < start + self.width:
+                held[words[own[end]]] += 1
+                end += 1
+            if len(held) >= least and (not self.ordered or in_order(self.words, words[start : start + self.width]) >= self.ordered):
+                best, least = (len(held), start), len(held) + 1
+            held[words[start]] -= 1
+            if not held[words[start]]:
+                del held[words[start]]
+        return best
+
+
 class Matcher:
-    """The templates as frequency-ordered token lists with their prefix index."""
+    """The templates with the index of their prefixes."""
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float) -> None:
-        self.sets, self.index = [], {}
-        for label, text in templates:
-            order = sorted({w.encode() for w in text.split()}, key=lambda w: (frequency.get(w, 0), w))
-            need = math.ceil(threshold * len(order) - 1e-9)
-            n = len(self.sets)
-            self.sets.append((label, frozenset(order), need))
-            for place, w in enumerate(order[: len(order) - need + 1]):
-                self.index.setdefault(w, []).append((n, place))
+        self.templates = [Template(label, text, frequency, threshold) for label, text in templates]
+        self.index: dict[bytes, list[int]] = {}
+        for n, t in enumerate(self.templates):
+            for w in t.prefix:
+                self.index.setdefault(w, []).append(n)
 
     def blocks(self, words: list[bytes]) -> dict[str, tuple[float, int]]:
-        """Label to (best containment, start of the first matching block)."""
-        index, found = self.index, {}
-        hits = [i for i, w in enumerate(words) if w in index]
-        if not hits:
-            return found
-        last = max(0, -(-(len(words) - WINDOW) // STRIDE)) if len(words) > WINDOW else 0
-        starts = sorted({b for i in hits for b in range(max(0, -(-(i - WINDOW + 1) // STRIDE)), min(last, i // STRIDE) + 1)})
-        for b in starts:
-            block = set(words[b * STRIDE : b * STRIDE + WINDOW])
-            first: dict[int, int] = {}
-            for w in block & index.keys():
-                for n, place in index[w]:
-                    first[n] = min(place, first.get(n, place))
-            for n, place in first.items():
-                label, tokens, need = self.sets[n]
-                if len(block) < need or len(tokens) - place < need:
-                    continue
-                shared = len(block & tokens)
-                if shared >= need and shared / len(tokens) > found.get(label, (0.0, 0))[0]:
-                    found[label] = (shared / len(tokens), b * STRIDE)
+        """Label to (best containment, start of the first such block)."""
+        index, found, hits = self.index, {}, {}
+        for i, w in enumerate(words):
+            if w in index:
+                for n in index[w]:
+                    hits.setdefault(n, []).append(i)
+        for n, at in sorted(hits.items()):
+            t = self.templates[n]
+            if len(words) < t.need or not (best := t.match(words, at)):
+                continue
+            if best[0] / len(t.order) > found.get(t.label, (0.0, 0))[0]:
+                found[t.label] = (best[0] / len(t.order), best[1])
         return found
 
 
@@ -101,10 +161,11 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     line, found = b" " + b" ".join(words) + b" ", []
     for phrase, label in PHRASES.items():
         needle = b" " + phrase.encode() + b" "
-        at = line.find(needle)
+        at, last, n = line.find(needle), 0, 0
         while at >= 0:
-            found.append((line.count(b" ", 0, at), label))
-            at = line.find(needle, at + 1)
+            n += line.count(b" ", last, at)
+            found.append((n, label))
+            last, at = at, line.find(needle, at + 1)
     return found
 
 
@@ -152,9 +213,7 @@ SCHEMA = (
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Base phrases and matched blocks of every whole text."""
-    if any(len(text.split()) > STRIDE for _, text in templates):
-        raise ValueError(f"a template has more than {STRIDE} words")
+    """Base phrases and matched blocks of every whole text; score is 1 with a base phrase, else the best containment."""
     vocabulary = frozenset(w.encode() for _, text in templates for w in text.split())
     counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "word binary, n bigint")
     # one row for each template word

@@ -35,7 +35,7 @@ from lodewell.llm.common import materialize
 K, SCALE, PIVOTS = 10, 1024, 24
 #: Vectors of a candidate blob and of a query block; candidates scored at once; blobs that seed a query block; blobs of a
 #: task's part and of a chunk of bounds.
-BLOB, QUERY_BLOCK, STEP, SEEDS, PART, CHUNK = 2048, 1024, 256, 4, 256, 1024
+BLOB, QUERY_BLOCK, STEP, SEEDS, PART, CHUNK = 2048, 1024, 256, 4, 16, 1024
 
 
 def valid_rows(table: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -80,8 +80,8 @@ def _distances(pivots: dict[int, np.ndarray]):
 _BLOBS = "dim int, blob bigint, n int, ids binary, vs binary, norms binary, to_pivots binary, lo binary, hi binary, most double"
 
 
-def _pack(size: int):
-    """Rows sorted by (dim, cell, ring) as blobs of at most ``size`` vectors of one cell."""
+def _pack(size: int, by_cell: bool):
+    """Rows sorted by (dim, cell, ring) as blobs of at most ``size`` vectors, of one cell if asked for."""
 
     def give(rows: list[tuple]) -> pa.RecordBatch:
         ids, _, vs, norms, _, _, far = zip(*rows)
@@ -94,7 +94,7 @@ def _pack(size: int):
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (len(held) >= size or (row[1], row[4]) != (held[0][1], held[0][4])):
+                if held and (len(held) >= size or row[1] != held[0][1] or by_cell and row[4] != held[0][4]):
                     yield give(held)
                     held = []
                 held.append(row)
@@ -264,10 +264,13 @@ def search(queries: DataFrame, cands: DataFrame, k: int = K, n_pivots: int = PIV
         if rows:
             pivots[r["dim"]] = np.array([x["v"] for x in rows], np.float64).reshape(len(rows), r["dim"])
     table = materialize(cands.select("vec_id", "dim", "v").mapInArrow(_distances(pivots), _TABLE), "pivot-table")
-    packed = lambda rows, size, *salt: rows.repartition(parts, "dim", "cell", *salt).sortWithinPartitions("dim", "cell", "ring").mapInArrow(_pack(size), _BLOBS)
+    order = ("dim", "cell", "ring", "vec_id")
     # a cell may hold any share of the vectors, so it is dealt over several tasks
-    blobs = materialize(packed(table, BLOB, F.pmod(F.xxhash64("vec_id"), F.lit(8))), "blobs")
-    asked = materialize(packed(queries.mapInArrow(_distances(pivots), _TABLE), QUERY_BLOCK), "query-blocks").withColumnRenamed("blob", "q")
+    dealt = table.repartition(parts, "dim", "cell", F.pmod(F.xxhash64("vec_id"), F.lit(8)))
+    blobs = materialize(dealt.sortWithinPartitions(*order).mapInArrow(_pack(BLOB, True), _BLOBS), "blobs")
+    wanted = materialize(queries.mapInArrow(_distances(pivots), _TABLE), "query-table")
+    ranged = wanted.repartitionByRange(-(-max(wanted.count(), 1) // QUERY_BLOCK), *order).sortWithinPartitions(*order)
+    asked = materialize(ranged.mapInArrow(_pack(QUERY_BLOCK, False), _BLOBS), "query-blocks").withColumnRenamed("blob", "q")
     chunks = -(-blobs.count() // CHUNK)
     if not chunks or asked.isEmpty():
         return spark.createDataFrame([], _FOUND).select("query_id", "vec_id", "score", "seen")

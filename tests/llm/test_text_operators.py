@@ -108,18 +108,68 @@ def test_mix_meets_targets(docs):
     assert math.isclose(sum(target.values()), 1.5 * sum(r["size"] for r in rows))
 
 
+def lcs(a, b):
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        rows.append([0])
+        for j, y in enumerate(b):
+            rows[-1].append(rows[-2][j] + 1 if x == y else max(rows[-2][j + 1], rows[-1][j]))
+    return rows[-1][-1]
+
+
+def brute_license(text):
+    """Every window of every template, counted plainly."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    at = [(i, label) for p, label in license_scan.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    best = {}
+    for label, template in license_scan.TEMPLATES:
+        own = template.split()
+        need, width = math.ceil(0.9 * len(set(own)) - 1e-9), math.ceil(1.25 * len(own))
+        if len(set(w) & set(own)) < need:
+            continue
+        for i in range(len(w)):
+            block = w[i : i + width]
+            n = len(set(block) & set(own))
+            if n >= need and (len(own) > 12 or lcs(own, block) >= math.ceil(0.9 * len(own) - 1e-9)):
+                best[label] = max(best.get(label, 0), n / len(set(own)))
+    base = {x for _, x in at}
+    score = 1.0 if at else max(best.values(), default=0.0)
+    return (len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted(base)), ",".join(sorted(base | best.keys())), score)
+
+
+LICENSE_COLUMNS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def test_licenses_against_brute_force(docs, plain):
-    words_of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    need = [(label, {w for w in text.split()}) for label, text in license_scan.TEMPLATES]
     for r in license_scan.scan(docs).collect():
-        w = words_of(plain[r["doc_id"]])
-        at = [(i, label) for p, label in license_scan.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
-        assert (r["n_words"], r["n_base"]) == (len(w), len(at))
-        assert (r["first_word"], r["last_word"]) == ((min(at)[0], max(at)[0]) if at else (None, None))
-        starts = range(0, max(1, len(w) - license_scan.WINDOW + license_scan.STRIDE), license_scan.STRIDE)
-        blocks = [set(w[i : i + license_scan.WINDOW]) for i in starts]
-        found = {label for label, t in need if any(len(b & t) >= math.ceil(license_scan.THRESHOLD * len(t) - 1e-9) for b in blocks)}
-        assert r["labels"] == ",".join(sorted(found | {x for _, x in at})) and r["base_labels"] == ",".join(sorted({x for _, x in at}))
+        assert tuple(r[c] for c in LICENSE_COLUMNS) == brute_license(plain[r["doc_id"]])
+
+
+def test_license_passages_wherever_they_stand(spark):
+    """Whole paragraphs and notices, changed, cut, out of order, repeated, at every offset of the text before them."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for label, template in license_scan.TEMPLATES:
+        w = template.split()
+        for kind in range(6):
+            v = list(w)
+            if kind == 1:
+                v = [x for i, x in enumerate(v) if i % 14 != 5]
+            elif kind == 2:
+                v = [y for x in v for y in ([x, "inserted"] if rng.random() < 0.15 else [x])]
+            elif kind == 3:
+                rng.shuffle(v)
+            elif kind == 4:
+                v = v[: int(0.85 * len(v))]
+            elif kind == 5:
+                v = v * 3
+            rows.append((len(rows), " ".join([*["filler"] * int(rng.integers(0, 70)), *v, *["the software is"] * int(rng.integers(0, 9))]).upper(), "en", "a"))
+    rows += [(900, "reserved all day with rights", "en", "a"), (901, "cc by nc " * 20_000, "en", "a"), (902, "all rights reserved " * 20_000, "en", "a")]
+    got = {r["doc_id"]: r for r in license_scan.scan(frame(spark, rows)).collect()}
+    for d, t, *_ in rows[:-2]:
+        assert tuple(got[d][c] for c in LICENSE_COLUMNS) == brute_license(t), t
+    assert (got[901]["n_base"], got[901]["first_word"], got[901]["last_word"]) == (20_000, 0, 3 * 19_999)
+    assert got[902]["labels"] == "all-rights-reserved" and got[900]["labels"] == ""
 
 
 def brute_components(plain, k=2):
