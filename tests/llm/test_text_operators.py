@@ -1,6 +1,7 @@
 """Text operators against brute force, libraries and held-out labels, and on awkward rows."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -267,6 +268,25 @@ def test_bpe_round_trip_with_the_library(spark, plain):
         assert r["ids"] == " ".join(map(str, ids)) and r["n_tokens"] == len(ids) and r["decoded"] == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_as_the_libraries_have_it():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    word, byte = (Tokenizer.from_file(public_tokenizers.path(f)) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    model, machine = bpe.tokenizer("word_bpe_49k.json"), token_counts.machine("byte_bpe_50k.json")
+    for a in range(0, len(points), 100_000):
+        texts = [f"a{c}b1{c}2!{c}?" for c in points[a : a + 100_000]]
+        assert [" ".join(x[0] for x in model.encode(t)) for t in texts] == [" ".join(map(str, e.ids)) for e in word.encode_batch(texts, add_special_tokens=False)]
+        assert list(map(machine.count, texts)) == [len(e.ids) for e in byte.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_digests(spark, plain):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [None, *ODD, *list(plain.values())[80:160]]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for r in bpe.encode(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), digest=True).collect():
+        ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
 def test_rank_array_equals_heap():
     model = bpe.tokenizer("word_bpe_49k.json")
     for word in ("international", "x" * 300, "éèê" * 120):
@@ -274,15 +294,40 @@ def test_rank_array_equals_heap():
         assert model.by_rank_array(list(parts)) == model.by_heap(list(parts))
 
 
-def test_token_counts_with_the_library(spark, plain, monkeypatch):
+PARTS = ["a", "s", "t", "'", "'s", "'re", "'v", "ll", "d", " ", "  ", "\n", "\t", "1", "23", "!", "?é", "日本", "<|endoftext|>", "<|end", "\u00a0", "½", "😀", "the ", " of", "\r\n", "'l"]
+
+
+def test_token_counts_with_the_library(plain, monkeypatch):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    machine = token_counts.machine("byte_bpe_50k.json")
-    texts = [*ODD, *(t or "" for t in list(plain.values())[:80])]
+    machine, rng = token_counts.machine("byte_bpe_50k.json"), np.random.default_rng(6)
+    texts = [*ODD, *(t or "" for t in list(plain.values())[:80]), *("".join(rng.choice(PARTS, int(rng.integers(0, 25)))) for _ in range(2000))]
     want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
     assert [machine.count(t) for t in texts] == want
+    short = [i for i, t in enumerate(texts) if len(t) < 300]
     for size in (1, 2, 7, 50):
         monkeypatch.setattr(token_counts, "CHUNK", size)
-        assert [machine.count(t) for t in texts[:40]] == want[:40]
+        assert [machine.count(texts[i]) for i in short] == [want[i] for i in short]
+
+
+def test_chunk_maps_compose_in_any_grouping(monkeypatch):
+    machine, rng = token_counts.machine("byte_bpe_50k.json"), np.random.default_rng(8)
+    monkeypatch.setattr(token_counts, "CHUNK", 9)
+    for _ in range(200):
+        text = "".join(rng.choice(PARTS, 40))
+        maps = list(map(machine.chunk_map, machine.chunks(text)))
+        left = functools.reduce(machine.compose, maps)
+        right = functools.reduce(lambda r, m: machine.compose(m, r), reversed(maps))
+        for entry in (token_counts.START, machine.read(token_counts.START, "some wor")[1], machine.read(token_counts.START, "x  ")[1], machine.read(token_counts.START, "'")[1]):
+            assert machine.apply(left, entry) == machine.apply(right, entry)
+
+
+def test_token_counts_of_texts_dealt_over_tasks(spark, monkeypatch):
+    """Texts of many chunks next to short ones, by the query's own path."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [None, "", "one", LONG * 5, "x" * 1_100_000, "日本語" * 400_000, "a <|endoftext|>" * 90_000]
+    rows = token_counts.count_tokens(frame(spark, [(1 if i == 2 else i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    want = [(1 if i == 2 else i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 1024) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, rows)) == sorted(want)
 
 
 def test_lm_base_against_brute_force(docs, plain):
