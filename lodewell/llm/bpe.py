@@ -3,7 +3,7 @@
 A word is held as its part boundaries (as ids of the parts between them) and the ranks of adjacent parts in one flat
 array. The smallest rank is found by a scan, its boundary deleted, and only the two neighbouring ranks are looked up
 anew. Words of more than LONG parts, for which repeated scans would be quadratic, keep the same ranks in a heap.
-Results of words are remembered per Python worker, up to MEMO words, after which the memory starts afresh.
+Results of words are remembered per Python worker, MEMO words and the MEMO before them.
 
 Letters and capitals of the latest Unicode versions are pinned to the library's tables (UNASSIGNED, CAPITALS), whatever
 those of Python and of the regex module say; a test sweeps all code points.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 
 VOCABULARY = "word_bpe_49k.json"
 LONG, MEMO = 256, 150_000
+#: Bits of an id in the keys and values of the merge table, and what stands for no merge.
+BITS, MASK, NONE = 20, (1 << 20) - 1, 1 << 62
 #: White space as the Unicode property has it, which differs from Python's \s.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -61,7 +64,9 @@ CAPITALS = [
     (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
     (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
 ]
-_LOWER = {a + i: small + i for a, z, small in CAPITALS for i in range(z - a + 1)} | {ord("Σ"): ord("σ")}
+_LOWER = {a + i: small + i for a, z, small in CAPITALS for i in range(z - a + 1)}
+#: Texts without one of these, the least code point of the tables above, need none of them.
+_LATE = re.compile("[\u0558-\U0010FFFF]").search
 
 
 class WordBpe(dict):
@@ -74,47 +79,51 @@ class WordBpe(dict):
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         self.tokens = {i: t for t, i in self.vocab.items()}
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.before: dict[str, tuple[str, str, int]] = {}
+        # by (left << BITS | right): rank << BITS | merged
+        self.merge: dict[int, int] = {}
         for rank, (a, b) in enumerate(model["merges"]):
-            self.merge.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
-        self.symbols = byte_symbols()
+            self.merge.setdefault(self.vocab[a] << BITS | self.vocab[b], rank << BITS | self.vocab[a + b])
+        symbols = byte_symbols()
+        self.inner, self.last = ([self.vocab[c + end] for c in symbols] for end in ("", self.end))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         pattern = pattern.replace(r"\s", SPACE)
         free = "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in UNASSIGNED.split())
-        self.words, self.has_unassigned = regex.compile(pattern).findall, regex.compile(f"[{free}]").search
+        self.words, self.has_unassigned = regex.compile(pattern).findall, re.compile(f"[{free}]").search
         for c in (r"\p{L}", r"\p{N}"):
             pattern = pattern.replace(c, f"[{c}--[{free}]]")
         self.words_unassigned = regex.compile(pattern, regex.V1).findall
 
     def __missing__(self, word: str) -> tuple[str, str, int]:
-        ids = self.encode_word(word)
-        found = " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]), len(ids)
+        if (found := self.before.get(word)) is None:
+            ids = self.encode_word(word)
+            found = " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]), len(ids)
         if len(word) <= 64:
             if len(self) >= MEMO:
+                self.before = dict(self)
                 self.clear()
             self[word] = found
         return found
 
     def encode_word(self, word: str) -> list[int]:
-        symbols = [self.symbols[b] for b in word.encode()]
-        symbols[-1] += self.end
-        parts = [self.vocab[s] for s in symbols]
+        raw = word.encode()
+        parts = list(map(self.inner.__getitem__, raw))
+        parts[-1] = self.last[raw[-1]]
         return self.by_rank_array(parts) if len(parts) <= LONG else self.by_heap(parts)
 
     def by_rank_array(self, parts: list[int]) -> list[int]:
-        none = (1 << 60, -1)
         find = self.merge.get
-        ranks = [find(pair, none) for pair in zip(parts, parts[1:])]
-        while ranks and (least := min(ranks)) is not none and least[1] >= 0:
+        ranks = [find(a << BITS | b, NONE) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) != NONE:
             i = ranks.index(least)
-            parts[i] = least[1]
+            parts[i] = least & MASK
             del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = find((parts[i - 1], parts[i]), none)
+                ranks[i - 1] = find(parts[i - 1] << BITS | parts[i], NONE)
             if i < len(ranks):
-                ranks[i] = find((parts[i], parts[i + 1]), none)
+                ranks[i] = find(parts[i] << BITS | parts[i + 1], NONE)
         return parts
 
     def by_heap(self, parts: list[int]) -> list[int]:
@@ -123,17 +132,17 @@ class WordBpe(dict):
         heap: list[tuple[int, int, int, int]] = []
 
         def push(i: int) -> None:
-            if i >= 0 and after[i] >= 0 and (m := self.merge.get((parts[i], parts[after[i]]))):
-                heapq.heappush(heap, (m[0], i, parts[i], parts[after[i]]))
+            if i >= 0 and after[i] >= 0 and (m := self.merge.get(parts[i] << BITS | parts[after[i]])) is not None:
+                heapq.heappush(heap, (m, i, parts[i], parts[after[i]]))
 
         for i in range(n):
             push(i)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            m, i, left, right = heapq.heappop(heap)
             j = after[i] if parts[i] == left else -1
             if j < 0 or parts[j] != right:
                 continue
-            parts[i], parts[j] = self.merge[left, right][1], -1
+            parts[i], parts[j] = m & MASK, -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
@@ -149,7 +158,7 @@ class WordBpe(dict):
                 found.append((str(i), piece, 1))
             elif piece:
                 text = normalize(piece)
-                words = self.words_unassigned if not text.isascii() and self.has_unassigned(text) else self.words
+                words = self.words_unassigned if not text.isascii() and _LATE(text) and self.has_unassigned(text) else self.words
                 found += map(self.__getitem__, words(text))
         return found
 
@@ -158,7 +167,8 @@ def normalize(text: str) -> str:
     """NFC, then lower case letter by letter: a final capital sigma becomes the plain small one."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFC", text).translate(_LOWER).lower()
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    return (text.translate(_LOWER) if _LATE(text) else text).lower()
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -182,8 +192,9 @@ def _rows(path: str, digest: bool):
             ids, decoded, counts = [], [], []
             for text in batch.column(1).to_pylist():
                 found = bpe.encode(text) if text else []
-                one, two = " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
-                counts.append(sum([x[2] for x in found]))
+                one, two, n = map(list, zip(*found)) if found else ([], [], [])
+                one, two = " ".join(one), " ".join(two)
+                counts.append(sum(n))
                 ids.append(hashlib.sha256(one.encode()).hexdigest() if digest else one)
                 decoded.append(hashlib.sha256(two.encode()).hexdigest() if digest else two)
             doc, n, a, b = batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())
