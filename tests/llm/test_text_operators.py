@@ -290,7 +290,7 @@ def test_bpe_digests(spark, plain):
 def test_rank_array_equals_heap():
     model = bpe.tokenizer("word_bpe_49k.json")
     for word in ("international", "x" * 300, "éèê" * 120):
-        parts = [model.vocab[model.symbols[b]] for b in word.encode()]
+        parts = [model.inner[b] for b in word.encode()]
         assert model.by_rank_array(list(parts)) == model.by_heap(list(parts))
 
 
@@ -461,15 +461,68 @@ def test_code_lengths_do_not_depend_on_blocks(plain, docs, monkeypatch):
     assert np.allclose(trees.code_lengths(data, ends), whole)
 
 
-def test_quality_measures_against_brute_force(docs, plain):
-    for r in quality.features(docs).collect():
-        t = plain[r["doc_id"]] or ""
-        w = re.findall(r"[^\x20\x09-\x0D]+", t)
-        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+def brute_quality(rows):
+    """doc_id to (base measures, base_failed, kept), from texts and languages in plain Python."""
+    classes = ["[A-Z]", "[0-9]", """[!"'(),\\-./:;?]""", r"[#*$%&|<>+=@\[\]\\^_`{}~]", r"[^\x00-\x7F]"]
+    words_of = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    sizes = {k: n for k, n in collections.Counter(lang for _, _, lang in rows if lang is not None).items() if n >= 20}
+    counts = {k: collections.Counter() for k in sizes}
+    for d, t, lang in rows:
+        if lang in sizes and int(hashlib.md5(("null" if d is None else str(d)).encode()).hexdigest()[:8], 16) < int(min(1.0, 2000 / sizes[lang]) * 2**32):
+            counts[lang].update(w for w in words_of(t) if not re.fullmatch(r"[\x00-\x40\x5B-\x60\x7B-\x7F]*", w))
+    common = {k: [w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0])) if n >= 2][:16] for k, c in counts.items()}
+
+    def chars(t, w):
+        found = [len(re.findall(c, t or "")) for c in classes]
+        return [*found, max(0, sum(map(len, w)) - sum(found))]
+
+    def words(w, lang):
+        n = collections.Counter(w)
+        found = [n[x] for x in common[lang]]
+        return [*found, max(0, len(w) - sum(found))]
+
+    def shares(x):
+        return [(c + 0.5) / (sum(x) + 0.5 * len(x)) for c in x]
+
+    def distance(x, total, q):
+        p = [c / max(total, 1) for c in x]
+        return math.sqrt(max(0, sum((a * math.log2(2 * a / (a + b)) if a else 0) + b * math.log2(2 * b / (a + b)) for a, b in zip(p, q)) / 2))
+
+    refs = {}
+    for lang in common:
+        own = [(t, words_of(t)) for _, t, k in rows if k == lang]
+        refs[lang] = shares([sum(c) for c in zip(*(chars(*x) for x in own))]), shares([sum(c) for c in zip(*(words(w, lang) for _, w in own))])
+    out = []
+    for d, t, lang in rows:
+        w = words_of(t)
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         grams = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
         marked = {i + k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(5)}
-        assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(marked))
-        assert r["n_symbols"] == len(re.findall(r"[#*$%&|<>]", t))
+        n_chars = sum(map(len, w))
+        failed = len(w) < 10 or 100 * len(marked) > 20 * len(w)
+        char = min((distance(chars(t, w), n_chars, c) for c, _ in refs.values()), default=0)
+        word = min((distance(words(w, k), len(w), q) for k, (_, q) in refs.items()), default=0)
+        foreign = bool(refs) and lang is not None and lang not in refs
+        far = n_chars >= 200 and char > 0.3 or not foreign and len(w) >= 60 and word > 0.285
+        out.append((d, len(w), n_chars, len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(marked), failed, not failed and not far))
+    return out
+
+
+QUALITY_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def test_quality_against_brute_force(spark, docs):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    rng = np.random.default_rng(7)
+    odd = "<| {{ }} | # = 09 07 55 [x] $ % ^ ~ ".split()
+    rows += [(10**6 + i, " ".join(rng.choice(odd, 400)), ("en", "xx", None)[i % 3]) for i in range(6)]  # far from all in characters
+    rows += [(10**6 + 10 + i, " ".join(f"wort{i}x{k}" for k in range(90)), ("en", "xx", None)[i % 3]) for i in range(6)]  # in words, not held against a language without reference
+    rows += [(None, None, "en"), (None, "", None), (5, "one", "en"), (5, "one", "en"), (7, " \n\t ", "de")]
+    for part in (rows, rows[-5:], []):
+        got = quality.judge(frame(spark, [(d, t, lang, "a") for d, t, lang in part])).select(*QUALITY_COLUMNS).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_quality(part)))
+    kept = {r[0]: r[-1] for r in brute_quality(rows)}
+    assert not any(kept[10**6 + i] for i in range(6)) and [kept[10**6 + 10 + i] for i in range(3)] == [False, True, False]
 
 
 def test_top_k_ties_and_bad_vectors(spark):
