@@ -516,7 +516,7 @@ def test_quality_against_brute_force(spark, docs):
     rng = np.random.default_rng(7)
     odd = "<| {{ }} | # = 09 07 55 [x] $ % ^ ~ ".split()
     rows += [(10**6 + i, " ".join(rng.choice(odd, 400)), ("en", "xx", None)[i % 3]) for i in range(6)]  # far from all in characters
-    rows += [(10**6 + 10 + i, " ".join(f"wort{i}x{k}" for k in range(90)), ("en", "xx", None)[i % 3]) for i in range(6)]  # in words, not held against a language without reference
+    rows += [(10**6 + 10 + i, " ".join("Wort, anders"[: 5 + k % 7] + "qx"[k % 2] * (k // 7 + i) for k in range(90)), ("en", "xx", None)[i % 3]) for i in range(6)]  # in words, not held against a language without reference
     rows += [(None, None, "en"), (None, "", None), (5, "one", "en"), (5, "one", "en"), (7, " \n\t ", "de")]
     for part in (rows, rows[-5:], []):
         got = quality.judge(frame(spark, [(d, t, lang, "a") for d, t, lang in part])).select(*QUALITY_COLUMNS).collect()
