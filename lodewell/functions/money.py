@@ -43,6 +43,26 @@ def satoshi_days(value: Column, days: Column) -> Column:
     return (value.cast("decimal(20,0)") * days.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
+def btc_days(satoshi_days: Column) -> Column:
+    return satoshi_days.cast("double") / SATS_PER_BTC
+
+
+def btc(sats: Column) -> Column:
+    return sats.cast("double") / SATS_PER_BTC
+
+
+def float_to_sats(amount: Column) -> Column:
+    """A BTC amount that is a double, in satoshis of its eight decimals; null unless finite, not negative and within the supply."""
+    fine = amount.isNotNull() & ~F.isnan(amount) & (amount >= 0) & (amount <= 21_000_000)
+    return F.when(fine, btc_to_sats(F.format_string("%.8f", F.when(fine, amount).otherwise(F.lit(0.0)))))
+
+
+def is_data_carrier(script_type: Column, script_hex: Column | None = None) -> Column:
+    """Whether an output only carries data."""
+    own = F.coalesce(script_type.isin("op_return", "nulldata"), F.lit(False))
+    return own if script_hex is None else own | F.coalesce(F.lower(script_hex).startswith("6a"), F.lit(False))
+
+
 def vsize_of_weight(weight: Column) -> Column:
     return F.floor((weight + 3) / 4).cast("bigint")
 

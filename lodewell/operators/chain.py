@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodewell.functions.lineage import cut
 
@@ -38,21 +42,48 @@ def missing_heights(blocks: DataFrame, start: int, end: int) -> DataFrame:
 def sequence_states(messages: DataFrame, key: str, order: str, seq: str) -> DataFrame:
     """Initial, consecutive, duplicate, gap or stale, against the last accepted number, with 32-bit wrap-around.
 
-    Stale and duplicate numbers do not advance the state, so this is a fold over each key's messages in order.
+    Stale and duplicate numbers do not advance the state, so a key's messages are read in order, by one task, which
+    holds one number: time grows with the messages and memory does not.
     """
-    kind = "struct<last:bigint,out:array<struct<id:bigint,state:string,missed:bigint>>>"
-    xs = messages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("id"), F.col(seq).alias("s")))).alias("xs"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().alias("out")).cast(kind)
-
-    def step(s: Column, x: Column) -> Column:
-        diff = F.pmod(x["s"] - s["last"], F.lit(1 << 32))
-        state = F.when(s["last"].isNull(), "Initial").when(diff == 0, "Duplicate").when(diff == 1, "Consecutive").when(diff < 1 << 31, "Gap").otherwise("Stale")
-        missed = F.when((diff > 1) & (diff < 1 << 31), diff - 1)
-        last = F.when(state.isin("Duplicate", "Stale"), s["last"]).otherwise(x["s"])
-        return F.struct(last.alias("last"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), state.alias("state"), missed.alias("missed")))).alias("out")).cast(kind)
-
-    folded = xs.select(key, F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("r"))
-    return folded.select(key, F.col("r.id").alias(order), F.col("r.state").alias("state"), F.col("r.missed").alias("missed"))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = messages.select(key, order).schema.add("state", T.StringType()).add("missed", T.LongType())
+    names = to_arrow_schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for batch in batches:
+            states, missed = [], []
+            for k, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if (k,) != at:
+                    at, last = (k,), None
+                diff = None if last is None else (s - last) % (1 << 32)
+                state = "Initial" if diff is None else "Duplicate" if diff == 0 else "Consecutive" if diff == 1 else "Gap" if diff < 1 << 31 else "Stale"
+                states.append(state)
+                missed.append(diff - 1 if state == "Gap" else None)
+                last = last if state in ("Duplicate", "Stale") else s
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(states, pa.string()), pa.array(missed, pa.int64())], schema=names)
+
+    return messages.select(key, order, seq).repartition(key).sortWithinPartitions(key, order).mapInArrow(run, kinds)
+
+
+def gap_requests(states: DataFrame, order: str, most: int = 100) -> DataFrame:
+    """What sequence gaps ask for: heights or messages to be read again, or nothing where more than ``most`` are missing."""
+    return states.filter("state = 'Gap'").withColumn("action", F.when(F.col("missed") <= most, "RECONCILE").otherwise("SKIP"))
+
+
+def tip_continuity(known: int, tip: int, most: int = 100) -> tuple[str, range]:
+    """(state, heights to read) of a new tip after the last one known: CURRENT, NEXT, GAP, SKIPPED (over ``most``) or BEHIND."""
+    if tip == known:
+        return "CURRENT", range(0)
+    if tip < known:
+        return "BEHIND", range(0)
+    return ("NEXT" if tip == known + 1 else "GAP", range(known + 1, tip + 1)) if tip - known <= most else ("SKIPPED", range(tip, tip + 1))
+
+
+def competing_tips(tips: DataFrame) -> DataFrame:
+    """Of a node's chain tips (hash, height, branchlen, status) the forks that were or may be valid, the longest first."""
+    return tips.filter((F.col("status") != "active") & F.col("status").isin("valid-fork", "valid-headers", "headers-only") & (F.col("branchlen") > 0)).orderBy(F.desc("branchlen"), F.desc("height"), "hash")
 
 
 def enrich_inputs(inputs: DataFrame, outputs: DataFrame) -> DataFrame:

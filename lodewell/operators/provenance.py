@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MUTABLE = ("title", "description", "metadata")
@@ -37,14 +40,26 @@ def dedup_first(events: DataFrame, key: list[str], order: list[str], witness: st
 def dedup_ttl(events: DataFrame, key: list[str], seconds: Column, order: str, ttl: int) -> DataFrame:
     """Events let through when ttl has passed since the last one let through; dropped ones do not extend it.
 
-    A fold over each key's events in order: the number of keys spreads the work, a key's events meet in one row.
+    A key's events are read in order, by one task, which holds one time: the number of keys spreads the work.
     """
-    rows = events.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(seconds.alias("t"), F.col(order).alias("id")))).alias("xs"))
-    kind = "struct<last:bigint,ids:array<bigint>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("ids")).cast(kind)
-    fresh = lambda s, x: s["last"].isNull() | (x["t"] - s["last"] >= ttl)
-    step = lambda s, x: F.when(fresh(s, x), F.struct(x["t"].alias("last"), F.concat(s["ids"], F.array(x["id"])).alias("ids")).cast(kind)).otherwise(s)
-    return rows.select(*key, F.explode(F.aggregate("xs", start, step, lambda s: s["ids"])).alias(order))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = events.select(*key, order).schema
+    names, n = to_arrow_schema(kinds), len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for batch in batches:
+            fresh = []
+            for *k, _, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != at:
+                    at, last = k, None
+                fresh.append(last is None or t - last >= ttl)
+                last = t if fresh[-1] else last
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fresh, pa.bool_())) for c in batch.columns[: n + 1]], schema=names)
+
+    rows = events.select(*key, order, seconds.alias("__seconds"))
+    return rows.repartition(*key).sortWithinPartitions(*key, "__seconds", order).mapInArrow(run, kinds)
 
 
 def retain(df: DataFrame, n: int, order: str) -> DataFrame:
@@ -70,11 +85,6 @@ def in_mode(events: DataFrame, observations: DataFrame, mode: str) -> DataFrame:
     return events.join(seen, "id", "left").filter(F.coalesce("seen", F.lit(False)) | (F.col("observation_mode") == mode)).drop("seen")
 
 
-def newest(df: DataFrame, by: str, order: list, n: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return df.withColumn("place", place).filter(F.col("place") <= n)
-
-
 def backfill(events: DataFrame, observations: DataFrame) -> DataFrame:
     """One observation for each event that has none, from the event's own columns."""
     bare = events.join(observations.select(F.col("event_id").alias("id")), "id", "left_anti")

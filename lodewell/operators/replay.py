@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_SPAN, EVERY = 100_000, 25
+MAX_SPAN = 100_000
 ACTIVE = ("PENDING", "RUNNING", "PAUSED")
 
 
@@ -16,7 +16,10 @@ class ReplayRange:
     start: int
     end: int
 
-    def check(self, tip: int | None = None, pruned_below: int = 0, max_span: int = MAX_SPAN) -> None:
+    def check(self, tip: int | None = None, pruned_below: int = 0, max_span: int = MAX_SPAN, syncing: bool = False, chain: str = "main") -> None:
+        """A node that still loads its chain is refused, but on regtest."""
+        if syncing and chain != "regtest":
+            raise ValueError("the node is still loading its chain")
         if self.start > self.end:
             raise ValueError("the start lies above the end")
         if self.end - self.start + 1 > max_span:
@@ -33,9 +36,6 @@ def remaining(blocks: DataFrame, span: ReplayRange, checkpoints: DataFrame) -> D
     return blocks.filter(F.col("height").between(span.start if done is None else max(span.start, done + 1), span.end))
 
 
-def checkpoint_heights(span: ReplayRange, every: int = EVERY) -> list[int]:
-    return sorted({*range(span.start + every - 1, span.end + 1, every), span.end})
-
 
 def stamp(events: DataFrame, job: str) -> DataFrame:
     return events.withColumns({"observation_mode": F.lit("historical_replay"), "replay_job_id": F.lit(job)})

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 BTC = 100_000_000
 
@@ -88,10 +87,6 @@ def lineage(seeds: DataFrame, spends: DataFrame, max_depth: int = 3) -> DataFram
     return out
 
 
-def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("place = 1").drop("place")
-
-
 def _short(text: Column, most: int, ends: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, ends), F.lit("..."), F.right(text, F.lit(ends)))).otherwise(text)
 

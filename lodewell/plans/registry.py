@@ -35,14 +35,19 @@ def uuid_sql(key: str) -> str:
 LARGE = (40_000_000, 50_000_000, 60_000_000)
 
 
+def _tx(spark, d):
+    return views.tx(spark, d).withColumn("fee_rate_sat_vb", F.col("fee_sats").cast("double") / F.col("vsize"))
+
+
 def _large(spark, d):
-    return detectors.large_transfer(views.tx(spark, d), *LARGE)
+    return detectors.large_transfer(_tx(spark, d), *LARGE)
 
 
 @query(with_views("tx", then=f"""
 SELECT 'LargeTransfer' AS event_type, 'LargeTransfer:tx:' || txid AS event_key, {uuid_sql("'LargeTransfer:tx:' || txid")} AS event_id,
   CASE WHEN total_output_sats >= 60000000 THEN 'CRITICAL' WHEN total_output_sats >= 50000000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
-  total_output_sats, fee_sats, vsize, input_count AS inputs_count, output_count AS outputs_count FROM tx WHERE total_output_sats >= 40000000"""))
+  total_output_sats, total_output_sats::DOUBLE / 100000000 AS total_output_btc, fee_sats, fee_sats::DOUBLE / vsize AS fee_rate_sat_vb, vsize, input_count AS inputs_count, output_count AS outputs_count
+FROM tx WHERE total_output_sats >= 40000000"""))
 def det_large_transfer(spark: SparkSession, d: str) -> DataFrame:
     return _large(spark, d)
 
@@ -53,7 +58,7 @@ def _interval(spark, d):
 
 @query(with_views("blocks", then=f"""
 SELECT 'LongBlockInterval' AS event_type, 'LongBlockInterval:block:' || block_hash AS event_key, {uuid_sql("'LongBlockInterval:block:' || block_hash")} AS event_id,
-  CASE WHEN gap >= 60000 THEN 'CRITICAL' WHEN gap >= 40000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, height, gap AS interval_seconds, gap // 60 AS interval_minutes
+  CASE WHEN gap >= 60000 THEN 'CRITICAL' WHEN gap >= 40000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, height, gap AS interval_seconds, gap // 60 AS interval_minutes, tx_count, miner_tag, size_bytes
 FROM spaced WHERE gap >= 20000"""))
 def det_long_interval(spark: SparkSession, d: str) -> DataFrame:
     return _interval(spark, d)
@@ -64,12 +69,14 @@ def _dormant(spark, d):
 
 
 DORMANT_SQL = """aged AS (
-  SELECT *, greatest(0, date_diff('microsecond', confirmed_at, ts) // 1000000 // 86400) AS age FROM inputs),
+  SELECT *, CASE WHEN confirmed_at IS NOT NULL THEN greatest(0, date_diff('microsecond', confirmed_at, ts) // 1000000) ELSE greatest(0, (block_height - confirmed_height) * 600) END AS secs FROM inputs),
+totals AS (SELECT txid, count(*) AS n_inputs, sum(value_sats)::BIGINT AS total_in FROM inputs GROUP BY txid),
 old AS (
-  SELECT txid, count(*) AS n, sum(value_sats)::BIGINT AS v, sum(value_sats::HUGEINT * age) AS sd, max(age) AS oldest, min(age) AS youngest, min(confirmed_at) AS first_at
-  FROM aged WHERE age >= 1825 GROUP BY txid HAVING sum(value_sats) >= 5000000),
+  SELECT txid, count(*) AS n, sum(value_sats)::BIGINT AS v, sum(value_sats::HUGEINT * (secs // 86400)) AS sd, max(secs) AS oldest_secs, max(secs) // 86400 AS oldest, min(secs // 86400) AS youngest,
+    arg_max(confirmed_at, (secs, coalesce(confirmed_at, TIMESTAMP '1900-01-01'), coalesce(confirmed_height, -1))) AS conf_at, arg_max(coalesce(confirmed_height, 1000000), (secs, coalesce(confirmed_at, TIMESTAMP '1900-01-01'), coalesce(confirmed_height, -1))) AS h
+  FROM aged WHERE secs // 86400 >= 1825 GROUP BY txid HAVING sum(value_sats) >= 5000000),
 graded AS (
-  SELECT *, CASE WHEN first_at < TIMESTAMP '2011-01-01' THEN 'EARLY_BITCOIN' WHEN oldest >= 5475 THEN 'ANCIENT' WHEN oldest >= 3650 THEN 'VERY_OLD' ELSE 'DORMANT' END AS class FROM old)"""
+  SELECT *, CASE WHEN h <= 100000 OR conf_at < TIMESTAMP '2011-01-01' THEN 'EARLY_BITCOIN' WHEN oldest >= 5475 THEN 'ANCIENT' WHEN oldest >= 3650 THEN 'VERY_OLD' ELSE 'DORMANT' END AS class FROM old JOIN totals USING (txid))"""
 
 
 @query(with_views("inputs", then=", " + DORMANT_SQL + f"""
@@ -78,9 +85,12 @@ SELECT 'DormantCoinsMoved' AS event_type, 'DormantCoinsMoved:tx:' || txid AS eve
     WHEN 'ANCIENT' THEN CASE WHEN v >= 10000000 THEN 'CRITICAL' WHEN v >= 1000000 THEN 'HIGH' ELSE 'MEDIUM' END
     WHEN 'VERY_OLD' THEN CASE WHEN v >= 20000000 THEN 'CRITICAL' WHEN v >= 5000000 THEN 'HIGH' WHEN v >= 500000 THEN 'MEDIUM' ELSE 'LOW' END
     ELSE CASE WHEN v >= 50000000 THEN 'CRITICAL' WHEN v >= 10000000 THEN 'HIGH' WHEN v >= 1000000 THEN 'MEDIUM' ELSE 'LOW' END END AS severity,
-  class AS classification, n AS dormant_input_count, v AS total_dormant_sats, sd::VARCHAR AS satoshi_days, oldest AS oldest_input_age_days, youngest AS youngest_input_age_days FROM graded""").replace("\n, aged", ",\naged"))
+  class AS classification, n AS dormant_input_count, v AS total_dormant_sats, v::DOUBLE / 100000000 AS total_dormant_btc, n_inputs AS total_input_count, oldest AS oldest_input_age_days, oldest_secs AS oldest_input_age_seconds,
+  youngest AS youngest_qualifying_age_days, total_in AS total_input_sats, total_in - 1000 AS total_output_sats, CASE WHEN total_in > 0 THEN v::DOUBLE / total_in ELSE 1.0 END AS dormant_ratio,
+  sd::VARCHAR AS coin_age_destroyed_sats_days, round(sd::DOUBLE / 100000000, 6) AS coin_age_destroyed_btc_days, round(sd::DOUBLE / 100000000 / 365.25::DOUBLE, 6) AS coin_age_destroyed_btc_years FROM graded""").replace("\n, aged", ",\naged"))
 def det_dormant_coins(spark: SparkSession, d: str) -> DataFrame:
-    return _dormant(spark, d).withColumn("satoshi_days", F.col("satoshi_days").cast("string"))
+    found, years = _dormant(spark, d), ("coin_age_destroyed_btc_days", "coin_age_destroyed_btc_years")
+    return found.withColumns({"coin_age_destroyed_sats_days": F.col("coin_age_destroyed_sats_days").cast("string"), **{c: F.round(c, 6) for c in years}})
 
 
 def _consolidation(spark, d):
@@ -90,7 +100,7 @@ def _consolidation(spark, d):
 @query(with_views("sweep", then=f"""
 SELECT 'Consolidation' AS event_type, 'Consolidation:tx:' || txid AS event_key, {uuid_sql("'Consolidation:tx:' || txid")} AS event_id,
   CASE WHEN input_count >= 18 OR total_input_sats >= 100000000 THEN 'HIGH' WHEN input_count >= 15 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
-  input_count, output_count, total_input_sats, input_count::DOUBLE / greatest(output_count, 1) AS input_output_ratio FROM sweep WHERE input_count >= 12 AND output_count <= 5"""))
+  input_count, output_count, total_input_sats, total_output_sats, fee_sats, input_count::DOUBLE / greatest(output_count, 1) AS input_output_ratio FROM sweep WHERE input_count >= 12 AND output_count <= 5"""))
 def det_consolidation(spark: SparkSession, d: str) -> DataFrame:
     return _consolidation(spark, d)
 
@@ -102,7 +112,8 @@ def _fan_out(spark, d):
 @query(with_views("tx", then=f"""
 SELECT 'FanOut' AS event_type, 'FanOut:tx:' || txid AS event_key, {uuid_sql("'FanOut:tx:' || txid")} AS event_id,
   CASE WHEN output_count >= 12 OR total_output_sats >= 60000000 THEN 'HIGH' WHEN output_count >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
-  output_count, total_output_sats AS total_distributed_sats, outputs[1] AS min_output_sats, outputs[-1] AS max_output_sats,
+  input_count, output_count, output_count::DOUBLE / greatest(input_count, 1) AS output_input_ratio, total_output_sats AS total_distributed_sats, total_output_sats::DOUBLE / 100000000 AS total_distributed_btc,
+  outputs[1] AS smallest_output_sats, outputs[-1] AS largest_output_sats,
   CASE WHEN len(outputs) % 2 = 1 THEN outputs[len(outputs) // 2 + 1] ELSE (outputs[len(outputs) // 2] + outputs[len(outputs) // 2 + 1]) // 2 END AS median_output_sats
 FROM tx WHERE output_count >= 8"""))
 def det_fan_out(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +128,8 @@ def _fee(spark, d):
 , rated AS (SELECT *, fee_sats::DOUBLE / vsize AS rate FROM tx)
 SELECT 'ExtremeFee' AS event_type, 'ExtremeFee:tx:' || txid AS event_key, {uuid_sql("'ExtremeFee:tx:' || txid")} AS event_id,
   CASE WHEN fee_sats >= 5000000 OR rate >= 12000 THEN 'CRITICAL' WHEN fee_sats >= 3000000 OR rate >= 9000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
-  fee_sats, rate AS fee_rate_sat_vb, vsize, CASE WHEN fee_sats >= 2000000 AND rate >= 6000 THEN 'BOTH' WHEN fee_sats >= 2000000 THEN 'HIGH_ABSOLUTE_FEE' ELSE 'HIGH_FEE_RATE' END AS "trigger"
+  fee_sats, fee_sats::DOUBLE / 100000000 AS fee_btc, rate AS fee_rate_sat_vb, vsize, total_input_sats, total_output_sats,
+  CASE WHEN fee_sats >= 2000000 AND rate >= 6000 THEN 'BOTH' WHEN fee_sats >= 2000000 THEN 'HIGH_ABSOLUTE_FEE' ELSE 'HIGH_FEE_RATE' END AS fee_trigger_type
 FROM rated WHERE fee_sats >= 2000000 OR rate >= 6000""").replace("\n\n, rated", ",\nrated"))
 def det_extreme_fee(spark: SparkSession, d: str) -> DataFrame:
     return _fee(spark, d)
@@ -129,11 +141,11 @@ def _replacement(spark, d):
 
 @query(with_views("replacements", then=f"""
 SELECT 'TransactionReplacement' AS event_type, 'TransactionReplacement:tx:' || replacement_txid AS event_key, {uuid_sql("'TransactionReplacement:tx:' || replacement_txid")} AS event_id,
-  CASE WHEN new_fee_sats - old_fee_sats >= 200000 THEN 'HIGH' WHEN new_fee_sats - old_fee_sats >= 100000 THEN 'MEDIUM' ELSE 'LOW' END AS severity, old AS first_replaced,
-  1::BIGINT AS replaced_count, new_fee_sats - old_fee_sats AS fee_delta_sats, CASE WHEN old_fee_sats > 0 THEN (new_fee_sats - old_fee_sats) * 100.0::DOUBLE / old_fee_sats END AS fee_increase_pct
-FROM replacements"""))
+  CASE WHEN new_fee_sats - old_fee_sats >= 200000 THEN 'HIGH' WHEN new_fee_sats - old_fee_sats >= 100000 THEN 'MEDIUM' ELSE 'LOW' END AS severity, old AS replaced_txids, replacement_txid,
+  1::BIGINT AS replaced_count, old_fee_sats, new_fee_sats, new_fee_sats - old_fee_sats AS fee_delta_sats, CASE WHEN old_fee_sats > 0 THEN (new_fee_sats - old_fee_sats)::DOUBLE / old_fee_sats * 100.0::DOUBLE END AS fee_increase_percent,
+  old_fee_sats / 100.0::DOUBLE AS old_fee_rate_sat_vb, new_fee_sats / 100.0::DOUBLE AS new_fee_rate_sat_vb FROM replacements"""))
 def det_replacement(spark: SparkSession, d: str) -> DataFrame:
-    return _replacement(spark, d)
+    return _replacement(spark, d).withColumn("replaced_txids", F.array_join("replaced_txids", ","))
 
 
 def _reorg(spark, d):
@@ -142,9 +154,10 @@ def _reorg(spark, d):
 
 @query(with_views("reorgs", then=f"""
 SELECT 'ReorgDetected' AS event_type, 'ReorgDetected:block:' || new_tip_hash AS event_key, {uuid_sql("'ReorgDetected:block:' || new_tip_hash")} AS event_id,
-  CASE WHEN depth > 5 THEN 'CRITICAL' WHEN depth >= 3 THEN 'HIGH' WHEN depth = 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, depth FROM reorgs"""))
+  CASE WHEN depth > 5 THEN 'CRITICAL' WHEN depth >= 3 THEN 'HIGH' WHEN depth = 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, depth, old_tip_hash AS old_tip, old_tip_height, new_tip_hash AS new_tip, new_tip_height,
+  common_ancestor_hash AS common_ancestor, array_to_string(disconnected_blocks, ',') AS disconnected_blocks, array_to_string(connected_blocks, ',') AS connected_blocks, observed_at FROM reorgs"""))
 def det_reorg(spark: SparkSession, d: str) -> DataFrame:
-    return _reorg(spark, d)
+    return _reorg(spark, d).withColumns({c: F.array_join(c, ",") for c in ("disconnected_blocks", "connected_blocks")})
 
 
 ALL = {"large_transfer": _large, "long_interval": _interval, "dormant": _dormant, "consolidation": _consolidation, "fan_out": _fan_out, "extreme_fee": _fee, "replacement": _replacement, "reorg": _reorg}
@@ -344,7 +357,8 @@ ranked AS (
     count(*) OVER (PARTITION BY event_type, metric ORDER BY value RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ge, count(*) OVER (PARTITION BY event_type, metric) AS n FROM seen),
 least AS (SELECT (count(*) // 5)::BIGINT AS m FROM (SELECT * FROM seen WHERE metric = 'value_sats')),
 pct AS (
-  SELECT *, CASE WHEN value <= minimum THEN 0.0::DOUBLE WHEN value >= maximum THEN 100.0::DOUBLE {_CASES} END AS ip FROM ranked JOIN dist USING (event_type, metric)),
+  SELECT *, CASE WHEN value <= minimum THEN CASE WHEN metric = 'height_gap' THEN 100.0::DOUBLE ELSE 0.0 END WHEN value >= maximum THEN CASE WHEN metric = 'height_gap' THEN 0.0::DOUBLE ELSE 100.0 END {_CASES} END AS ip
+  FROM ranked JOIN dist USING (event_type, metric)),
 both_ AS (
   SELECT *, CASE WHEN n >= m THEN 'EXACT' WHEN sample_count >= m THEN 'DISTRIBUTION' ELSE 'INSUFFICIENT' END AS method FROM pct, least)
 SELECT id, event_type, metric, method, round(CASE method WHEN 'EXACT' THEN 100.0::DOUBLE * CASE WHEN metric = 'height_gap' THEN ge ELSE le END / n WHEN 'DISTRIBUTION' THEN ip END, 6) AS percentile,
@@ -640,15 +654,30 @@ def graph_first_nodes(spark: SparkSession, d: str) -> DataFrame:
     return incidents.first_nodes(nodes, "node", "pos")
 
 
-@query(with_views("tx", then="""SELECT txid AS id, 'LARGE_TRANSFER' AS event_type, 'mainnet' AS network, height AS block_height, m AS metric, m || '-v1' AS metric_definition_version, v::VARCHAR AS value_text FROM (
-  SELECT txid, height, unnest(['value_sats', 'input_count', 'output_count', 'vsize']) AS m, unnest([total_output_sats, input_count, output_count, vsize]) AS v FROM tx WHERE total_output_sats >= 40000000)
-UNION ALL SELECT txid, 'EXTREME_FEE', 'mainnet', height, 'fee_sats', 'fee_sats-v1', fee_sats::VARCHAR FROM tx WHERE fee_sats >= 2000000"""))
+#: The registry's metrics of the detectors' events, as (event type, query, metric, SQL of the value, by height or null).
+_EXTRACTED = [
+    ("LARGE_TRANSFER", "large_transfer", {"value_sats": "total_output_sats", "input_count": "inputs_count", "output_count": "outputs_count", "vsize": "vsize"}),
+    ("DORMANT_COINS_MOVED", "dormant_coins", {"dormant_value_sats": "total_dormant_sats", "oldest_input_age_days": "oldest_input_age_days", "coin_age_destroyed_satoshi_days": "coin_age_destroyed_sats_days", "input_count": "dormant_input_count"}),
+    ("CONSOLIDATION", "consolidation", {"input_count": "input_count", "output_count": "output_count", "value_sats": "total_input_sats", "consolidation_ratio": "printf('%.2f', floor(input_output_ratio * 100 + 0.5) / 100)"}),
+    ("FAN_OUT", "fan_out", {"output_count": "output_count", "distributed_value_sats": "total_distributed_sats", "median_output_sats": "median_output_sats"}),
+    ("EXTREME_FEE", "extreme_fee", {"fee_rate_sat_vb": "printf('%.2f', floor(fee_rate_sat_vb * 100 + 0.5) / 100)", "fee_sats": "fee_sats"}),
+    ("LONG_BLOCK_INTERVAL", "long_interval", {"interval_seconds": "interval_seconds"}),
+]
+
+
+def _extracted_sql() -> str:
+    one = lambda kind, name, metric, value: f"SELECT event_id AS id, '{kind}' AS event_type, 'mainnet' AS network, 0::BIGINT AS block_height, '{metric}' AS metric, '{metric}-v1' AS metric_definition_version, ({value})::VARCHAR AS value_text FROM ({ORACLES['det_' + name]})"
+    return "\nUNION ALL\n".join(one(kind, name, metric, value) for kind, name, found in _EXTRACTED for metric, value in found.items())
+
+
+@query(_extracted_sql())
 def metric_extraction(spark: SparkSession, d: str) -> DataFrame:
-    t = views.tx(spark, d)
-    large = t.filter("total_output_sats >= 40000000").select(F.col("txid").alias("id"), F.lit("LARGE_TRANSFER").alias("event_type"), "height", F.to_json(F.struct("total_output_sats", F.col("input_count").alias("inputs_count"), "output_count", "vsize")).alias("metadata"))
-    fee = t.filter("fee_sats >= 2000000").select(F.col("txid").alias("id"), F.lit("EXTREME_FEE").alias("event_type"), "height", F.to_json(F.struct("fee_sats")).alias("metadata"))
-    events = large.unionByName(fee).withColumn("network", F.lit(None).cast("string")).withColumnRenamed("height", "block_height")
-    return metrics.extract(events).withColumn("value_text", metrics.numeric_text(F.col("value"), F.col("scale"))).drop("value", "scale")
+    """All metrics of the stored events of the six types that have any."""
+    out = None
+    for name in ("large_transfer", "long_interval", "dormant", "consolidation", "fan_out", "extreme_fee"):
+        rows = detectors.canonical(ALL[name](spark, d))
+        out = rows if out is None else out.unionByName(rows)
+    return metrics.extract(out).withColumn("value_text", metrics.numeric_text(F.col("value"), F.col("scale"))).drop("value", "scale")
 
 
 @query("""SELECT o_orderkey AS run, o_custkey AS end_height FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 2 = 0 AND o_custkey - 10 <= 500 ORDER BY o_custkey DESC, o_orderdate DESC, o_orderkey LIMIT 1""")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodewell.functions.lineage import cut
 from lodewell.functions.identity import discriminator, observation_key, uuid5
 from lodewell.operators import chain, detectors, metrics, replay
 from lodewell.plans.store import Store
@@ -49,6 +50,8 @@ def enriched(tx: DataFrame, known_outputs: DataFrame | None = None) -> tuple[Dat
     points = points.select(F.col("spender"), "ts", "block_hash", "block_height", F.col("i.txid").alias("prev_txid"), F.col("i.vout").alias("prev_vout"))
     inputs = chain.enrich_inputs(points, outputs).withColumnRenamed("spender", "txid")
     totals = inputs.groupBy("txid").agg(F.sum("value_sats").alias("in_sats"), F.every(F.col("value_sats").isNotNull()).alias("resolved"))
+    whole = tx.select(F.col("txid"), "input_count", "total_output_sats")
+    inputs = inputs.join(totals.select("txid", F.coalesce("in_sats", F.lit(0).cast("bigint")).alias("total_input_sats")), "txid").join(whole, "txid")
     joined = tx.drop("total_input_sats", "fee_sats").join(totals, "txid", "left")
     resolved = F.coalesce("resolved", F.lit(False))
     fee = F.when(resolved, F.greatest(F.lit(0).cast("bigint"), F.col("in_sats") - F.col("total_output_sats"))).otherwise(F.lit(0).cast("bigint"))
@@ -82,8 +85,9 @@ def detect(blocks: DataFrame, known_outputs: DataFrame | None = None, limits: Th
 def run(store: Store, blocks: DataFrame, span: replay.ReplayRange, job: str, limits: Thresholds = Thresholds(), network: str = "mainnet", every: int = 1_000) -> str:
     """Replay a range into the store, ``every`` blocks a step, going on after the last checkpoint; the job's last status.
 
-    A job that is paused or cancelled stops at the end of a step. Everything a step writes has a key of its own, so a
-    step that runs twice adds nothing.
+    A job that is paused or cancelled stops at the end of a step, and one whose step lacks a block fails before it writes
+    anything of the step. Everything a step writes has a key of its own, so a step that runs twice adds nothing. A step
+    also reads the block before it, where there is one, for the interval of its first block.
     """
     state = store.job(job)
     if state is None:
@@ -98,9 +102,12 @@ def run(store: Store, blocks: DataFrame, span: replay.ReplayRange, job: str, lim
         if (status := store.job(job)["status"]) != "RUNNING":
             return status
         end = min(at + every - 1, span.end)
-        part = blocks.filter(F.col("height").between(max(at - 1, span.start), end))
+        part = blocks.filter(F.col("height").between(max(at - 1, 0), end))
+        if not chain.missing_heights(part, at, end).isEmpty():
+            store.save_job(job, span, "FAILED")
+            return "FAILED"
         known = store.outputs() if store.has("outputs") else None
-        events = replay.stamp(detect(part, known, limits, network), job).filter(F.col("block_height") >= at)
+        events = cut(replay.stamp(detect(part, known, limits, network), job).filter(F.col("block_height") >= at))
         store.append_new("outputs", outputs_of(transactions_of(part.filter(F.col("height") >= at))), ["txid", "n"])
         store.append_new("events", events, ["id"])
         written = store.table("events").filter((F.col("replay_job_id") == job) & F.col("block_height").between(at, end))

@@ -68,12 +68,56 @@ class Store:
         last = incidents.latest_snapshot(self.table("incident_snapshots").filter(F.col("incident_id") == incident), "incident_id", ["as_of"])
         return out.join(last, "incident_id", "left")
 
+    def _write(self, name: str, rows: DataFrame) -> None:
+        """Append rows as one numbered write; readers merge the writes of a key."""
+        n = self.table(name).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1 if self.has(name) else 1
+        self.append(name, rows.withColumn("seq", F.lit(n).cast("bigint")))
+
     def save_activities(self, rows: DataFrame) -> None:
-        """Activities with ids from their dedup keys; the alerts of those that are new."""
-        rows = rows.withColumn("id", uuid5(F.col("dedup_key")))
-        self.append_new("activities", rows, "dedup_key")
+        """Activities with ids from their dedup keys; the alerts of those that are new.
+
+        Every write is kept. What is read of an activity is its first write, but status and height of its last.
+        """
+        lacking = {c: F.lit(None).cast(kind) for c, kind in (("status", "string"), ("block_height", "bigint"), ("block_hash", "string")) if c not in rows.columns}
+        rows = rows.withColumns({**lacking, "id": uuid5(F.col("dedup_key"))}).dropDuplicates(["dedup_key"])
+        rows = rows.select(*sorted(rows.columns))
+        self._write("activity_writes", rows)
         self.append_new("alerts", rows.select(uuid5(F.concat(F.lit("alert:"), "dedup_key")).alias("id"), "incident_id", F.col("id").alias("activity_id"), "severity", "observed_at"), "id")
 
+    def activities(self) -> DataFrame:
+        return provenance.merge_events(self.table("activity_writes"), "id", "seq", ("status", "block_height", "block_hash"))
+
+    def save_event_texts(self, rows: DataFrame) -> None:
+        """New titles, descriptions and metadata of events (id, title, description, metadata); what is null stays as it was."""
+        self._write("event_texts", rows.select("id", "title", "description", "metadata"))
+
+    def events(self) -> DataFrame:
+        """Stored events with their last texts."""
+        events = self.table("events")
+        if not self.has("event_texts"):
+            return events
+        last = provenance.last_by(self.table("event_texts"), ["id"], "seq").select("id", *[F.col(c).alias(f"new_{c}") for c in ("title", "description", "metadata")])
+        joined, own = events.join(last, "id", "left"), [c for c in ("title", "description", "metadata") if c in events.columns]
+        return joined.withColumns({c: F.coalesce(f"new_{c}", c) for c in own}).select(*events.columns)
+
+    def save_watch_targets(self, rows: DataFrame) -> None:
+        """Targets by id: a later write updates classification, sources, label and whether a target is active."""
+        self._write("target_writes", rows)
+
+    def watch_targets(self, incident: str | None = None) -> DataFrame:
+        out = provenance.last_by(self.table("target_writes"), ["id"], "seq").drop("seq")
+        return out if incident is None else out.filter(F.col("incident_id") == incident)
+
+    def seed_targets(self, rows: DataFrame) -> None:
+        """Targets of ids and of (incident, kind, value) that are not stored yet, each once."""
+        value = F.coalesce("txid", "address", "script_hex", F.lit(""))
+        keyed = rows.withColumn("own", F.concat_ws("/", "incident_id", "target_type", value, F.coalesce(F.col("vout").cast("string"), F.lit("")))).dropDuplicates(["own"]).dropDuplicates(["id"])
+        if self.has("target_writes"):
+            stored = self.watch_targets()
+            known = stored.select(F.concat_ws("/", "incident_id", "target_type", value, F.coalesce(F.col("vout").cast("string"), F.lit(""))).alias("own"))
+            keyed = keyed.join(known, "own", "left_anti").join(stored.select("id"), "id", "left_anti")
+        self.save_watch_targets(keyed.drop("own"))
+
     def _log(self, name: str, **row) -> None:
         """One row of an append-only control table; rows are told apart by a growing number."""
         n = self.table(name).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1 if self.has(name) else 1
@@ -120,29 +164,30 @@ class Store:
         last = provenance.last_by(self.table("run_states"), ["run"], "seq")
         return last.withColumn("completed_at", F.when(F.col("status") == "COMPLETED", F.col("seq")))
 
-    def rarity(self, run: str, least: int = 100) -> DataFrame:
-        """Rarity of all events of a run's network against the run's range."""
+    def rarity(self, run: str, least: int = 100, event_id: str | None = None) -> DataFrame:
+        """Rarity of all events of a run's network, or of one, against the run's range."""
         state = self.runs().filter(F.col("run") == run).first()
         rows = self.population(state["start_height"], state["end_height"], state["network"]).withColumnRenamed("event_id", "id")
         lower = F.concat_ws("/", "event_type", "metric").isin([f"{kind}/{metric}" for kind, metric, _, _, _, rare, _, _ in metrics.REGISTRY if rare])
         dists = self.table("distributions").filter(F.col("baseline_run_id") == run)
-        return baseline.event_rarity(rows, dists, ["event_type", "metric"], lower, state["end_height"], least)
+        asked = None if event_id is None else self.table("event_metrics").filter(F.col("event_id") == event_id).withColumnRenamed("event_id", "id")
+        return baseline.event_rarity(rows, dists, ["event_type", "metric"], lower, state["end_height"], least, asked)
 
-    def impact(self, run: str, least: int = 100) -> DataFrame:
-        """Impact scores of all events of a run, by the registry's weights."""
+    def impact(self, run: str, least: int = 100, event_id: str | None = None) -> DataFrame:
+        """Impact scores of all events of a run, or of one, by the registry's weights."""
         sizes = Counter(kind for kind, *_ in metrics.REGISTRY)
         weights = self.spark.createDataFrame([(kind, metric, w, sizes[kind]) for kind, metric, *_, w in metrics.REGISTRY], "event_type string, metric string, weight double, components int")
-        ranked = self.rarity(run, least).withColumnRenamed("sample_count", "population")
+        ranked = self.rarity(run, least, event_id).filter("method <> 'INSUFFICIENT'").withColumnRenamed("sample_count", "population")
         return baseline.impact(ranked, weights, "id", ["event_type", "metric"], least)
 
     def query_events(self, mode: str | None = None, **wanted) -> DataFrame:
         if wanted.get("event_type"):
             wanted["event_type"] = event_type(wanted["event_type"])
-        events = self.table("events")
+        events = self.events()
         return provenance.filter_events(provenance.in_mode(events, self.table("observations"), mode) if mode else events, **wanted)
 
     def event(self, event_id: str) -> DataFrame:
-        one = self.table("events").filter(F.col("id") == event_id)
+        one = self.events().filter(F.col("id") == event_id)
         seen = self.table("observations").filter(F.col("event_id") == event_id)
         return provenance.with_observations(one, seen, ["observed_at", "mode"])
 
@@ -156,8 +201,7 @@ class Store:
         """By id or by case id in any case of letters."""
         return self.table("incidents").filter((F.col("id") == case) | (F.lower("case_id") == case.lower()))
 
-    def _of_incident(self, name: str, incident: str | None, status: str | None, limit: int, offset: int) -> DataFrame:
-        rows = self.table(name)
+    def _of_incident(self, rows: DataFrame, incident: str | None, status: str | None, limit: int, offset: int) -> DataFrame:
         if incident is not None:
             rows = rows.filter(F.col("incident_id") == incident)
         if status is not None:
@@ -165,13 +209,37 @@ class Store:
         return provenance.page(rows, [F.desc("observed_at"), "id"], limit, offset)
 
     def activity(self, incident: str | None = None, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-        return self._of_incident("activities", incident, status, limit, offset)
+        return self._of_incident(self.activities(), incident, status, limit, offset)
 
     def alerts(self, incident: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-        return self._of_incident("alerts", incident, None, limit, offset)
+        return self._of_incident(self.table("alerts"), incident, None, limit, offset)
+
+    def activity_by_key(self, dedup_key: str) -> DataFrame:
+        return self.activities().filter(F.col("dedup_key") == dedup_key)
 
     def public_watch_targets(self, incident: str) -> DataFrame:
-        return watch.public_targets(self.table("targets").filter(F.col("incident_id") == incident)).limit(100)
+        """Stored targets, or those of a table named targets."""
+        own = self.watch_targets(incident) if self.has("target_writes") else self.table("targets").filter(F.col("incident_id") == incident)
+        return watch.public_targets(own).limit(100)
+
+    def distributions(self, kind: str | None = None, metric: str | None = None, limit: int = 100) -> DataFrame:
+        """Stored distributions of a type and metric, those of the newest runs first."""
+        rows = self.table("distributions").join(self.runs().select(F.col("run").alias("baseline_run_id"), F.col("seq").alias("written")), "baseline_run_id")
+        if kind is not None:
+            rows = rows.filter(F.col("event_type") == event_type(kind))
+        if metric is not None:
+            rows = rows.filter(F.col("metric") == metric)
+        return provenance.page(rows, [F.desc("written"), "event_type", "metric"], limit, most=1000)
+
+    def event_detail(self, event_id: str, run: str, least: int = 100) -> DataFrame:
+        """An event with its observations, its primary and other rarity rows, and its impact score by a run."""
+        found = self.event(event_id).filter(F.col("id") == event_id)
+        state = self.runs().filter(F.col("run") == run).first()
+        primary = {kind: metric for kind, metric, _, _, first, *_ in metrics.REGISTRY if first}
+        rows = baseline.with_primary(self.rarity(run, least, event_id), found, primary, state["end_height"])
+        entry = F.struct("metric", "value", "method", "percentile", "tail", "sample_count", "band", "evaluation_mode")
+        summary = rows.groupBy("id").agg(F.max(F.when(F.col("is_primary"), entry)).alias("primary"), F.array_sort(F.collect_list(F.when(~F.col("is_primary"), entry))).alias("secondary"))
+        return found.join(summary, "id", "left").join(self.impact(run, least, event_id).select("id", "component_coverage", F.col("score").alias("impact")), "id", "left")
 
     def population(self, start: int, end: int, net: str = "mainnet") -> DataFrame:
         """Metrics of events with a height in a range, of one network."""
@@ -187,24 +255,17 @@ class Store:
     def baseline_run(self, height: int, net: str = "mainnet", version: str = "v2") -> DataFrame:
         return metrics.latest_run(self.runs(), network(net), height, version)
 
-    def event_rarity(self, event_id: str, start: int, end: int, net: str = "mainnet", least: int = 100) -> DataFrame:
-        """Percentile, tail, band and evaluation mode of each of an event's metrics against a range's population.
+    def event_rarity(self, event_id: str, run: str, least: int = 100) -> DataFrame:
+        """Percentile, tail, band and evaluation mode of each of an event's metrics by a run: those of ``rarity``."""
+        rows = self.rarity(run, least, event_id)
+        return rows.withColumn("one_in", baseline.one_in(F.col("sample_count"), F.col("tail")))
 
-        Counts are taken in one pass over the population, beside the event's own few values.
-        """
-        own = self.table("event_metrics").filter(F.col("event_id") == event_id).select("event_type", "metric", F.col("value").alias("own"), F.col("block_height").alias("own_height"))
-        both = self.population(start, end, net).join(own, ["event_type", "metric"])
-        counted = both.groupBy("event_type", "metric", "own", "own_height").agg(F.count_if(F.col("value") <= F.col("own")).alias("le"), F.count_if(F.col("value") >= F.col("own")).alias("ge"), F.count(F.lit(1)).alias("population"))
-        lower = F.col("metric").isin([m for _, m, *_, rare, _, _ in metrics.REGISTRY if rare]) & (F.col("event_type") == "CONSOLIDATION")
-        at, tail = F.when(lower, F.col("ge")).otherwise(F.col("le")), F.when(lower, F.col("le")).otherwise(F.col("ge"))
-        pct = F.when(F.col("population") >= least, 100.0 * at / F.col("population"))
-        return counted.select(
-            "event_type", "metric", pct.alias("percentile"), tail.alias("tail"), "population", baseline.band(pct, F.col("population"), least).alias("band"), baseline.one_in(F.col("population"), tail).alias("one_in"),
-            metrics.evaluation_mode(F.col("own_height"), F.lit(end)).alias("evaluation_mode"),
-        )
+    def counters(self) -> DataFrame:
+        """Rows, kinds and heights of what a pipeline has stored, by event type and network."""
+        return self.table("events").groupBy("event_type", "network").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("txid").alias("transactions"), F.min("block_height").alias("first_height"), F.max("block_height").alias("last_height"), F.max("event_time").alias("last_seen"))
 
     def status(self) -> dict[str, int]:
-        return {name: self.table(name).count() for name in ("events", "observations", "incidents", "activities", "alerts")}
+        return {name: self.table(name).count() for name in ("events", "observations", "incidents", "alerts")} | {"activities": self.activities().count() if self.has("activity_writes") else 0}
 
     def create_replay(self, start: int, end: int, tip: int | None = None) -> DataFrame:
         span = replay.ReplayRange(start, end)

@@ -37,44 +37,52 @@ SQL["tx"] = """li AS (
   FROM lineitem GROUP BY l_orderkey),
 tx AS (
   SELECT o_orderkey::VARCHAR AS txid, o_orderdate AS ts, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::BIGINT AS height, coalesce(i, 0)::BIGINT AS input_count,
-    coalesce(n, 0)::BIGINT AS output_count, coalesce(total, 0)::BIGINT AS total_output_sats, coalesce(fee, 0)::BIGINT AS fee_sats, (coalesce(n, 0) * 40 + 100)::BIGINT AS vsize, outputs
+    coalesce(n, 0)::BIGINT AS output_count, coalesce(total, 0)::BIGINT AS total_output_sats, coalesce(total, 0)::BIGINT AS total_input_sats, coalesce(fee, 0)::BIGINT AS fee_sats, (coalesce(n, 0) * 40 + 100)::BIGINT AS vsize, outputs
   FROM orders LEFT JOIN li ON o_orderkey = l_orderkey)"""
 
 
 def sweep(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_suppkey", F.date_format("l_shipdate", "yyyy-MM").alias("m")).agg(
-        F.count(F.lit(1)).alias("input_count"), F.count_distinct("l_returnflag").alias("output_count"), F.sum(cents("l_extendedprice")).alias("total_input_sats")
-    ).select(F.concat_ws("/", F.col("l_suppkey").cast("string"), "m").alias("txid"), "input_count", "output_count", "total_input_sats")
+        F.count(F.lit(1)).alias("input_count"), F.count_distinct("l_returnflag").alias("output_count"), F.sum(cents("l_extendedprice")).alias("total_input_sats"),
+        F.sum(cents(F.col("l_extendedprice") * F.col("l_discount"))).alias("fee_sats"),
+    ).select(F.concat_ws("/", F.col("l_suppkey").cast("string"), "m").alias("txid"), "input_count", "output_count", "total_input_sats", (F.col("total_input_sats") - F.col("fee_sats")).alias("total_output_sats"), "fee_sats")
 
 
 SQL["sweep"] = """sweep AS (
   SELECT l_suppkey::VARCHAR || '/' || strftime(l_shipdate, '%Y-%m') AS txid, count(*)::BIGINT AS input_count, count(DISTINCT l_returnflag)::BIGINT AS output_count,
-    sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS total_input_sats FROM lineitem GROUP BY l_suppkey, strftime(l_shipdate, '%Y-%m'))"""
+    sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS total_input_sats, sum(CAST(round(l_extendedprice * l_discount * 100) AS BIGINT))::BIGINT AS fee_sats,
+    total_input_sats - fee_sats AS total_output_sats FROM lineitem GROUP BY l_suppkey, strftime(l_shipdate, '%Y-%m'))"""
 
 
 def inputs(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("confirmed_at"))
+    """Every seventh order is confirmed by height only; a transaction's totals are those of all its inputs."""
+    by_height = F.col("o_orderkey") % 7 == 0
+    o = table(spark, d, "orders").select("o_orderkey", F.when(~by_height, F.col("o_orderdate")).alias("confirmed_at"), F.when(by_height, _day("o_orderdate") * 144).alias("confirmed_height"))
+    whole = Window.partitionBy("txid")
     return table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.concat_ws("/", F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("txid"), F.col("l_shipdate").alias("ts"), "confirmed_at",
-        F.lit(None).cast("bigint").alias("confirmed_height"), cents("l_extendedprice").alias("value_sats"),
-    )
+        F.concat_ws("/", F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("txid"), F.col("l_shipdate").alias("ts"), (_day("l_shipdate") * 144).alias("block_height"), "confirmed_at",
+        "confirmed_height", cents("l_extendedprice").alias("value_sats"),
+    ).withColumns({"input_count": F.count(F.lit(1)).over(whole), "total_input_sats": F.sum("value_sats").over(whole), "total_output_sats": F.sum("value_sats").over(whole) - 1000})
 
 
 SQL["inputs"] = """inputs AS (
-  SELECT l_suppkey::VARCHAR || '/' || strftime(l_shipdate, '%Y-%m-%d') AS txid, l_shipdate AS ts, o_orderdate AS confirmed_at, CAST(round(l_extendedprice * 100) AS BIGINT) AS value_sats
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+  SELECT l_suppkey::VARCHAR || '/' || strftime(l_shipdate, '%Y-%m-%d') AS txid, l_shipdate AS ts, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS confirmed_at,
+    CASE WHEN o_orderkey % 7 = 0 THEN date_diff('day', DATE '1995-01-01', o_orderdate::DATE) * 144 END AS confirmed_height, date_diff('day', DATE '1995-01-01', l_shipdate::DATE) * 144 AS block_height,
+    CAST(round(l_extendedprice * 100) AS BIGINT) AS value_sats FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
     """Each user's events are a chain of its own: height counts within the user, so no window spans the table."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, d, "events").select(
-        F.col("user_id").alias("chain"), (F.row_number().over(w) - 1).cast("bigint").alias("height"), F.col("ts").alias("timestamp"), F.col("event_id").cast("string").alias("block_hash")
+        F.col("user_id").alias("chain"), (F.row_number().over(w) - 1).cast("bigint").alias("height"), F.col("ts").alias("timestamp"), F.col("event_id").cast("string").alias("block_hash"),
+        (F.col("event_id") % 3000).alias("tx_count"), F.concat(F.lit("pool-"), (F.col("event_id") % 5).cast("string")).alias("miner_tag"), (F.col("event_id") * 7 % 4_000_000).alias("size_bytes"),
     )
 
 
 SQL["blocks"] = """blocks AS (
-  SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS height, ts AS "timestamp", event_id::VARCHAR AS block_hash FROM events),
+  SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS height, ts AS "timestamp", event_id::VARCHAR AS block_hash,
+    event_id % 3000 AS tx_count, 'pool-' || event_id % 5 AS miner_tag, event_id * 7 % 4000000 AS size_bytes FROM events),
 spaced AS (
   SELECT *, date_diff('microsecond', lag("timestamp") OVER (PARTITION BY chain ORDER BY height), "timestamp") // 1000000 AS gap FROM blocks)"""
 
@@ -83,7 +91,8 @@ def replacements(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     fee = F.round("o_totalprice").cast("bigint")
     rows = table(spark, d, "orders").select(F.lag(F.col("o_orderkey").cast("string")).over(w).alias("old"), F.lag(fee).over(w).alias("old_fee_sats"), F.col("o_orderkey").cast("string").alias("replacement_txid"), fee.alias("new_fee_sats"))
-    return rows.filter("old IS NOT NULL").select(F.array("old").alias("replaced_txids"), "replacement_txid", "old_fee_sats", "new_fee_sats")
+    rates = [(F.col(c) / 100.0).alias(c.replace("sats", "rate_sat_vb")) for c in ("old_fee_sats", "new_fee_sats")]
+    return rows.filter("old IS NOT NULL").select(F.array("old").alias("replaced_txids"), "replacement_txid", "old_fee_sats", "new_fee_sats", *rates)
 
 
 SQL["replacements"] = """replacements AS (
@@ -93,11 +102,18 @@ SQL["replacements"] = """replacements AS (
 
 def reorgs(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return table(spark, d, "events").filter("event_type = 'error'").select(F.col("event_id").cast("string").alias("new_tip_hash"), (k % 8).alias("depth"))
+    e = table(spark, d, "events").filter("event_type = 'error'").select("event_id", "user_id", "ts", (k % 8).alias("depth"))
+    side = lambda name, n: F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit(name), F.col("event_id").cast("string"), F.lit("-"), i.cast("string")))
+    return e.select(
+        F.concat(F.lit("old-"), F.col("event_id").cast("string")).alias("old_tip_hash"), F.col("user_id").alias("old_tip_height"), F.col("event_id").cast("string").alias("new_tip_hash"), (F.col("user_id") + 1).alias("new_tip_height"),
+        F.concat(F.lit("base-"), F.col("event_id").cast("string")).alias("common_ancestor_hash"), "depth", side("d", F.col("depth") + 1).alias("disconnected_blocks"), side("c", F.col("depth") + 2).alias("connected_blocks"), F.col("ts").alias("observed_at"),
+    )
 
 
 SQL["reorgs"] = """reorgs AS (
-  SELECT event_id::VARCHAR AS new_tip_hash, CAST(json_extract_string(props, '$.k') AS BIGINT) % 8 AS depth FROM events WHERE event_type = 'error')"""
+  SELECT 'old-' || event_id AS old_tip_hash, user_id AS old_tip_height, event_id::VARCHAR AS new_tip_hash, user_id + 1 AS new_tip_height, 'base-' || event_id AS common_ancestor_hash,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) % 8 AS depth, list_transform(range(1, depth + 2), lambda i: 'd' || event_id || '-' || i) AS disconnected_blocks,
+    list_transform(range(1, depth + 3), lambda i: 'c' || event_id || '-' || i) AS connected_blocks, ts AS observed_at FROM events WHERE event_type = 'error')"""
 
 
 def canon(spark: SparkSession, d: str) -> DataFrame:

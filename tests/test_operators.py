@@ -59,12 +59,74 @@ def test_bands_and_impact(spark):
     assert few["score"] is None and few["component_coverage"] == 0.25
 
 
+DORMANT = "txid string, ts timestamp_ntz, block_height bigint, confirmed_at timestamp_ntz, confirmed_height bigint, value_sats bigint, input_count bigint, total_input_sats bigint, total_output_sats bigint"
+
+
 def test_dormant_mixes_ages(spark):
     day = lambda y: dt.datetime(y, 1, 1)
-    rows = [("t", day(2018), day(2011), 600), ("t", day(2018), day(2017), 400), ("u", day(2013), day(2011), 900)]
-    df = spark.createDataFrame(rows, "txid string, ts timestamp_ntz, confirmed_at timestamp_ntz, value_sats bigint").withColumn("confirmed_height", F.lit(None).cast("bigint"))
-    found = detectors.dormant_coins(df, 1825, 100, 1).collect()
-    assert [(r["event_key"], r["total_dormant_sats"], r["dormant_input_count"]) for r in found] == [("DormantCoinsMoved:tx:t", 600, 1)]
+    rows = [("t", day(2018), None, day(2011), None, 600, 2, 1000, 990), ("t", day(2018), None, day(2017), None, 400, 2, 1000, 990), ("u", day(2013), None, day(2011), None, 900, 1, 900, 900)]
+    found = detectors.dormant_coins(spark.createDataFrame(rows, DORMANT), 1825, 100, 1).collect()
+    assert [(r["event_key"], r["total_dormant_sats"], r["dormant_input_count"], r["total_input_count"], r["dormant_ratio"]) for r in found] == [("DormantCoinsMoved:tx:t", 600, 1, 2, 0.6)]
+    days = (day(2018) - day(2011)).days
+    assert (found[0]["coin_age_destroyed_sats_days"], found[0]["coin_age_destroyed_btc_days"], found[0]["oldest_input_age_seconds"]) == (600 * days, 600 * days / 10**8, days * 86_400)
+
+
+def test_dormant_by_height(spark):
+    """An input without a time ages 600 seconds a block; the class is that of the oldest input, not of the least height."""
+    now = dt.datetime(2024, 1, 1)
+    rows = [("h", now, 500_000, None, 150_000, 10, 2, 30, 30), ("h", now, 500_000, dt.datetime(2016, 1, 1), 90_000, 20, 2, 30, 30), ("young", now, 500_000, None, 499_000, 10, 1, 10, 10), ("none", now, None, None, 1, 10, 1, 10, 10)]
+    found = detectors.dormant_coins(spark.createDataFrame(rows, DORMANT), 1825, 1, 1).collect()
+    assert [(r["event_key"], r["dormant_input_count"], r["classification"]) for r in found] == [("DormantCoinsMoved:tx:h", 2, "EARLY_BITCOIN")]
+    found = detectors.dormant_coins(spark.createDataFrame(rows[:1], DORMANT), 1825, 1, 1).first()
+    assert (found["oldest_input_age_seconds"], found["classification"]) == (350_000 * 600, "DORMANT")
+
+
+def test_dormant_event_has_all_its_metrics(spark):
+    from lodewell.operators import metrics
+
+    rows = [("t", dt.datetime(2018, 1, 1), 500_000, dt.datetime(2011, 1, 1), None, 600, 1, 600, 600)]
+    events = detectors.canonical(detectors.dormant_coins(spark.createDataFrame(rows, DORMANT), 1825, 100, 1))
+    assert {r["metric"] for r in metrics.extract(events).collect()} == {m for kind, m, *_ in metrics.REGISTRY if kind == "DORMANT_COINS_MOVED"}
+
+
+def test_interpolation_where_lower_is_rarer(spark):
+    points = [(0.0, F.lit(10)), (50.0, F.lit(20)), (100.0, F.lit(40))]
+    df = spark.createDataFrame([(5,), (15,), (50,)], "v bigint")
+    for lower, want in ((False, [0.0, 25.0, 100.0]), (True, [100.0, 25.0, 0.0]), (F.lit(True), [100.0, 25.0, 0.0])):
+        assert [r[0] for r in df.select(baseline.interpolated(F.col("v"), points, F.lit(8), lower)[0].alias("p"), "v").orderBy("v").collect()] == want
+
+
+def test_ranks_over_many_partitions(spark):
+    """One group with many distinct values next to small ones, range-partitioned and added up."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    rows = [("T", "m", (i * 7919) % 1000) for i in range(3000)] + [("U", "m", 5)] * 4 + [("V", "m", i) for i in range(3)]
+    df = spark.createDataFrame(rows, "event_type string, metric string, value bigint")
+    got = {(r["event_type"], r["value"]): (r["le"], r["ge"], r["population"]) for r in baseline.value_ranks(df, ["event_type", "metric"]).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == {(k, v): (sum(x <= v for kk, _, x in rows if kk == k), sum(x >= v for kk, _, x in rows if kk == k), sum(kk == k for kk, _, x in rows)) for k, _, v in set(rows)}
+
+
+def test_event_without_its_primary_metric(spark):
+    rows = spark.createDataFrame([("a", "T", "m", 5, "EXACT", 50.0, 1, 200, "COMMON", "RETROSPECTIVE"), ("a", "T", "other", 5, "EXACT", 50.0, 1, 200, "COMMON", "RETROSPECTIVE")], "id string, event_type string, metric string, value bigint, method string, percentile double, tail bigint, sample_count bigint, band string, evaluation_mode string")
+    events = spark.createDataFrame([("a", "T", 5), ("b", "T", 99)], "id string, event_type string, block_height bigint")
+    got = {(r["id"], r["metric"]): r for r in baseline.with_primary(rows, events, {"T": "m"}, 10).collect()}
+    assert got["a", "m"]["is_primary"] and not got["a", "other"]["is_primary"] and len(got) == 3
+    assert (got["b", "m"]["value"], got["b", "m"]["percentile"], got["b", "m"]["band"], got["b", "m"]["evaluation_mode"]) == (0, None, "INSUFFICIENT_DATA", "POINT_IN_TIME")
+
+
+def test_amounts_from_doubles(spark):
+    df = spark.createDataFrame([(0.1,), (-1.0,), (float("nan"),), (float("inf"),), (2.2e7,), (None,)], "x double")
+    assert [r[0] for r in df.select(money.float_to_sats(F.col("x"))).collect()] == [10_000_000, None, None, None, None, None]
+    assert one(spark, money.btc_days(F.lit(250_000_000))) == 2.5
+
+
+def test_tips_and_gaps(spark):
+    assert chain.tip_continuity(10, 11) == ("NEXT", range(11, 12)) and chain.tip_continuity(10, 14)[0] == "GAP" and chain.tip_continuity(10, 500) == ("SKIPPED", range(500, 501)) and chain.tip_continuity(10, 9)[0] == "BEHIND"
+    tips = spark.createDataFrame([("a", 9, 0, "active"), ("b", 8, 1, "valid-fork"), ("c", 8, 3, "headers-only"), ("d", 7, 2, "invalid")], "hash string, height bigint, branchlen bigint, status string")
+    assert [r["hash"] for r in chain.competing_tips(tips).collect()] == ["c", "b"]
+    states = spark.createDataFrame([(1, "Gap", 5), (2, "Gap", 101), (3, "Stale", None)], "i bigint, state string, missed bigint")
+    assert {r["i"]: r["action"] for r in chain.gap_requests(states, "i").collect()} == {1: "RECONCILE", 2: "SKIP"}
 
 
 def test_reorg_severity(spark):

@@ -142,7 +142,7 @@ def test_replay_from_the_command_line(spark, node, tmp_path, capsys):
         ("EXTREME_FEE", "CRITICAL", 1), ("FAN_OUT", "HIGH", 1), ("LARGE_TRANSFER", "MEDIUM", 0), ("LARGE_TRANSFER", "MEDIUM", 1), ("LONG_BLOCK_INTERVAL", "CRITICAL", 1),
     ]
     fee = next(json.loads(r["metadata"]) for r in events if r["event_type"] == "EXTREME_FEE")
-    assert fee["fee_sats"] == BTC and fee["trigger"] == "BOTH"
+    assert fee["fee_sats"] == BTC and fee["fee_trigger_type"] == "BOTH"
     assert store.table("observations").count() == 5 and store.table("outputs").count() == 64
     assert store.table("event_metrics").filter("metric = 'fee_sats'").first()["value"] == BTC
     command.main(["baseline", "--start", "0", "--end", "3", "--store", root], spark)
@@ -195,7 +195,42 @@ def test_descendants_and_activities(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     for _ in range(2):
         store.save_activities(rows)
-    assert store.table("activities").count() == 1 and store.alerts("case").count() == 1
+    assert store.activities().count() == 1 and store.alerts("case").count() == 1
+    seen = rows.withColumns({"status": F.lit("MEMPOOL"), "block_height": F.lit(None).cast("bigint"), "dedup_key": F.lit("k2")})
+    store.save_activities(seen)
+    store.save_activities(seen.withColumns({"status": F.lit("CONFIRMED"), "block_height": F.lit(7).cast("bigint"), "observed_at": F.lit("2025-01-01")}))
+    r = store.activity_by_key("k2").first()
+    assert (r["status"], r["block_height"], r["observed_at"]) == ("CONFIRMED", 7, "2024-01-01") and store.alerts("case").count() == 2
+
+
+def test_watch_targets(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    schema = "id string, incident_id string, target_type string, txid string, vout bigint, address string, script_hex string, classification string, active boolean"
+    make = lambda *rows: spark.createDataFrame(list(rows), schema)
+    store.seed_targets(make(("a", "c", "OUTPOINT", "t", 0, None, None, "REPORTED", True), ("b", "c", "OUTPOINT", "t", 0, None, None, "REPORTED", True), ("d", "c", "ADDRESS", None, None, "x", None, "REPORTED", True)))
+    store.seed_targets(make(("e", "c", "ADDRESS", None, None, "x", None, "REPORTED", True), ("f", "c", "OUTPOINT", "t", 1, None, None, "REPORTED", True)))
+    assert store.watch_targets("c").count() == 3
+    store.save_watch_targets(make(("d", "c", "ADDRESS", None, None, "x", None, "ON_CHAIN_VERIFIED", False)))
+    assert {r["id"]: (r["classification"], r["active"]) for r in store.watch_targets().collect()}["d"] == ("ON_CHAIN_VERIFIED", False)
+    assert store.public_watch_targets("c").count() == 3
+
+
+def blocks_of(spark, node):
+    raw = spark.createDataFrame([(i, n, bytearray(b)) for i, (n, b) in enumerate(zip(node[2], node[1]))], "height bigint, block_hash string, body binary")
+    return decoders.blocks(raw).drop("height").join(raw.select("height", "block_hash"), "block_hash")
+
+
+def test_replay_sees_the_block_before_its_range(spark, node, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert replay_run.run(store, blocks_of(spark, node), ReplayRange(1, 3), "j") == "COMPLETED"
+    assert "LONG_BLOCK_INTERVAL" in {r["event_type"] for r in store.table("events").collect()} and store.table("events").filter("block_height < 1").isEmpty()
+
+
+def test_replay_fails_where_a_block_is_missing(spark, node, tmp_path):
+    store, blocks = Store(spark, str(tmp_path)), blocks_of(spark, node)
+    assert replay_run.run(store, blocks.filter("height <> 2"), ReplayRange(0, 3), "j", every=1) == "FAILED"
+    assert store.checkpoint("j") == 1 and store.job("j")["status"] == "FAILED"
+    assert replay_run.run(store, blocks, ReplayRange(0, 3), "j", every=1) == "COMPLETED" and store.checkpoint("j") == 3
 
 
 def test_scenario(spark):

@@ -82,7 +82,6 @@ def test_sink_and_replay(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
     span = replay.ReplayRange(10, 70)
     span.check(tip=70)
-    assert replay.checkpoint_heights(span) == [34, 59, 70]
     blocks = spark.range(100).withColumnRenamed("id", "height")
     assert replay.remaining(blocks, span, spark.createDataFrame([(34,)], "completed_height bigint")).count() == 36
     created, existing = replay.split_new(batch.withColumnRenamed("id", "event_id"), spark.createDataFrame([(2,)], "event_id bigint"))

@@ -10,7 +10,7 @@ def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     rows = [(f"e{i}", "LARGE_TRANSFER", i, f"2024-01-{i % 28 + 1:02d} 00:00:00", "live", '{"total_output_sats": %d, "vsize": "x"}' % (i % 100)) for i in range(200)]
     events = spark.createDataFrame(rows, "id string, event_type string, block_height bigint, event_time string, observation_mode string, metadata string")
-    events = events.withColumns({"event_time": F.to_timestamp("event_time"), "network": F.lit(None).cast("string")})
+    events = events.withColumns({"event_time": F.to_timestamp("event_time"), "network": F.lit("mainnet")})
     store.append("events", events)
     store.append("observations", events.filter("block_height < 5").select(F.concat(F.lit("o"), "id").alias("id"), F.col("id").alias("event_id"), F.lit("historical_replay").alias("mode"), F.col("event_time").alias("observed_at")))
     store.append("event_metrics", metrics.extract(events).withColumnRenamed("id", "event_id"))
@@ -19,9 +19,17 @@ def test_store(spark, tmp_path):
     assert len(store.event("e1").first()["observations"]) == 1 and store.observations("e9").count() == 0
     store.append_new("observations", store.table("observations"), "id")
     assert store.table("observations").count() == 5
-    r = store.event_rarity("e50", 0, 199).first()
-    assert (r["percentile"], r["tail"], r["population"], r["band"], r["evaluation_mode"]) == (51.0, 100, 200, "COMMON", "RETROSPECTIVE")
-    assert store.event_rarity("e50", 0, 49).first()["band"] == "INSUFFICIENT_DATA"
+    run = store.save_baseline(0, 199)
+    r = store.event_rarity("e50", run).first()
+    assert (r["percentile"], r["tail"], r["sample_count"], r["band"], r["evaluation_mode"], r["one_in"]) == (51.0, 100, 200, "COMMON", "RETROSPECTIVE", 2)
+    assert store.rarity(run).filter("id = 'e50'").first()["percentile"] == 51.0
+    early = store.save_baseline(0, 49)
+    assert store.event_rarity("e50", early).first()["band"] == "INSUFFICIENT_DATA"
+    d = store.event_detail("e50", run).first()
+    assert d["primary"]["metric"] == "value_sats" and d["primary"]["percentile"] == 51.0 and d["secondary"] == [] and d["impact"] is None and d["component_coverage"] == 0.25
+    assert {r["baseline_run_id"] for r in store.distributions("large_transaction", "value_sats").collect()} == {run, early}
+    store.save_event_texts(spark.createDataFrame([("e1", "new title", None, "{}")], "id string, title string, description string, metadata string"))
+    assert store.events().filter("id = 'e1'").first()["metadata"] == "{}" and store.events().count() == 200
     assert store.create_baseline(0, 199).first()["p50"] == 49
     assert event_type("fanout") == "FAN_OUT" and store.create_replay(1, 5).first()["status"] == "PENDING"
 
