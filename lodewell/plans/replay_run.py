@@ -61,15 +61,20 @@ def enriched(tx: DataFrame, known_outputs: DataFrame | None = None) -> tuple[Dat
 
 def detect(blocks: DataFrame, known_outputs: DataFrame | None = None, limits: Thresholds = Thresholds(), network: str = "mainnet", history: bool = True) -> DataFrame:
     """Canonical events of decoded blocks. Intervals need the block before the range among the blocks."""
-    tx, inputs = enriched(transactions_of(blocks), known_outputs)
+    found = transaction_events(*enriched(transactions_of(blocks), known_outputs), limits, network)
+    context = F.struct(F.lit(None).cast("string").alias("txid"), "block_hash", F.col("height").alias("block_height"), F.col("timestamp").alias("event_time"))
+    spaced = chain.block_intervals(blocks, live=not history).withColumn("context", context)
+    return found.unionByName(detectors.canonical(detectors.long_interval(spaced, *limits.interval), network))
+
+
+def transaction_events(tx: DataFrame, inputs: DataFrame, limits: Thresholds = Thresholds(), network: str = "mainnet") -> DataFrame:
+    """Canonical events of enriched transactions and their inputs."""
     context = F.struct("txid", "block_hash", "block_height", F.col("timestamp").alias("event_time"))
     values = F.array_sort(F.transform("outputs", lambda o: o["value_sats"]))
     tx = tx.withColumns({"context": context, "outputs": values})
     inputs = inputs.withColumns({"context": F.struct("txid", "block_hash", "block_height", F.col("ts").alias("event_time")), "ts": F.col("ts").cast("timestamp_ntz"), "confirmed_at": F.col("confirmed_at").cast("timestamp_ntz")})
-    spaced = chain.block_intervals(blocks, live=not history).withColumn("context", F.struct(F.lit(None).cast("string").alias("txid"), "block_hash", F.col("height").alias("block_height"), F.col("timestamp").alias("event_time")))
     found = [
         detectors.large_transfer(tx, *limits.transfer),
-        detectors.long_interval(spaced, *limits.interval),
         detectors.dormant_coins(inputs, limits.dormant_days, limits.dormant_sats, 10**8),
         detectors.consolidation(tx, *limits.consolidation),
         detectors.fan_out(tx, *limits.fan_out),

@@ -1,5 +1,6 @@
 """Node readers against a local server, and whole replays of small chains."""
 
+import base64
 import json
 import struct
 import threading
@@ -13,8 +14,9 @@ from lodewell.operators import baseline, watch
 from lodewell.operators.replay import ReplayRange
 from lodewell.plans import replay_run
 from lodewell.plans.store import Store
-from lodewell.sources import decoders, mappers
+from lodewell.sources import decoders, landing, mappers
 from lodewell.sources.node import BlockSource, NodeError, Rest, Rpc, checked_url
+from lodewell.streaming import live
 
 BTC = 10**8
 
@@ -203,6 +205,29 @@ def test_descendants_and_activities(spark, tmp_path):
     assert (r["status"], r["block_height"], r["observed_at"]) == ("CONFIRMED", 7, "2024-01-01") and store.alerts("case").count() == 2
 
 
+def test_live_detection_of_landed_frames(spark, node, tmp_path):
+    """Frames land as files; a stream decodes them, takes spent values from the stored outputs, and stores events once."""
+    store, blocks = Store(spark, str(tmp_path / "store")), blocks_of(spark, node)
+    store.append("outputs", replay_run.outputs_of(replay_run.transactions_of(blocks.filter("height = 0"))))
+    raw = raw_tx([(decoders.decode_block(node[1][0])["transactions"][0]["txid"], 0)], [199 * BTC])
+    line = lambda parts: json.dumps({"topic": "rawtx", "parts": [base64.b64encode(p).decode() for p in parts], "received_at": "2024-01-01T00:00:00Z"})
+    folder = tmp_path / "frames"
+    folder.mkdir()
+    (folder / "a.json").write_text("\n".join([line([b"rawtx", raw, struct.pack("<I", 7)]), line([b"rawtx", raw]), line([b"rawtx", raw[:20], struct.pack("<I", 8)])]))
+    source = landing.LandedFrames(str(folder), "rawtx")
+    assert source.healthy(spark) and source.kind == "transaction"
+    for n in range(2):  # the second stream reads the folder anew
+        q = source.read(spark).writeStream.foreachBatch(live.sink(store)).option("checkpointLocation", str(tmp_path / f"c{n}")).start()
+        q.processAllAvailable()
+        q.stop()
+    events = {r["event_type"]: json.loads(r["metadata"]) for r in store.table("events").collect()}
+    assert set(events) == {"LARGE_TRANSFER", "EXTREME_FEE", "DORMANT_COINS_MOVED"} and events["EXTREME_FEE"]["fee_sats"] == BTC and store.table("events").count() == 3
+    assert [r["mode"] for r in store.table("observations").collect()] == ["live"] * 3
+    (tmp_path / "ws").mkdir()
+    (tmp_path / "ws" / "a.txt").write_text('{"tx": {"txid": "t", "fee": 5}}\nnot json\n')
+    assert [r["kind"] for r in landing.LandedEnvelopes(str(tmp_path / "ws"), stream=False).read(spark).collect()] == ["transaction"]
+
+
 def test_watch_targets(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     schema = "id string, incident_id string, target_type string, txid string, vout bigint, address string, script_hex string, classification string, active boolean"
