@@ -14,7 +14,7 @@ from lodewell.llm.common import bounded_batches, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language cannot be told, go."""
+    """Documents without a letter go; a language that is hard to tell keeps its document."""
     bounded_batches(spark)
     return langid.drop_unidentified(docs)
 

@@ -1,6 +1,7 @@
 """Line dedup: range-partitioned line hashes, streamed in (hash, document, position) order, give keep bitmaps.
 
-Only hashes and positions travel, never text. Rows are range-partitioned by (hash, document), so that a line held by a
+Only hashes and positions travel to find the lines, never text; apply_bitmaps, which gives the kept text, is a join of
+the documents with the bitmaps and shuffles each text once. Rows are range-partitioned by (hash, document), so that a line held by a
 third of all documents is spread over many tasks; each task streams its sorted rows once. A hash that lies wholly
 inside one task is decided there. The first and the last hash of a task may go on in its neighbours: the task writes a
 count for those (two rows a task at most) and leaves their rows pending until the counts are added up.

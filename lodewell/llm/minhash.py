@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from lodewell.llm.common import WORD, many_to_one, materialize, mix64, texts, word_hashes
 
 SIDE, ROWS, SMALL, CHUNK = 12, 3, 8, 64
-BLOB, BITS, ROUNDS, FEW = 2048, 1024, 2, 4
+BLOB, BITS, ROUNDS, FEW = 512, 1024, 2, 4
 THRESHOLD, SHINGLE = 80, 5
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
