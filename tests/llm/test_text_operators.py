@@ -452,6 +452,40 @@ def test_code_length_of_a_byte_by_hand():
     assert np.isclose(trees.code_lengths(data, np.array([2]))[0, 0], -math.log2(3 / 4) - math.log2(1 / 2))
 
 
+def test_code_lengths_against_brute_force(docs):
+    """Method C by plain recursion over counts of contexts, for two languages, bytes never seen included."""
+    rows = docs.filter("lang IN ('de', 'en') AND text IS NOT NULL").orderBy("doc_id").limit(30).collect()
+    counts = {"de": collections.Counter(), "en": collections.Counter()}
+    for r in rows[:20]:
+        raw = b"\0\0\0" + r["text"].encode().lower()
+        counts[r["lang"]].update(raw[i - 3 : i + 1] for i in range(3, len(raw)))
+    by_context = {}
+    for lang, grams in counts.items():
+        for g, n in grams.items():
+            for k in range(4):
+                by_context.setdefault((lang, g[3 - k : 3]), collections.Counter())[g[3]] += n
+
+    def bits(lang, text):
+        raw, total = b"\0\0\0" + text, 0.0
+        for i in range(3, len(raw)):
+            for k in (3, 2, 1, 0):
+                if not (seen := by_context.get((lang, raw[i - k : i]))):
+                    continue
+                n, d = sum(seen.values()), len(seen)
+                total -= math.log2((seen[raw[i]] or d) / (n + d))
+                if seen[raw[i]]:
+                    break
+            else:
+                total += 8
+        return total
+
+    trees = langid.Trees({lang: {int.from_bytes(g, "big"): n for g, n in c.items()} for lang, c in counts.items()}, 3)
+    texts = [r["text"].encode().lower()[:400] for r in rows] + [b"x", "日本 ½".encode(), b"the \x7f\x01 zz"]
+    got = trees.code_lengths(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))
+    for t, found in zip(texts, got):
+        assert np.allclose(found, [bits("de", t), bits("en", t)], rtol=1e-5)
+
+
 def test_code_lengths_do_not_depend_on_blocks(plain, docs, monkeypatch):
     trees = langid.learn(docs)
     texts = [(t or "").encode().lower() for t in list(plain.values())[:20]]
@@ -586,4 +620,20 @@ def test_pipeline(spark):
     for d in list(out)[:20]:
         ids = library.encode(texts[d] or "", add_special_tokens=False).ids
         assert out[d] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-    assert F is not None
+
+
+def test_pipeline_takes_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [*AWKWARD, (20, near, "en", "a"), (20, near, "en", "a"), (20, near.upper() + " more", "de", None), (21, near + " end", "en", "a"), (20, "another text with the same id " * 8, "en", "b")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    frame(spark, rows[:0]).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    docs = frame(spark, rows)
+    kept = corpus_pipeline.near_dedup(spark, corpus_pipeline.dedup_lines(spark, corpus_pipeline.language_id(spark, docs, ""), ""), "")
+    got = sorted((str(r["doc_id"]), r["text"][:12]) for r in kept.collect())
+    assert [x for x in got if x[0] in ("20", "21")] in ([("20", "another text"), ("20", "w0 w1 w2 w3 ")], [("20", "W0 W1 W2 W3 "), ("20", "another text")])
+    assert {d for d, _ in got} == {"4", "None", "6", "7", "8", "20", str(2**40)}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert out and {str(r["doc_id"]) for r in out} <= {d for d, _ in got}
