@@ -14,7 +14,7 @@ import urllib.request
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 TIMEOUT, MAX_BYTES, SLICE = 30.0, 10 << 20, 25
 #: The names by which nodes and users call a chain.
@@ -213,23 +213,31 @@ class _BatchReader(DataSourceReader):
         return _rows(self.options, partition.start, partition.end)
 
 
-class _TipReader(SimpleDataSourceStreamReader):
-    """From the height after ``start`` (or the tip at the beginning), at most ``most`` blocks a trigger."""
+class _TipReader(DataSourceStreamReader):
+    """From the height ``start`` (or the tip at the beginning) on. The driver asks for the tip only; tasks read slices of blocks."""
 
     def __init__(self, options: dict) -> None:
-        self.options = options
+        self.options, self.last = options, 0
 
     def initialOffset(self) -> dict:
         start = self.options.get("start")
-        return {"next": int(start) if start is not None else _client(self.options).tip()}
+        self.last = int(start) if start is not None else _client(self.options).tip()
+        return {"next": self.last}
+
+    def latestOffset(self) -> dict:
+        # a tip that falls back in a reorganisation takes nothing back
+        self.last = max(self.last, _client(self.options).tip() + 1)
+        return {"next": self.last}
+
+    def partitions(self, start: dict, end: dict) -> list[_Slice]:
+        size = int(self.options.get("slice", SLICE))
+        return [_Slice(a, min(a + size, end["next"]) - 1) for a in range(start["next"], end["next"], size)]
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = min(_client(self.options).tip() + 1, start["next"] + int(self.options.get("most", 100)))
-        end = max(end, start["next"])
-        return iter(list(_rows(self.options, start["next"], end - 1))), {"next": end}
+    def read(self, partition: _Slice) -> Iterator[tuple]:
+        return _rows(self.options, partition.start, partition.end)
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return _rows(self.options, start["next"], end["next"] - 1)
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class BlockSource(DataSource):
@@ -245,5 +253,5 @@ class BlockSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _BatchReader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _TipReader(dict(self.options))
