@@ -61,7 +61,7 @@ def _line_rows(min_chars: int):
 
 
 DROP, PENDING, COUNT = 0, 1, 2
-_FLUSH = 20_000
+_FLUSH = 2_000
 
 
 class _Out:
