@@ -109,6 +109,47 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+OP8_SQL = r"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS MATERIALIZED (
+  SELECT r, doc_id, lang, ws, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    [len(regexp_extract_all(text, '[A-Z]')), len(regexp_extract_all(text, '[0-9]')), len(regexp_extract_all(text, '[!"''(),\-./:;?]')),
+     len(regexp_extract_all(text, '[#*$%&|<>+=@\[\]\\^_`{}~]')), len(regexp_extract_all(text, '[^\x00-\x7F]'))] AS cs FROM w),
+-- five-word windows found twice or more, and the words that they cover
+win AS (SELECT r, u.i, count(*) OVER (PARTITION BY r, u.k) AS n FROM (SELECT r, unnest(list_transform(range(1, len(ws) - 3), lambda i: {'i': i, 'k': array_to_string(ws[i:i + 4], ' ')})) AS u FROM w)),
+covered AS (SELECT r, count(DISTINCT i + j)::BIGINT AS n_repeat_words FROM win, range(5) AS o(j) WHERE n >= 2 GROUP BY r),
+-- the languages that have a reference, and their common words
+langs AS (SELECT lang, floor(least(1.0::DOUBLE, 2000::DOUBLE / count(*)) * 4294967296)::BIGINT AS rate FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= 20),
+sampled AS (SELECT lang, unnest(ws) AS word FROM w JOIN langs USING (lang) WHERE ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT < rate),
+counted AS (SELECT lang, word, count(*) AS n FROM sampled WHERE regexp_matches(word, '[^\x00-\x40\x5B-\x60\x7B-\x7F]') GROUP BY lang, word HAVING count(*) >= 2),
+common AS MATERIALIZED (SELECT lang, word FROM counted QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 16),
+-- histograms of documents: classes of characters, and words common in each language
+chars AS MATERIALIZED (SELECT r, lang, word_chars, b, CASE WHEN b < 6 THEN cs[b] ELSE greatest(word_chars - list_sum(cs), 0) END AS c FROM f, range(1, 7) AS t(b)),
+uses AS MATERIALIZED (SELECT r, word, count(*) AS c FROM (SELECT r, unnest(ws) AS word FROM w) WHERE word IN (SELECT word FROM common) GROUP BY r, word),
+char_refs AS (SELECT lang, b, (sum(c) + 0.5::DOUBLE) / (sum(sum(c)) OVER (PARTITION BY lang) + 3) AS q FROM chars JOIN langs USING (lang) GROUP BY lang, b),
+sizes AS (SELECT lang, sum(n_words) AS n FROM f JOIN langs USING (lang) GROUP BY lang),
+own AS (SELECT k.lang, k.word, coalesce(sum(u.c), 0) AS c FROM common k LEFT JOIN (SELECT lang, word, c FROM uses JOIN w USING (r)) u ON u.lang = k.lang AND u.word = k.word GROUP BY k.lang, k.word),
+own_all AS (SELECT lang, word, c FROM own UNION ALL SELECT lang, NULL, n - coalesce((SELECT sum(c) FROM own WHERE own.lang = sizes.lang), 0) FROM sizes),
+word_refs AS (SELECT lang, word, (c + 0.5::DOUBLE) / (sum(c) OVER (PARTITION BY lang) + 0.5 * count(*) OVER (PARTITION BY lang)) AS q FROM own_all),
+picked AS MATERIALIZED (SELECT f.r, f.n_words, k.lang, k.word, coalesce(u.c, 0) AS c FROM f CROSS JOIN common k LEFT JOIN uses u ON u.r = f.r AND u.word = k.word),
+words AS (SELECT r, n_words, lang, word, c FROM picked
+  UNION ALL SELECT f.r, f.n_words, l.lang, NULL, greatest(f.n_words - coalesce(p.c, 0), 0) FROM f CROSS JOIN langs l LEFT JOIN (SELECT r, lang, sum(c) AS c FROM picked GROUP BY r, lang) p ON p.r = f.r AND p.lang = l.lang),
+-- Jensen-Shannon distances to every reference, and the least of them
+char_parts AS (SELECT c.r, x.lang, c.c / greatest(c.word_chars, 1)::DOUBLE AS p, x.q FROM chars c JOIN char_refs x USING (b)),
+word_parts AS (SELECT c.r, x.lang, c.c / greatest(c.n_words, 1)::DOUBLE AS p, x.q FROM words c JOIN word_refs x ON x.lang = c.lang AND x.word IS NOT DISTINCT FROM c.word),
+char_far AS (SELECT r, min(d) AS d FROM (SELECT r, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + q * log2(2 * q / (p + q))) / 2)) AS d FROM char_parts GROUP BY r, lang) GROUP BY r),
+word_far AS (SELECT r, min(d) AS d FROM (SELECT r, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + q * log2(2 * q / (p + q))) / 2)) AS d FROM word_parts GROUP BY r, lang) GROUP BY r),
+judged AS (
+  SELECT f.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed,
+    word_chars >= 200 AND coalesce(cf.d, 0) > 0.3 AS char_failed,
+    n_words >= 60 AND coalesce(wf.d, 0) > 0.285 AND (lang IS NULL OR lang IN (SELECT lang FROM langs)) AS word_failed
+  FROM f LEFT JOIN covered USING (r) LEFT JOIN char_far cf USING (r) LEFT JOIN word_far wf USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT char_failed AND NOT word_failed AS kept FROM judged
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -142,4 +183,4 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_top_k": op10_top_k,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op10_top_k": OP10_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op8_quality_rules": OP8_SQL, "op10_top_k": OP10_SQL}
