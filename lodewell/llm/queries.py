@@ -72,6 +72,36 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("blocks")
 
 
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+OP3_SQL = r"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+placed AS MATERIALIZED (SELECT r, u.place, u.word FROM (SELECT r, unnest(list_transform(range(1, len(ws) + 1), lambda i: {'place': i - 1, 'word': ws[i]})) AS u FROM w)),
+-- places of phrases
+phrases AS (SELECT string_split(phrase, ' ') AS ps, label FROM (VALUES $PHRASES) AS v(phrase, label)),
+base AS (SELECT w.r, p.place, label FROM phrases JOIN placed p ON p.word = ps[1] JOIN w ON w.r = p.r WHERE ws[place + 1:place + len(ps)] = ps),
+bases AS (SELECT r, count(*)::BIGINT AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS own FROM base GROUP BY r),
+-- windows at template words that hold 0.9 of a template's distinct words; short templates also in order
+templates AS (
+  SELECT n, label, ts, len(list_distinct(ts)) AS size, ceil(1.25 * len(ts))::BIGINT AS width, ceil(0.9 * len(list_distinct(ts)) - 1e-9)::BIGINT AS need,
+    CASE WHEN len(ts) > 12 THEN 0 ELSE ceil(0.9 * len(ts) - 1e-9) END AS ordered FROM (SELECT n, label, string_split(body, ' ') AS ts FROM (VALUES $TEMPLATES) AS v(n, label, body))),
+hits AS (SELECT DISTINCT r, n, place, word, size, width, need FROM placed JOIN (SELECT n, size, width, need, unnest(ts) AS word FROM templates) USING (word)),
+likely AS (SELECT * FROM hits JOIN (SELECT r, n FROM hits GROUP BY r, n, need HAVING count(DISTINCT word) >= need) USING (r, n)),
+held AS (SELECT a.r, a.n, a.place, count(DISTINCT b.word) AS held FROM likely a JOIN likely b ON a.r = b.r AND a.n = b.n AND b.place BETWEEN a.place AND a.place + a.width - 1 GROUP BY a.r, a.n, a.place, a.need HAVING count(DISTINCT b.word) >= a.need),
+blocks AS (SELECT held.r, label, held / size::DOUBLE AS containment, ts, ordered, array_to_string(ws[place + 1:place + width], ' ') AS line FROM held JOIN templates USING (n) JOIN w ON w.r = held.r),
+fine AS (
+  SELECT r, label, containment FROM blocks WHERE ordered = 0 OR regexp_matches(line, '(^| )' || array_to_string(ts, '( .*)? ') || '( |$)')
+    OR ordered < len(ts) AND len(list_filter(range(1, len(ts) + 1), lambda i: regexp_matches(line, '(^| )' || array_to_string(list_concat(ts[1:i - 1], ts[i + 1:]), '( .*)? ') || '( |$)'))) > 0),
+found AS (SELECT r, list(DISTINCT label) AS more, max(containment) AS best FROM fine GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(list_sort(own), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1 ELSE coalesce(best, 0) END::DOUBLE AS score
+FROM w LEFT JOIN bases USING (r) LEFT JOIN found USING (r)
+""".replace("$PHRASES", _values(license_scan.PHRASES.items())).replace("$TEMPLATES", _values((n, *t) for n, t in enumerate(license_scan.TEMPLATES)))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), shingle=2)
 
@@ -183,4 +213,4 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_top_k": op10_top_k,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op8_quality_rules": OP8_SQL, "op10_top_k": OP10_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op3_license_scan": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op8_quality_rules": OP8_SQL, "op10_top_k": OP10_SQL}
