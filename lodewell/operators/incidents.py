@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,16 +25,41 @@ def nest(parents: DataFrame, children: DataFrame, key: str, fields: list[str], i
     return joined.withColumn(into, F.coalesce(into, F.array().cast(lists.schema[into].dataType)))
 
 
-def violations(dossiers: DataFrame, edges: DataFrame, nodes: DataFrame, timeline: DataFrame) -> DataFrame:
-    """(incident, rule, detail) of what breaks a rule: recovered over affected, dangling edges, doubled nodes, time order."""
-    over = dossiers.filter(F.col("recovered_sats") > F.col("affected_sats")).select("incident", F.lit("recovered_over_affected").alias("rule"), F.lit("").alias("detail"))
+def _late(rows: DataFrame, rule: str) -> DataFrame:
+    before = F.lag("at").over(Window.partitionBy("incident").orderBy("pos"))
+    return rows.withColumn("before", before).filter("at < before").select("incident", F.lit(rule).alias("rule"), F.col("pos").cast("string").alias("detail"))
+
+
+def _doubled(rows: DataFrame, column: str, rule: str) -> DataFrame:
+    return rows.groupBy("incident", column).count().filter("count > 1").select("incident", F.lit(rule).alias("rule"), F.col(column).alias("detail"))
+
+
+def violations(dossiers: DataFrame, edges: DataFrame, nodes: DataFrame, timeline: DataFrame, evidence: DataFrame | None = None, messages: DataFrame | None = None, updates: DataFrame | None = None) -> DataFrame:
+    """(incident, rule, detail) of what breaks a rule.
+
+    Recovered over affected; an outstanding amount that is not their difference, unless it is an estimate (if dossiers
+    have outstanding_sats); dangling edges; doubled nodes and evidence; times of the timeline and of updates that go
+    back; messages whose sender is named and held to be verified on chain.
+    """
+    rule = lambda df, name, detail: df.select("incident", F.lit(name).alias("rule"), detail.alias("detail"))
     ids = nodes.select("incident", F.col("node").alias("end")).distinct()
     ends = edges.select("incident", F.explode(F.array("source", "target")).alias("end"))
-    dangling = ends.join(ids, ["incident", "end"], "left_anti").distinct().select("incident", F.lit("dangling_edge").alias("rule"), F.col("end").alias("detail"))
-    doubled = nodes.groupBy("incident", "node").count().filter("count > 1").select("incident", F.lit("duplicate_node").alias("rule"), F.col("node").alias("detail"))
-    before = F.lag("at").over(Window.partitionBy("incident").orderBy("pos"))
-    late = timeline.withColumn("before", before).filter("at < before").select("incident", F.lit("timeline_order").alias("rule"), F.col("pos").cast("string").alias("detail"))
-    return over.unionByName(dangling).unionByName(doubled).unionByName(late)
+    found = [
+        rule(dossiers.filter(F.col("recovered_sats") > F.col("affected_sats")), "recovered_over_affected", F.lit("")),
+        rule(ends.join(ids, ["incident", "end"], "left_anti").distinct(), "dangling_edge", F.col("end")),
+        _doubled(nodes, "node", "duplicate_node"),
+        _late(timeline, "timeline_order"),
+    ]
+    if "outstanding_sats" in dossiers.columns:
+        left = F.greatest(F.col("affected_sats") - F.col("recovered_sats"), F.lit(0))
+        found.append(rule(dossiers.filter(~F.coalesce("is_estimate", F.lit(False)) & (F.col("outstanding_sats") != left)), "outstanding_mismatch", left.cast("string")))
+    if evidence is not None:
+        found.append(_doubled(evidence, "id", "duplicate_evidence"))
+    if messages is not None:
+        found.append(rule(messages.filter(F.col("attributed_sender").isNotNull() & (F.col("confidence") == "ON_CHAIN_VERIFIED")), "self_attributed_identity", F.col("id").cast("string")))
+    if updates is not None:
+        found.append(_late(updates, "update_order"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def claim_errors(claims: DataFrame) -> DataFrame:

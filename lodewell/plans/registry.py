@@ -518,21 +518,29 @@ def incident_dossier(spark: SparkSession, d: str) -> DataFrame:
     return nested.withColumn("evidence", F.array_join(F.transform("evidence", lambda x: x["order"].cast("string")), ","))
 
 
-@query("WITH " + DOSSIER_SQL + """, bent AS (SELECT incident, affected_sats, recovered_sats * 3 AS recovered_sats FROM dossiers),
+@query("WITH " + DOSSIER_SQL + """, bent AS (SELECT incident, affected_sats, recovered_sats * 3 AS recovered_sats, affected_sats - recovered_sats AS outstanding_sats, incident % 2 = 0 AS is_estimate FROM dossiers),
 nodes AS (SELECT o_custkey AS incident, o_orderpriority AS node FROM orders), edges AS (SELECT o_custkey AS incident, o_orderstatus AS s, o_orderpriority AS t FROM orders),
-late AS (SELECT o_custkey AS incident, o_orderkey AS pos, o_orderdate AS due, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders)
+late AS (SELECT o_custkey AS incident, o_orderkey AS pos, o_orderdate AS due, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before,
+  lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS price_before, o_totalprice FROM orders)
 SELECT incident, 'recovered_over_affected' AS rule, '' AS detail FROM bent WHERE recovered_sats > affected_sats
+UNION ALL SELECT incident, 'outstanding_mismatch', greatest(affected_sats - recovered_sats, 0)::VARCHAR FROM bent WHERE NOT is_estimate AND outstanding_sats <> greatest(affected_sats - recovered_sats, 0)
 UNION ALL SELECT DISTINCT incident, 'dangling_edge', s FROM edges WHERE (incident, s) NOT IN (SELECT incident, node FROM nodes)
 UNION ALL SELECT incident, 'duplicate_node', node FROM nodes GROUP BY incident, node HAVING count(*) > 1
-UNION ALL SELECT incident, 'timeline_order', pos::VARCHAR FROM late WHERE due < before""")
+UNION ALL SELECT o_custkey, 'duplicate_evidence', o_orderstatus FROM orders GROUP BY o_custkey, o_orderstatus HAVING count(*) > 1
+UNION ALL SELECT o_custkey, 'self_attributed_identity', o_orderkey::VARCHAR FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'
+UNION ALL SELECT incident, 'timeline_order', pos::VARCHAR FROM late WHERE due < before
+UNION ALL SELECT incident, 'update_order', pos::VARCHAR FROM late WHERE o_totalprice < price_before""")
 def incident_violations(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    bent = _dossiers(spark, d).withColumn("recovered_sats", F.col("recovered_sats") * 3)
+    o = table(spark, d, "orders").withColumn("incident", F.col("o_custkey"))
+    bent = _dossiers(spark, d).withColumns({"recovered_sats": F.col("recovered_sats") * 3, "outstanding_sats": F.col("affected_sats") - F.col("recovered_sats"), "is_estimate": F.col("incident") % 2 == 0})
     return incidents.violations(
         bent,
-        o.select(F.col("o_custkey").alias("incident"), F.col("o_orderstatus").alias("source"), F.col("o_orderpriority").alias("target")),
-        o.select(F.col("o_custkey").alias("incident"), F.col("o_orderpriority").alias("node")),
-        o.select(F.col("o_custkey").alias("incident"), F.col("o_orderkey").alias("pos"), F.col("o_orderdate").alias("at")),
+        o.select("incident", F.col("o_orderstatus").alias("source"), F.col("o_orderpriority").alias("target")),
+        o.select("incident", F.col("o_orderpriority").alias("node")),
+        o.select("incident", F.col("o_orderkey").alias("pos"), F.col("o_orderdate").alias("at")),
+        o.select("incident", F.col("o_orderstatus").alias("id")),
+        o.select("incident", F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "clerk").alias("attributed_sender"), F.when(F.col("o_orderpriority") == "1-URGENT", "ON_CHAIN_VERIFIED").otherwise("HEURISTIC").alias("confidence")),
+        o.select("incident", F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("at")),
     )
 
 

@@ -49,6 +49,13 @@ class Store:
         """Overwrite the stored rows of every value of ``by`` that the rows hold; the rest stay."""
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.root}/{name}")
 
+    def _remove_of(self, name: str, by: str, gone: DataFrame) -> None:
+        """Delete the stored rows of each value of ``by`` in ``gone`` (a row for each incident written without any)."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for r in gone.select(by).distinct().collect():
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{by}={jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(r[0])}")
+            path.getFileSystem(conf).delete(path, True)
+
     def save_incident(self, incident: DataFrame, snapshots: DataFrame, children: dict[str, DataFrame]) -> None:
         """A dossier and its child tables, each with incident_id. Children are replaced whole for the incidents given.
 
@@ -57,6 +64,7 @@ class Store:
         """
         for name, rows in children.items():
             self.replace_of(f"incident_{name}", rows, "incident_id")
+            self._remove_of(f"incident_{name}", "incident_id", incident.select(F.col("id").alias("incident_id")).join(rows, "incident_id", "left_anti"))
         self.append_new("incident_snapshots", snapshots, ["incident_id", "as_of"])
         self.replace_of("dossiers", incident.withColumn("incident_id", F.col("id")), "incident_id")
 

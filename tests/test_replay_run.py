@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodewell import __main__ as command
-from lodewell.operators import baseline, watch
+from lodewell.operators import baseline, dossier, watch
 from lodewell.operators.replay import ReplayRange
 from lodewell.plans import replay_run
 from lodewell.plans.store import Store
@@ -187,6 +187,42 @@ def test_incidents(spark, tmp_path):
     assert store.table("incident_snapshots").count() == 2 and store.table("dossiers").count() == 2
 
 
+def test_dossier_is_saved_and_read_back_whole(spark, tmp_path):
+    store, case = Store(spark, str(tmp_path)), dossier.example()
+    case.save(store)
+    r = dossier.assemble(store, "example-2031").first()
+    assert [b["height"] for b in r["blocks"]] == [1_000_000, 1_000_400] and [u["id"] for u in r["updates"]] == ["u2", "u1"]
+    assert [s["id"] for s in r["sources"]] == ["s1", "s2"] and [e["id"] for e in r["evidence"]] == ["v1", "v2"] and r["timeline"][0]["evidence_ids"] == ["v1"]
+    assert len(r["facts"]) == 1 and len(r["reported_claims"]) == 2 and len(r["unverified_claims"]) == 2 and r["heights"] == [1_000_400, 1_000_000] and len(r["txids"]) == 2
+    assert (r["affected_sats"], r["recovered_sats"], r["outstanding_sats"]) == (125_000_000_000, 40_000_000_000, 85_000_000_000)
+    case.lists["findings"].clear()
+    case.lists["nodes"].append({"node": "other"})
+    case.recovery("2031-03-05T00:00:00Z", 125_000_000_000, 50_000_000_000).save(store)
+    dossier.Dossier("other", "t", "s", "LOW").save(store)
+    both = {r["incident_id"]: r for r in dossier.assemble(store).collect()}
+    assert both["example-2031"]["findings"] == [] and len(both["example-2031"]["nodes"]) == 4 and both["example-2031"]["recovered_sats"] == 50_000_000_000
+    assert both["other"]["claims"] == [] and both["other"]["affected_sats"] is None
+    assert dossier.example_targets(spark).groupBy("target_type").count().count() == 3
+
+
+def test_dossier_that_breaks_rules_is_not_saved(spark, tmp_path):
+    case = dossier.Dossier("c", "t", "s", "LOW").recovery("2031-01-02T00:00:00Z", 5, 9, outstanding_sats=3)
+    for at in ("2031-01-02T00:00:00Z", "2031-01-01T00:00:00Z"):
+        case.add("timeline", id=at, happened_at=at).add("updates", id=at, happened_at=at).add("nodes", node="n").add("evidence", id="v")
+    case.add("edges", source="n", target="m").add("messages", txid="x", attributed_sender="me", confidence="ON_CHAIN_VERIFIED")
+    rules = {r["rule"]: r["detail"] for r in case.violations(spark).collect()}
+    assert rules == {
+        "recovered_over_affected": "", "outstanding_mismatch": "0", "dangling_edge": "m", "duplicate_node": "n", "duplicate_evidence": "v",
+        "timeline_order": "1", "update_order": "1", "self_attributed_identity": "x",
+    }
+    with pytest.raises(ValueError, match="dangling_edge m"):
+        case.save(Store(spark, str(tmp_path)))
+    assert not (tmp_path / "dossiers").exists()
+    assert "timeline_order" not in {r["rule"] for r in case.sort_timeline().violations(spark).collect()}
+    with pytest.raises(ValueError, match="have no colour"):
+        case.add("nodes", colour="red")
+
+
 def test_descendants_and_activities(spark, tmp_path):
     outputs = spark.createDataFrame([("a", 0, False), ("a", 1, True), ("b", 0, False), ("c", 0, False), ("d", 0, False)], "txid string, vout bigint, op_return boolean")
     inputs = spark.createDataFrame([("b", "a", 0, 10), ("x", "a", 1, 0), ("c", "b", 0, 9), ("d", "c", 0, 8), ("e", "d", 0, 7)], "txid string, prev_txid string, prev_vout bigint, value_sats bigint")
