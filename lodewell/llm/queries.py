@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm import bpe, langid, license_scan, line_dedup, lm, minhash, mixing, quality, token_counts, topk
+from lodewell.llm import bpe, divergence, exact_dedup, langid, license_scan, line_dedup, lm, minhash, mixing, prefix_trie, quality, token_counts, topk
 from lodewell.llm.common import bounded_batches, documents
 
 
@@ -201,6 +201,78 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+
+
+OP11_SQL = r"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS p,
+    sha256(strlen(role) || ':' || role || text) AS digest, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS tokens
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+-- crc32, bit by bit, of the id in decimal
+ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM own),
+crc AS (
+  SELECT conv_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::BIGINT)), lambda c, x: list_reduce(
+    list_prepend(xor(c, x), list_transform(range(8), lambda k: 0::BIGINT)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS r FROM ids),
+h AS (SELECT conv_id, xor(r, 4294967295) % 4 AS h FROM crc),
+rebuilt AS (
+  SELECT c.conv_id, o.p AS p, o.digest, o.tokens FROM h c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.p <= c.h
+  UNION ALL SELECT c.conv_id, o.p + 4, o.digest, o.tokens FROM h c JOIN own o ON o.conv_id = c.conv_id AND o.p > c.h),
+seen AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER w AS depth, tokens, md5(string_agg(digest, ',') OVER w) AS node, lead(1) OVER w IS NULL AS last FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+  UNION ALL SELECT conv_id, 0, 0, '', conv_id NOT IN (SELECT conv_id FROM rebuilt) FROM h),
+nodes AS MATERIALIZED (
+  SELECT node, any_value(depth)::BIGINT AS depth, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs, any_value(tokens) AS tokens, bool_and(last) AS leaf,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM seen GROUP BY node),
+parents AS (SELECT DISTINCT a.node, b.node AS up FROM seen a JOIN seen b ON a.conv_id = b.conv_id AND a.depth = b.depth + 1),
+children AS (SELECT up AS node, count(*)::BIGINT AS n_children FROM parents GROUP BY up),
+below AS (SELECT DISTINCT a.node, b.node AS at FROM seen a JOIN seen b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (SELECT below.node, (count(*) FILTER (WHERE leaf))::BIGINT AS n_leaves, sum((n_convs - 1) * tokens)::BIGINT AS saved_tokens FROM below JOIN nodes ON nodes.node = below.at GROUP BY below.node)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN children USING (node) LEFT JOIN parents p ON p.node = n.node LEFT JOIN nodes u ON u.node = p.up
+"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir).select("lang", "source", "text"))
+
+
+OP12_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n)::HUGEINT AS n FROM t GROUP BY lang, term HAVING sum(docs) >= 10),
+grp AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS all_n FROM kept GROUP BY lang),
+cell AS (SELECT grp.lang, grp.source, kept.term, coalesce(t.n, 0)::HUGEINT AS n, kept.n AS lang_n FROM grp JOIN kept USING (lang) LEFT JOIN t ON t.lang = grp.lang AND t.source = grp.source AND t.term = kept.term),
+p AS MATERIALIZED (
+  SELECT cell.lang, source, term, cell.n, 1 + (1000000000 * (cell.n + 2)) // (sum(cell.n) OVER (PARTITION BY cell.lang, source) + 2 * v) AS p, 1 + (1000000000 * (lang_n + 2)) // (all_n + 2 * v) AS q
+  FROM cell JOIN v USING (lang)),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10
+"""
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(documents(spark, sf_dir).select("doc_id", "text"), digests=True)
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, (count(*) OVER (PARTITION BY text))::BIGINT AS group_size,
+  row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(text) AS text_sha256 FROM d
+"""
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -212,5 +284,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_top_k": op10_top_k,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_exact_dedup": op13_exact_dedup,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op3_license_scan": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op8_quality_rules": OP8_SQL, "op10_top_k": OP10_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op3_license_scan": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op8_quality_rules": OP8_SQL, "op10_top_k": OP10_SQL,
+           "op11_prefix_trie": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_exact_dedup": OP13_SQL}
