@@ -34,41 +34,42 @@ MIN_DOCS, TOP = 10, 10
 #: Bytes of letters: A to Z, a to z and all of what is not ASCII.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 #: Entries that a task counts before it gives them out, and bytes of a text whose terms may be held as a list.
-ENTRIES, LISTED = 100_000, 1 << 20
+ENTRIES, LISTED = 250_000, 1 << 20
 
 
 def _count(batches: Iterator) -> Iterator:
     """(lang, source, term, n, docs), summed within a task as far as ENTRIES go; a row without a term for each group."""
     import pyarrow as pa
 
-    n: Counter = Counter()
-    docs: Counter = Counter()
+    groups: dict = {}  # (lang, source): occurrences and documents of its terms
 
-    def given():
-        keys = list(n)
-        columns = [pa.array([k[i] for k in keys], pa.binary()).cast(pa.string()) for i in range(3)]
-        out = pa.RecordBatch.from_arrays([*columns, pa.array([n[k] for k in keys], pa.int64()), pa.array([docs[k] for k in keys], pa.int64())], names=["lang", "source", "term", "n", "docs"])
-        n.clear()
-        docs.clear()
-        return out
+    def given(key):
+        n, docs = groups[key]
+        lang, source = (pa.scalar(x, pa.binary()).cast(pa.string()) for x in key)
+        rows = len(n) + 1
+        columns = [pa.repeat(lang, rows), pa.repeat(source, rows), pa.array([None, *n], pa.binary()).cast(pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(docs.__getitem__, n)], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
+    entries = 0
     for batch in batches:
         lang, source, text = (texts(batch.column(c)) for c in ("lang", "source", "text"))
-        for g, s, t in zip(lang, source, text, strict=True):
-            found: Counter = Counter()
+        for *key, t in zip(lang, source, text, strict=True):
+            n, docs = groups.setdefault(tuple(key), (Counter(), Counter()))
+            before = len(n)
             if len(t) <= LISTED:
-                found.update(TERM.findall(t.lower()))
+                found = TERM.findall(t.lower())
+                n.update(found)
+                docs.update(set(found))
             else:
-                found.update(m.group().lower() for m in TERM.finditer(t))
-            n[g, s, None] += 0
-            for term, times in found.items():
-                key = (g, s, term)
-                n[key] += times
-                docs[key] += 1
-            if len(n) >= ENTRIES:
-                yield given()
-    if n:
-        yield given()
+                found = Counter(m.group().lower() for m in TERM.finditer(t))
+                n.update(found)
+                docs.update(found.keys())
+            entries += len(n) - before
+            if entries + len(groups) >= ENTRIES:
+                yield from map(given, groups)
+                groups.clear()
+                entries = 0
+    yield from map(given, groups)
 
 
 def counts(docs: DataFrame) -> DataFrame:
