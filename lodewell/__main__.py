@@ -1,4 +1,4 @@
-"""python -m lodewell fetch | replay | baseline | rarity: the store's work from the command line."""
+"""python -m lodewell run | fetch | replay | baseline | rarity: the store's work from the command line."""
 
 from __future__ import annotations
 
@@ -11,15 +11,22 @@ from lodewell.plans import replay_run
 from lodewell.plans.store import Store
 from lodewell.sources import decoders
 from lodewell.sources.node import BlockSource
+from lodewell.streaming import live
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lodewell", description=__doc__)
     steps = top.add_subparsers(dest="step", required=True)
+    run = steps.add_parser("run", help="follow a node's tip: events, confirmations and reorganisations as they happen")
+    run.add_argument("--checkpoint", required=True)
+    run.add_argument("--start", type=int, help="first height of a store that is new; the present tip if not given")
+    run.add_argument("--network", default="mainnet")
+    run.add_argument("--once", action="store_true", help="end at the present tip")
     fetch = steps.add_parser("fetch", help="read raw blocks of a range from a node into Parquet")
-    fetch.add_argument("--url", required=True)
-    fetch.add_argument("--kind", choices=("rpc", "rest"), default="rpc")
-    fetch.add_argument("--cookie")
+    for one in (run, fetch):
+        one.add_argument("--url", required=True)
+        one.add_argument("--kind", choices=("rpc", "rest"), default="rpc")
+        one.add_argument("--cookie")
     fetch.add_argument("--into", required=True)
     again = steps.add_parser("replay", help="detect events of a range of raw blocks")
     again.add_argument("--blocks", required=True)
@@ -30,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     for one in (fetch, again, base):
         one.add_argument("--start", type=int, required=True)
         one.add_argument("--end", type=int, required=True)
-    for one in (again, base, rare):
+    for one in (run, again, base, rare):
         one.add_argument("--store", required=True)
     return top
 
@@ -38,7 +45,11 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("lodewell").getOrCreate()
-    if a.step == "fetch":
+    if a.step == "run":
+        options = {"kind": a.kind} | ({"cookie": a.cookie} if a.cookie else {}) | ({"start": a.start} if a.start is not None else {})
+        for query in live.follow(Store(spark, a.store), a.checkpoint, a.url, a.network, once=a.once, **options):
+            query.awaitTermination()
+    elif a.step == "fetch":
         spark.dataSource.register(BlockSource)
         options = {"url": a.url, "kind": a.kind, "start": a.start, "end": a.end} | ({"cookie": a.cookie} if a.cookie else {})
         spark.read.format("lodewell_blocks").options(**options).load().write.mode("append").parquet(a.into)

@@ -34,6 +34,25 @@ def block_intervals(blocks: DataFrame, live: bool = True, per: str | None = None
     return out.withColumn("interval_seconds", F.when(diff > 0, diff) if live else F.greatest(F.lit(0), diff)).drop("run", "own", "before")
 
 
+def arrival_intervals(blocks: DataFrame, order: str = "arrival", per: str | None = None, run: int = 100_000) -> DataFrame:
+    """interval_seconds since the block that arrived before, whatever its height, as a live follower sees it.
+
+    ``order`` numbers the arrivals (any integers, unique within ``per``). A block that comes again right after itself, and
+    one that is not later than the one before it, has none. Runs of ``run`` numbers are windowed apart and each also sees
+    the last arrival before it, so no window spans the stream.
+    """
+    keys = [per] if per else []
+    base = blocks.withColumns({"run": F.floor(F.col(order) / run).cast("bigint"), "own": F.lit(True)})
+    last = base.groupBy(*keys, "run").agg(F.max_by(F.struct(*base.columns), order).alias("last"))
+    edge = last.withColumn("next", F.lead("run").over(Window.partitionBy(*keys).orderBy("run"))).filter("next IS NOT NULL")
+    edge = edge.select("last.*", "next").withColumn("run", F.col("next")).withColumn("own", F.lit(False)).drop("next")
+    before = F.lag(F.struct("timestamp", "block_hash", "height")).over(Window.partitionBy(*keys, "run").orderBy(order))
+    out = base.unionByName(edge).withColumn("before", before).filter("own")
+    diff = F.expr("timestampdiff(SECOND, before.timestamp, timestamp)")
+    fresh = (F.col("height") > F.col("before.height")) | (F.col("block_hash") != F.col("before.block_hash"))
+    return out.withColumn("interval_seconds", F.when(fresh & (diff > 0), diff)).drop("run", "own", "before")
+
+
 def missing_heights(blocks: DataFrame, start: int, end: int) -> DataFrame:
     """Heights of a range that no block has."""
     return blocks.sparkSession.range(start, end + 1).select(F.col("id").alias("height")).join(blocks.select("height"), "height", "left_anti")

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodewell.functions.identity import discriminator, observation_key, uuid5
+
 MUTABLE = ("title", "description", "metadata")
 
 
@@ -19,6 +21,28 @@ def merge_events(writes: DataFrame, key: str = "id", order: str = "seq", mutable
     return merged.select(key, *[F.col(f"first.{c}") for c in fixed], *[F.col(f"last.{c}") for c in changing])
 
 
+#: Columns of a stored observation; the last write of an id gives REFRESHED, its first write the rest.
+OBSERVATION = (
+    "id string, event_id string, mode string, kind string, provider string, transport string, replay_job_id string, observed_at timestamp, bitcoin_time timestamp, block_height bigint, block_hash string, "
+    "confirmation_status string, source_sequence bigint, mempool_sequence bigint, witness string"
+)
+REFRESHED = ("provider", "transport", "witness", "confirmation_status", "source_sequence", "mempool_sequence")
+
+
+def observe(events: DataFrame, kind: str | Column, mode: str = "live", transport: str = "rpc", **given: Column) -> DataFrame:
+    """An observation of each event (id, event_time, block_height, block_hash): what ``given`` does not set is null or the event's own.
+
+    Ids come from the natural key, so an observation that is made again is the same one.
+    """
+    kinds = dict(part.split() for part in OBSERVATION.split(", "))
+    own = {"event_id": F.col("id"), "mode": F.lit(mode), "kind": F.lit(kind) if isinstance(kind, str) else kind, "provider": F.lit("node"), "transport": F.lit(transport)}
+    own |= {"observed_at": F.col("event_time"), "bitcoin_time": F.col("event_time"), "block_height": F.col("block_height"), "block_hash": F.col("block_hash")} | given
+    rows = events.select(*[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items() if c != "id"])
+    told = discriminator(F.col("block_hash"), F.col("mempool_sequence"), F.col("source_sequence"), F.col("confirmation_status"))
+    key = observation_key(F.col("event_id"), F.col("mode"), F.col("replay_job_id"), F.col("provider"), F.col("transport"), F.col("kind"), told)
+    return rows.select(uuid5(key).alias("id"), *rows.columns)
+
+
 def last_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key."""
     rest = [c for c in df.columns if c not in keys]
@@ -85,6 +109,12 @@ def in_mode(events: DataFrame, observations: DataFrame, mode: str) -> DataFrame:
     return events.join(seen, "id", "left").filter(F.coalesce("seen", F.lit(False)) | (F.col("observation_mode") == mode)).drop("seen")
 
 
+def in_job(events: DataFrame, observations: DataFrame, job: str) -> DataFrame:
+    """Events that a replay job observed, also those that were known before it, or that it made."""
+    seen = observations.filter(F.col("replay_job_id") == job).select(F.col("event_id").alias("id")).distinct().withColumn("seen", F.lit(True))
+    return events.join(seen, "id", "left").filter(F.coalesce("seen", F.lit(False)) | F.coalesce(F.col("replay_job_id") == job, F.lit(False))).drop("seen")
+
+
 def backfill(events: DataFrame, observations: DataFrame) -> DataFrame:
     """One observation for each event that has none, from the event's own columns."""
     bare = events.join(observations.select(F.col("event_id").alias("id")), "id", "left_anti")

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodewell.functions.lineage import cut
-from lodewell.functions.identity import discriminator, observation_key, uuid5
-from lodewell.operators import chain, detectors, metrics, replay
+from lodewell.operators import chain, detectors, metrics, provenance, replay
 from lodewell.plans.store import Store
 
 
@@ -117,7 +116,7 @@ def run(store: Store, blocks: DataFrame, span: replay.ReplayRange, job: str, lim
         store.append_new("events", events, ["id"])
         written = store.table("events").filter((F.col("replay_job_id") == job) & F.col("block_height").between(at, end))
         store.append_new("event_metrics", metrics.extract(written).withColumnRenamed("id", "event_id"), ["event_id", "metric", "metric_definition_version"])
-        store.append_new("observations", observations(events, job), ["id"])
+        store.save_observations(observations(events, job))
         store.save_checkpoint(job, end)
         at = end + 1
     store.save_job(job, span, "COMPLETED")
@@ -126,10 +125,7 @@ def run(store: Store, blocks: DataFrame, span: replay.ReplayRange, job: str, lim
 
 def observations(events: DataFrame, job: str) -> DataFrame:
     """One observation for each event of a replay, also of events that were known."""
-    none = F.lit(None).cast("bigint")
-    disc = discriminator(F.col("block_hash"), none, none, F.lit(None).cast("string"))
-    key = observation_key(F.col("id"), F.lit("historical_replay"), F.lit(job), F.lit("node"), F.lit("rpc"), F.lit("Confirmed"), disc)
-    return events.select(uuid5(key).alias("id"), F.col("id").alias("event_id"), F.lit("historical_replay").alias("mode"), F.lit(job).alias("replay_job_id"), F.col("event_time").alias("observed_at"), "block_height")
+    return provenance.observe(events, "Confirmed", "historical_replay", replay_job_id=F.lit(job), confirmation_status=F.lit("confirmed"))
 
 
 def created_and_known(store: Store, events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -95,6 +95,15 @@ class Store:
     def activities(self) -> DataFrame:
         return provenance.merge_events(self.table("activity_writes"), "id", "seq", ("status", "block_height", "block_hash"))
 
+    def save_observations(self, rows: DataFrame) -> None:
+        """Observations by id: what is kept is the first write, but source, witness, status and sequences of the last."""
+        self._write("observations", rows.dropDuplicates(["id"]))
+
+    def all_observations(self) -> DataFrame:
+        """One row an observation, merged from its writes."""
+        rows = self.table("observations")
+        return provenance.merge_events(rows, "id", "seq", provenance.REFRESHED) if "seq" in rows.columns else rows
+
     def save_event_texts(self, rows: DataFrame) -> None:
         """New titles, descriptions and metadata of events (id, title, description, metadata); what is null stays as it was."""
         self._write("event_texts", rows.select("id", "title", "description", "metadata"))
@@ -173,8 +182,12 @@ class Store:
         return last.withColumn("completed_at", F.when(F.col("status") == "COMPLETED", F.col("seq")))
 
     def rarity(self, run: str, least: int = 100, event_id: str | None = None) -> DataFrame:
-        """Rarity of all events of a run's network, or of one, against the run's range."""
+        """Rarity of all events of a run's network, or of one, against the run's range; one of another network is refused."""
         state = self.runs().filter(F.col("run") == run).first()
+        if event_id is not None:
+            nets = {network(r[0] or "mainnet") for r in self.table("events").filter(F.col("id") == event_id).select("network").distinct().collect()}
+            if nets - {state["network"]}:
+                raise ValueError(f"the event is of {', '.join(sorted(nets))}, the run of {state['network']}")
         rows = self.population(state["start_height"], state["end_height"], state["network"]).withColumnRenamed("event_id", "id")
         lower = F.concat_ws("/", "event_type", "metric").isin([f"{kind}/{metric}" for kind, metric, _, _, _, rare, _, _ in metrics.REGISTRY if rare])
         dists = self.table("distributions").filter(F.col("baseline_run_id") == run)
@@ -188,19 +201,25 @@ class Store:
         ranked = self.rarity(run, least, event_id).filter("method <> 'INSUFFICIENT'").withColumnRenamed("sample_count", "population")
         return baseline.impact(ranked, weights, "id", ["event_type", "metric"], least)
 
-    def query_events(self, mode: str | None = None, **wanted) -> DataFrame:
+    def query_events(self, mode: str | None = None, job: str | None = None, **wanted) -> DataFrame:
+        """Events by mode, by the replay job that observed them, and by the predicates of ``filter_events``."""
         if wanted.get("event_type"):
             wanted["event_type"] = event_type(wanted["event_type"])
         events = self.events()
-        return provenance.filter_events(provenance.in_mode(events, self.table("observations"), mode) if mode else events, **wanted)
+        if mode:
+            events = provenance.in_mode(events, self.table("observations"), mode)
+        if job:
+            events = provenance.in_job(events, self.table("observations"), job)
+        return provenance.filter_events(events, **wanted)
 
     def event(self, event_id: str) -> DataFrame:
         one = self.events().filter(F.col("id") == event_id)
-        seen = self.table("observations").filter(F.col("event_id") == event_id)
+        seen = self.observations(event_id)
         return provenance.with_observations(one, seen, ["observed_at", "mode"])
 
     def observations(self, event_id: str) -> DataFrame:
-        return self.table("observations").filter(F.col("event_id") == event_id).orderBy("observed_at", "id")
+        """An event's observations in the order of time; only its own writes are merged."""
+        return self.all_observations().filter(F.col("event_id") == event_id).orderBy("observed_at", "id")
 
     def incidents(self, limit: int = 50, offset: int = 0) -> DataFrame:
         return provenance.page(self.table("incidents"), ["case_id", "id"], limit, offset)
@@ -256,7 +275,7 @@ class Store:
 
     def create_baseline(self, start: int, end: int, net: str = "mainnet") -> DataFrame:
         """Distributions of each event type and metric over a height range."""
-        events = self.table("events").filter(F.col("block_height").between(start, end))
+        events = self.table("events").filter(F.col("block_height").between(start, end) & (F.coalesce("network", F.lit("mainnet")) == network(net)))
         candidates = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("candidate_count"))
         return baseline.distributions(self.population(start, end, net), candidates, ["event_type", "metric"])
 
@@ -273,7 +292,7 @@ class Store:
         return self.table("events").groupBy("event_type", "network").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("txid").alias("transactions"), F.min("block_height").alias("first_height"), F.max("block_height").alias("last_height"), F.max("event_time").alias("last_seen"))
 
     def status(self) -> dict[str, int]:
-        return {name: self.table(name).count() for name in ("events", "observations", "incidents", "alerts")} | {"activities": self.activities().count() if self.has("activity_writes") else 0}
+        return {name: self.table(name).count() for name in ("events", "incidents", "alerts")} | {"observations": self.all_observations().count(), "activities": self.activities().count() if self.has("activity_writes") else 0}
 
     def create_replay(self, start: int, end: int, tip: int | None = None) -> DataFrame:
         span = replay.ReplayRange(start, end)

@@ -184,6 +184,15 @@ def transactions(df: DataFrame, column: str = "body", most: int = MAX_BYTES) ->
     return df.withColumn("tx", _udf(decode_transaction, TX, most)(column)).filter("tx IS NOT NULL").select("tx.*")
 
 
-def blocks(df: DataFrame, column: str = "body", most: int = MAX_BYTES) -> DataFrame:
-    out = df.withColumn("b", _udf(decode_block, BLOCK, most)(column)).filter("b IS NOT NULL").select("b.*")
+def blocks(df: DataFrame, column: str = "body", most: int = MAX_BYTES, stated: str | None = None) -> DataFrame:
+    """Decoded blocks; bodies that do not parse or are too large are left out. ``stated`` names a column that has the height."""
+    out = df.withColumn("b", _udf(decode_block, BLOCK, most)(column)).filter("b IS NOT NULL")
+    out = out.select("b.*") if stated is None else out.withColumn("b", F.col("b").withField("height", F.coalesce(F.col(stated), F.col("b.height")))).select("b.*")
     return out.withColumn("timestamp", F.timestamp_seconds("time")).drop("time")
+
+
+def headers(df: DataFrame, column: str = "body") -> DataFrame:
+    """df with previous_block_hash and timestamp from the 80 bytes that a block begins with, by built-in functions alone."""
+    turned = lambda first, n: F.hex(F.concat(*[F.substring(column, first + n - 1 - i, 1) for i in range(n)]))
+    whole = df.filter(F.length(column) >= 80)
+    return whole.withColumns({"previous_block_hash": F.lower(turned(5, 32)), "timestamp": F.timestamp_seconds(F.conv(turned(69, 4), 16, 10).cast("bigint"))})

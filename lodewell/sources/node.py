@@ -1,7 +1,9 @@
 """Readers of a node's JSON-RPC and of a public block interface, and a data source that scans block ranges with them.
 
 The driver plans slices of heights; each task opens its own connection and reads its slice, so a lost task reads its
-slice again. Streams follow the tip: every trigger reads the blocks between the last height and the present one.
+slice again. Streams follow the tip: a stream's offset holds the hashes of its last DEPTH blocks, so when the chain is
+reorganised the next trigger steps back to the common ancestor and reads the new branch from there, heights that were read
+before included.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from urllib.parse import urlsplit
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 TIMEOUT, MAX_BYTES, SLICE = 30.0, 10 << 20, 25
+#: Hashes in a stream's offset: how far below the tip a reorganisation may reach.
+DEPTH = 100
 #: The names by which nodes and users call a chain.
 CHAINS = {"main": "main", "mainnet": "main", "bitcoin": "main", "test": "test", "testnet": "test", "signet": "signet", "regtest": "regtest"}
 
@@ -109,10 +113,17 @@ class Rpc:
     def tip(self) -> int:
         return self.chain_info()["blocks"]
 
-    def raw_block(self, height: int) -> tuple[str, bytes]:
-        name = self.block_hash(height)
+    def raw_block(self, height: int, name: str | None = None) -> tuple[str, bytes]:
+        """(hash, bytes) of the block of a height, or of the one named, which may have been replaced since."""
+        name = name or self.block_hash(height)
         return name, self.block_bytes(name)
 
+    def parent(self, block_hash: str) -> str | None:
+        return self.header(block_hash).get("previousblockhash")
+
+    def header_bytes(self, block_hash: str) -> bytes:
+        return bytes.fromhex(self.call("getblockheader", block_hash, False))
+
     def capabilities(self, chain: str | None = None) -> dict:
         """What the node can serve; raises if it is on another chain than the one named."""
         info = self.chain_info()
@@ -178,14 +189,22 @@ class Rest:
     def fees(self) -> dict:
         return self.json("v1/fees/recommended")
 
-    def raw_block(self, height: int) -> tuple[str, bytes]:
-        name = self.block_hash(height)
+    def raw_block(self, height: int, name: str | None = None) -> tuple[str, bytes]:
+        name = name or self.block_hash(height)
         return name, self.get(f"block/{name}/raw")
 
+    def parent(self, block_hash: str) -> str | None:
+        return self.block(block_hash).get("previousblockhash")
+
+    def header_bytes(self, block_hash: str) -> bytes:
+        return bytes.fromhex(self.get(f"block/{block_hash}/header").decode())
+
 
 class _Slice(InputPartition):
-    def __init__(self, start: int, end: int) -> None:
-        self.start, self.end = start, end
+    """Heights of a range; blocks whose hash is known are read by it, so that a slice read again gives the same."""
+
+    def __init__(self, start: int, end: int, names: dict[int, str] | None = None) -> None:
+        self.start, self.end, self.names = start, end, names or {}
 
 
 def _client(options: dict) -> Rpc | Rest:
@@ -194,10 +213,14 @@ def _client(options: dict) -> Rpc | Rest:
     return Rpc(options["url"], options.get("cookie"), options.get("user", ""), options.get("password", ""))
 
 
-def _rows(options: dict, start: int, end: int) -> Iterator[tuple]:
-    client = _client(options)
-    for height in range(start, end + 1):
-        name, body = client.raw_block(height)
+def _rows(options: dict, part: _Slice) -> Iterator[tuple]:
+    client, heads = _client(options), options.get("part") == "header"
+    for height in range(part.start, part.end + 1):
+        if heads:
+            name = part.names.get(height) or client.block_hash(height)
+            body = client.header_bytes(name)
+        else:
+            name, body = client.raw_block(height, part.names.get(height))
         yield height, name, bytearray(body)
 
 
@@ -210,38 +233,67 @@ class _BatchReader(DataSourceReader):
         return [_Slice(a, min(a + size - 1, end)) for a in range(start, end + 1, size)]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        return _rows(self.options, partition.start, partition.end)
+        return _rows(self.options, partition)
+
+
+def branch_point(old: dict[int, str], new: dict[int, str], at_height) -> int:
+    """The greatest height at which both chains have the same block; below the lowest remembered one if there is none.
+
+    old and new are hashes by height; at_height gives the new chain's hash where new does not reach down far enough.
+    """
+    lowest, highest = min(new), max(new)
+    for height in sorted(old, reverse=True):
+        if height <= highest and old[height] == (new[height] if height >= lowest else at_height(height)):
+            return height
+    return min(old) - 1
 
 
 class _TipReader(DataSourceStreamReader):
-    """From the height ``start`` (or the tip at the beginning) on. The driver asks for the tip only; tasks read slices of blocks."""
+    """From the height ``start`` (or the tip at the beginning) on. The driver asks for hashes only; tasks read slices of blocks.
+
+    An offset is {"next": height after the tip, "hashes": the last DEPTH hashes, lowest first}.
+    """
 
     def __init__(self, options: dict) -> None:
-        self.options, self.last = options, 0
+        self.options, self.seen = options, {}
+        self.depth, self.start = int(options.get("depth", DEPTH)), options.get("start")
 
     def initialOffset(self) -> dict:
-        start = self.options.get("start")
-        self.last = int(start) if start is not None else _client(self.options).tip()
-        return {"next": self.last}
+        return {"next": int(self.start) if self.start is not None else _client(self.options).tip(), "hashes": []}
 
     def latestOffset(self) -> dict:
-        # a tip that falls back in a reorganisation takes nothing back
-        self.last = max(self.last, _client(self.options).tip() + 1)
-        return {"next": self.last}
+        """The tip now: its hash, then parents until a block that is remembered, so that all hashes are of one chain."""
+        client = _client(self.options)
+        tip = client.tip()
+        if self.start is not None and tip < int(self.start):
+            return {"next": int(self.start), "hashes": []}
+        name, found, height = client.block_hash(tip), {}, tip
+        while name and height > tip - self.depth and self.seen.get(height) != name:
+            found[height] = name
+            name, height = client.parent(name) if height else None, height - 1
+        found |= {h: x for h, x in self.seen.items() if tip - self.depth < h <= height}
+        self.seen = found
+        return {"next": tip + 1, "hashes": [found[h] for h in sorted(found)]}
+
+    @staticmethod
+    def _by_height(offset: dict) -> dict[int, str]:
+        names = offset.get("hashes", [])
+        return dict(enumerate(names, offset["next"] - len(names)))
 
     def partitions(self, start: dict, end: dict) -> list[_Slice]:
-        size = int(self.options.get("slice", SLICE))
-        return [_Slice(a, min(a + size, end["next"]) - 1) for a in range(start["next"], end["next"], size)]
+        old, new, size = self._by_height(start), self._by_height(end), int(self.options.get("slice", SLICE))
+        first = branch_point(old, new, _client(self.options).block_hash) + 1 if old and new else start["next"]
+        return [_Slice(a, b, {h: new[h] for h in range(a, b + 1) if h in new}) for a in range(first, end["next"], size) for b in [min(a + size, end["next"]) - 1]]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        return _rows(self.options, partition.start, partition.end)
+        return _rows(self.options, partition)
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class BlockSource(DataSource):
-    """spark.read.format("lodewell_blocks"): height, block_hash and the raw block. Options: url, kind (rpc or rest), start, end, slice, cookie, user, password."""
+    """spark.read.format("lodewell_blocks"): height, block_hash and the raw block. Options: url, kind (rpc or rest), part (block or header), start, end, slice, depth, cookie, user, password."""
 
     @classmethod
     def name(cls) -> str:

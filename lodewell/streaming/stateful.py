@@ -5,9 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Fixed value: the class name of Spark's store for states of several variables.
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Streams with states of several variables need Spark's store for them; one that a session names itself stays."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass").rsplit(".", 1)[-1] == "HDFSBackedStateStoreProvider":
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+
 
 def dedup_stream(events: DataFrame, key: str, seconds: str, order: str, ttl: int) -> DataFrame:
     """Events of a stream let through when ttl has passed since the last one let through, for each key.
