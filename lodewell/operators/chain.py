@@ -106,8 +106,8 @@ def competing_tips(tips: DataFrame) -> DataFrame:
 
 
 def enrich_inputs(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Inputs with the value and confirmation of the output that they spend; null where it is not known."""
-    spent = outputs.select(F.col("txid").alias("prev_txid"), F.col("n").alias("prev_vout"), "value_sats", "confirmed_at", "confirmed_height")
+    """Inputs with the value, confirmation and (where outputs have it) address of the output that they spend; null where it is not known."""
+    spent = outputs.select(F.col("txid").alias("prev_txid"), F.col("n").alias("prev_vout"), "value_sats", "confirmed_at", "confirmed_height", *[c for c in ("address",) if c in outputs.columns])
     return inputs.join(spent, ["prev_txid", "prev_vout"], "left")
 
 

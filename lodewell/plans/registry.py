@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodewell.functions import money
@@ -485,6 +485,51 @@ def watch_descendants(spark: SparkSession, d: str) -> DataFrame:
     return watch.descendants(seeds, outputs, s).drop("prev_vout")
 
 
+# Stages and positions of activities in SQL; a transaction here has one input and one output.
+ENGINE_SQL = f"""
+, down AS (
+  WITH RECURSIVE seeds AS (SELECT s.txid, id AS target_id FROM spends s JOIN targets t ON s.prev_txid = t.txid AND target_type = 'OUTPOINT'),
+  d AS (SELECT txid, target_id, 0 AS depth, NULL::BIGINT AS value_sats FROM seeds
+    UNION ALL SELECT s.txid, d.target_id, d.depth + 1, s.value_sats FROM d JOIN spends s ON s.prev_txid = d.txid WHERE d.txid::BIGINT % 10 <> 0 AND d.depth < 3)
+  SELECT txid, target_id, min(depth) AS depth, any_value(value_sats) AS value_sats FROM d WHERE depth > 0 GROUP BY txid, target_id),
+act AS (
+  SELECT *, NULL AS depth, 10 AS stage FROM ({TXID_SQL}) UNION ALL SELECT *, 0, 20 FROM ({POINT_SQL}) UNION ALL SELECT *, NULL, 22 FROM ({SPENT_SQL}) UNION ALL SELECT *, NULL, 31 FROM ({RECEIVED_SQL})
+  UNION ALL SELECT txid, target_id, 'NEW_DESCENDANT_OBSERVED', 'STRUCTURAL', value_sats, depth, 21 FROM down),
+named AS (
+  SELECT act.*, classification AS confidence, 'case-1:' || activity_type || ':' || act.txid || ':' || target_id AS dedup_key,
+    array_to_string(list_transform(string_split(lower(activity_type), '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS words,
+    CASE target_type WHEN 'OUTPOINT' THEN 'OutPoint: ' || targets.txid || ':0' WHEN 'ADDRESS' THEN 'Address: ' || address ELSE 'Tx: ' || targets.txid END AS target,
+    CASE WHEN activity_type = 'WATCHED_OUTPOINT_SPENT' THEN CASE WHEN value_sats >= 10000000 THEN 'CRITICAL' ELSE 'HIGH' END WHEN correlation = 'HEURISTIC' THEN 'MEDIUM'
+      WHEN value_sats >= 10000000 AND correlation = 'DIRECT' THEN 'CRITICAL' WHEN value_sats >= 1000000 THEN 'HIGH'
+      WHEN activity_type = 'NEW_DESCENDANT_OBSERVED' THEN CASE WHEN value_sats >= 500000 THEN 'HIGH' ELSE 'LOW' END ELSE 'MEDIUM' END AS severity
+  FROM act JOIN targets ON targets.id = act.target_id)
+SELECT txid, target_id, activity_type, correlation, value_sats, depth::INTEGER AS depth, stage::INTEGER AS stage, confidence, severity, dedup_key, '[case-1] ' || words AS title, 'Incident case-1' AS incident_title,
+  words || ' in ' || txid || CASE WHEN value_sats IS NULL THEN '' ELSE ', ' || value_sats || ' sats' END || CASE WHEN depth > 0 THEN ', depth ' || depth ELSE '' END || '. Target: ' || target || ' (' || confidence || ', ' || correlation || ')' AS summary,
+  row_number() OVER (PARTITION BY txid ORDER BY stage // 10, stage, target_id)::INTEGER AS emitted FROM named""".replace("\n, down", ",\ndown")
+
+
+@query(with_views("tx", "spends", "targets", then=ENGINE_SQL).replace("\n,\ndown", ",\ndown"))
+def watch_engine(spark: SparkSession, d: str) -> DataFrame:
+    """Every activity with its place in the order of emission, and the alert made of it."""
+    s, targets = views.spends(spark, d), views.targets(spark, d)
+    none = F.lit(None).cast("string")
+    outputs = s.select("txid", "address", none.alias("script_hex"), F.lit(0).cast("bigint").alias("vout"), F.col("out_sats").alias("value_sats"), (F.col("txid").cast("bigint") % 10 == 0).alias("op_return"))
+    found, _ = watch.engine(views.tx(spark, d), _inputs(spark, d).drop("out_sats", "watched"), outputs, targets)
+    rows = watch.alerted(watch.described(found, targets, "case-1", btc=100_000))
+    order = Window.partitionBy("txid").orderBy(F.floor(F.col("stage") / 10), "position", "stage", "target_id")
+    return rows.withColumn("emitted", F.row_number().over(order)).select("txid", "target_id", "activity_type", "correlation", "value_sats", "depth", "stage", "confidence", "severity", "dedup_key", "title", "incident_title", "summary", "emitted")
+
+
+@query(with_views("blocks", then="""
+, came AS (SELECT chain, event_id AS arrival, b.block_hash, height, "timestamp" FROM blocks b JOIN events ON b.block_hash = event_id::VARCHAR)
+SELECT chain, arrival, block_hash, CASE WHEN (height > lag(height) OVER w OR block_hash <> lag(block_hash) OVER w) AND date_diff('microsecond', lag("timestamp") OVER w, "timestamp") // 1000000 > 0
+  THEN date_diff('microsecond', lag("timestamp") OVER w, "timestamp") // 1000000 END AS interval_seconds FROM came WINDOW w AS (PARTITION BY chain ORDER BY arrival)""").replace("\n\n, came", ",\ncame"))
+def block_intervals_arrival(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks by arrival (the events' numbers), which is not the order of their times."""
+    blocks = views.blocks(spark, d).withColumn("arrival", F.col("block_hash").cast("bigint"))
+    return chain.arrival_intervals(blocks, per="chain", run=2_000).select("chain", "arrival", "block_hash", F.col("interval_seconds").cast("bigint").alias("interval_seconds"))
+
+
 # -- incidents and chain --------------------------------------------------------------------------------------------
 
 

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodewell.functions import money
 from lodewell.functions.lineage import cut
-from lodewell.operators import chain, detectors, metrics, provenance, replay
+from lodewell.operators import chain, detectors, metrics, provenance, replay, watch
 from lodewell.plans.store import Store
 
 
@@ -29,12 +30,20 @@ class Thresholds:
 
 def transactions_of(blocks: DataFrame) -> DataFrame:
     """One row a transaction with its block's place in the chain."""
-    tx = blocks.select("block_hash", F.col("height").alias("block_height"), "timestamp", F.explode("transactions").alias("t"))
-    return tx.select("block_hash", "block_height", "timestamp", "t.*")
+    tx = blocks.select("block_hash", F.col("height").alias("block_height"), "timestamp", F.posexplode("transactions").alias("tx_index", "t"))
+    return tx.select("block_hash", "block_height", "timestamp", "tx_index", "t.*")
 
 
 def outputs_of(tx: DataFrame) -> DataFrame:
-    return tx.select("txid", F.col("timestamp").alias("confirmed_at"), F.col("block_height").alias("confirmed_height"), F.inline(F.transform("outputs", lambda o: F.struct(o["n"].alias("n"), o["value_sats"].alias("value_sats")))))
+    return tx.select("txid", F.col("timestamp").alias("confirmed_at"), F.col("block_height").alias("confirmed_height"), F.inline(F.transform("outputs", lambda o: F.struct(o["n"].alias("n"), o["value_sats"].alias("value_sats"), o["address"].alias("address")))))
+
+
+def named_outputs(tx: DataFrame, outputs: DataFrame | None) -> DataFrame | None:
+    """The stored outputs that an input of tx names: what is joined further is no larger than tx, however long the chain."""
+    if outputs is None:
+        return None
+    wanted = tx.select(F.explode("inputs").alias("i")).select(F.col("i.txid").alias("txid"), F.col("i.vout").cast("bigint").alias("n")).distinct()
+    return outputs.join(wanted, ["txid", "n"], "left_semi")
 
 
 def enriched(tx: DataFrame, known_outputs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -44,9 +53,9 @@ def enriched(tx: DataFrame, known_outputs: DataFrame | None = None) -> tuple[Dat
     """
     outputs = outputs_of(tx)
     if known_outputs is not None:
-        outputs = outputs.unionByName(known_outputs.select(*outputs.columns)).dropDuplicates(["txid", "n"])
-    points = tx.select(F.col("txid").alias("spender"), F.col("timestamp").alias("ts"), "block_hash", "block_height", F.explode("inputs").alias("i")).filter(~F.col("i.is_coinbase"))
-    points = points.select(F.col("spender"), "ts", "block_hash", "block_height", F.col("i.txid").alias("prev_txid"), F.col("i.vout").alias("prev_vout"))
+        outputs = outputs.unionByName(known_outputs.select(*[c for c in outputs.columns if c in known_outputs.columns]), allowMissingColumns=True).dropDuplicates(["txid", "n"])
+    points = tx.select(F.col("txid").alias("spender"), F.col("timestamp").alias("ts"), "block_hash", "block_height", F.posexplode("inputs").alias("position", "i")).filter(~F.col("i.is_coinbase"))
+    points = points.select(F.col("spender"), "ts", "block_hash", "block_height", "position", F.col("i.txid").alias("prev_txid"), F.col("i.vout").alias("prev_vout"))
     inputs = chain.enrich_inputs(points, outputs).withColumnRenamed("spender", "txid")
     totals = inputs.groupBy("txid").agg(F.sum("value_sats").alias("in_sats"), F.every(F.col("value_sats").isNotNull()).alias("resolved"))
     whole = tx.select(F.col("txid"), "input_count", "total_output_sats")
@@ -66,6 +75,30 @@ def detect(blocks: DataFrame, known_outputs: DataFrame | None = None, limits: Th
     return found.unionByName(detectors.canonical(detectors.long_interval(spaced, *limits.interval), network))
 
 
+def watch_step(store: Store, tx: DataFrame, inputs: DataFrame, max_depth: int = 3) -> None:
+    """Match a step's transactions with the stored watch targets: activities, alerts, and the outputs to follow from now on.
+
+    Steps come in the order of the chain; what was followed in earlier ones is stored, so descendants are found across steps.
+    """
+    if not store.has("target_writes"):
+        return
+    targets = cut(store.watch_targets())
+    arrival = F.coalesce(F.col("block_height"), F.lit(0)) * 1_000_000 + (F.col("tx_index") if "tx_index" in tx.columns else F.lit(0))
+    heads = tx.select("txid", arrival.cast("bigint").alias("arrival"), F.col("block_height").alias("height"), "block_hash", F.col("timestamp").alias("observed_at"), "total_output_sats")
+    spent = inputs.select("txid", "position", "prev_txid", "prev_vout", "address", "value_sats").join(heads.select("txid", "arrival"), "txid")
+    made = tx.select("txid", arrival.cast("bigint").alias("arrival"), F.inline("outputs"))
+    made = made.select("txid", "arrival", F.col("n").cast("int").alias("position"), F.col("n").alias("vout"), "value_sats", "address", F.col("scriptpubkey_hex").alias("script_hex"), money.is_data_carrier(F.col("script_pubkey_type"), F.col("scriptpubkey_hex")).alias("op_return"))
+    heads, spent, made = cut(heads), cut(spent), cut(made)
+    points = cut(store.table("followed_points").join(spent.select("prev_txid").distinct(), "prev_txid", "left_semi")) if store.has("followed_points") else None
+    found, entered = watch.engine(heads, spent, made, targets, max_depth, points)
+    rows = watch.described(cut(found), targets).join(heads.select("txid", F.col("height").alias("block_height"), "block_hash", "observed_at"), "txid")
+    rows = cut(watch.firsts(rows.withColumn("status", F.when(F.col("block_height").isNull(), "MEMPOOL").otherwise("CONFIRMED"))))
+    if rows.isEmpty():
+        return
+    store.append_new("followed_points", cut(entered), ["prev_txid", "prev_vout", "target_id"])
+    store.save_activities(rows)
+
+
 def transaction_events(tx: DataFrame, inputs: DataFrame, limits: Thresholds = Thresholds(), network: str = "mainnet") -> DataFrame:
     """Canonical events of enriched transactions and their inputs."""
     context = F.struct("txid", "block_hash", "block_height", F.col("timestamp").alias("event_time"))
@@ -110,8 +143,11 @@ def run(store: Store, blocks: DataFrame, span: replay.ReplayRange, job: str, lim
         if not chain.missing_heights(part, at, end).isEmpty():
             store.save_job(job, span, "FAILED")
             return "FAILED"
-        known = store.outputs() if store.has("outputs") else None
+        part = cut(part)  # decoded once for all that a step asks of it
+        known = named_outputs(transactions_of(part), store.outputs() if store.has("outputs") else None)
+        known = known if known is None else cut(known)
         events = cut(replay.stamp(detect(part, known, limits, network), job).filter(F.col("block_height") >= at))
+        watch_step(store, *enriched(transactions_of(part.filter(F.col("height") >= at)), known))
         store.append_new("outputs", outputs_of(transactions_of(part.filter(F.col("height") >= at))), ["txid", "n"])
         store.append_new("events", events, ["id"])
         written = store.table("events").filter((F.col("replay_job_id") == job) & F.col("block_height").between(at, end))

@@ -90,7 +90,11 @@ class Store:
         rows = rows.withColumns({**lacking, "id": uuid5(F.col("dedup_key"))}).dropDuplicates(["dedup_key"])
         rows = rows.select(*sorted(rows.columns))
         self._write("activity_writes", rows)
-        self.append_new("alerts", rows.select(uuid5(F.concat(F.lit("alert:"), "dedup_key")).alias("id"), "incident_id", F.col("id").alias("activity_id"), "severity", "observed_at"), "id")
+        words = F.initcap(F.replace(F.lower("activity_type"), F.lit("_"), F.lit(" ")))
+        needed = {"case_id": F.lit(None).cast("string"), "description": words, "target_label": F.lit(None).cast("string"), "confidence": F.lit(None).cast("string"), "txid": F.lit(None).cast("string"), "value_sats": F.lit(None).cast("bigint")}
+        made = watch.alerts(rows.withColumns({c: v for c, v in needed.items() if c not in rows.columns}), self.table("incidents").select("case_id", "title") if self.has("incidents") else None)
+        ids = {"id": uuid5(F.concat(F.lit("alert:"), "dedup_key")), "activity_id": uuid5(F.col("dedup_key"))}
+        self.append_new("alerts", made.withColumns(ids).drop("dedup_key"), "id")
 
     def activities(self) -> DataFrame:
         return provenance.merge_events(self.table("activity_writes"), "id", "seq", ("status", "block_height", "block_hash"))

@@ -20,8 +20,7 @@ def enriched_live(tx: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFra
 
     Only outputs that an input names are taken from the table, so what is joined further is no larger than the batch.
     """
-    wanted = tx.select(F.explode("inputs").alias("i")).select(F.col("i.txid").alias("txid"), F.col("i.vout").cast("bigint").alias("n")).distinct()
-    known = outputs.join(wanted, ["txid", "n"], "left_semi")
+    known = replay_run.named_outputs(tx, outputs)
     bare = {"block_hash": F.lit(None).cast("string"), "block_height": F.lit(None).cast("bigint")}
     missing = {c: v for c, v in bare.items() if c not in tx.columns}
     return replay_run.enriched(tx.withColumns(missing), known)
@@ -90,6 +89,7 @@ def block_sink(store: Store, limits: replay_run.Thresholds = replay_run.Threshol
         tx = replay_run.transactions_of(blocks)
         rows, inputs = enriched_live(tx, _outputs(store))
         events = cut(replay_run.transaction_events(rows, inputs, limits, network).unionByName(slow).withColumns({"observation_mode": F.lit("live"), "replay_job_id": F.lit(None).cast("string")}))
+        replay_run.watch_step(store, rows, inputs)
         store.append_new("headers", heads, "block_hash")
         store.append_new("outputs", replay_run.outputs_of(tx), ["txid", "n"])
         store.append_new("events", events, ["id"])

@@ -84,7 +84,7 @@ def node():
             p = sent["params"]
             found = {
                 "getblockchaininfo": lambda: {"chain": "main", "blocks": len(chain) - 1}, "getnetworkinfo": lambda: {"version": 1}, "getblockhash": lambda: names[p[0]],
-                "getblock": lambda: chain[names.index(p[0])].hex(),
+                "getblock": lambda: chain[names.index(p[0])].hex(), "getblockheader": lambda: {"previousblockhash": names[names.index(p[0]) - 1]},
             }.get(sent["method"])
             if found is None:
                 return self.answer(500, json.dumps({"error": {"message": "no such method"}, "result": None}).encode())
@@ -258,7 +258,7 @@ def test_live_detection_of_landed_frames(spark, node, tmp_path):
         q.stop()
     events = {r["event_type"]: json.loads(r["metadata"]) for r in store.table("events").collect()}
     assert set(events) == {"LARGE_TRANSFER", "EXTREME_FEE", "DORMANT_COINS_MOVED"} and events["EXTREME_FEE"]["fee_sats"] == BTC and store.table("events").count() == 3
-    assert [r["mode"] for r in store.table("observations").collect()] == ["live"] * 3
+    assert [r["mode"] for r in store.all_observations().collect()] == ["live"] * 3
     (tmp_path / "ws").mkdir()
     (tmp_path / "ws" / "a.txt").write_text('{"tx": {"txid": "t", "fee": 5}}\nnot json\n')
     assert [r["kind"] for r in landing.LandedEnvelopes(str(tmp_path / "ws"), stream=False).read(spark).collect()] == ["transaction"]
