@@ -62,6 +62,10 @@ def _line_rows(min_chars: int):
 
 DROP, PENDING, COUNT = 0, 1, 2
 _FLUSH = 2_000
+#: Rows of a key that wait in a task for it to have min_docs documents; more (of rows that repeat an id, or have none) are decided afterwards.
+HELD = 1_000
+#: Counts of keys up to which they are broadcast to the rows that wait for them.
+BROADCAST = 100_000
 
 
 class _Out:
@@ -78,16 +82,27 @@ class _Out:
 
 
 def _stream(min_docs: int):
-    """Rows come sorted by key, then doc_id from the largest; at most min_docs documents of a key are held."""
+    """Rows come sorted by key, then doc_id from the largest; at most HELD rows of a key's first documents are held.
+
+    Rows beyond are given out as pending with a count of their key, as those are whose key goes on in another task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, key, doc, n_docs, largest, edge, held = _Out(), None, None, 0, None, True, []
+        out, key, doc, n_docs, largest, edge, over, held = _Out(), None, None, 0, None, True, False, []
+
+        def hold(row):
+            nonlocal held, over
+            held.append(row)
+            if len(held) >= HELD or over:
+                out.rows.extend((PENDING, None, *x) for x in held)
+                held, over = [], True
+
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if row[0] != key:
-                    if key is not None and edge:
+                    if key is not None and (edge or over):
                         out.rows.append((COUNT, n_docs, key, largest, None, None, None))
-                    edge, key, doc, n_docs, largest, held = key is None, row[0], row[1], 1, row[1], []
+                    edge, over, key, doc, n_docs, largest, held = key is None, False, row[0], row[1], 1, row[1], []
                 elif row[1] != doc:
                     doc, n_docs = row[1], n_docs + 1
                 if edge:
@@ -95,13 +110,13 @@ def _stream(min_docs: int):
                 elif doc == largest:
                     # kept if the key ends here; at the task's last key it waits for the neighbour
                     if n_docs < min_docs:
-                        held.append(row)
+                        hold(row)
                 elif n_docs >= min_docs:
                     out.rows += [(DROP, None, *x) for x in held if x[1] != largest]
                     held = []
                     out.rows.append((DROP, None, *row))
                 else:
-                    held.append(row)
+                    hold(row)
                 if len(out.rows) >= _FLUSH:
                     yield out.batch()
         if key is not None:
@@ -139,11 +154,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         lines.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text_hash").mapInArrow(_stream(min_docs), _STREAM), "line-stream"
     )
     row = ("doc_id", "text_hash", "n_lines", "positions")
-    # two rows a task at most: small whatever the corpus holds
-    edges = streamed.filter(F.col("kind") == COUNT).groupBy("key").agg(F.sum("n_docs").alias("total"), F.max("doc_id").alias("largest"))
+    # two rows a task at most, and one for each key with over HELD rows of few documents
+    edges = materialize(streamed.filter(F.col("kind") == COUNT).groupBy("key").agg(F.sum("n_docs").alias("total"), F.max("doc_id").alias("largest")), "line-edges")
     late = (
         streamed.filter(F.col("kind") == PENDING)
-        .join(F.broadcast(edges), "key")
+        .join(F.broadcast(edges) if edges.count() <= BROADCAST else edges, "key")
         .filter((F.col("total") >= min_docs) & ~F.col("doc_id").eqNullSafe(F.col("largest")))
     )
     drops = streamed.filter(F.col("kind") == DROP).select(*row).unionByName(late.select(*row))
