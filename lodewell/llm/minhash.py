@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewell.llm.common import WORD, many_to_one, materialize, mix64, texts, word_hashes
@@ -441,14 +441,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRE
 
 
 #: Column names that the filter adds while it works; no input column may be called so.
-_ID, _HASH = "__lodewell_id", "__lodewell_hash"
+_ID, _HASH, _ROW = "__lodewell_id", "__lodewell_hash", "__lodewell_row"
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
     """One document of each group: of those with its smallest id the one of the smallest text hash, once.
 
     Documents are told apart by id and text, so of rows that share an id only those of one group are duplicates. Of rows
-    that share both, the smallest stays. Rows without an id and rows without words are linked with nothing: all stay.
+    that share both, the first in the table's order stays. Rows without an id and rows without words are linked with nothing: all stay.
     """
     found, of_class = _classed(docs, shingle, percent, SIDE, ROWS)
     rows = many_to_one(found.filter("class IS NOT NULL").select("doc_id", "text_hash", "class"), of_class, "class").filter("doc_id = component_id")
@@ -457,6 +457,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int =
     key, own = F.col("doc_id").cast("bigint"), F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     told = docs.filter(own).withColumns({_ID: key, _HASH: F.xxhash64("text")})
     if not first.filter("copies > 1").isEmpty():
-        told = told.groupBy(_ID, _HASH).agg(F.min(F.struct(*docs.columns)).alias("row")).select(_ID, _HASH, "row.*")
+        told = told.withColumn(_ROW, F.monotonically_increasing_id())  # columns of any type: rows are told apart by their place
+        told = told.withColumn(_ROW, F.row_number().over(Window.partitionBy(_ID, _HASH).orderBy(_ROW))).filter(F.col(_ROW) == 1).drop(_ROW)
     kept = first.select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_HASH))
     return told.join(kept, [_ID, _HASH], "left_semi").select(*docs.columns).unionByName(docs.filter(~own))

@@ -144,19 +144,27 @@ def occurrences(plan: DataFrame) -> DataFrame:
 
 
 #: Column names in use while documents are joined; no input column may be called so.
-_DOC, _SOURCE, _SIZE, _AT = "__lodewell_doc", "__lodewell_source", "__lodewell_size", "__lodewell_at"
+_DOC, _SOURCE, _SIZE, _NTH, _AT = (f"__lodewell_{x}" for x in ("doc", "source", "size", "nth", "at"))
 
 
 def mixed_documents(docs: DataFrame, schedules=default_schedules, share: Fraction = Fraction(3, 2), max_epochs: int = 2) -> DataFrame:
     """The documents in training order, one row for each time that a document is used.
 
-    Rows that repeat a doc_id, source and size are used as often as the first of them.
+    Each row of docs has a row of the plan of its own. Of rows that repeat a doc_id, source and size, the plan's first in
+    order goes to the one of the smallest text hash, and so on.
     """
+    keys = (_DOC, _SOURCE, _SIZE)
     plan = mix_plan(docs, schedules, share, max_epochs)
-    kept = ("offset", "taken", "source_size", "target", "knots")
-    once = plan.groupBy("doc_id", "source", "size").agg(F.min(F.struct(*kept)).alias("first")).select("doc_id", "source", "size", *[f"first.{c}" for c in kept])
-    uses = occurrences(once).select(F.col("doc_id").alias(_DOC), F.col("source").alias(_SOURCE), F.col("size").alias(_SIZE), F.col("position").alias(_AT))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    joined = docs.join(uses, F.col("doc_id").cast("bigint").eqNullSafe(F.col(_DOC)) & F.col("source").cast("string").eqNullSafe(F.col(_SOURCE)) & (size == F.col(_SIZE)))
+    numbered = plan.withColumn(_NTH, F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("offset")))
+    uses = materialize(occurrences(numbered).select(F.col("doc_id").alias(_DOC), F.col("source").alias(_SOURCE), F.col("size").alias(_SIZE), _NTH, F.col("position").alias(_AT)), "mix-uses")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    told = docs.withColumns({_DOC: F.col("doc_id").cast("bigint"), _SOURCE: F.col("source").cast("string"), _SIZE: size})
+    repeated = materialize(plan.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*[F.col(c).alias(f"{k}_") for c, k in zip(("doc_id", "source", "size"), keys)]), "mix-repeated")
+    again = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    # only rows that others repeat need a number, so only they are sorted by it
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text")))
+    told = told.join(repeated, again, "left_anti").withColumn(_NTH, F.lit(1)).unionByName(told.join(repeated, again, "left_semi").withColumn(_NTH, nth))
+    right = uses.select(*[F.col(c).alias(f"{c}_") for c in (*keys, _NTH)], _AT)
+    joined = told.join(right, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*keys, _NTH)]).drop(*[f"{c}_" for c in (*keys, _NTH)])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartitionByRange(parts, _AT, "doc_id").sortWithinPartitions(_AT, "doc_id").drop(_DOC, _SOURCE, _SIZE, _AT)
+    return joined.repartitionByRange(parts, _AT, "doc_id").sortWithinPartitions(_AT, "doc_id").drop(*keys, _NTH, _AT)
