@@ -1,4 +1,4 @@
-"""Arrival-ordered state over streams: dedup with a time to live, sequence checks, idempotent sinks."""
+"""Arrival-ordered state over streams: dedup with a time to live and state that expires, sequence checks, idempotent sinks."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Fixed value: the class name of Spark's store for states of several variables.
@@ -40,6 +42,81 @@ def dedup_stream(events: DataFrame, key: str, seconds: str, order: str, ttl: int
     return events.select(key, seconds, order).groupBy(key).applyInPandasWithState(step, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Rows of expiring_dedup.
+DEDUP = "key string, kind string, first_seconds bigint, first_order bigint, seconds bigint, ord bigint, n_seen bigint, witnesses array<string>"
+
+
+class _Expiring(StatefulProcessor):
+    """One entry a key: the event let through, who witnessed it, and a timer at the end of its time to live."""
+
+    def __init__(self, ttl: int) -> None:
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entry = handle.getValueState("entry", "first_seconds bigint, first_order bigint, last_order bigint, n_seen bigint, witnesses string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.entry.get() if self.entry.exists() else None
+        fresh = held
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["seconds", "ord"]).itertuples():
+            t, o = int(r.seconds), int(r.ord)
+            known = set(held[4].split("\n")) - {""} if held else set()
+            if held is None or t - held[0] >= self.ttl:
+                if held is not None:
+                    out.append(self._row(key[0], "CLOSED", held))
+                held = (t, o, o, 1, r.witness or "")
+                out.append(self._row(key[0], "FIRST", held, t, o))
+            else:
+                new = r.witness and r.witness not in known
+                held = (held[0], held[1], o, held[3] + 1, "\n".join(sorted(known | ({r.witness} if r.witness else set()))))
+                if new:
+                    out.append(self._row(key[0], "WITNESS", held, t, o))
+        self.entry.update(held)
+        if fresh is None or fresh[0] != held[0]:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((held[0] + self.ttl) * 1000)
+        if out:
+            yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.entry.exists():
+            held = self.entry.get()
+            if (held[0] + self.ttl) * 1000 <= timerValues.getCurrentWatermarkInMs():
+                self.entry.clear()
+                yield self._frame([self._row(key[0], "CLOSED", held)])
+
+    @staticmethod
+    def _row(key, kind, held, seconds=None, order=None) -> tuple:
+        return (key, kind, held[0], held[1], held[0] if seconds is None else seconds, held[2] if order is None else order, held[3], [w for w in held[4].split("\n") if w])
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in DEDUP.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_dedup(events: DataFrame, key: str, seconds: str, order: str, witness: str, ttl: int, late: int = 0) -> DataFrame:
+    """Dedup over a stream whose state ends: rows FIRST, WITNESS and CLOSED of each key.
+
+    FIRST is an event let through, as ``dedup_stream`` has it. WITNESS is a later one within ``ttl`` seconds of it that
+    another witness saw: it joins the first one's witnesses. CLOSED is told when the time of a first one is over, with all
+    its witnesses and how many events it stands for; its entry leaves the state then, by a timer of event time, which lags
+    the greatest time seen by ``late`` seconds. So the state holds the keys seen within ttl + late, however long the stream.
+    """
+    keyed_state(events.sparkSession)
+    rows = events.select(
+        F.col(key).cast("string").alias("key"), F.col(seconds).cast("bigint").alias("seconds"), F.col(order).cast("bigint").alias("ord"), F.col(witness).cast("string").alias("witness"),
+        F.timestamp_seconds(F.col(seconds)).alias("at"),
+    )
+    rows = rows.withWatermark("at", f"{late} seconds")
+    return rows.groupBy("key").transformWithStateInPandas(_Expiring(ttl), DEDUP, "Append", "EventTime")
+
+
 def sequence_stream(messages: DataFrame, key: str, order: str, seq: str) -> DataFrame:
     """Initial, Consecutive, Duplicate, Gap or Stale for each message, with 32-bit wrap-around."""
     kinds = dict(messages.dtypes)

@@ -9,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodewell import __main__ as command
-from lodewell.operators import chain
+from lodewell.operators import chain, provenance
 from lodewell.plans.store import Store
 from lodewell.sources import decoders
 from lodewell.sources.node import BlockSource, branch_point
-from lodewell.streaming import live, tip
+from lodewell.streaming import live, stateful, tip
 from test_replay_run import BTC, raw_block, raw_tx
 
 
@@ -255,3 +255,38 @@ def test_observations_take_the_last_source(spark, tmp_path):
     store.save_observations(one(2, "confirmed", 9))
     r = store.observations("e").collect()
     assert [(x["provider"], x["source_sequence"], x["confirmation_status"], x["block_height"]) for x in r] == [("p2", 2, "confirmed", 5)]
+
+
+def plain_dedup(rows, ttl):
+    """(first events, witnesses and number of each) of rows in the order of time."""
+    held, out = {}, []
+    for key, seconds, order, witness in sorted(rows, key=lambda r: (r[1], r[2])):
+        entry = held.get(key)
+        if entry is None or seconds - entry[1] >= ttl:
+            entry = held[key] = [key, seconds, order, 0, set()]
+            out.append(entry)
+        entry[3] += 1
+        entry[4] |= {witness} - {None}
+    return out
+
+
+def test_dedup_with_state_that_expires(spark, tmp_path):
+    """First events and their witnesses equal a fold and the batch operator; the state does not grow with the stream."""
+    draw = random.Random(8)
+    rows = [(f"k{draw.randint(0, 3)}" if i % 3 else f"once{i}", i * 5 + draw.randint(0, 4), i, draw.choice(["a", "b", "c", None])) for i in range(400)]
+    schema, ttl = "k string, t bigint, id bigint, w string", 60
+    for n in range(8):
+        spark.createDataFrame(rows[n * 50 : n * 50 + 50], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{n}"))
+    spark.createDataFrame([("end", 10_000, 999, None)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "8"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = stateful.expiring_dedup(source, "k", "t", "id", "w", ttl).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got, want = spark.read.parquet(str(tmp_path / "out")), plain_dedup(rows, ttl)
+    first = {(r["key"], r["seconds"], r["ord"]) for r in got.filter("kind = 'FIRST' AND key <> 'end'").collect()}
+    assert first == {(k, t, o) for k, t, o, _, _ in want}
+    batch = provenance.dedup_ttl(spark.createDataFrame(rows, schema), ["k"], F.col("t"), "id", ttl)
+    assert {r["id"] for r in batch.collect()} == {o for _, _, o in first}
+    closed = {(r["key"], r["first_order"]): (r["n_seen"], r["witnesses"]) for r in got.filter("kind = 'CLOSED'").collect()}
+    assert closed == {(k, o): (n, sorted(w)) for k, t, o, n, w in want}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert len({k for k, *_ in rows}) > 130 and max(held) < 130  # entries, timers and their index of the keys of one window
