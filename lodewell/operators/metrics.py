@@ -50,6 +50,14 @@ def numeric_text(value: Column, scale: Column) -> Column:
     return F.when(scale == 0, value.cast("string")).otherwise(F.concat(whole, F.lit("."), F.right(text, scale)))
 
 
+def value_of_text(text: Column, scale: Column) -> Column:
+    """The scaled integer that ``numeric_text`` writes so; null for what is no number or has more decimals than scale."""
+    t = F.trim(text)
+    whole, frac = F.regexp_extract(t, r"^(-?[0-9]+)(?:\.[0-9]*)?$", 1), F.regexp_extract(t, r"^-?[0-9]+\.([0-9]*)$", 1)
+    fits = (whole != "") & (F.length(frac) <= scale)
+    return F.when(fits, F.concat(whole, F.rpad(frac, scale, "0")).try_cast("decimal(38,0)"))
+
+
 def latest_run(runs: DataFrame, network: str, height: int, version: str) -> DataFrame:
     """The newest completed run of a network and version that begins at or below a height."""
     fit = (F.col("network") == network) & (F.col("status") == "COMPLETED") & (F.col("start_height") <= height) & (F.col("algorithm_version") == version)

@@ -38,7 +38,17 @@ def remaining(blocks: DataFrame, span: ReplayRange, checkpoints: DataFrame) -> D
 
 
 def stamp(events: DataFrame, job: str) -> DataFrame:
-    return events.withColumns({"observation_mode": F.lit("historical_replay"), "replay_job_id": F.lit(job)})
+    """Events of a replay: its mode and job, also in the metadata, with the height, hash and time of the block replayed."""
+    own = F.struct(
+        F.lit("historical_replay").alias("observation_mode"), F.lit(job).alias("replay_job_id"), F.col("block_height").alias("historical_height"),
+        F.col("block_hash").alias("historical_block_hash"), F.col("event_time").alias("historical_timestamp"),
+    )
+    marked = {"observation_mode": F.lit("historical_replay"), "replay_job_id": F.lit(job)}
+    if "metadata" in events.columns:
+        body = F.regexp_extract("metadata", r"^\{(.*)\}$", 1)
+        more = F.regexp_extract(F.to_json(own), r"^\{(.*)\}$", 1)
+        marked["metadata"] = F.when(F.col("metadata").rlike(r"^\{.*\}$"), F.concat(F.lit("{"), F.concat_ws(",", F.nullif(body, F.lit("")), more), F.lit("}"))).otherwise(F.col("metadata"))
+    return events.withColumns(marked)
 
 
 def split_new(found: DataFrame, stored: DataFrame, key: str = "event_id") -> tuple[DataFrame, DataFrame]:

@@ -394,6 +394,15 @@ def halving_epoch_rollup(spark: SparkSession, d: str) -> DataFrame:
     return views.tx(spark, d).groupBy(money.halving_epoch(F.col("height") * 144).alias("epoch")).agg(F.count(F.lit(1)).alias("n"), F.sum("total_output_sats").alias("total_sats"), F.max("fee_sats").alias("max_fee_sats"))
 
 
+@query(with_views("canon", then="""SELECT id, event_type, value FROM canon WHERE event_id % 5 = 0 OR (observation_mode = 'historical_replay' AND event_id % 2 = 0)"""))
+def filter_events_by_job(spark: SparkSession, d: str) -> DataFrame:
+    """Events that a replay job observed, and those that it made."""
+    c = views.canon(spark, d)
+    events = c.withColumn("replay_job_id", F.when((F.col("observation_mode") == "historical_replay") & (F.col("event_id") % 2 == 0), "job-1"))
+    seen = c.filter("event_id % 5 = 0").select(F.col("id").alias("event_id"), F.lit("job-1").alias("replay_job_id"))
+    return provenance.in_job(events, seen, "job-1").select("id", "event_type", "value")
+
+
 # -- watch ----------------------------------------------------------------------------------------------------------
 
 STRENGTH = "CASE classification WHEN 'ON_CHAIN_VERIFIED' THEN 'DIRECT' WHEN 'OFFICIALLY_ATTRIBUTED' THEN 'STRUCTURAL' ELSE 'HEURISTIC' END"

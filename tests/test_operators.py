@@ -1,13 +1,14 @@
 """Golden vectors of the chain operators."""
 
 import datetime as dt
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from lodewell.functions import money
 from lodewell.functions.identity import uuid5
-from lodewell.operators import baseline, chain, detectors, provenance, watch
+from lodewell.operators import baseline, chain, detectors, metrics, provenance, replay, watch
 
 
 def one(spark, column):
@@ -184,3 +185,20 @@ def test_interval_across_runs_with_missing_blocks(spark):
     for per in (None, "c"):
         got = {r["height"]: r["interval_seconds"] for r in chain.block_intervals(blocks, per=per).collect()}
         assert got == {99_998: None, 300_000: 60_000, 300_001: 600}
+
+
+def test_numbers_written_and_read_back(spark):
+    rows = [("0", 0), ("17", 0), ("2.35", 2), ("0.05", 2), ("-1.20", 2), ("7", 2), ("7.5", 2), ("1.234", 2), ("x", 0), ("", 0), (None, 0)]
+    got = spark.createDataFrame(rows, "t string, s int").withColumn("v", metrics.value_of_text(F.col("t"), F.col("s")))
+    values = {r["t"]: None if r["v"] is None else int(r["v"]) for r in got.collect()}
+    assert values == {"0": 0, "17": 17, "2.35": 235, "0.05": 5, "-1.20": -120, "7": 700, "7.5": 750, "1.234": None, "x": None, "": None, None: None}
+    again = got.filter("t IN ('17', '2.35', '0.05')").withColumn("back", metrics.numeric_text(F.col("v"), F.col("s"))).collect()
+    assert all(r["back"] == r["t"] for r in again)
+
+
+def test_replayed_events_are_stamped(spark):
+    rows = [("a", 5, "h", '{"fee_sats":1}'), ("b", None, None, "{}")]
+    df = spark.createDataFrame(rows, "id string, block_height bigint, block_hash string, metadata string").withColumn("event_time", F.timestamp_seconds(F.lit(60)))
+    got = {r["id"]: json.loads(r["metadata"]) for r in replay.stamp(df, "j").collect()}
+    assert got["a"] == {"fee_sats": 1, "observation_mode": "historical_replay", "replay_job_id": "j", "historical_height": 5, "historical_block_hash": "h", "historical_timestamp": "1970-01-01T00:01:00.000Z"}
+    assert set(got["b"]) == {"observation_mode", "replay_job_id", "historical_timestamp"}

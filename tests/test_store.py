@@ -1,8 +1,10 @@
 """The store's questions over small tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodewell.operators import metrics
+from lodewell.plans import replay_run
 from lodewell.plans.store import Store, event_type
 
 
@@ -40,3 +42,20 @@ def test_extraction_of_scaled_metrics(spark):
     out = metrics.extract(df).withColumn("text", metrics.numeric_text(F.col("value"), F.col("scale")))
     got = {r["metric"]: (r["text"], r["network"], r["block_height"]) for r in out.collect()}
     assert got["input_count"] == ("30", "mainnet", 0) and got["consolidation_ratio"][0] in ("2.35", "2.34") and len(got) == 2
+
+
+def test_runs_and_events_of_one_network_and_of_a_job(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = [(f"e{i}", "LARGE_TRANSFER", i % 50, "mainnet" if i < 50 else "testnet", None if i % 2 else "job", '{"total_output_sats": %d}' % i) for i in range(200)]
+    events = spark.createDataFrame(rows, "id string, event_type string, block_height bigint, network string, replay_job_id string, metadata string")
+    events = events.withColumns({"event_time": F.timestamp_seconds(F.col("block_height")), "block_hash": F.lit("b"), "observation_mode": F.lit("live")})
+    store.append("events", events)
+    store.append("event_metrics", metrics.extract(events).withColumnRenamed("id", "event_id"))
+    row = store.create_baseline(0, 49).filter("metric = 'value_sats'").first()
+    assert (row["sample_count"], row["candidate_count"], row["coverage_ratio"]) == (50, 50, 1.0)  # candidates of the other network do not count
+    run = store.save_baseline(0, 49)
+    assert store.rarity(run, least=10, event_id="e10").filter("metric = 'value_sats'").count() == 1
+    with pytest.raises(ValueError, match="testnet"):
+        store.rarity(run, least=10, event_id="e60")
+    store.save_observations(replay_run.observations(events.filter("id IN ('e1', 'e3')"), "job"))
+    assert store.query_events(job="job", limit=1000).count() == 102 and store.query_events(job="other").count() == 0
