@@ -102,11 +102,12 @@ class Dossier:
 
 
 def assemble(store, incident: str | None = None) -> DataFrame:
-    """Stored dossiers, or one, with all their lists in order and the latest state of recovery."""
+    """Stored dossiers, or one, with all their lists in order and the latest state of recovery, as one version has them."""
+    store = store.at() if store.version is None else store
     only = lambda df: df if incident is None else df.filter(F.col("incident_id") == incident)
     out = only(store.table("dossiers"))
     for name, (ddl, order) in LISTS.items():
-        rows = store.spark.read.schema(f"pos int, {ddl}, incident_id string").parquet(f"{store.root}/incident_{name}") if store.has(f"incident_{name}") else store.spark.createDataFrame([], f"pos int, {ddl}, incident_id string")
+        rows = store.table(f"incident_{name}") if store.has(f"incident_{name}") else store.spark.createDataFrame([], f"pos int, {ddl}, incident_id string")
         at = F.col(order.lstrip("-")).cast("timestamp" if order.endswith("_at") else "bigint") if order else F.lit(None)
         key = (F.unix_micros(at) if order.endswith("_at") else at).cast("bigint")
         keyed = only(rows).withColumns({"late": key.isNull(), "key": -key if order.startswith("-") else key})

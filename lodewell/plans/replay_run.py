@@ -40,10 +40,12 @@ def outputs_of(tx: DataFrame) -> DataFrame:
 
 def named_outputs(tx: DataFrame, outputs: DataFrame | None) -> DataFrame | None:
     """The stored outputs that an input of tx names: what is joined further is no larger than tx, however long the chain."""
-    if outputs is None:
-        return None
-    wanted = tx.select(F.explode("inputs").alias("i")).select(F.col("i.txid").alias("txid"), F.col("i.vout").cast("bigint").alias("n")).distinct()
-    return outputs.join(wanted, ["txid", "n"], "left_semi")
+    return None if outputs is None else outputs.join(spent_points(tx), ["txid", "n"], "left_semi")
+
+
+def spent_points(tx: DataFrame) -> DataFrame:
+    """The outputs that inputs name, by txid and n."""
+    return tx.select(F.explode("inputs").alias("i")).select(F.col("i.txid").alias("txid"), F.col("i.vout").cast("bigint").alias("n")).distinct()
 
 
 def enriched(tx: DataFrame, known_outputs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -144,7 +146,7 @@ def run(store: Store, blocks: DataFrame, span: replay.ReplayRange, job: str, lim
             store.save_job(job, span, "FAILED")
             return "FAILED"
         part = cut(part)  # decoded once for all that a step asks of it
-        known = named_outputs(transactions_of(part), store.outputs() if store.has("outputs") else None)
+        known = store.lookup("outputs", spent_points(transactions_of(part)))
         known = known if known is None else cut(known)
         events = cut(replay.stamp(detect(part, known, limits, network), job).filter(F.col("block_height") >= at))
         watch_step(store, *enriched(transactions_of(part.filter(F.col("height") >= at)), known))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodewell.functions.identity import uuid5
 from lodewell.operators import baseline, incidents, metrics, provenance, replay, watch
+from lodewell.plans.versions import Keyed, Versions
 
 #: Aliases that event types are also known by.
 EVENT_ALIASES = {"large_transaction": "LARGE_TRANSFER", "dormant_coins": "DORMANT_COINS_MOVED", "fanout": "FAN_OUT", "DORMANT_UTXO_SPENT": "DORMANT_COINS_MOVED", "FEE_SPIKE": "EXTREME_FEE", "RBF_REPLACEMENT": "TRANSACTION_REPLACEMENT"}
@@ -23,57 +24,99 @@ def network(name: str) -> str:
     return NETWORK_ALIASES.get(name, name)
 
 
+#: Tables whose rows have keys; all others are plain folders of Parquet.
+KEYED = {
+    "events": Keyed(("id",)),
+    "headers": Keyed(("block_hash",)),
+    "gone_blocks": Keyed(("block_hash",)),
+    "outputs": Keyed(("txid", "n")),
+    "alerts": Keyed(("id",)),
+    "followed_points": Keyed(("prev_txid", "prev_vout", "target_id")),
+    "incident_snapshots": Keyed(("incident_id", "as_of")),
+    "observations": Keyed(("id",), "merge", provenance.REFRESHED),
+    "event_metrics": Keyed(("event_id", "metric", "metric_definition_version"), "merge", ("value", "scale", "block_height", "event_time", "network")),
+    "dossiers": Keyed(("incident_id",), "whole"),
+}
+
+
+def keyed(name: str) -> Keyed | None:
+    return KEYED.get(name) or (Keyed(("incident_id",), "whole") if name.startswith("incident_") else None)
+
+
 class Store:
-    """Tables: events, observations, outputs, incidents, dossiers and their children, activities, alerts, targets, event_metrics, run_states, distributions, jobs, checkpoints."""
+    """Tables: events, observations, outputs, incidents, dossiers and their children, activities, alerts, targets, event_metrics, run_states, distributions, jobs, checkpoints.
+
+    Keyed tables are written in versions (see ``versions``); rows of theirs in a plain folder count as older than all of these.
+    A store made by ``at`` reads the keyed tables as one version has them.
+    """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, version: int | None = None, bucket_rows: int = 1_000_000) -> None:
+        self.spark, self.root, self.version = spark, root.rstrip("/"), version
+        self.versions = Versions(spark, self.root, keyed, bucket_rows)
+
+    def at(self, version: int | None = None) -> Store:
+        """The store as a version has it, by default the last: what is read of it does not change."""
+        return Store(self.spark, self.root, max(self.versions.numbers(), default=0) if version is None else version, self.versions.bucket_rows)
+
+    def _plain(self, name: str) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.root}/{name}") if self._folder(name) else None
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        rows = self.versions.read(name, self._plain(name), self.version) if keyed(name) else None
+        return self.spark.read.parquet(f"{self.root}/{name}") if rows is None else rows
+
+    def lookup(self, name: str, wanted: DataFrame) -> DataFrame | None:
+        """The rows of a keyed table whose keys ``wanted`` holds; what is read grows with these, not with the table."""
+        return self.versions.lookup(name, wanted, self._plain(name), self.version)
 
     def append(self, name: str, rows: DataFrame, partition_by: list[str] | None = None) -> None:
         rows.write.mode("append").partitionBy(*(partition_by or [])).parquet(f"{self.root}/{name}")
 
     def has(self, name: str) -> bool:
+        return self._folder(name) or name in self.versions.state(self.version)["tables"]
+
+    def _folder(self, name: str) -> bool:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def append_new(self, name: str, rows: DataFrame, key: str | list[str]) -> None:
         """Rows whose key is not stored yet."""
         keys = [key] if isinstance(key, str) else key
+        how = keyed(name)
+        if how:
+            if set(how.keys) != set(keys):
+                raise ValueError(f"{name} is keyed by {', '.join(how.keys)}")
+            self.put({name: rows})
+            return
         rows = rows.dropDuplicates(keys)
         self.append(name, rows.join(self.table(name).select(*keys), keys, "left_anti") if self.has(name) else rows)
 
     def replace_of(self, name: str, rows: DataFrame, by: str) -> None:
         """Overwrite the stored rows of every value of ``by`` that the rows hold; the rest stay."""
+        if keyed(name):
+            self.put({name: rows})
+            return
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.root}/{name}")
 
-    def _remove_of(self, name: str, by: str, gone: DataFrame) -> None:
-        """Delete the stored rows of each value of ``by`` in ``gone`` (a row for each incident written without any)."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for r in gone.select(by).distinct().collect():
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{by}={jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(r[0])}")
-            path.getFileSystem(conf).delete(path, True)
+    def put(self, writes: dict[str, DataFrame], replaced: DataFrame | None = None) -> int:
+        """Write keyed tables, seen all at once; the version that has them."""
+        return self.versions.put(writes, {name: self._plain(name) for name in writes}, replaced)
 
     def save_incident(self, incident: DataFrame, snapshots: DataFrame, children: dict[str, DataFrame]) -> None:
-        """A dossier and its child tables, each with incident_id. Children are replaced whole for the incidents given.
+        """A dossier and its child tables, each with incident_id, in one version. Children are replaced whole for the incidents given.
 
-        Recovery snapshots only grow: one for each (incident_id, as_of). The dossier is written last, so a reader finds
-        it only with its children; a write that fails half way is repeated whole.
+        Recovery snapshots only grow: one for each (incident_id, as_of). A reader finds all of a save or nothing of it.
         """
-        for name, rows in children.items():
-            self.replace_of(f"incident_{name}", rows, "incident_id")
-            self._remove_of(f"incident_{name}", "incident_id", incident.select(F.col("id").alias("incident_id")).join(rows, "incident_id", "left_anti"))
-        self.append_new("incident_snapshots", snapshots, ["incident_id", "as_of"])
-        self.replace_of("dossiers", incident.withColumn("incident_id", F.col("id")), "incident_id")
+        owner = incident.withColumn("incident_id", F.col("id"))
+        self.put({**{f"incident_{name}": rows for name, rows in children.items()}, "incident_snapshots": snapshots, "dossiers": owner}, owner.select("incident_id"))
 
     def dossier(self, incident: str, children: dict[str, list[str]]) -> DataFrame:
         """A dossier with arrays of its children, each in the order of the fields named, and its latest snapshot."""
-        out = self.table("dossiers").filter(F.col("incident_id") == incident)
+        seen = self if self.version is not None else self.at()  # all of one version
+        out = seen.table("dossiers").filter(F.col("incident_id") == incident)
         for name, fields in children.items():
-            out = incidents.nest(out, self.table(f"incident_{name}").filter(F.col("incident_id") == incident), "incident_id", fields, name)
-        last = incidents.latest_snapshot(self.table("incident_snapshots").filter(F.col("incident_id") == incident), "incident_id", ["as_of"])
+            out = incidents.nest(out, seen.table(f"incident_{name}").filter(F.col("incident_id") == incident), "incident_id", fields, name)
+        last = incidents.latest_snapshot(seen.table("incident_snapshots").filter(F.col("incident_id") == incident), "incident_id", ["as_of"])
         return out.join(last, "incident_id", "left")
 
     def _write(self, name: str, rows: DataFrame) -> None:
@@ -101,12 +144,11 @@ class Store:
 
     def save_observations(self, rows: DataFrame) -> None:
         """Observations by id: what is kept is the first write, but source, witness, status and sequences of the last."""
-        self._write("observations", rows.dropDuplicates(["id"]))
+        self.put({"observations": rows})
 
     def all_observations(self) -> DataFrame:
         """One row an observation, merged from its writes."""
-        rows = self.table("observations")
-        return provenance.merge_events(rows, "id", "seq", provenance.REFRESHED) if "seq" in rows.columns else rows
+        return self.table("observations")
 
     def save_event_texts(self, rows: DataFrame) -> None:
         """New titles, descriptions and metadata of events (id, title, description, metadata); what is null stays as it was."""

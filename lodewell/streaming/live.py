@@ -48,15 +48,17 @@ def sink(store: Store, limits: replay_run.Thresholds = replay_run.Thresholds(),
     def write(batch: DataFrame, number: int) -> None:
         tx = batch.dropDuplicates(["txid"])
         tx = tx if "timestamp" in tx.columns else tx.withColumn("timestamp", F.current_timestamp())
-        events = cut(detect_transactions(tx, _outputs(store), limits, network))
+        events = cut(detect_transactions(tx, _outputs(store, tx), limits, network))
         store.append_new("events", events.withColumn("replay_job_id", F.lit(None).cast("string")), ["id"])
         store.save_observations(observations(store, events))
 
     return write
 
 
-def _outputs(store: Store) -> DataFrame:
-    return store.outputs() if store.has("outputs") else store.spark.createDataFrame([], "txid string, confirmed_at timestamp, confirmed_height bigint, n bigint, value_sats bigint")
+def _outputs(store: Store, tx: DataFrame) -> DataFrame:
+    """The stored outputs that tx spends."""
+    found = store.lookup("outputs", replay_run.spent_points(tx))
+    return found if found is not None else store.spark.createDataFrame([], "txid string, confirmed_at timestamp, confirmed_height bigint, n bigint, value_sats bigint")
 
 
 def _confirmed(events: DataFrame) -> DataFrame:
@@ -87,7 +89,7 @@ def block_sink(store: Store, limits: replay_run.Thresholds = replay_run.Threshol
         context = F.struct(F.lit(None).cast("string").alias("txid"), "block_hash", F.col("height").alias("block_height"), F.col("timestamp").alias("event_time"))
         slow = detectors.canonical(detectors.long_interval(spaced.withColumn("context", context), *limits.interval), network)
         tx = replay_run.transactions_of(blocks)
-        rows, inputs = enriched_live(tx, _outputs(store))
+        rows, inputs = enriched_live(tx, _outputs(store, tx))
         events = cut(replay_run.transaction_events(rows, inputs, limits, network).unionByName(slow).withColumns({"observation_mode": F.lit("live"), "replay_job_id": F.lit(None).cast("string")}))
         replay_run.watch_step(store, rows, inputs)
         store.append_new("headers", heads, "block_hash")
