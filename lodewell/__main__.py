@@ -1,15 +1,16 @@
-"""python -m lodewell run | fetch | replay | baseline | rarity: the store's work from the command line."""
+"""python -m lodewell run | listen | fetch | replay | baseline | rarity: the store's work from the command line."""
 
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
 from lodewell.operators.replay import ReplayRange
 from lodewell.plans import replay_run
 from lodewell.plans.store import Store
-from lodewell.sources import decoders
+from lodewell.sources import decoders, sockets
 from lodewell.sources.node import BlockSource
 from lodewell.streaming import live
 
@@ -22,6 +23,12 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--start", type=int, help="first height of a store that is new; the present tip if not given")
     run.add_argument("--network", default="mainnet")
     run.add_argument("--once", action="store_true", help="end at the present tip")
+    listen = steps.add_parser("listen", help="hold a push socket and land its messages in a folder, until interrupted")
+    listen.add_argument("--address", required=True, help="tcp://host:port of a publisher, or ws(s)://host/path")
+    listen.add_argument("--into", required=True, help="a folder of this machine's file system that Spark reads too")
+    listen.add_argument("--topic", action="append", help="topic of a publisher, as often as needed; rawtx, rawblock and sequence if none is given")
+    listen.add_argument("--say", action="append", default=[], help="text sent to a web socket when it opens")
+    listen.add_argument("--seconds", type=float, default=5.0, help="a file at least so often")
     fetch = steps.add_parser("fetch", help="read raw blocks of a range from a node into Parquet")
     for one in (run, fetch):
         one.add_argument("--url", required=True)
@@ -44,6 +51,10 @@ def parser() -> argparse.ArgumentParser:
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(arguments)
+    if a.step == "listen":
+        client = sockets.Subscriber(a.address, a.topic or ["rawtx", "rawblock", "sequence"]) if a.address.startswith("tcp:") else sockets.WebSocket(a.address, a.say)
+        sockets.land(sockets.lasting(client, told=lambda why, wait: print(f"{why}; again in {wait:g} s", file=sys.stderr)), a.into, a.seconds)
+        return
     spark = spark or SparkSession.builder.appName("lodewell").getOrCreate()
     if a.step == "run":
         options = {"kind": a.kind} | ({"cookie": a.cookie} if a.cookie else {}) | ({"start": a.start} if a.start is not None else {})

@@ -1,6 +1,6 @@
 """Push messages as landed files: streams of what a subscriber or a broker writes into a folder, wired to the decoders.
 
-A process outside Spark (or a broker's file sink) holds the socket and lands every message: multipart frames as JSON lines
+A process outside Spark (``sockets.land``, or a broker's file sink) holds the socket and lands every message: multipart frames as JSON lines
 {topic, parts: [base64, ...]}, web-socket envelopes as text lines. Spark follows the folder, so a lost executor reads its
 files again and no message is lost with a connection.
 """
