@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodewell.functions.lineage import cut
+from lodewell.operators import folds
 
 #: Steps of an ancestor walk between two checkpoints.
 STEPS = 4
@@ -58,32 +56,14 @@ def missing_heights(blocks: DataFrame, start: int, end: int) -> DataFrame:
     return blocks.sparkSession.range(start, end + 1).select(F.col("id").alias("height")).join(blocks.select("height"), "height", "left_anti")
 
 
-def sequence_states(messages: DataFrame, key: str, order: str, seq: str) -> DataFrame:
+def sequence_states(messages: DataFrame, key: str, order: str, seq: str, per_task: int = 1_000_000, parts: int | None = None) -> DataFrame:
     """Initial, consecutive, duplicate, gap or stale, against the last accepted number, with 32-bit wrap-around.
 
-    Stale and duplicate numbers do not advance the state, so a key's messages are read in order, by one task, which
-    holds one number: time grows with the messages and memory does not.
+    Stale and duplicate numbers do not advance the state; a message without a number has no state. A key of over
+    ``per_task`` messages is spread over all tasks (see ``folds``).
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    kinds = messages.select(key, order).schema.add("state", T.StringType()).add("missed", T.LongType())
-    names = to_arrow_schema(kinds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last = None, None
-        for batch in batches:
-            states, missed = [], []
-            for k, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if (k,) != at:
-                    at, last = (k,), None
-                diff = None if last is None else (s - last) % (1 << 32)
-                state = "Initial" if diff is None else "Duplicate" if diff == 0 else "Consecutive" if diff == 1 else "Gap" if diff < 1 << 31 else "Stale"
-                states.append(state)
-                missed.append(diff - 1 if state == "Gap" else None)
-                last = last if state in ("Duplicate", "Stale") else s
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(states, pa.string()), pa.array(missed, pa.int64())], schema=names)
-
-    return messages.select(key, order, seq).repartition(key).sortWithinPartitions(key, order).mapInArrow(run, kinds)
+    told = T.StructType().add("state", T.StringType()).add("missed", T.LongType())
+    return folds.ordered_fold(messages.select(key, order, seq), [key], [order], seq, [order], told, folds.numbered(), per_task, parts)
 
 
 def gap_requests(states: DataFrame, order: str, most: int = 100) -> DataFrame:

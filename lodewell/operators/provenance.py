@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodewell.functions.identity import discriminator, observation_key, uuid5
+from lodewell.operators import folds
 
 MUTABLE = ("title", "description", "metadata")
 
@@ -61,29 +60,14 @@ def dedup_first(events: DataFrame, key: list[str], order: list[str], witness: st
     ).select(*key, *[F.col(f"f.{c}").alias(f"first_{c}") for c in order], "n_seen", "witnesses")
 
 
-def dedup_ttl(events: DataFrame, key: list[str], seconds: Column, order: str, ttl: int) -> DataFrame:
+def dedup_ttl(events: DataFrame, key: list[str], seconds: Column, order: str, ttl: int, per_task: int = 1_000_000, parts: int | None = None) -> DataFrame:
     """Events let through when ttl has passed since the last one let through; dropped ones do not extend it.
 
-    A key's events are read in order, by one task, which holds one time: the number of keys spreads the work.
+    Events without a time are let through. A key of over ``per_task`` events is spread over all tasks (see ``folds``).
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    kinds = events.select(*key, order).schema
-    names, n = to_arrow_schema(kinds), len(key)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last = None, None
-        for batch in batches:
-            fresh = []
-            for *k, _, t in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != at:
-                    at, last = k, None
-                fresh.append(last is None or t - last >= ttl)
-                last = t if fresh[-1] else last
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fresh, pa.bool_())) for c in batch.columns[: n + 1]], schema=names)
-
     rows = events.select(*key, order, seconds.alias("__seconds"))
-    return rows.repartition(*key).sortWithinPartitions(*key, "__seconds", order).mapInArrow(run, kinds)
+    told = folds.ordered_fold(rows, key, ["__seconds", order], "__seconds", [order], T.StructType().add("__fresh", T.BooleanType()), folds.spaced(ttl), per_task, parts)
+    return told.filter("__fresh").drop("__fresh")
 
 
 def retain(df: DataFrame, n: int, order: str) -> DataFrame:
