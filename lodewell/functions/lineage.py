@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL: list[str] = []
 _KNOWN: set[str] = set()
@@ -37,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``cut`` with aggregates that are gathered while the rows are written; those of no rows are 0."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
+    return out, {name: int(seen.get.get(name) or 0) for name in counts}
+
+
 def _drop(spark: SparkSession, home: str) -> None:
     try:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodewell.functions import money
-from lodewell.functions.lineage import cut
+from lodewell.functions.lineage import cut, cut_counted
 from lodewell.operators import chain, detectors, metrics, provenance, replay, watch
 from lodewell.plans.store import Store
 
@@ -71,19 +71,33 @@ def enriched(tx: DataFrame, known_outputs: DataFrame | None = None) -> tuple[Dat
 
 def detect(blocks: DataFrame, known_outputs: DataFrame | None = None, limits: Thresholds = Thresholds(), network: str = "mainnet", history: bool = True) -> DataFrame:
     """Canonical events of decoded blocks. Intervals need the block before the range among the blocks."""
-    found = transaction_events(*enriched(transactions_of(blocks), known_outputs), limits, network)
+    return block_events(blocks, *enriched(transactions_of(blocks), known_outputs), limits, network, history)
+
+
+def block_events(blocks: DataFrame, tx: DataFrame, inputs: DataFrame, limits: Thresholds = Thresholds(), network: str = "mainnet", history: bool = True) -> DataFrame:
+    """Canonical events of decoded blocks whose transactions are enriched already."""
+    found = transaction_events(tx, inputs, limits, network)
     context = F.struct(F.lit(None).cast("string").alias("txid"), "block_hash", F.col("height").alias("block_height"), F.col("timestamp").alias("event_time"))
     spaced = chain.block_intervals(blocks, live=not history).withColumn("context", context)
     return found.unionByName(detectors.canonical(detectors.long_interval(spaced, *limits.interval), network))
 
 
-def watch_step(store: Store, tx: DataFrame, inputs: DataFrame, max_depth: int = 3) -> None:
+def counted_enriched(tx: DataFrame, inputs: DataFrame, own: Column | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Enriched transactions and inputs, written once for all that asks for them, with their counters. own: what a step counts."""
+    own = F.lit(True) if own is None else own
+    tx, found = cut_counted(tx, transactions_observed=F.count_if(own), transactions_enriched=F.count_if(own & F.col("fee_rate_sat_vb").isNotNull()))
+    inputs, missed = cut_counted(inputs, utxo_lookup_failures=F.count_if(own & F.col("value_sats").isNull()))
+    return tx, inputs, found | missed
+
+
+def watch_step(store: Store, tx: DataFrame, inputs: DataFrame, max_depth: int = 3) -> dict[str, int]:
     """Match a step's transactions with the stored watch targets: activities, alerts, and the outputs to follow from now on.
 
     Steps come in the order of the chain; what was followed in earlier ones is stored, so descendants are found across steps.
     """
+    none = {"incident_activities_detected": 0, "incident_alerts_emitted": 0}
     if not store.has("target_writes"):
-        return
+        return none
     targets = cut(store.watch_targets())
     arrival = F.coalesce(F.col("block_height"), F.lit(0)) * 1_000_000 + (F.col("tx_index") if "tx_index" in tx.columns else F.lit(0))
     heads = tx.select("txid", arrival.cast("bigint").alias("arrival"), F.col("block_height").alias("height"), "block_hash", F.col("timestamp").alias("observed_at"), "total_output_sats")
@@ -94,11 +108,11 @@ def watch_step(store: Store, tx: DataFrame, inputs: DataFrame, max_depth: int =
     points = cut(store.table("followed_points").join(spent.select("prev_txid").distinct(), "prev_txid", "left_semi")) if store.has("followed_points") else None
     found, entered = watch.engine(heads, spent, made, targets, max_depth, points)
     rows = watch.described(cut(found), targets).join(heads.select("txid", F.col("height").alias("block_height"), "block_hash", "observed_at"), "txid")
-    rows = cut(watch.firsts(rows.withColumn("status", F.when(F.col("block_height").isNull(), "MEMPOOL").otherwise("CONFIRMED"))))
-    if rows.isEmpty():
-        return
+    rows, found = cut_counted(watch.firsts(rows.withColumn("status", F.when(F.col("block_height").isNull(), "MEMPOOL").otherwise("CONFIRMED"))), incident_activities_detected=F.count(F.lit(1)))
+    if found["incident_activities_detected"] == 0:
+        return none
     store.append_new("followed_points", cut(entered), ["prev_txid", "prev_vout", "target_id"])
-    store.save_activities(rows)
+    return found | {"incident_alerts_emitted": store.save_activities(rows)}
 
 
 def transaction_events(tx: DataFrame, inputs: DataFrame, limits: Thresholds = Thresholds(), network: str = "mainnet") -> DataFrame:
@@ -126,7 +140,8 @@ def run(store: Store, blocks: DataFrame, span: replay.ReplayRange, job: str, lim
 
     A job that is paused or cancelled stops at the end of a step, and one whose step lacks a block fails before it writes
     anything of the step. Everything a step writes has a key of its own, so a step that runs twice adds nothing. A step
-    also reads the block before it, where there is one, for the interval of its first block.
+    also reads the block before it, where there is one, for the interval of its first block. What a step met, made and found
+    known is counted as its plans run (``Store.flow``).
     """
     state = store.job(job)
     if state is None:
@@ -145,16 +160,20 @@ def run(store: Store, blocks: DataFrame, span: replay.ReplayRange, job: str, lim
         if not chain.missing_heights(part, at, end).isEmpty():
             store.save_job(job, span, "FAILED")
             return "FAILED"
-        part = cut(part)  # decoded once for all that a step asks of it
+        own = F.col("height") >= at
+        part, counts = cut_counted(part, blocks_observed=F.count_if(own))  # decoded once for all that a step asks of it
         known = store.lookup("outputs", spent_points(transactions_of(part)))
         known = known if known is None else cut(known)
-        events = cut(replay.stamp(detect(part, known, limits, network), job).filter(F.col("block_height") >= at))
-        watch_step(store, *enriched(transactions_of(part.filter(F.col("height") >= at)), known))
-        store.append_new("outputs", outputs_of(transactions_of(part.filter(F.col("height") >= at))), ["txid", "n"])
-        store.append_new("events", events, ["id"])
+        mine = F.col("block_height") >= at
+        tx, inputs, flow = counted_enriched(*enriched(transactions_of(part), known), mine)
+        events, made = cut_counted(replay.stamp(block_events(part, tx, inputs, limits, network), job).filter(mine), n=F.count(F.lit(1)))
+        watched = watch_step(store, tx.filter(mine), inputs.filter(mine))
+        store.append_new("outputs", outputs_of(tx.filter(mine)), ["txid", "n"])
+        new = store.append_new("events", events, ["id"])
         written = store.table("events").filter((F.col("replay_job_id") == job) & F.col("block_height").between(at, end))
         store.append_new("event_metrics", metrics.extract(written).withColumnRenamed("id", "event_id"), ["event_id", "metric", "metric_definition_version"])
         store.save_observations(observations(events, job))
+        store.count(f"replay/{job}", at, **counts, **flow, **watched, events_generated=new, events_deduplicated=made["n"] - new)
         store.save_checkpoint(job, end)
         at = end + 1
     store.save_job(job, span, "COMPLETED")

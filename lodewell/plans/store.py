@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,15 +80,14 @@ class Store:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
-    def append_new(self, name: str, rows: DataFrame, key: str | list[str]) -> None:
-        """Rows whose key is not stored yet."""
+    def append_new(self, name: str, rows: DataFrame, key: str | list[str]) -> int | None:
+        """Rows whose key is not stored yet; of a keyed table, how many these were."""
         keys = [key] if isinstance(key, str) else key
         how = keyed(name)
         if how:
             if set(how.keys) != set(keys):
                 raise ValueError(f"{name} is keyed by {', '.join(how.keys)}")
-            self.put({name: rows})
-            return
+            return self.versions.written(self.put({name: rows}), name)
         rows = rows.dropDuplicates(keys)
         self.append(name, rows.join(self.table(name).select(*keys), keys, "left_anti") if self.has(name) else rows)
 
@@ -124,8 +124,8 @@ class Store:
         n = self.table(name).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1 if self.has(name) else 1
         self.append(name, rows.withColumn("seq", F.lit(n).cast("bigint")))
 
-    def save_activities(self, rows: DataFrame) -> None:
-        """Activities with ids from their dedup keys; the alerts of those that are new.
+    def save_activities(self, rows: DataFrame) -> int:
+        """Activities with ids from their dedup keys; the alerts of those that are new, whose number is returned.
 
         Every write is kept. What is read of an activity is its first write, but status and height of its last.
         """
@@ -137,7 +137,7 @@ class Store:
         needed = {"case_id": F.lit(None).cast("string"), "description": words, "target_label": F.lit(None).cast("string"), "confidence": F.lit(None).cast("string"), "txid": F.lit(None).cast("string"), "value_sats": F.lit(None).cast("bigint")}
         made = watch.alerts(rows.withColumns({c: v for c, v in needed.items() if c not in rows.columns}), self.table("incidents").select("case_id", "title") if self.has("incidents") else None)
         ids = {"id": uuid5(F.concat(F.lit("alert:"), "dedup_key")), "activity_id": uuid5(F.col("dedup_key"))}
-        self.append_new("alerts", made.withColumns(ids).drop("dedup_key"), "id")
+        return self.append_new("alerts", made.withColumns(ids).drop("dedup_key"), "id")
 
     def activities(self) -> DataFrame:
         return provenance.merge_events(self.table("activity_writes"), "id", "seq", ("status", "block_height", "block_hash"))
@@ -333,6 +333,19 @@ class Store:
         rows = self.rarity(run, least, event_id)
         return rows.withColumn("one_in", baseline.one_in(F.col("sample_count"), F.col("tail")))
 
+    def count(self, source: str, step: int, **values: int) -> None:
+        """Counters of a step of a replay, or of a batch of a stream; those of a step that is told again replace the first."""
+        rows = [(source, step, name, int(value), time.time_ns()) for name, value in values.items()]
+        self.append("counters", self.spark.createDataFrame(rows, "source string, step bigint, name string, value bigint, written bigint").coalesce(1))
+
+    def flow(self, source: str | None = None) -> DataFrame:
+        """name and value: counters over all steps, of one source or of all.
+
+        A step that is run again after it wrote its events tells them as known, not as new.
+        """
+        rows = self.table("counters") if source is None else self.table("counters").filter(F.col("source") == source)
+        return rows.groupBy("source", "step", "name").agg(F.max_by("value", "written").alias("value")).groupBy("name").agg(F.sum("value").alias("value"))
+
     def counters(self) -> DataFrame:
         """Rows, kinds and heights of what a pipeline has stored, by event type and network."""
         return self.table("events").groupBy("event_type", "network").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("txid").alias("transactions"), F.min("block_height").alias("first_height"), F.max("block_height").alias("last_height"), F.max("event_time").alias("last_seen"))

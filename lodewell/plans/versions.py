@@ -116,6 +116,10 @@ class Versions:
                     if run["seq"] == new["version"]:
                         del run["seq"]
 
+    def written(self, version: int, name: str) -> int:
+        """How many rows the write that made a version added to a table, as its manifest tells."""
+        return sum(run["rows"] for run in self.state(version)["tables"].get(name, []) if run["seq"] == version)
+
     # runs
 
     @staticmethod

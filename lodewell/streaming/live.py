@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodewell.functions.lineage import cut
+from lodewell.functions.lineage import cut, cut_counted
 from lodewell.operators import chain, detectors, provenance
 from lodewell.plans import replay_run
 from lodewell.plans.store import Store
@@ -48,9 +48,12 @@ def sink(store: Store, limits: replay_run.Thresholds = replay_run.Thresholds(),
     def write(batch: DataFrame, number: int) -> None:
         tx = batch.dropDuplicates(["txid"])
         tx = tx if "timestamp" in tx.columns else tx.withColumn("timestamp", F.current_timestamp())
-        events = cut(detect_transactions(tx, _outputs(store, tx), limits, network))
-        store.append_new("events", events.withColumn("replay_job_id", F.lit(None).cast("string")), ["id"])
+        rows, inputs, flow = replay_run.counted_enriched(*enriched_live(tx, _outputs(store, tx)))
+        found = replay_run.transaction_events(rows, inputs, limits, network).withColumn("observation_mode", F.lit("live"))
+        events, made = cut_counted(found, n=F.count(F.lit(1)))
+        new = store.append_new("events", events.withColumn("replay_job_id", F.lit(None).cast("string")), ["id"])
         store.save_observations(observations(store, events))
+        store.count("live/transactions", number, **flow, events_generated=new, events_deduplicated=made["n"] - new)
 
     return write
 
@@ -79,7 +82,7 @@ def block_sink(store: Store, limits: replay_run.Thresholds = replay_run.Threshol
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        blocks = cut(batch.dropDuplicates(["block_hash"]))
+        blocks, counts = cut_counted(batch.dropDuplicates(["block_hash"]), blocks_observed=F.count(F.lit(1)))
         first = number * 1_000_000
         order = Window.orderBy("height", "block_hash")  # over the headers of one batch
         heads = blocks.select(F.lit(network).alias("network"), "block_hash", "previous_block_hash", "height", "timestamp")
@@ -89,13 +92,14 @@ def block_sink(store: Store, limits: replay_run.Thresholds = replay_run.Threshol
         context = F.struct(F.lit(None).cast("string").alias("txid"), "block_hash", F.col("height").alias("block_height"), F.col("timestamp").alias("event_time"))
         slow = detectors.canonical(detectors.long_interval(spaced.withColumn("context", context), *limits.interval), network)
         tx = replay_run.transactions_of(blocks)
-        rows, inputs = enriched_live(tx, _outputs(store, tx))
-        events = cut(replay_run.transaction_events(rows, inputs, limits, network).unionByName(slow).withColumns({"observation_mode": F.lit("live"), "replay_job_id": F.lit(None).cast("string")}))
-        replay_run.watch_step(store, rows, inputs)
+        rows, inputs, flow = replay_run.counted_enriched(*enriched_live(tx, _outputs(store, tx)))
+        events, made = cut_counted(replay_run.transaction_events(rows, inputs, limits, network).unionByName(slow).withColumns({"observation_mode": F.lit("live"), "replay_job_id": F.lit(None).cast("string")}), n=F.count(F.lit(1)))
+        watched = replay_run.watch_step(store, rows, inputs)
         store.append_new("headers", heads, "block_hash")
         store.append_new("outputs", replay_run.outputs_of(tx), ["txid", "n"])
-        store.append_new("events", events, ["id"])
+        new = store.append_new("events", events, ["id"])
         store.save_observations(_confirmed(events))
+        store.count("live/blocks", number, **counts, **flow, **watched, events_generated=new, events_deduplicated=made["n"] - new)
         if store.has("gone_blocks"):  # the reorganisation was told before its blocks were stored
             store.save_observations(_reorged_out(_confirmed(events), store.table("gone_blocks")))
 
@@ -112,11 +116,12 @@ def reorg_sink(store: Store, network: str = "mainnet"):
     def write(batch: DataFrame, number: int) -> None:
         found = cut(tip.reorgs(batch))
         context = F.struct(F.lit(None).cast("string").alias("txid"), F.col("new_tip_hash").alias("block_hash"), F.col("new_tip_height").alias("block_height"), F.col("observed_at").alias("event_time"))
-        events = cut(detectors.canonical(detectors.reorg(found.withColumn("context", context)), network))
-        if events.isEmpty():
+        events, made = cut_counted(detectors.canonical(detectors.reorg(found.withColumn("context", context)), network), n=F.count(F.lit(1)))
+        if made["n"] == 0:
             return
-        store.append_new("events", events.withColumns({"observation_mode": F.lit("live"), "replay_job_id": F.lit(None).cast("string")}), ["id"])
+        new = store.append_new("events", events.withColumns({"observation_mode": F.lit("live"), "replay_job_id": F.lit(None).cast("string")}), ["id"])
         store.save_observations(_confirmed(events))
+        store.count("live/tip", number, reorgs_detected=new, events_generated=new, events_deduplicated=made["n"] - new)
         gone = cut(found.select(F.explode("disconnected_blocks").alias("block_hash"), F.col("observed_at").alias("gone_at")))
         store.append_new("gone_blocks", gone, "block_hash")
         store.save_observations(_reorged_out(store.all_observations(), gone))

@@ -146,6 +146,8 @@ def test_replay_from_the_command_line(spark, node, tmp_path, capsys):
     fee = next(json.loads(r["metadata"]) for r in events if r["event_type"] == "EXTREME_FEE")
     assert fee["fee_sats"] == BTC and fee["fee_trigger_type"] == "BOTH"
     assert store.table("observations").count() == 5 and store.table("outputs").count() == 64
+    flow = {"blocks_observed": 4, "transactions_observed": 5, "transactions_enriched": 1, "utxo_lookup_failures": 0, "events_generated": 5, "events_deduplicated": 0, "incident_activities_detected": 0, "incident_alerts_emitted": 0}
+    assert {r["name"]: r["value"] for r in store.flow("replay/j").collect()} == flow
     assert store.table("event_metrics").filter("metric = 'fee_sats'").first()["value"] == BTC
     command.main(["baseline", "--start", "0", "--end", "3", "--store", root], spark)
     run = capsys.readouterr().out.strip()
@@ -166,6 +168,8 @@ def test_replay_in_steps_equals_one_step(spark, node, tmp_path):
     assert replay_run.run(store, blocks, ReplayRange(0, 3), "j", every=1) == "COMPLETED"
     assert {r["id"] for r in store.table("events").collect()} == {r["id"] for r in replay_run.detect(blocks).collect()}
     assert store.checkpoint("j") == 3
+    told = {r["name"]: r["value"] for r in store.flow().collect()}
+    assert (told["blocks_observed"], told["transactions_observed"], told["transactions_enriched"], told["events_generated"], told["events_deduplicated"]) == (4, 5, 1, 5, 0)
     with pytest.raises(ValueError):
         store.set_job("j", "CANCELLED")
     new, known = replay_run.created_and_known(store, replay_run.detect(blocks))
@@ -259,6 +263,8 @@ def test_live_detection_of_landed_frames(spark, node, tmp_path):
     events = {r["event_type"]: json.loads(r["metadata"]) for r in store.table("events").collect()}
     assert set(events) == {"LARGE_TRANSFER", "EXTREME_FEE", "DORMANT_COINS_MOVED"} and events["EXTREME_FEE"]["fee_sats"] == BTC and store.table("events").count() == 3
     assert [r["mode"] for r in store.all_observations().collect()] == ["live"] * 3
+    told = {r["name"]: r["value"] for r in store.flow("live/transactions").collect()}
+    assert (told["transactions_observed"], told["utxo_lookup_failures"], told["events_generated"], told["events_deduplicated"]) == (1, 0, 0, 3)  # batch 0 came again
     (tmp_path / "ws").mkdir()
     (tmp_path / "ws" / "a.txt").write_text('{"tx": {"txid": "t", "fee": 5}}\nnot json\n')
     assert [r["kind"] for r in landing.LandedEnvelopes(str(tmp_path / "ws"), stream=False).read(spark).collect()] == ["transaction"]
