@@ -128,4 +128,5 @@ def test_replays_match_watch_targets(spark, tmp_path):
         assert alert["title"] == "[CASE-7] Watched Outpoint Spent" and alert["incident_title"] == "Incident CASE-7" and alert["txid"] == names[1] and alert["value_sats"] == 50 * BTC
         assert "OutPoint: " in alert["summary"] and {"case_id", "confidence", "correlation", "observed_at", "activity_id", "severity"} <= set(store.alerts("case").columns)
         assert store.alerts("case", limit=100).count() == len(seen[every])
+        assert store.flow("replay/job").filter("name = 'incident_alerts_emitted'").first()["value"] == len(seen[every])
     assert seen[2] == seen[10]
