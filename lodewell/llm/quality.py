@@ -2,15 +2,15 @@
 
 Each text gives a histogram over character classes and, for each language, one over the language's common words and
 the rest. A language has a reference if LEAST_DOCS documents or more name it. Its common words are the TOP most frequent
-ones with a letter of about SAMPLE_DOCS of its documents, drawn by hash of the id; its reference is the summed histograms of all its
-documents, over the whole corpus. A document's verdict rests on its smallest Jensen-Shannon distance to any reference: a
-document fails if its characters or its words are farther from every language than the limits, where it is long enough
-to tell. A document that names a language without a reference is not held to the word limit.
+ones with a letter and its reference the summed histograms, both over all its documents in the whole corpus. A
+document's verdict rests on its smallest Jensen-Shannon distance to any reference: a document fails if its characters
+or its words are farther from every language than the limits, where it is long enough to tell. A document that names a
+language without a reference is not held to the word limit.
 
 Repeated windows are found inside the row: hashes of five-word windows are compared by a distinct count, and only a
 text that repeats one sorts its hashes to mark the words that repeats cover. Small letters and white space are taken out
-of a text once, and the character classes are counted in what is left. Nothing but per-language sums and the words of
-the sample is shuffled.
+of a text once, and the character classes are counted in what is left. Nothing but per-language sums and each task's
+counts of its words is shuffled.
 
 Defined results: null and empty texts have no words and fail the base rule; documents without a language add to no
 reference; without any reference the verdict is the base rule's; a null doc_id and rows that repeat one are documents of
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lodewell.llm.common import materialize
 
-TOP, SAMPLE_DOCS, LEAST_DOCS = 16, 2000, 20
+TOP, LEAST_DOCS = 16, 20
 MIN_WORDS, MIN_CHARS, CHAR_LIMIT, WORD_LIMIT = 60, 200, 0.3, 0.285
 WINDOW = 5
 _GAP = r"[\x20\x09-\x0D]+"
@@ -53,16 +53,14 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, _GAP), lambda w: w != "")
 
 
-def common_words(docs: DataFrame, top: int = TOP, sample_docs: int = SAMPLE_DOCS, least_docs: int = LEAST_DOCS) -> dict[str, list[str]]:
-    """The most frequent words of each language that enough documents name, ties in the order of code points."""
-    known = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), "text").filter("lang IS NOT NULL")
+def common_words(docs: DataFrame, top: int = TOP, least_docs: int = LEAST_DOCS) -> dict[str, list[str]]:
+    """The most frequent words of each language that enough documents name, in all its documents, ties in the order of code points."""
+    known = docs.select(F.col("lang").cast("string").alias("lang"), "text").filter("lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs).collect()}  # a row a language
     if not sizes:
         return {}
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, sample_docs / n) * 2**32))])
-    draw = F.conv(F.substring(F.md5(F.coalesce("id", F.lit("null"))), 1, 8), 16, 10).cast("bigint")
-    sample = known.filter(F.col("lang").isin(list(sizes))).filter(draw < rate[F.col("lang")])
-    counted = sample.select("lang", F.explode(_words(F.coalesce("text", F.lit("")))).alias("word")).filter(~F.col("word").rlike(r"^[\x00-\x40\x5B-\x60\x7B-\x7F]*$"))
+    named = known.filter(F.col("lang").isin(list(sizes)))
+    counted = named.select("lang", F.explode(_words(F.coalesce("text", F.lit("")))).alias("word")).filter(~F.col("word").rlike(r"^[\x00-\x40\x5B-\x60\x7B-\x7F]*$"))
     counted = counted.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     out: dict[str, list[str]] = {lang: [] for lang in sizes}

@@ -559,6 +559,14 @@ def test_quality_against_brute_force(spark, docs):
     assert not any(kept[10**6 + i] for i in range(6)) and [kept[10**6 + 10 + i] for i in range(3)] == [False, True, False]
 
 
+def test_quality_common_words_of_all_documents(spark):
+    # half of the ids are below the hash of a draw of 2000 of 4000; the other half has the more frequent words
+    low = lambda d: int(hashlib.md5(str(d).encode()).hexdigest()[:8], 16) < 2**31
+    names = {part: [f"{part}{chr(97 + i)}" for i in range(16)] for part in ("seen", "more")}
+    rows = [(d, " ".join(names["seen"] if low(d) else names["more"] * 2), "xx", "a") for d in range(4000)]
+    assert quality.common_words(frame(spark, rows)) == {"xx": names["more"]}
+
+
 def test_top_k_ties_and_bad_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, None), (6, [None, 1.0]), (7, [1.0]), (100, [-1.0, 0.5]), (8, [1e12, 1.0])]
