@@ -5,6 +5,8 @@ A detector is one filter and one projection, so it stays inside one code-generat
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,9 +168,12 @@ STORED_TYPES = {
 }
 
 
-def canonical(found: DataFrame, network: str = "mainnet") -> DataFrame:
-    """Events as they are stored: the detector's own fields as JSON metadata, the context as columns."""
-    own = [c for c in found.columns if c not in ("event_type", "event_key", "event_id", "severity", "context")]
+def canonical(found: DataFrame, network: str = "mainnet", fields: Collection[str] | None = None) -> DataFrame:
+    """Events as they are stored: the detector's own fields as JSON metadata, the context as columns.
+
+    With ``fields`` the metadata holds only those of them, so what the others are made from need not be read.
+    """
+    own = [c for c in found.columns if c not in ("event_type", "event_key", "event_id", "severity", "context") and (fields is None or c in fields)]
     kind = F.create_map(*[F.lit(x) for pair in STORED_TYPES.items() for x in pair])[F.col("event_type")]
     context = F.col("context").cast(CONTEXT) if "context" in found.columns else F.lit(None).cast(CONTEXT)
     rows = found.withColumn("context", context)

@@ -28,6 +28,11 @@ REGISTRY = [
 ]
 
 
+def fields_of(event_type: str) -> set[str]:
+    """The metadata keys that the metrics of an event type read."""
+    return {k for kind, *_, keys, _ in REGISTRY if kind == event_type for k in keys}
+
+
 def extract(events: DataFrame) -> DataFrame:
     """Long-form metrics of events (id, event_type, network, block_height, metadata JSON): one scan, one explode.
 
@@ -35,7 +40,7 @@ def extract(events: DataFrame) -> DataFrame:
     """
     found = []
     for kind, metric, _, scale, *_, keys, _ in REGISTRY:
-        raw = F.coalesce(*[F.get_json_object("metadata", f"$.{k}") for k in keys])
+        raw = F.when(F.col("event_type") == kind, F.coalesce(*[F.get_json_object("metadata", f"$.{k}") for k in keys]))
         number = F.round(raw.try_cast("double") * 100).cast("decimal(38,0)") if scale else raw.try_cast("decimal(38,0)")
         found.append(F.struct(F.lit(kind).alias("kind"), F.lit(metric).alias("metric"), number.alias("value"), F.lit(scale).alias("scale")))
     own = F.filter(F.array(*found), lambda m: (m["kind"] == F.col("event_type")) & m["value"].isNotNull())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodewell.functions import money
 from lodewell.functions.identity import discriminator, observation_key, uuid5
+from lodewell.functions.lineage import cut
 from lodewell.operators import baseline, chain, detectors, incidents, metrics, provenance, replay, watch
 from lodewell.plans import surrogate as views
 from lodewell.plans.surrogate import table, with_views
@@ -105,8 +106,11 @@ def det_consolidation(spark: SparkSession, d: str) -> DataFrame:
     return _consolidation(spark, d)
 
 
+FAN_OUT = (8, 12, 10, 60_000_000)
+
+
 def _fan_out(spark, d):
-    return detectors.fan_out(views.tx(spark, d), 8, 12, 10, 60_000_000)
+    return detectors.fan_out(views.tx(spark, d), *FAN_OUT)
 
 
 @query(with_views("tx", then=f"""
@@ -120,8 +124,11 @@ def det_fan_out(spark: SparkSession, d: str) -> DataFrame:
     return _fan_out(spark, d)
 
 
+FEE = (2_000_000, 6_000.0, (5_000_000, 3_000_000), (12_000.0, 9_000.0))
+
+
 def _fee(spark, d):
-    return detectors.extreme_fee(views.tx(spark, d), 2_000_000, 6_000.0, (5_000_000, 3_000_000), (12_000.0, 9_000.0))
+    return detectors.extreme_fee(views.tx(spark, d), *FEE)
 
 
 @query(with_views("tx", then=f"""
@@ -735,9 +742,17 @@ def _extracted_sql() -> str:
 @query(_extracted_sql())
 def metric_extraction(spark: SparkSession, d: str) -> DataFrame:
     """All metrics of the stored events of the six types that have any."""
+    # the transactions that one of three detectors may take are found in one pass and written, the detectors read them
+    rate = F.col("fee_sats").cast("double") / F.col("vsize")
+    may = (F.col("total_output_sats") >= LARGE[0]) | (F.col("output_count") >= FAN_OUT[0]) | (F.col("fee_sats") >= FEE[0]) | (rate >= FEE[1])
+    tx = cut(views.tx_where(spark, d, may).drop("ts", "height"))
+    found = [
+        detectors.large_transfer(tx.withColumn("fee_rate_sat_vb", rate), *LARGE), _interval(spark, d), _dormant(spark, d), _consolidation(spark, d), detectors.fan_out(tx, *FAN_OUT), detectors.extreme_fee(tx, *FEE),
+    ]
+    kinds = ("LARGE_TRANSFER", "LONG_BLOCK_INTERVAL", "DORMANT_COINS_MOVED", "CONSOLIDATION", "FAN_OUT", "EXTREME_FEE")
     out = None
-    for name in ("large_transfer", "long_interval", "dormant", "consolidation", "fan_out", "extreme_fee"):
-        rows = detectors.canonical(ALL[name](spark, d))
+    for kind, events in zip(kinds, found):
+        rows = detectors.canonical(events, fields=metrics.fields_of(kind))
         out = rows if out is None else out.unionByName(rows)
     return metrics.extract(out).withColumn("value_text", metrics.numeric_text(F.col("value"), F.col("scale"))).drop("value", "scale")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodewell.functions.money import cents
@@ -30,6 +30,26 @@ def tx(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def tx_where(spark: SparkSession, d: str, where: Column) -> DataFrame:
+    """The rows of ``tx`` that meet a condition on output_count, total_output_sats, fee_sats and vsize.
+
+    The lines are shuffled once, and suppliers and outputs are gathered of the transactions found only. The condition must not
+    hold for a transaction without lines.
+    """
+    price, order = cents("l_extendedprice"), Window.partitionBy("l_orderkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", price.alias("price"), cents(F.col("l_extendedprice") * F.col("l_discount")).alias("fee"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    known = lines.withColumns({"output_count": F.count(F.lit(1)).over(order), "total_output_sats": zero(F.sum("price").over(order)), "fee_sats": zero(F.sum("fee").over(order))})
+    found = known.withColumn("vsize", F.col("output_count") * 40 + 100).filter(where).groupBy("l_orderkey").agg(
+        *[F.first(c).alias(c) for c in ("output_count", "total_output_sats", "fee_sats", "vsize")], F.count_distinct("l_suppkey").alias("input_count"), F.array_sort(F.collect_list("price")).alias("outputs"),
+    )
+    joined = table(spark, d, "orders").join(found, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.select(
+        F.col("o_orderkey").cast("string").alias("txid"), F.col("o_orderdate").alias("ts"), _day("o_orderdate").alias("height"), "input_count", "output_count",
+        "total_output_sats", F.col("total_output_sats").alias("total_input_sats"), "fee_sats", "vsize", "outputs",
+    )
+
+
 SQL = {}
 SQL["tx"] = """li AS (
   SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey) AS i, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS total,
